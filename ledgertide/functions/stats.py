@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgertide.session import checkpoint
+
 # Two-sided 95% normal quantile (fixed value).
 Z95 = 1.959963984540054
 
@@ -79,85 +81,89 @@ def _bucket(value: Column, center: Column, scale: Column) -> Column:
     return F.floor(unit * BUCKETS).cast("int")
 
 
-def distributed_quantiles(df: DataFrame, keys: Sequence[str], value: str,
-                          probs: Sequence[float] = (0.25, 0.5, 0.75)) -> DataFrame:
-    """Exact interpolated quantiles per group without gathering a group in one task.
+def _counted(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """(keys, _v, _k): equal values of a group counted once, checkpointed.
 
-    1. partial aggregation: count and an approximate center and spread per group;
-    2. exact counts per (group, bucket) of a monotone bucketing, then running counts over at most
-       ``BUCKETS`` rows per group give the buckets holding the wanted ranks;
-    3. only the values of those buckets are ranked, after equal values were counted together.
+    Everything below reads this one table several times. The checkpoint makes sure that the input is
+    evaluated once, keeps the plans small and survives lost executors. A hot group is spread over
+    tasks by its values. Keys must not be NULL.
     """
-    keys = list(keys)
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    summary = rows.groupBy(*keys).agg(
-        F.count("*").alias("_n"),
+    return checkpoint(rows.groupBy(*keys, "_v").agg(F.count("*").alias("_k")))
+
+
+def _summary(counted: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per group: exact n, mean, extremes, up and flat, and an approximate center and spread."""
+    v, k = F.col("_v"), F.col("_k")
+    grouped = counted.groupBy(*keys).agg(
+        F.sum(k).alias("n"), (F.sum(v * k) / F.sum(k)).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"),
+        F.coalesce(F.sum(F.when(v > 0, k)), F.lit(0)).alias("up"), F.coalesce(F.sum(F.when(v == 0, k)), F.lit(0)).alias("flat"),
         F.percentile_approx("_v", [0.25, 0.5, 0.75], F.lit(1000)).alias("_a"))
     spread = F.col("_a")[2] - F.col("_a")[0]
-    summary = summary.select(*keys, "_n", F.col("_a")[1].alias("_c"),
-                             F.when(spread > 0, spread).otherwise(F.lit(1.0)).alias("_s"))
-    placed = _join(rows, summary, keys).withColumn("_b", _bucket(F.col("_v"), F.col("_c"), F.col("_s")))
-    histogram = placed.groupBy(*keys, "_b").agg(F.count("*").alias("_k"), F.first("_n").alias("_n"))
+    return grouped.withColumn("_c", F.col("_a")[1]).withColumn(
+        "_s", F.when(spread > 0, spread).otherwise(F.lit(1.0))).drop("_a")
+
+
+def describe(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float] = (0.25, 0.5, 0.75)) -> DataFrame:
+    """n, mean, min, max, up, flat and exact interpolated quantiles (q25, q50, ...) of groups of any size.
+
+    Quantiles need no gathered group: values are counted in monotone buckets around the approximate
+    median, running counts over at most ``BUCKETS`` rows per group give the buckets that hold the
+    wanted ranks, and only the values of those buckets are ordered.
+    """
+    keys = list(keys)
+    return _describe_counted(_counted(df, keys, value), keys, probs)
+
+
+def _describe_counted(counted: DataFrame, keys: list[str], probs: Sequence[float]) -> DataFrame:
+    summary = checkpoint(_summary(counted, keys))
+    placed = counted.join(summary.select(*keys, "n", "_c", "_s"), keys).select(
+        *keys, "_v", "_k", "n", _bucket(F.col("_v"), F.col("_c"), F.col("_s")).alias("_b"))
+    histogram = placed.groupBy(*keys, "_b").agg(F.sum("_k").alias("_bk"), F.first("n").alias("n"))
     w = Window.partitionBy(*keys).orderBy("_b")
-    histogram = histogram.withColumn("_end", F.sum("_k").over(w)).withColumn("_start", F.col("_end") - F.col("_k"))
-    wanted = F.array_distinct(F.flatten(F.array(*[
-        F.array(F.floor((F.col("_n") - 1) * q), F.least(F.floor((F.col("_n") - 1) * q) + 1, F.col("_n") - 1))
-        for q in probs])))
-    targets = (histogram
-               .withColumn("_ranks", F.filter(wanted, lambda r: (r >= F.col("_start")) & (r < F.col("_end"))))
-               .where(F.size("_ranks") > 0).select(*keys, "_b", "_start", "_ranks"))
-    counted = (_join(placed, targets, [*keys, "_b"])
-               .groupBy(*keys, "_b", "_v").agg(F.count("*").alias("_k"), F.first("_start").alias("_start"),
-                                               F.first("_ranks").alias("_ranks"), F.first("_n").alias("_n")))
+    histogram = histogram.withColumn("_end", F.sum("_bk").over(w)).withColumn("_start", F.col("_end") - F.col("_bk"))
+    last = F.col("n") - 1
+    ranks = F.array_distinct(F.array(*[rank for q in probs for rank in (
+        F.floor(last * F.lit(q)), F.least(F.floor(last * F.lit(q)) + 1, last))]))
+    targets = histogram.withColumn("_ranks", F.filter(ranks, lambda r: (r >= F.col("_start")) & (r < F.col("_end")))).where(
+        F.size("_ranks") > 0).select(*keys, "_b", "_start", "_ranks")
     v = Window.partitionBy(*keys, "_b").orderBy("_v")
-    ranked = counted.withColumn("_hi", F.col("_start") + F.sum("_k").over(v)).withColumn(
+    ranked = placed.join(targets, [*keys, "_b"]).withColumn("_hi", F.col("_start") + F.sum("_k").over(v)).withColumn(
         "_lo", F.col("_hi") - F.col("_k"))
-    hits = ranked.select(*keys, "_n", "_v", F.explode(F.filter(
-        F.col("_ranks"), lambda r: (r >= F.col("_lo")) & (r < F.col("_hi")))).alias("_r"))
-    result = hits.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_r", "_v"))).alias("_m"),
-                                     F.first("_n").alias("_n"))
+    hits = ranked.select(*keys, "_v", F.explode(F.filter("_ranks", lambda r: (r >= F.col("_lo")) & (r < F.col("_hi")))).alias("_r"))
+    # At most two ranks per wanted quantile reach this aggregate.
+    found = hits.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_r", "_v"))).alias("_m"))
+    result = summary.drop("_c", "_s").join(found, keys)
     columns = []
     for q in probs:
-        position = (F.col("_n") - 1) * F.lit(q)
+        position = last * F.lit(q)
         low = F.floor(position)
-        left = F.element_at("_m", low)
-        right = F.element_at("_m", F.least(low + 1, F.col("_n") - 1))
+        left, right = F.element_at("_m", low), F.element_at("_m", F.least(low + 1, last))
         columns.append((left + (position - low) * (right - left)).alias(f"q{round(q * 100):02d}"))
-    return result.select(*keys, *columns)
+    return result.select(*keys, "n", "mean", "min", "max", "up", "flat", *columns)
 
 
-def _join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Equi-join on keys that may be NULL; keeps the left side's key columns."""
-    renamed = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys],
-                           *[c for c in right.columns if c not in keys])
-    condition = F.lit(True)
-    for k in keys:
-        condition = condition & left[k].eqNullSafe(renamed[f"_r_{k}"])
-    if not keys:
-        raise ValueError("at least one key is needed")
-    return left.join(renamed, condition, how).drop(*[f"_r_{k}" for k in keys])
+def distributed_quantiles(df: DataFrame, keys: Sequence[str], value: str,
+                          probs: Sequence[float] = (0.25, 0.5, 0.75)) -> DataFrame:
+    return describe(df, keys, value, probs).drop("n", "mean", "min", "max", "up", "flat")
 
 
 def distribution(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """n, min, q25, median, q75, mean, max, up, flat, up_ratio and whiskers for groups of any size."""
     keys = list(keys)
-    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_x"))
-    basic = rows.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.min("_x").alias("min"), F.max("_x").alias("max"), F.avg("_x").alias("mean"),
-        F.count_if(F.col("_x") > 0).alias("up"), F.count_if(F.col("_x") == 0).alias("flat"))
-    quartiles = distributed_quantiles(rows, keys, "_x").withColumnRenamed("q50", "median")
-    full = _join(basic, quartiles, keys).withColumn("up_ratio", ratio(F.col("up"), F.col("n")))
-    fences = full.select(*keys, (F.col("q25") - 1.5 * (F.col("q75") - F.col("q25"))).alias("_f_lo"),
-                         (F.col("q75") + 1.5 * (F.col("q75") - F.col("q25"))).alias("_f_hi"))
-    inside = _join(rows, fences, keys).where(F.col("_x").between(F.col("_f_lo"), F.col("_f_hi")))
-    whiskers = inside.groupBy(*keys).agg(F.min("_x").alias("whisker_low"), F.max("_x").alias("whisker_high"))
-    return _join(full, whiskers, keys, "left")
+    counted = _counted(df, keys, value)
+    full = checkpoint(_describe_counted(counted, keys, (0.25, 0.5, 0.75))).withColumnRenamed("q50", "median").withColumn("up_ratio", ratio(F.col("up"), F.col("n")))
+    reach = 1.5 * (F.col("q75") - F.col("q25"))
+    fences = full.select(*keys, (F.col("q25") - reach).alias("_f_lo"), (F.col("q75") + reach).alias("_f_hi"))
+    inside = counted.join(fences, keys).where(F.col("_v").between(F.col("_f_lo"), F.col("_f_hi")))
+    whiskers = inside.groupBy(*keys).agg(F.min("_v").alias("whisker_low"), F.max("_v").alias("whisker_high"))
+    return full.join(whiskers, keys, "left")
 
 
 def outliers(df: DataFrame, keys: Sequence[str], value: str, boxes: DataFrame) -> DataFrame:
     """The rows of ``df`` beyond the whiskers of their group, one row each (never a list)."""
     fences = boxes.select(*keys, F.col("whisker_low").alias("_lo"), F.col("whisker_high").alias("_hi"))
-    return _join(df, fences, keys).where((F.col(value) < F.col("_lo")) | (F.col(value) > F.col("_hi"))).drop("_lo", "_hi")
+    return df.join(fences, list(keys)).where((F.col(value) < F.col("_lo")) | (F.col(value) > F.col("_hi"))).drop("_lo", "_hi")
 
 
 def comparison(df: DataFrame, symbol: str, value: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -181,3 +187,37 @@ def max_drawdown(df: DataFrame, keys: Sequence[str], order: str, price: str) ->
     return peaked.groupBy(*keys).agg(
         F.when(F.bool_or(F.col(price).isNull()), F.lit(None).cast("double"))
         .otherwise(F.max(1 - F.col(price) / F.col("running_peak"))).alias("max_drawdown"))
+
+
+def distributed_ranks(df: DataFrame, keys: Sequence[str], value: str, tie: str) -> DataFrame:
+    """Ordinal ranks by (value, tie) in both directions, without ordering a group of any size in one task.
+
+    rank_asc = rows with a smaller value + rank among equals, rank_desc = rows with a larger value +
+    rank among equals (equal values keep ``tie`` order both ways). The counts come from value buckets,
+    the rank among equals from buckets of the numeric ``tie``. Returns keys, value, tie and the ranks;
+    (keys, tie) identifies a row.
+    """
+    keys = list(keys)
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"), F.col(tie).cast("long").alias("_t"))
+    rows = checkpoint(rows)
+    counted = rows.groupBy(*keys, "_v").agg(F.count("*").alias("_k"), F.min("_t").alias("_t0"), F.max("_t").alias("_t1"))
+    summary = _summary(counted, keys).select(*keys, "n", "_c", "_s")
+    distinct = counted.join(summary, keys).withColumn("_b", _bucket(F.col("_v"), F.col("_c"), F.col("_s")))
+    totals = distinct.groupBy(*keys, "_b").agg(F.sum("_k").alias("_bk"))
+    across, inside = Window.partitionBy(*keys).orderBy("_b"), Window.partitionBy(*keys, "_b").orderBy("_v")
+    totals = totals.select(*keys, "_b", (F.sum("_bk").over(across) - F.col("_bk")).alias("_before"))
+    offsets = distinct.join(totals, [*keys, "_b"]).select(
+        *keys, "_v", "_k", "_t0", "_t1", "n", (F.col("_before") + F.sum("_k").over(inside) - F.col("_k")).alias("_smaller"))
+    # A value that occurs once needs no ordering among equals.
+    width = F.greatest((F.col("_t1") - F.col("_t0") + 1) / F.lit(1024.0), F.lit(1.0))
+    repeated = rows.join(offsets.where("_k > 1"), [*keys, "_v"]).withColumn("_tb", F.floor((F.col("_t") - F.col("_t0")) / width))
+    counts = repeated.groupBy(*keys, "_v", "_tb").agg(F.count("*").alias("_tk"))
+    ordered, within = Window.partitionBy(*keys, "_v").orderBy("_tb"), Window.partitionBy(*keys, "_v", "_tb").orderBy("_t")
+    counts = counts.select(*keys, "_v", "_tb", (F.sum("_tk").over(ordered) - F.col("_tk")).alias("_tbefore"))
+    equal = repeated.join(counts, [*keys, "_v", "_tb"]).withColumn("_e", F.col("_tbefore") + F.row_number().over(within))
+    single = offsets.where("_k = 1").withColumn("_t", F.col("_t0")).withColumn("_e", F.lit(1).cast("long"))
+    names = [*keys, "_v", "_t", "_k", "n", "_smaller", "_e"]
+    ranked = single.select(*names).unionByName(equal.select(*names))
+    return ranked.select(*keys, F.col("_v").alias(value), F.col("_t").alias(tie),
+                         (F.col("_smaller") + F.col("_e")).cast("long").alias("rank_asc"),
+                         (F.col("n") - F.col("_smaller") - F.col("_k") + F.col("_e")).cast("long").alias("rank_desc"))

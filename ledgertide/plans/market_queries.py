@@ -10,13 +10,14 @@ from ledgertide.operators import calendar as cal
 from ledgertide.operators import seasonality as season
 from ledgertide.plans import proxies as px
 from ledgertide.plans.registry import query
+from ledgertide.session import checkpoint
 
 YEARS = 6
 
 
 def two(spark, sf):
-    dim = px.sessions(spark, sf)
-    return dim, cal.date_spine(dim)
+    dim = checkpoint(px.sessions(spark, sf))
+    return dim, checkpoint(cal.date_spine(dim))
 
 
 def raw_bars(spark, sf):
@@ -64,7 +65,7 @@ SELECT symbol, strftime(d, '%Y-%m-%d') AS session_date, CASE WHEN flagged THEN '
   CASE WHEN flagged THEN 'jump' ELSE r1 END AS reason FROM fl""")
 def review_bar_jumps(spark, sf):
     checked = bar.validate_bars(raw_bars(spark, sf), px.CUTOFF).withColumn("reason", F.lit(None).cast("string"))
-    rows = bar.review_bar_jumps(checked, px.sessions(spark, sf), px.CUTOFF)
+    rows = bar.review_bar_jumps(checkpoint(checked), px.sessions(spark, sf), px.CUTOFF)
     return px.present(rows.select("symbol", "session_date", "status", "reason"))
 
 
@@ -81,7 +82,8 @@ def reject_duplicate_sessions(spark, sf):
 SELECT a.symbol, strftime(a.d, '%Y-%m-%d') AS session_date, a.c AS close, b.c AS prior_close
 FROM px a JOIN ses s ON s.d = a.d LEFT JOIN ses p ON p.no = s.no - 1 LEFT JOIN px b ON b.symbol = a.symbol AND b.d = p.d""")
 def prior_session_close(spark, sf):
-    rows = bar.prior_session_close(px.bars(spark, sf), px.sessions(spark, sf))
+    m = px.market(spark, sf)
+    rows = bar.prior_session_close(m.bars, m.sessions)
     return px.present(rows.select("symbol", "session_date", "close", "prior_close"), exact=("close", "prior_close"))
 
 
@@ -155,16 +157,16 @@ SELECT symbol, strftime(a, '%Y-%m-%d') AS start_date, strftime(b, '%Y-%m-%d') AS
   CASE WHEN count(*) FILTER (WHERE have) = 0 THEN 'NOT_FETCHED' WHEN count(*) FILTER (WHERE NOT have AND d <= DATE '2001-06-29') = 0 THEN 'COMPLETE' ELSE 'PARTIAL' END AS coverage
 FROM e GROUP BY symbol, a, b""")
 def coverage(spark, sf):
-    dim, spine = two(spark, sf)
-    return px.present(bar.coverage(wanted_ranges(spark, sf), px.bars(spark, sf), dim, spine, px.CUTOFF))
+    m = px.market(spark, sf)
+    return px.present(bar.coverage(wanted_ranges(spark, sf), m.bars, m.sessions, m.spine, px.CUTOFF))
 
 
 @query("anti_missing_sessions", px.with_ctes(px.PX) + RANGES + """
 SELECT rg.symbol, strftime(ses.d, '%Y-%m-%d') AS session_date, CAST(ses.no AS BIGINT) AS session_no FROM rg JOIN ses ON ses.d BETWEEN a AND b
 WHERE NOT EXISTS (SELECT 1 FROM px WHERE px.symbol = rg.symbol AND px.d = ses.d)""")
 def anti_missing_sessions(spark, sf):
-    dim, spine = two(spark, sf)
-    return px.present(bar.missing_sessions(wanted_ranges(spark, sf), px.bars(spark, sf), dim, spine))
+    m = px.market(spark, sf)
+    return px.present(bar.missing_sessions(wanted_ranges(spark, sf), m.bars, m.sessions, m.spine))
 
 
 @query("merge_ranges", """
@@ -196,7 +198,7 @@ def scan_bars_ranges(spark, sf):
 SELECT symbol, CAST(r AS BIGINT) AS source_rank, strftime(d, '%Y-%m-%d') AS session_date, c AS close FROM u
 QUALIFY r = min(r) OVER (PARTITION BY symbol)""")
 def scan_source_priority(spark, sf):
-    bars = px.bars(spark, sf).select("symbol", "session_date", "close")
+    bars = px.market(spark, sf).bars.select("symbol", "session_date", "close")
     long_store, fetched = bars.where("symbol IN ('S0', 'S1', 'S2')"), bars.where("symbol IN ('S2', 'S3', 'S4')")
     return px.present(bar.scan_source_priority(long_store, fetched, bars), exact=("close",))
 
@@ -207,7 +209,7 @@ def scan_source_priority(spark, sf):
 SELECT i AS "interval", symbol, strftime(min(d), '%Y-%m-%d') AS start_date, strftime(max(d), '%Y-%m-%d') AS end_date, first(o ORDER BY d) AS open,
   max(h) AS high, min(l) AS low, last(c ORDER BY d) AS close, count(*) AS sessions FROM k GROUP BY i, symbol, p""")
 def resample_ohlc(spark, sf):
-    bars = px.bars(spark, sf)
+    bars = px.market(spark, sf).bars
     frames = [bar.resample_ohlc(bars, i).withColumn("interval", F.lit(i)).drop("period_start") for i in ("day", "week", "month")]
     return px.present(frames[0].unionByName(frames[1]).unionByName(frames[2]), exact=bar.PRICES)
 
@@ -225,11 +227,11 @@ g AS (SELECT h.symbol, count(*) FILTER (WHERE px.d IS NULL) AS gaps FROM h JOIN
 SELECT sr.symbol, active, coalesce(n, 0) AS bars, strftime(a, '%Y-%m-%d') AS start_date, strftime(b, '%Y-%m-%d') AS last_date, coalesce(gaps, 0) AS gap_days,
   active AND coalesce(n, 0) > 0 AND coalesce(gaps, 0) = 0 AS ready FROM sr LEFT JOIN h USING (symbol) LEFT JOIN g USING (symbol)""")
 def bar_inventory(spark, sf):
-    dim, spine = two(spark, sf)
+    m = px.market(spark, sf)
     number = F.col("s_suppkey") % 9
     series = px.table(spark, sf, "supplier").select(
         F.concat(F.lit("S"), number.cast("string")).alias("symbol"), (number != 4).alias("active")).distinct()
-    return px.present(bar.bar_inventory(series, px.bars(spark, sf), dim, spine, px.CUTOFF))
+    return px.present(bar.bar_inventory(series, m.bars, m.sessions, m.spine, px.CUTOFF))
 
 
 @query("correct_bars", px.with_ctes(px.PX) + """
@@ -242,7 +244,7 @@ al AS (SELECT *, FALSE AS replaced FROM st WHERE symbol NOT IN (FROM k) UNION AL
   UNION ALL SELECT fe.*, FALSE FROM fe ANTI JOIN st USING (symbol, d) WHERE symbol NOT IN (FROM k))
 SELECT symbol, strftime(d, '%Y-%m-%d') AS session_date, o AS open, h AS high, l AS low, c AS close, replaced FROM al""")
 def correct_bars(spark, sf):
-    bars = px.bars(spark, sf).select("symbol", "session_date", *bar.PRICES)
+    bars = px.market(spark, sf).bars.select("symbol", "session_date", *bar.PRICES)
     factor = F.when(F.col("symbol").isin("S1", "S5"), 0.5).when(F.col("symbol") == "S2", 1.000001).otherwise(1.0)
     fetched = bars.where("session_date >= '2001-01-01'").select("symbol", "session_date", *[(F.col(c) * factor).alias(c) for c in bar.PRICES])
     return px.present(bar.correct_bars(bars.where("session_date < '2001-06-01'"), fetched), exact=bar.PRICES)
@@ -281,7 +283,8 @@ DAILY = """
 
 
 def daily_changes(spark, sf):
-    rows = bar.prior_session_close(px.bars(spark, sf), px.sessions(spark, sf)).where("prior_close IS NOT NULL")
+    m = px.market(spark, sf)
+    rows = bar.prior_session_close(m.bars, m.sessions).where("prior_close IS NOT NULL")
     return rows.select("symbol", "session_date", (F.col("close") / F.col("prior_close") - 1).alias("x"))
 
 
@@ -333,8 +336,7 @@ def endpoint_change(spark, sf):
 p AS (SELECT symbol, year(d) AS y, c, max(c) OVER (PARTITION BY symbol, year(d) ORDER BY d) AS peak FROM g)
 SELECT symbol, y AS year, CASE WHEN NOT bool_or(c IS NULL) THEN round(max(1 - c / peak), 6) END AS max_drawdown FROM p GROUP BY 1, 2""")
 def max_drawdown(spark, sf):
-    bars = px.bars(spark, sf)
-    dim = px.sessions(spark, sf)
+    bars, dim = px.market(spark, sf)[:2]
     spans = bars.select("symbol").distinct()
     # Every session of every series, so that a gap shows as a missing price.
     days = dim.agg(F.sort_array(F.collect_list("session_date")).alias("days")).withColumn("k", F.lit(1))
@@ -412,9 +414,9 @@ def references(bars):
 
 @query("period_candle", candle_sql(MONTHS) + CANDLE_COLUMNS)
 def period_candle(spark, sf):
-    bars = px.bars(spark, sf)
+    m = px.market(spark, sf)
     study = season.periods("monthly", px.CUTOFF, YEARS)
-    rows = season.period_candles(bars, px.sessions(spark, sf), study, px.CUTOFF, references(bars)[0])
+    rows = season.period_candles(m.bars, m.sessions, study, px.CUTOFF, m.benchmark)
     return px.present(rows.select("symbol", "period", "year", "status", "start_date", "end_date", "sessions", "change", "high_change", "low_change", "excess"))
 
 
@@ -422,25 +424,25 @@ def period_candle(spark, sf):
 SELECT symbol, CAST(y AS BIGINT) AS year, CASE WHEN change IS NOT NULL THEN round(bch, 6) END AS benchmark_change, round(change - bch, 6) AS excess,
   CASE WHEN change IS NOT NULL THEN round(sch, 6) END AS sector_change, round(change - sch, 6) AS sector_excess FROM cd""")
 def join_benchmark(spark, sf):
-    bars = px.bars(spark, sf)
+    m = px.market(spark, sf)
     study = season.periods("interval", px.CUTOFF, YEARS, "11-20", "07-15")
-    rows = season.period_candles(bars, px.sessions(spark, sf), study, px.CUTOFF, *references(bars))
+    rows = season.period_candles(m.bars, m.sessions, study, px.CUTOFF, *references(m.bars))
     return px.present(rows.select("symbol", "year", "benchmark_change", "excess", "sector_change", "sector_excess"))
 
 
 @query("seasonality_monthly", candle_sql(MONTHS) + STATS)
 def seasonality_monthly(spark, sf):
-    bars = px.bars(spark, sf)
-    market, sector = references(bars)
-    rows = season.seasonality(bars, px.sessions(spark, sf), "monthly", px.CUTOFF, YEARS, benchmark=market, sector=sector)
+    m = px.market(spark, sf)
+    market, sector = references(m.bars)
+    rows = season.seasonality(m.bars, m.sessions, "monthly", px.CUTOFF, YEARS, benchmark=market, sector=sector)
     return px.present(rows.select(*STAT_COLUMNS))
 
 
 @query("seasonality_interval", candle_sql(INTERVAL) + STATS)
 def seasonality_interval(spark, sf):
-    bars = px.bars(spark, sf)
-    market, sector = references(bars)
-    rows = season.seasonality(bars, px.sessions(spark, sf), "interval", px.CUTOFF, YEARS, "11-20", "07-15", benchmark=market, sector=sector)
+    m = px.market(spark, sf)
+    market, sector = references(m.bars)
+    rows = season.seasonality(m.bars, m.sessions, "interval", px.CUTOFF, YEARS, "11-20", "07-15", benchmark=market, sector=sector)
     return px.present(rows.select(*STAT_COLUMNS))
 
 
@@ -450,8 +452,8 @@ SELECT symbol, period, count(*) AS n, count(*) FILTER (WHERE change > 0) AS up,
   round(count(*) FILTER (WHERE change - bch > 0) / nullif(count(bch), 0), 6) AS beat_ratio, round(avg(change - bch), 6) AS mean_excess
 FROM sm GROUP BY 1, 2""")
 def period_stats(spark, sf):
-    bars = px.bars(spark, sf)
+    m = px.market(spark, sf)
     study = season.periods("monthly", px.CUTOFF, YEARS)
-    candles = season.period_candles(bars, px.sessions(spark, sf), study, px.CUTOFF, references(bars)[0])
+    candles = season.period_candles(m.bars, m.sessions, study, px.CUTOFF, m.benchmark)
     rows = season.period_stats(candles, YEARS).where("n > 0")
     return px.present(rows.select("symbol", "period", "n", "up", "flat", "up_ratio", "beat_ratio", "mean_excess"))

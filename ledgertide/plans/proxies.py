@@ -6,10 +6,13 @@ expressions over lineitem, orders, supplier, customer, part and events.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgertide.operators import calendar as cal
+from ledgertide.session import checkpoint
 
 CUTOFF = "2001-06-29"
 AT = "2001-11-04"
@@ -74,6 +77,24 @@ def bars(spark: SparkSession, sf: str, with_index: bool = True) -> DataFrame:
                         F.col("_last.p").alias("close"), "volume", F.lit("VALID").alias("status"))
 
 
+class Market(NamedTuple):
+    bars: DataFrame
+    sessions: DataFrame
+    spine: DataFrame
+    benchmark: DataFrame
+
+
+def market(spark: SparkSession, sf: str) -> Market:
+    """Bars, sessions and spine for queries that read them more than once.
+
+    They are small next to the line items (one row per symbol and day), so they are checkpointed
+    once per query instead of being aggregated again in every branch of its plan.
+    """
+    rows = checkpoint(bars(spark, sf))
+    days = checkpoint(cal.observed_sessions(rows))
+    return Market(rows, days, checkpoint(cal.date_spine(days)), rows.where(F.col("symbol") == BENCHMARK))
+
+
 def sessions(spark: SparkSession, sf: str) -> DataFrame:
     """The observed calendar: weekdays with at least one row."""
     days = table(spark, sf, "lineitem").select(F.to_date("l_shipdate").alias("session_date"))
