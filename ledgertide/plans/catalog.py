@@ -1,6 +1,6 @@
 """Collects every query module into one catalog."""
 
-from ledgertide.plans import calendar_queries, event_queries, market_queries, sector_queries  # noqa: F401
+from ledgertide.plans import calendar_queries, event_queries, insider_queries, market_queries, sector_queries  # noqa: F401
 from ledgertide.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -55,6 +55,11 @@ def pad(c: Column, width: int = 10) -> Column:
     return F.lpad(c.cast("string"), width, "0")
 
 
+def unit_price() -> Column:
+    """Price of a line item at four places; floor is the same double operation in every engine."""
+    return F.floor(F.col("l_extendedprice") / F.col("l_quantity") * 10000) / 10000
+
+
 # --- bars and calendar ------------------------------------------------------------
 
 
@@ -62,7 +67,7 @@ def bars(spark: SparkSession, sf: str, with_index: bool = True) -> DataFrame:
     """(symbol, session_date, open, high, low, close, volume, status); the index is built from the symbol bars."""
     line = table(spark, sf, "lineitem").select(
         F.concat(F.lit("S"), (F.col("l_suppkey") % 8).cast("string")).alias("symbol"),
-        F.to_date("l_shipdate").alias("session_date"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("p"),
+        F.to_date("l_shipdate").alias("session_date"), unit_price().alias("p"),
         "l_quantity", "l_orderkey", "l_linenumber", "l_partkey")
     order = F.struct("l_orderkey", "l_linenumber", "l_partkey", "p")
     daily = line.groupBy("symbol", "session_date").agg(
@@ -103,7 +108,7 @@ def sessions(spark: SparkSession, sf: str) -> DataFrame:
 
 PX = """
 base AS (SELECT 'S' || CAST(l_suppkey % 8 AS VARCHAR) AS symbol, CAST(l_shipdate AS DATE) AS d, l_orderkey AS k1,
-    l_linenumber AS k2, l_partkey AS k3, l_extendedprice / l_quantity AS p, l_quantity AS q FROM lineitem),
+    l_linenumber AS k2, l_partkey AS k3, floor(l_extendedprice / l_quantity * 10000) / 10000 AS p, l_quantity AS q FROM lineitem),
 px AS (
   SELECT symbol, d, first(p ORDER BY k1, k2, k3, p) AS o, max(p) AS h, min(p) AS l, last(p ORDER BY k1, k2, k3, p) AS c,
     sum(q) AS v FROM base GROUP BY symbol, d
@@ -129,7 +134,7 @@ def trades(spark: SparkSession, sf: str) -> DataFrame:
     line, orders = table(spark, sf, "lineitem"), table(spark, sf, "orders")
     rows = line.join(orders, line.l_orderkey == orders.o_orderkey)
     key, supp, part = F.col("o_orderkey"), F.col("l_suppkey"), F.col("l_partkey")
-    price = F.col("l_extendedprice") / F.col("l_quantity") * F.when(part % 29 == 0, 12).otherwise(1)
+    price = unit_price() * F.when(part % 29 == 0, 12).otherwise(1)
     accepted = F.timestamp_seconds(F.unix_timestamp(F.col("l_shipdate").cast("timestamp")) + (key * 37) % 1440 * 60)
     priority = F.col("o_orderpriority")
     number = F.col("l_linenumber")
@@ -172,10 +177,10 @@ tr AS (SELECT concat_ws('-', o_orderkey, l_linenumber, l_partkey, l_suppkey) AS
     CASE WHEN l_linenumber = 7 THEN 'II' ELSE 'I' END AS table_no,
     CASE WHEN l_partkey % 11 = 0 THEN 'Common Shares (2330.TW)' ELSE 'Common Stock' END AS security_title,
     CASE WHEN l_linenumber = 5 THEN 'CAD' WHEN l_linenumber <> 6 THEN 'USD' END AS currency,
-    CAST(l_quantity AS DECIMAL(18,6)) AS shares,
-    CASE WHEN round(l_discount, 2) <> 0.10 THEN CAST(l_extendedprice / l_quantity * CASE WHEN l_partkey % 29 = 0 THEN 12 ELSE 1 END
-        AS DECIMAL(18,6)) END AS price,
-    CASE WHEN l_linenumber <> 4 THEN CAST(l_quantity * (1 + l_linenumber) AS DECIMAL(18,6)) END AS shares_after,
+    CAST(l_quantity AS DECIMAL(19,6)) AS shares,
+    CASE WHEN round(l_discount, 2) <> 0.10 THEN CAST(floor(l_extendedprice / l_quantity * 10000) / 10000 * CASE WHEN l_partkey % 29 = 0 THEN 12 ELSE 1 END
+        AS DECIMAL(19,6)) END AS price,
+    CASE WHEN l_linenumber <> 4 THEN CAST(l_quantity * (1 + l_linenumber) AS DECIMAL(19,6)) END AS shares_after,
     l_linestatus = 'F' AS is_plan, o_orderpriority = '1-URGENT' AS is_ceo, o_orderpriority = '2-HIGH' AS is_cfo,
     o_orderpriority = '3-MEDIUM' AS is_president, o_orderpriority = '4-NOT SPECIFIED' AND o_orderkey % 2 = 0 AS is_chair,
     o_orderpriority = '4-NOT SPECIFIED' AS is_director, o_orderpriority = '5-LOW' AS is_ten_percent,
