@@ -37,7 +37,7 @@ def present(df: DataFrame, exact: tuple[str, ...] = ()) -> DataFrame:
         kind, c = field.dataType.simpleString(), F.col(field.name)
         if field.name in exact:
             pass
-        elif kind in ("date", "timestamp"):
+        elif kind in ("date", "timestamp", "timestamp_ntz"):
             c = F.date_format(c, "yyyy-MM-dd" if kind == "date" else "yyyy-MM-dd HH:mm:ss")
         elif kind.startswith("decimal") or kind in ("double", "float"):
             c = F.round(c.cast("double"), 6)
@@ -142,7 +142,7 @@ def trades(spark: SparkSession, sf: str) -> DataFrame:
         F.concat_ws("-", key, number, part, supp).alias("id"), pad(supp).alias("issuer_id"),
         F.concat(F.lit("A"), pad(key)).alias("accession"),
         F.concat(F.lit("A"), pad(key), F.lit(":v1")).alias("version_id"),
-        F.concat(F.when(number == 7, "II").otherwise("I"), F.lit(":transaction:"), number).alias("row_key"),
+        F.concat(F.when(number == 7, "II").otherwise("I"), F.lit(":transaction:"), F.concat_ws("-", number, part, supp)).alias("row_key"),
         F.to_date("o_orderdate").alias("transaction_date"), accepted.alias("accepted_at"),
         F.when(F.round(F.col("l_tax"), 2) == 0.08, "NEEDS_REVIEW").otherwise("CURRENT").alias("status"),
         F.when(F.col("l_returnflag") == "A", "P").when(F.col("l_returnflag") == "R", "S").otherwise("M").alias("code"),
