@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgertide.session import checkpoint
 from ledgertide.operators.trades import KINDS, VISIBLE, eastern_day, matches_kind, sort_date
 
 # --- keyed tables -----------------------------------------------------------------
@@ -204,14 +205,16 @@ def match_filing_versions(old: DataFrame, new: DataFrame) -> tuple[DataFrame, Da
     key = ["accession", "fp"]
     o = old.select("accession", F.col("id").alias("old_id"), F.col("row_key").alias("old_key"), "accepted_at", "issuer_id", fingerprint().alias("fp"))
     n = new.select("accession", F.col("id").alias("new_id"), F.col("row_key").alias("new_key"), "accepted_at", "issuer_id", fingerprint().alias("fp"))
+    # Both sides are read five times below.
+    o, n = checkpoint(o), checkpoint(n)
     same = [*key, "accepted_at", "issuer_id"]
-    exact = n.join(o.withColumn("new_key", F.col("old_key")), [*same, "new_key"]).select("new_id", "old_id", "accession")
+    exact = checkpoint(n.join(o.withColumn("new_key", F.col("old_key")), [*same, "new_key"]).select("new_id", "old_id", "accession"))
     rest_n = n.join(exact.select("new_id"), "new_id", "left_anti")
     rest_o = o.join(exact.select("old_id"), "old_id", "left_anti")
     occurrence = lambda order: F.row_number().over(Window.partitionBy(*same).orderBy(order))
     paired = rest_n.withColumn("k", occurrence("new_key")).join(
         rest_o.withColumn("k", occurrence("old_key")).select(*same, "k", "old_id"), [*same, "k"]).select("new_id", "old_id", "accession")
-    kept = exact.unionByName(paired)
+    kept = checkpoint(exact.unionByName(paired))
     left_n = n.join(kept.select("new_id"), "new_id", "left_anti")
     left_o = o.join(kept.select("old_id"), "old_id", "left_anti")
     replaceable = left_o.join(n.select(*key).distinct(), key, "left_anti").groupBy("accession", F.col("old_key").alias("new_key")).agg(F.min("old_id").alias("replaces_id"))

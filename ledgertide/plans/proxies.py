@@ -329,7 +329,7 @@ def disclosure_trades(spark: SparkSession, sf: str) -> DataFrame:
         F.when(pk % 37 != 0, F.to_date("l_shipdate")).alias("transaction_date"),
         low.cast("decimal(20,2)").alias("amount_low"),
         F.when(pk % 41 == 0, F.lit(None)).otherwise(high).cast("decimal(20,2)").alias("amount_high"),
-        number.alias("page"), (pk * 1000 + F.col("l_suppkey") % 1000).alias("row_number"),
+        number.alias("page"), pk.alias("row_number"),
         F.when(pk % 13 == 0, F.array(F.lit("ocr"), F.lit("unknown_transaction_type"))).otherwise(
             F.array().cast("array<string>")).alias("warnings"),
         F.when(pk % 13 == 0, "review").otherwise("parsed").alias("confidence"),
@@ -348,7 +348,7 @@ dt AS (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS
       WHEN l_extendedprice <= 100000 THEN 50001 ELSE 100001 END AS DECIMAL(20,2)) AS amount_low,
     CAST(CASE WHEN l_partkey % 41 = 0 THEN NULL WHEN l_extendedprice <= 15000 THEN 15000 WHEN l_extendedprice <= 50000 THEN 50000
       WHEN l_extendedprice <= 100000 THEN 100000 ELSE 250000 END AS DECIMAL(20,2)) AS amount_high,
-    l_linenumber AS page, l_partkey * 1000 + l_suppkey % 1000 AS row_number, l_partkey % 13 = 0 AS warned,
+    l_linenumber AS page, l_partkey AS row_number, l_partkey % 13 = 0 AS warned,
     CASE WHEN l_partkey % 13 = 0 THEN 'review' ELSE 'parsed' END AS confidence,
     CASE WHEN l_partkey % 6 = 0 THEN 'inferred' ELSE 'reported' END AS ticker_origin
   FROM lineitem JOIN part ON l_partkey = p_partkey)
