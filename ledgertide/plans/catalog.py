@@ -8,6 +8,7 @@ from ledgertide.plans import (  # noqa: F401
     market_queries,
     people_queries,
     sector_queries,
+    source_queries,
 )
 from ledgertide.plans.registry import ORACLES, QUERIES
 
