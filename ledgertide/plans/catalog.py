@@ -9,6 +9,7 @@ from ledgertide.plans import (  # noqa: F401
     people_queries,
     sector_queries,
     source_queries,
+    stream_queries,
 )
 from ledgertide.plans.registry import ORACLES, QUERIES
 
