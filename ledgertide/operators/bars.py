@@ -173,8 +173,7 @@ def coverage(ranges: DataFrame, bars: DataFrame, sessions: DataFrame, spine: Dat
                .agg(F.count("*").alias("fetched"), F.count_if(F.col("status") == "VALID").alias("valid"),
                     F.count_if((F.col("status") == "VALID") & (F.col("session_date") <= F.lit(completed).cast("date"))).alias("valid_done")))
     rows = expected_sessions(ranges, spine)
-    cut = spine.select(F.col("day").alias("_cut"), F.col("prev_incl").alias("_cut_no"))
-    rows = rows.withColumn("_cut", F.lit(completed).cast("date")).join(F.broadcast(cut), "_cut", "left")
+    rows = rows.withColumn("_cut_no", spine.where(F.col("day") == F.lit(completed).cast("date")).select("prev_incl").scalar())
     done = F.greatest(F.lit(0), F.least(F.col("last_no"), F.col("_cut_no")) - F.col("first_no") + 1)
     rows = rows.withColumn("_done", done).join(present, ["symbol", "start_date", "end_date"], "left").fillna(
         0, ["fetched", "valid", "valid_done"])

@@ -51,8 +51,8 @@ def session_prices(bars: DataFrame, sessions: DataFrame, n: int, cutoff: str, pr
 
 def with_cutoff_number(df: DataFrame, cutoff: str, spine: DataFrame, name: str = "cutoff_no") -> DataFrame:
     """Attach the number of the last session on or before the cutoff."""
-    row = spine.where(F.col("day") == F.lit(cutoff).cast("date")).select(F.col("day").alias("_cut"), F.col("prev_incl").alias(name))
-    return df.withColumn("_cut", F.lit(cutoff).cast("date")).join(F.broadcast(row), "_cut", "left").drop("_cut")
+    number = spine.where(F.col("day") == F.lit(cutoff).cast("date")).select("prev_incl").scalar()
+    return df.withColumn(name, number)
 
 
 def analyze_events(events: DataFrame, bars: DataFrame, sessions: DataFrame, spine: DataFrame, n: int, cutoff: str,

@@ -121,10 +121,9 @@ def top_with_total(rows: DataFrame, section: str, order: list[Column], k: int) -
 
     orderBy + limit is a distributed top-k; only the k rows are numbered.
     """
-    total = rows.agg(F.count("*").alias("total")).withColumn("section", F.lit(section))
-    top = rows.orderBy(*order).limit(k)
-    numbered = top.withColumn("section", F.lit(section)).withColumn("position", F.row_number().over(Window.partitionBy("section").orderBy(*order)))
-    return numbered.join(F.broadcast(total), "section")
+    top = rows.orderBy(*order).limit(k).withColumn("section", F.lit(section))
+    numbered = top.withColumn("position", F.row_number().over(Window.partitionBy("section").orderBy(*order)))
+    return numbered.withColumn("total", rows.agg(F.count("*")).scalar())
 
 
 def holding_increase(rows: DataFrame) -> DataFrame:

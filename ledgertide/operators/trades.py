@@ -304,12 +304,10 @@ def trade_windows(items: DataFrame, bars: DataFrame, sessions: DataFrame, spine:
     rows = cal.with_spine(items, day, spine, prefix="_s_").withColumn("anchor_no", F.col("_s_next_incl"))
     rows = with_cutoff_number(rows, cutoff, spine, "_cutoff_no")
     rows = rows.join(offset_changes(bars, sessions, n, cutoff), ["symbol", "anchor_no"], "left")
-    last = sessions.agg(F.max("session_no").alias("_max")).withColumn("_k", F.lit(1))
-    rows = rows.withColumn("_k", F.lit(1)).join(F.broadcast(last), "_k").drop("_k")
+    rows = rows.withColumn("_max", sessions.agg(F.max("session_no")).scalar())
     today_no = F.lit(None).cast("int")
     if today is not None:
-        row = sessions.where(F.col("session_date") == F.lit(today).cast("date")).select(F.lit(1).alias("_k"), F.col("session_no").alias("_today"))
-        rows = rows.withColumn("_k", F.lit(1)).join(F.broadcast(row), "_k", "left").drop("_k")
+        rows = rows.withColumn("_today", sessions.where(F.col("session_date") == F.lit(today).cast("date")).select("session_no").scalar())
         today_no = F.col("_today")
 
     def side(name: str, start: Column, end: Column, first: Column, value_last: Column) -> dict[str, Column]:

@@ -339,8 +339,8 @@ def max_drawdown(spark, sf):
     bars, dim = px.market(spark, sf)[:2]
     spans = bars.select("symbol").distinct()
     # Every session of every series, so that a gap shows as a missing price.
-    days = dim.agg(F.sort_array(F.collect_list("session_date")).alias("days")).withColumn("k", F.lit(1))
-    grid = spans.withColumn("k", F.lit(1)).join(F.broadcast(days), "k").select("symbol", F.explode("days").alias("session_date"))
+    days = dim.agg(F.sort_array(F.collect_list("session_date"))).scalar()
+    grid = spans.select("symbol", F.explode(days).alias("session_date"))
     rows = grid.join(bars.select("symbol", "session_date", "close"), ["symbol", "session_date"], "left").withColumn("year", F.year("session_date"))
     return px.present(stats.max_drawdown(rows, ["symbol", "year"], "session_date", "close"))
 

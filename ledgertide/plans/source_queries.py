@@ -36,7 +36,7 @@ def index_lines(spark, sf):
     day = F.when(key % 53 == 0, "2001-13-01").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
     path = F.concat(F.lit("edgar/data/"), cust.cast("string"), F.lit("/"), accession(key), F.lit(".txt"))
     line = F.concat_ws("|", cust.cast("string"), F.concat(F.lit("Customer "), cust.cast("string")), pick(("4", "4/A", "10-K", "3", "4A"), key), day, path)
-    return px.table(spark, sf, "orders").select(F.when(key % 59 == 0, F.concat(line, F.lit("|x"))).otherwise(line).alias("value"))
+    return px.spread(px.table(spark, sf, "orders")).select(F.when(key % 59 == 0, F.concat(line, F.lit("|x"))).otherwise(line).alias("value"))
 
 
 @query("read_master_index", f"""
@@ -77,7 +77,7 @@ def read_submissions(spark, sf):
     payload = F.concat(F.lit('{"cik":"'), (F.col("o_custkey") + 1).cast("string"), F.lit('","filings":{"recent":{"accessionNumber":'), listed(accession(key), accession(key), accession(key)),
                        F.lit(',"form":'), listed(F.lit("4"), F.lit("5/A"), F.lit("10-Q")), F.lit(',"filingDate":'), dates, F.lit(',"acceptanceDateTime":'), listed(stamp, stamp, stamp),
                        F.lit(',"primaryDocument":'), listed(F.lit("a.xml"), F.lit("b.xml"), F.lit("c.htm")), F.lit("}}}"))
-    return px.present(fil.read_submissions(px.table(spark, sf, "orders").select(payload.alias("value")))[0].drop("document"))
+    return px.present(fil.read_submissions(px.spread(px.table(spark, sf, "orders")).select(payload.alias("value")))[0].drop("document"))
 
 
 @query("read_company_tickers", """
@@ -108,7 +108,7 @@ def submission_text(spark, sf):
     body = F.concat(F.lit("<SEC-DOCUMENT>\n<SEC-HEADER>\nACCESSION NUMBER:\t"), accession(key), F.lit("\nCONFORMED SUBMISSION TYPE:\t4\nFILED AS OF DATE:\t"), F.date_format("o_orderdate", "yyyyMMdd"),
                     F.lit("\n<ACCEPTANCE-DATETIME>"), wall, F.lit("\n</SEC-HEADER>\n<DOCUMENT>\n<TYPE>EX-24\n<TEXT>power of attorney</TEXT>\n</DOCUMENT>\n<DOCUMENT>\n<TYPE>4\n<FILENAME>a.xml\n<TEXT>\n<XML>\n"), xml, F.lit("\n</XML>\n</TEXT>\n</DOCUMENT>"))
     twice = F.concat(body, F.lit("<DOCUMENT><TYPE>4\n<TEXT>"), xml, F.lit("</TEXT></DOCUMENT>"))
-    return px.table(spark, sf, "orders").select(F.when(key % 20 == 0, twice).otherwise(body).alias("value"))
+    return px.spread(px.table(spark, sf, "orders")).select(F.when(key % 20 == 0, twice).otherwise(body).alias("value"))
 
 
 def ownership_xml():
@@ -147,7 +147,7 @@ SELECT k AS filing, 'I' AS table_no, CAST(i AS BIGINT) AS source_row_index, CASE
   lpad(CAST(o_custkey + 2 AS VARCHAR), 10, '0') || ',' || lpad(CAST(o_custkey + 3 AS VARCHAR), 10, '0') AS owner_ids, CASE WHEN i = 2 AND c = 'S' THEN 'code_direction_conflict' ELSE '' END AS warnings, '' AS footnote_ids FROM (SELECT *, unnest([1, 2]) AS i FROM o)
 UNION ALL SELECT k, 'II', 1, 'transaction', 'exercise_or_conversion', 'Option', NULL, 5, NULL, lpad(CAST(o_custkey + 2 AS VARCHAR), 10, '0') || ',' || lpad(CAST(o_custkey + 3 AS VARCHAR), 10, '0'), '', 'F1' FROM o""")
 def parse_ownership(spark, sf):
-    docs = px.table(spark, sf, "orders").select(F.col("o_orderkey").alias("filing"), ownership_xml().alias("xml"))
+    docs = px.spread(px.table(spark, sf, "orders")).select(F.col("o_orderkey").alias("filing"), ownership_xml().alias("xml"))
     rows = fil.parse_ownership(docs, "xml", "filing")
     return px.present(rows.select("filing", "table_no", "source_row_index", "row_kind", "action_category", "security_title", "transaction_date", "shares", "price", "owner_ids", "warnings", "footnote_ids"))
 
@@ -221,7 +221,7 @@ def report_pages(spark, sf):
     # Prose is broken after every digit-free run, so only the two stated lines hold dates or amounts.
     prose = F.regexp_replace(F.regexp_replace("text", r"[\d$()\[\]]", ""), r"(?i)\b(?:DESCRIPTION|COMMENT)", "")
     body = F.concat(F.lit("Periodic Transaction Report\n"), prose, F.lit("\nSP Acme Holdings Common Stock (ACM) [ST]\nP "), day, F.lit(" "), day, F.lit(" $1,001 - $15,000\n2. JT Beta Corp Call (BTA) [OP] S (partial) "), day, F.lit(" "), day, F.lit(" Over $1,000,000\nPage 1 of 2"))
-    return px.table(spark, sf, "documents").select("doc_id", body.alias("body"))
+    return px.spread(px.table(spark, sf, "documents")).select("doc_id", body.alias("body"))
 
 
 @query("parse_disclosure_rows", """
@@ -322,7 +322,7 @@ def event_items(spark, sf):
                      F.when(k == 5, ',"uncertain":true').otherwise(""), context, F.lit("}"))
     second = F.concat(F.lit('{"ticker":"ABC","date":"'), day, F.lit('","session":"unknown","name":"'), F.when(k == 6, "FIRST").otherwise("Second"), F.lit('","fiscal_year":2000,"fiscal_quarter":'), F.when(k.isin(6, 7), "1").otherwise("2"), F.lit("}"))
     body = F.concat(F.lit('{"events":['), first, F.lit(","), second, F.lit("]}"))
-    return evl.read_event_list(px.table(spark, sf, "orders").select(key.alias("list"), body.alias("value")), "list")
+    return evl.read_event_list(px.spread(px.table(spark, sf, "orders")).select(key.alias("list"), body.alias("value")), "list")
 
 
 @query("read_config_dims", """

@@ -186,9 +186,8 @@ def cluster_writer(log: BatchLog, history: BatchLog, days: int, people: int) ->
     def each(batch: DataFrame, batch_id: int) -> None:
         history.write(batch_id, batch)
         known = history.all().where(F.col("batch") <= batch_id)
-        newest = batch.agg(F.max("accepted_at").alias("_at")).withColumn("_k", F.lit(1))
-        window = known.withColumn("_k", F.lit(1)).join(F.broadcast(newest), "_k").where(
-            F.col("transaction_date") >= F.date_sub(F.to_date("_at"), RULE_TRADE_DAYS)).drop("_k", "_at")
+        newest = batch.agg(F.max(F.to_date("accepted_at"))).scalar()
+        window = known.where(F.col("transaction_date") >= F.date_sub(newest, RULE_TRADE_DAYS))
         alerts = suppress_repeats(cluster_alerts(window, F.col("batch") == batch_id, days, people), log.before(batch_id), days)
         log.write(batch_id, insert_once(log.before(batch_id), alerts, "dedupe_key", ["at"]))
     return each

@@ -33,6 +33,5 @@ class Snapshot(BatchLog):
 
     def current(self, before: int | None = None) -> DataFrame:
         rows = self.all() if before is None else self.before(before)
-        # One value per version folder: partition values only, no file is read for it.
-        last = rows.select(F.max("batch").alias("_b"))
-        return rows.join(F.broadcast(last), F.col("batch") == F.col("_b")).drop("batch", "_b")
+        # The newest version's number; only its folder is then read.
+        return rows.where(F.col("batch") == rows.agg(F.max("batch")).scalar()).drop("batch")
