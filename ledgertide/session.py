@@ -20,7 +20,11 @@ RUNTIME_CONF = {
 
 # Settings only a new session can take. Recording the Python call site of every column expression
 # would otherwise dominate plan building.
-STATIC_CONF = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+STATIC_CONF = {
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
+    # Checkpoint files go away with the DataFrames that own them.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+}
 
 
 def build_session(app: str = "ledgertide", master: str | None = None, **conf: str) -> SparkSession:
