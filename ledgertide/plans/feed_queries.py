@@ -41,7 +41,7 @@ KINDS_SQL = """concat_ws(',', 'all', CASE WHEN bool_or(table_no = 'I' AND code I
 o AS (SELECT gk, count(DISTINCT o) AS owners FROM (SELECT gk, unnest(owner_ids) AS o FROM fr) GROUP BY 1)
 SELECT gk AS group_key, issuer_id, accepted_at, first_date, last_date, total_transactions, amendment_updates, known_amount, match_kinds, sort_buy, filings, owners FROM g JOIN o USING (gk)""")
 def feed_groups(spark, sf):
-    groups = ver.feed_groups(ver.feed_rows(corrected(spark, sf)))
+    groups = ver.feed_groups(checkpoint(ver.feed_rows(corrected(spark, sf)).select(*FEED_COLUMNS)))
     rows = groups.withColumn("sort_buy", F.element_at("sort_dates", "buy"))
     return shown(rows.select("group_key", "issuer_id", "accepted_at", "first_date", "last_date", "total_transactions", "amendment_updates", "known_amount",
                              "match_kinds", "sort_buy", "filings", "owners"), "known_amount")
@@ -55,14 +55,20 @@ def late_amendments(spark, sf):
     return px.present(per_group.groupBy("group_day").agg(F.sum("n").alias("updates"), F.count("*").alias("groups")))
 
 
+# What feed_groups reads; it reads its rows three times, so they are checkpointed once.
+FEED_COLUMNS = ("group_key", "issuer_id", "group_day", "group_accepted_at", "group_accession", "is_update", "id", "status", "code", "table_no", "shares", "price",
+                "amount", "owner_ids", "accession", "transaction_date", "accepted_at")
+
+
 def revision_log(spark, sf):
     """Two commits: filings accepted before SPLIT, then everything (one issuer in seven withdrawn)."""
     trades = corrected(spark, sf)
-    first = ver.feed_groups(ver.feed_rows(trades.where(F.col("accepted_at") < SPLIT)))
+    grouped = lambda rows: ver.feed_groups(checkpoint(ver.feed_rows(rows).select(*FEED_COLUMNS)))
+    first = grouped(trades.where(F.col("accepted_at") < SPLIT))
     columns = ["group_key", "issuer_id", "accepted_at", "match_kinds", "row_count", "content"]
     one = checkpoint(first.select(*columns).withColumn("seq", F.lit(1)))
     kept = trades.where(F.col("issuer_id").cast("long") % 7 != 3)
-    second = ver.feed_revisions(one, ver.feed_groups(ver.feed_rows(kept)), 2)
+    second = ver.feed_revisions(one, grouped(kept), 2)
     return checkpoint(one.unionByName(second))
 
 
