@@ -400,7 +400,7 @@ z AS (SELECT b.*, lo, hi, up / n AS p, 1.959963984540054 AS z FROM b JOIN w USIN
 al AS (SELECT DISTINCT symbol, period FROM cd)
 SELECT al.symbol, al.period, coalesce(n, 0) AS n, coalesce(up, 0) AS up, round(median, 6) AS median, round(mean, 6) AS mean, round(q25, 6) AS q25, round(q75, 6) AS q75,
   round(best, 6) AS best, round(worst, 6) AS worst, CAST(best_year AS BIGINT) AS best_year, CAST(worst_year AS BIGINT) AS worst_year, round(lo, 6) AS whisker_low, round(hi, 6) AS whisker_high,
-  CASE WHEN up = 0 THEN 0 ELSE round(greatest(0, ((p + z * z / (2 * n)) - z * sqrt(p * (1 - p) / n + z * z / (4.0 * n * n))) / (1 + z * z / n)), 6) END AS up_low,
+  CASE WHEN n IS NULL THEN NULL WHEN up = 0 THEN 0 ELSE round(greatest(0, ((p + z * z / (2 * n)) - z * sqrt(p * (1 - p) / n + z * z / (4.0 * n * n))) / (1 + z * z / n)), 6) END AS up_low,
   coalesce(paired_n, 0) AS paired_n, coalesce(beat, 0) AS beat, round(median_excess, 6) AS median_excess, round(benchmark_median, 6) AS benchmark_median,
   coalesce(sector_beat, 0) AS sector_beat, round(sector_median_excess, 6) AS sector_median_excess
 FROM al LEFT JOIN z ON z.symbol = al.symbol AND z.period = al.period"""
