@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgertide.llm import conversations, decontamination
+from ledgertide.llm import common, conversations, decontamination, near_duplicates, quality
 from ledgertide.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,3 +66,15 @@ from p join kept using (conv_id) group by p.conv_id, segment, n_turns, n_equal
 @query("op9_chat_snapshots", OP9_SQL)
 def op9_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.collapsed_chats(table(spark, sf_dir, "conversations"))
+
+
+@query("op7_near_duplicates")
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op3_quality_rules")
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rules = quality.learn(docs, table(spark, sf_dir, "labels"))
+    return quality.scored(docs, rules).select("doc_id", (common.remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
