@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgertide.llm import common, conversations, decontamination, near_duplicates, quality
+from ledgertide.llm import archives, common, conversations, decontamination, html_text, near_duplicates, quality
 from ledgertide.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,3 +78,22 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rules = quality.learn(docs, table(spark, sf_dir, "labels"))
     return quality.scored(docs, rules).select("doc_id", (common.remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
+@query("op10_layout_text")
+def op10_layout_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extracted(table(spark, sf_dir, "pages"))
+
+
+OP5_SQL = """
+with p as (select page_id, sha256(coalesce(html, '')) digest, cast(strlen(coalesce(html, '')) as bigint) size from pages),
+f as (select digest, min(page_id) first from p where size >= 100 group by digest)
+select page_id, size payload_bytes, digest payload_digest, case when first is null or page_id = first then 'response' else 'revisit' end record_type,
+  case when page_id <> first then first end refers_to
+from p left join f using (digest)
+"""
+
+
+@query("op5_arc_to_warc", OP5_SQL)
+def op5_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archives.archived(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
