@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgertide.llm import archives, common, conversations, decontamination, html_text, near_duplicates, quality, repeats
+from ledgertide.llm import archives, common, conversations, decontamination, fingerprints, html_text, near_duplicates, quality, repeats
 from ledgertide.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,3 +103,8 @@ def op5_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = repeats.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op6_minhash_fingerprints")
+def op6_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.with_edits(table(spark, sf_dir, "documents"))
