@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgertide.llm import archives, common, context_tree, conversations, decontamination, fingerprints, html_text, near_duplicates, quality, repeats
+from ledgertide.llm import archives, common, context_tree, conversations, decontamination, fingerprints, html_text, near_duplicates, quality, repeats, segmentations
 from ledgertide.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,3 +113,8 @@ def op6_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_context_tree")
 def op4_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_tree.scored(table(spark, sf_dir, "documents"), common.remainder("doc_id", 10) == 0)
+
+
+@query("op1_gumbel_segmentations")
+def op1_gumbel_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segmentations.encoded(table(spark, sf_dir, "documents"))
