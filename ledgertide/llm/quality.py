@@ -105,18 +105,19 @@ def _weighted(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return sums[offsets[1:]] - sums[offsets[:-1]]
 
 
-def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The columns of ``docs`` without the text, and a struct ``stats`` of all statistics."""
-    names = [c for c in docs.columns if c != text_col]
-    plain = docs.select(*[F.col(c) for c in names], F.col(text_col).cast("string").alias("_text"))
+def with_statistics(docs: DataFrame, text_col: str = "text", keep_text: bool = False) -> DataFrame:
+    """The columns of ``docs``, without the text unless ``keep_text``, and a struct ``stats`` of all statistics."""
+    rest = [c for c in docs.columns if c != text_col]
+    names = [*rest, text_col] if keep_text else rest
+    plain = docs.select(*[F.col(c) for c in rest], F.col(text_col).cast("string").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, "_text"):
-            found = text_statistics(batch.column(len(names)))
+            found = text_statistics(batch.column(len(rest)))
             stats = pa.StructArray.from_arrays([pa.array(found[s], pa.float64()) for s in STATISTICS], list(STATISTICS))
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(names))], stats], [*names, "stats"])
 
-    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in plain.schema.fields[:-1])
+    kinds = "".join(f"`{name}` {f.dataType.simpleString()}, " for name, f in zip(names, plain.schema.fields, strict=False))
     return plain.mapInArrow(run, kinds + "stats struct<" + ",".join(f"{s}:double" for s in STATISTICS) + ">")
 
 
@@ -181,7 +182,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col:
     return fit(with_statistics(texts), "label", rows)
 
 
-def scored(docs: DataFrame, rules: Rules, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """Every row of ``docs`` without its text, with score and predicted."""
+def scored(docs: DataFrame, rules: Rules, text_col: str = "text", threshold: float = 0.3, keep_text: bool = False) -> DataFrame:
+    """Every row of ``docs`` with score and predicted, without its text unless ``keep_text``."""
     score = rules.score()
-    return with_statistics(docs, text_col).withColumn("score", score).withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0)).drop("stats")
+    return with_statistics(docs, text_col, keep_text).withColumn("score", score).withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0)).drop("stats")

@@ -124,6 +124,21 @@ def merged(first: np.ndarray, count: np.ndarray, least: int) -> tuple[np.ndarray
     return begin[at], end[np.r_[at[1:] - 1, len(begin) - 1]] if len(at) else end
 
 
+def on_characters(text: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs without the parts of characters at their ends, so that what is left is valid UTF-8."""
+    def later(byte: int) -> bool:
+        return byte & 0xC0 == 0x80
+
+    begin, end = begin.copy(), end.copy()
+    for i in range(len(begin)):
+        while begin[i] < end[i] and later(int(text[begin[i]])):
+            begin[i] += 1
+        while end[i] > begin[i] and end[i] < len(text) and later(int(text[end[i]])):
+            end[i] -= 1
+    some = end > begin
+    return begin[some], end[some]
+
+
 def repeated_parts(docs: DataFrame, least: int = LEAST, spread: int = SPREAD) -> DataFrame:
     """(key, text) -> key and ``parts``, the runs of places (first, count) whose ``least`` bytes occur elsewhere too."""
     places = common.stored(parsed(docs, least, spread))
@@ -141,8 +156,11 @@ def repeated_parts(docs: DataFrame, least: int = LEAST, spread: int = SPREAD) ->
     return settled.union(single).groupBy("key").agg(F.collect_list(F.struct("first", "count")).alias("parts"))
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, spread: int | None = None) -> DataFrame:
-    """All columns of ``docs`` but the text, and ``kept`` (the remaining bytes), n_bytes, n_removed and spans (begin, end)."""
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, spread: int | None = None, whole_characters: bool = False) -> DataFrame:
+    """All columns of ``docs`` but the text, and ``kept`` (the remaining bytes), n_bytes, n_removed and spans (begin, end).
+
+    With ``whole_characters``, a character that a run covers in part only stays.
+    """
     spread = spread or min(SPREAD, max(1, (least - GRAM) * 5 // 8))
     if least < GRAM + spread:
         raise ValueError("least must be at least GRAM + spread bytes")
@@ -163,6 +181,8 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             for row in range(batch.num_rows):
                 text = data[offsets[row]:offsets[row + 1]]
                 begin, end = merged(first[bounds[row]:bounds[row + 1]], count[bounds[row]:bounds[row + 1]], least)
+                if whole_characters:
+                    begin, end = on_characters(text, begin, end)
                 pieces, last = [], 0
                 for a, b in zip(begin.tolist(), end.tolist(), strict=True):
                     pieces.append(text[last:a])
