@@ -9,7 +9,7 @@ coordinates estimate the Jaccard similarity with concentration bounds.
 Documents with equal sets are one class and only its smallest id goes on. The bands of the sketches make buckets. Links
 are confirmed on full sets, first between each bucket's members and its leader (two rounds with different leaders), so
 a group of thousands of copies costs one comparison a member; then all pairs of a bucket that still lie in different
-components are compared, whatever their number. A component's label is its smallest id.
+components are compared in bounded tiles, whatever their number. A component's label is its smallest id.
 
 Null ids make rows of their own (component null, kept); rows with one id and several texts count as one document whose
 set is that of the row with the largest set hash. Null texts are empty.
@@ -31,6 +31,8 @@ SHINGLE = 5
 BANDS, ROWS = 54, 6
 BINS = BANDS * ROWS
 THRESHOLD = 0.75
+#: Members of one tile of a bucket.
+TILE = 256
 SPACE_WORD = ~common.SPACE
 
 
@@ -130,6 +132,67 @@ def confirmed(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
             .where(100 * F.col("both") >= percent * (F.size("x") + F.size("y") - F.col("both"))).select("a", "b"))
 
 
+def in_tiles(labelled: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) that join components within any bucket which holds several, after comparing all pairs there.
+
+    A bucket's members are dealt to tiles of about ``TILE``; every pair of tiles is one bounded group, in which a product of
+    membership matrices counts all intersections of full sets at once. Pairs never become rows; a group gives
+    the links that connect its components, not all it sees.
+    """
+    percent = round(100 * threshold)
+    mixed = labelled.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).where("low <> high")
+    tiles = F.ceil(F.col("n") / TILE).cast("int")
+    rest = labelled.join(mixed.select("band", tiles.alias("tiles")), "band").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int"))
+    spread = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
+        "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc_id", "label")
+    kind = sets.schema["doc_id"].dataType.simpleString()
+
+    def compare(table: pa.Table) -> pa.Table:
+        labels = np.unique(table["label"].to_numpy(), return_inverse=True)[1]
+        items = table["items"].combine_chunks()
+        sizes = np.diff(items.offsets.to_numpy())
+        _, token = np.unique(items.flatten().to_numpy(), return_inverse=True)
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        often = np.bincount(token) > 1
+        token, owner = (np.cumsum(often) - 1)[token[often[token]]], owner[often[token]]
+        order = np.argsort(token, kind="stable")
+        token, owner = token[order], owner[order]
+        both = np.zeros((len(sizes), len(sizes)), np.float32)
+        for low in range(0, int(token[-1]) + 1 if len(token) else 0, 4096):
+            part = slice(*np.searchsorted(token, [low, low + 4096]))
+            member = np.zeros((len(sizes), 4096), np.float32)
+            member[owner[part], token[part] - low] = 1
+            both += member @ member.T
+        shared = both.astype(np.int64)
+        alike = (100 * shared >= percent * (sizes[:, None] + sizes[None, :] - shared)) & (labels[:, None] < labels[None, :])
+        root = list(range(int(labels.max()) + 1))
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        kept = []
+        for x, y in np.argwhere(alike).tolist():
+            u, v = find(int(labels[x])), find(int(labels[y]))
+            if u != v:
+                root[max(u, v)] = min(u, v)
+                kept.append((x, y))
+        at = np.array(kept, np.int64).reshape(-1, 2)
+        ids = table["doc_id"].combine_chunks()
+        return pa.table({"a": ids.take(pa.array(at[:, 0])), "b": ids.take(pa.array(at[:, 1]))})
+
+    return spread.join(sets, "doc_id").groupBy("band", "i", "j").applyInArrow(compare, f"a {kind}, b {kind}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def joined_up(links: DataFrame | None, found: DataFrame, buckets: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All links so far, the components they make, and the buckets' members with their components."""
+    links = found if links is None else links.union(found)
+    groups = common.stored(graph.components(links))
+    labelled = common.stored(buckets.join(groups, buckets["doc_id"] == groups["node"], "left").select("band", "doc_id", F.coalesce("label", "doc_id").alias("label")))
+    return links, groups, labelled
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id that links reach) and kept, one row per row of ``docs``."""
     marks = common.stored(signatures(docs, id_col, text_col))
@@ -144,30 +207,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = open_buckets.select("doc_id").distinct()
     sets = common.stored(full_sets(texts.join(members, "doc_id", "left_semi")).groupBy("doc_id").agg(F.max_by("items", F.size("items")).alias("items")))
 
-    links, tried = None, None
+    links, tried, groups = None, None, None
     labelled = open_buckets.withColumn("label", F.col("doc_id"))
-    for turn in range(3):
-        if turn < 2:
-            order = F.struct(F.xxhash64(F.lit(turn), "doc_id").alias("o"), "doc_id", "label")
-            leaders = labelled.groupBy("band").agg(F.min(order).alias("lead"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-            met = labelled.join(leaders, "band").where("label <> lead.label").select(F.least("doc_id", "lead.doc_id").alias("a"), F.greatest("doc_id", "lead.doc_id").alias("b"))
-        else:
-            mixed = labelled.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("band")
-            rest = labelled.join(mixed, "band")
-            other = rest.select("band", F.col("doc_id").alias("doc2"), F.col("label").alias("label2"))
-            met = rest.join(other, "band").where("label < label2").select(F.least("doc_id", "doc2").alias("a"), F.greatest("doc_id", "doc2").alias("b"))
-        met = met.distinct()
-        if tried is not None:
-            met = met.join(tried, ["a", "b"], "left_anti")
-        met = common.stored(met)
-        tried = met if tried is None else tried.union(met)
-        if links is not None and met.isEmpty():
-            continue
-        found = common.stored(confirmed(met, sets, threshold))
-        links = found if links is None else links.union(found)
-        groups = common.stored(graph.components(links))
-        if turn < 2:
-            labelled = common.stored(open_buckets.join(groups, open_buckets["doc_id"] == groups["node"], "left").select("band", "doc_id", F.coalesce("label", "doc_id").alias("label")))
+    for turn in range(2):
+        order = F.struct(F.xxhash64(F.lit(turn), "doc_id").alias("o"), "doc_id", "label")
+        leaders = labelled.groupBy("band").agg(F.min(order).alias("lead"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+        met = labelled.join(leaders, "band").where("label <> lead.label").select(F.least("doc_id", "lead.doc_id").alias("a"), F.greatest("doc_id", "lead.doc_id").alias("b")).distinct()
+        met = common.stored(met if tried is None else met.join(tried, ["a", "b"], "left_anti"))
+        tried = met
+        links, groups, labelled = joined_up(links, common.stored(confirmed(met, sets, threshold)), open_buckets)
+    links, groups, labelled = joined_up(links, common.stored(in_tiles(labelled, sets, threshold)), open_buckets)
 
     keyed = classes.join(groups, classes["head"] == groups["node"], "left").select("n_shingles", "s1", "s2", F.coalesce("label", "head").alias("component_id"))
     own = known.select("doc_id", "n_shingles", "s1", "s2").join(keyed, ["n_shingles", "s1", "s2"], "left").select(
