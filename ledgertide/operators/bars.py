@@ -251,20 +251,36 @@ ABSOLUTE_TOLERANCE, RELATIVE_TOLERANCE = 1e-4, 1e-5
 
 def correct_bars(stored: DataFrame, fetched: DataFrame, absolute: float = ABSOLUTE_TOLERANCE,
                  relative: float = RELATIVE_TOLERANCE) -> DataFrame:
-    """Series whose refetch differs beyond tolerance are replaced whole, never stitched."""
-    new = fetched.select("symbol", "session_date", *[F.col(c).alias(f"_{c}") for c in PRICES])
-    both = stored.join(new, ["symbol", "session_date"])
+    """Stored bars after a refetch; series are replaced whole, never stitched, and never by a part of themselves.
+
+    A series differs when a price of a common session does (beyond tolerance, or one is NULL), or when a session
+    inside both ranges is on one side only (a gap closed or opened). ``fetched`` has a column ``is_full``: a differing series takes the
+    bars of a full fetch (``replaced``); after a partial one it stays as it is and is marked ``needs_full``.
+    A series that does not differ gets the fetched bars it lacks.
+    """
+    new = fetched.select("symbol", "session_date", F.lit(True).alias("_new"), *[F.col(c).alias(f"_{c}") for c in PRICES])
+    both = stored.select("symbol", "session_date", *PRICES, F.lit(True).alias("_old")).join(new, ["symbol", "session_date"], "full")
     differs = F.lit(False)
     for c in PRICES:
         allowed = F.greatest(F.lit(absolute), F.abs(F.col(c)) * relative)
-        differs = differs | (F.abs(F.col(c) - F.col(f"_{c}")) > allowed)
-    corrected = both.groupBy("symbol").agg(F.bool_or(differs).alias("corrected")).where("corrected").select("symbol")
-    kept = stored.join(corrected, "symbol", "left_anti").withColumn("replaced", F.lit(False))
-    replaced = fetched.join(corrected, "symbol", "left_semi").withColumn("replaced", F.lit(True))
-    fresh = (fetched.join(corrected, "symbol", "left_anti")
-             .join(stored.select("symbol", "session_date"), ["symbol", "session_date"], "left_anti")
-             .withColumn("replaced", F.lit(False)))
-    return kept.unionByName(replaced).unionByName(fresh)
+        differs = differs | F.coalesce(F.abs(F.col(c) - F.col(f"_{c}")) > allowed, F.col(c).isNull() != F.col(f"_{c}").isNull())
+    old, fresh = F.col("_old").isNotNull(), F.col("_new").isNotNull()
+    day = F.col("session_date")
+    seen = both.groupBy("symbol").agg(
+        F.bool_or(F.when(old & fresh, differs).otherwise(False)).alias("_changed"),
+        F.greatest(F.min(F.when(old, day)), F.min(F.when(fresh, day))).alias("_from"), F.least(F.max(F.when(old, day)), F.max(F.when(fresh, day))).alias("_to"),
+        F.count_if(old).alias("_olds"), F.count_if(fresh).alias("_news")).where("_olds > 0 and _news > 0")
+    gaps = both.where(~(old & fresh)).join(seen, "symbol").where(day.between(F.col("_from"), F.col("_to"))).select("symbol").distinct()
+    corrected = seen.where("_changed").select("symbol").union(gaps).distinct()
+    full = fetched.where("is_full").select("symbol").distinct()
+    swapped, waiting = corrected.join(full, "symbol", "left_semi"), corrected.join(full, "symbol", "left_anti")
+    bars = fetched.drop("is_full")
+    flags = lambda df, replaced, needs: df.withColumns({"replaced": F.lit(replaced), "needs_full": F.lit(needs)})
+    kept = flags(stored.join(corrected, "symbol", "left_anti"), False, False)
+    held = flags(stored.join(waiting, "symbol", "left_semi"), False, True)
+    replaced = flags(bars.join(swapped, "symbol", "left_semi"), True, False)
+    added = flags(bars.join(corrected, "symbol", "left_anti").join(stored.select("symbol", "session_date"), ["symbol", "session_date"], "left_anti"), False, False)
+    return kept.unionByName(held).unionByName(replaced).unionByName(added)
 
 
 def retain_bars(bars: DataFrame, at: str, years: int = 10) -> DataFrame:

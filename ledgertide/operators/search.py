@@ -12,32 +12,48 @@ from pyspark.sql.types import DoubleType
 from ledgertide.functions import text as T
 
 SIMILARITY = 0.94
+#: Names below this length are never matched by similarity.
+LEAST_FUZZY = 6
 
 
 # --- substring search -------------------------------------------------------------
 
 
 def words(term: Column) -> Column:
-    """The first six words of a search term, folded."""
-    return F.slice(F.filter(F.split(F.lower(F.trim(term)), r"[\s,]+"), lambda w: w != ""), 1, 6)
+    """All words of a search term, folded."""
+    return F.filter(F.split(F.lower(F.trim(term)), r"[\s,]+"), lambda w: w != "")
 
 
 def _grams(text: Column) -> Column:
-    """Distinct pieces of one to three characters; a contained word starts with one of them."""
+    """Distinct pieces of one to three characters; a contained text has all of its pieces among them."""
     piece = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substring(text, i, n))
     return F.array_distinct(F.concat(piece(1), piece(2), piece(3)))
 
 
+def _own_pieces(text: Column) -> Column:
+    """Pieces of three characters of a text, or a shorter text itself."""
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - 2, F.lit(1))), lambda i: F.substring(text, i, 3))
+
+
+def with_block(terms: DataFrame, pieces: Column, grams: DataFrame) -> DataFrame:
+    """Each term with its rarest piece as ``_block``; a term with a piece that no name has matches nothing and leaves.
+
+    ``grams``: the pieces of the names (_block), one row per name and piece.
+    """
+    counts = grams.groupBy("_block").agg(F.count("*").alias("_n"))
+    own = terms.withColumn("_block", F.explode(F.array_distinct(pieces))).join(counts, "_block", "left").fillna(0, ["_n"])
+    rarest = own.groupBy("term").agg(F.min(F.struct("_n", "_block")).alias("_r")).where("_r._n > 0").select("term", F.col("_r._block").alias("_block"))
+    return terms.join(rarest, "term")
+
+
 def name_matches(terms: DataFrame, entities: DataFrame, key: str, name: str) -> DataFrame:
     """(term, key) where every word of the term is part of the name.
 
-    Blocks on the first three characters of the term's longest word, then checks every word.
+    Blocks on the piece of the term's words that the fewest names have, then checks every word.
     """
-    parsed = terms.withColumn("_words", words(F.col("term"))).where(F.size("_words") > 0)
-    longest = F.element_at(F.array_sort("_words", lambda a, b: F.length(b) - F.length(a)), 1)
-    blocked = parsed.withColumn("_block", F.substring(longest, 1, 3))
+    parsed = terms.select("term").distinct().withColumn("_words", words(F.col("term"))).where(F.size("_words") > 0)
     names = entities.select(key, F.lower(name).alias("_name")).withColumn("_block", F.explode(_grams(F.col("_name"))))
-    pairs = names.join(blocked, "_block")
+    pairs = names.join(with_block(parsed, F.flatten(F.transform("_words", _own_pieces)), names), "_block")
     return pairs.where(F.forall("_words", lambda w: F.col("_name").contains(w))).select("term", key)
 
 
@@ -67,8 +83,8 @@ def alias_matches(terms: DataFrame, aliases: DataFrame) -> DataFrame:
     folded = terms.withColumn("_f", T.fold(F.col("term"))).where("_f <> ''")
     table = aliases.withColumn("_a", T.fold(F.col("alias")))
     exact = folded.join(table, F.col("_f") == F.col("_a")).withColumn("match_rank", F.lit(0))
-    partial = (folded.where(F.length("_f") >= 2).withColumn("_block", F.substring("_f", 1, 3))
-               .join(table.withColumn("_block", F.explode(_grams(F.col("_a")))), "_block")
+    grams = table.withColumn("_block", F.explode(_grams(F.col("_a"))))
+    partial = (with_block(folded.where(F.length("_f") >= 2), _own_pieces(F.col("_f")), grams).join(grams, "_block")
                .where(F.col("_a").contains(F.col("_f")) & (F.col("_a") != F.col("_f"))).drop("_block").withColumn("match_rank", F.lit(1)))
     rows = exact.unionByName(partial).select("term", "match_rank", "alias_pos", "alias", F.posexplode("codes").alias("code_pos", "code"))
     best = rows.groupBy("term", "code").agg(F.min(F.struct("match_rank", "alias_pos", "code_pos", "alias")).alias("_r"))
@@ -133,14 +149,17 @@ def _piece(length: Column, pieces: Column, i: Column) -> tuple[Column, Column]:
     return start, (F.floor(length * (i + 1) / pieces).cast("int") - start)
 
 
-def fuzzy_candidates(keys: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """(key, name_key) pairs that share an unchanged piece; complete for ratios above the threshold."""
+def fuzzy_candidates(keys: DataFrame, dictionary: DataFrame, least_length: int = LEAST_FUZZY) -> DataFrame:
+    """(key, name_key) pairs that share an unchanged piece; complete for ratios above the threshold.
+
+    Names shorter than ``least_length`` are matched exactly only: one letter of them is too much of a difference.
+    """
     d = dictionary.select("name_key", F.length("name_key").alias("lb")).where("lb >= 1")
     d = d.withColumn("p", _most_differences(F.col("lb")) + 1).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("p") - 1)))
     start, size = _piece(F.col("lb"), F.col("p"), F.col("i"))
     pieces = d.select("name_key", "lb", "i", F.col("name_key").substr(start + 1, size).alias("piece"))
     la = F.length("key")
-    q = keys.where(F.length("key") >= 6).withColumn("lb", F.explode(F.sequence(
+    q = keys.where(F.length("key") >= least_length).withColumn("lb", F.explode(F.sequence(
         F.ceil(la / F.lit(_REACH)).cast("int"), F.floor(la * F.lit(_REACH)).cast("int"))))
     q = q.withColumn("most", _most_differences(F.col("lb"))).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("most"))))
     start, size = _piece(F.col("lb"), F.col("most") + 1, F.col("i"))
@@ -153,7 +172,7 @@ def fuzzy_candidates(keys: DataFrame, dictionary: DataFrame) -> DataFrame:
     return pairs.where(F.levenshtein("key", "name_key") <= unmatched)
 
 
-def match_names(names: DataFrame, dictionary: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
+def match_names(names: DataFrame, dictionary: DataFrame, threshold: float = SIMILARITY, least_length: int = LEAST_FUZZY) -> DataFrame:
     """Ticker of each asset name: the exact normalized name when unique, else every similar name must agree.
 
     Distinct names are matched once. The similarity runs as a pandas UDF over the block candidates only.
@@ -163,7 +182,7 @@ def match_names(names: DataFrame, dictionary: DataFrame, threshold: float = SIMI
     exact = keys.join(dictionary.withColumnRenamed("name_key", "key"), "key").withColumn(
         "ticker", F.when(F.col("ticker_low") == F.col("ticker_high"), F.col("ticker_low"))).select("key", "ticker", F.lit("local_exact").alias("origin"))
     rest = keys.join(exact.select("key"), "key", "left_anti")
-    scored = fuzzy_candidates(rest, dictionary).withColumn("ratio", sequence_ratio("key", "name_key")).where(F.col("ratio") > threshold)
+    scored = fuzzy_candidates(rest, dictionary, least_length).withColumn("ratio", sequence_ratio("key", "name_key")).where(F.col("ratio") > threshold)
     agreed = scored.join(dictionary, "name_key").groupBy("key").agg(F.min("ticker_low").alias("_a"), F.max("ticker_high").alias("_b"))
     inferred = agreed.where("_a = _b").select("key", F.col("_a").alias("ticker"), F.lit("inferred").alias("origin"))
     found = exact.where("ticker IS NOT NULL").unionByName(inferred)

@@ -118,24 +118,32 @@ def feed_rows(trades: DataFrame) -> DataFrame:
     return both.withColumn("group_key", key)
 
 
+#: What a feed entry shows of a row, and so what makes a revision when it changes.
+CONTENT = ("id", "is_update", "issuer_id", "accession", "original_accession", "accepted_at", "original_accepted_at", "transaction_date", "status", "code", "direction",
+           "table_no", "security_title", "currency", "shares", "price", "amount", "shares_after", "range_low", "range_high", "is_plan", "is_ceo", "is_cfo", "is_president",
+           "is_chair", "is_director", "is_ten_percent", "owner_ids", "filing_ticker", "summary", "form")
+
+
 def feed_groups(rows: DataFrame) -> DataFrame:
     """One row per group: dates, owners, filings, row counts, facets, sort dates and a content hash.
 
     Transactions stay rows keyed by group_key instead of a collected list, and the content hash is
-    order-free, so a group of any size is aggregated map-side.
+    order-free, so a group of any size is aggregated map-side: sums of the two halves of each row's SHA-256 over all
+    shown fields, NULLs included.
     """
     own = ~F.col("is_update")
     ordered = sort_date()
-    content = F.xxhash64("id", "is_update", "status", "code", "table_no", "shares", "price", F.concat_ws(",", "owner_ids"), "accession")
+    shown = F.sha2(F.to_json(F.struct(*[c for c in CONTENT if c in rows.columns]), {"ignoreNullFields": "false"}), 256)
+    half = lambda at: F.sum(F.conv(F.substring(shown, at, 15), 16, 10).cast("decimal(38,0)"))
     groups = rows.groupBy("group_key", "issuer_id", "group_day").agg(
         F.max("group_accepted_at").alias("accepted_at"), F.min(F.when(own, ordered)).alias("first_date"), F.max(F.when(own, ordered)).alias("last_date"),
         F.count_if(own).alias("total_transactions"), F.count_if("is_update").alias("amendment_updates"), F.count("*").alias("row_count"),
         F.sum(F.when(own & (F.col("status") == "CURRENT"), F.col("amount"))).alias("known_amount"),
         *[F.bool_or(matches_kind(kind)).alias(f"_{kind}") for kind in KINDS],
         *[F.max(F.when(matches_kind(kind), ordered)).alias(f"sort_{kind}") for kind in KINDS],
-        F.sum(content.cast("decimal(38,0)")).alias("_sum"), F.bit_xor(content).alias("_xor"))
+        half(1).alias("_first"), half(17).alias("_second"))
     facets = F.array_compact(F.array(*[F.when(F.col(f"_{kind}"), F.lit(kind)) for kind in KINDS]))
-    groups = groups.withColumn("match_kinds", facets).withColumn("content", F.concat_ws(":", "row_count", "_sum", "_xor")).withColumn(
+    groups = groups.withColumn("match_kinds", facets).withColumn("content", F.concat_ws(":", "row_count", "_first", "_second")).withColumn(
         "sort_dates", F.map_from_arrays(F.array(*[F.lit(k) for k in KINDS]), F.array(*[F.col(f"sort_{k}") for k in KINDS])))
     owners = rows.select("group_key", F.explode("owner_ids").alias("o")).distinct().groupBy("group_key").agg(F.count("*").alias("owners"))
     filings = rows.where(own).select("group_key", "group_accession").distinct().groupBy("group_key").agg(F.count("*").alias("filings"))
@@ -298,13 +306,14 @@ def resolve_amendments(trades: DataFrame, decisions: DataFrame) -> tuple[DataFra
     return applied, checked.where("problem IS NOT NULL").select("decision_no", "amended_id", "original_id", "problem")
 
 
-def withdrawn_filings(filings: DataFrame, index_entries: DataFrame, start: str, end: str, complete: bool) -> DataFrame:
-    """Visible filings of the range that a complete single-quarter index no longer lists."""
-    quarters = {(int(day[:4]), (int(day[5:7]) - 1) // 3) for day in (start, end)}
-    if not complete or len(quarters) > 1:
-        return filings.limit(0)
+def withdrawn_filings(filings: DataFrame, index_entries: DataFrame, complete: DataFrame, start: str, end: str) -> DataFrame:
+    """Visible filings of the range that the index no longer lists, quarter by quarter.
+
+    ``complete``: quarter_start of every quarter whose index was read whole; filings of other quarters are left alone.
+    """
     inside = filings.where(F.col("visible") & F.col("filing_date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
-    return inside.join(index_entries.select("accession"), "accession", "left_anti").withColumn("status", F.lit("SOURCE_WITHDRAWN")).withColumn("visible", F.lit(False))
+    sure = inside.withColumn("quarter_start", F.trunc("filing_date", "quarter")).join(complete.select("quarter_start").distinct(), "quarter_start", "left_semi").drop("quarter_start")
+    return sure.join(index_entries.select("accession"), "accession", "left_anti").withColumn("status", F.lit("SOURCE_WITHDRAWN")).withColumn("visible", F.lit(False))
 
 
 def issuer_ticker_current(filings: DataFrame) -> DataFrame:

@@ -525,11 +525,10 @@ def contexts(spark, sf):
 
 @query("window_bars", CONTEXT + """
 SELECT id, count(*) AS bars, round(sum(px.c), 4) AS close_sum, strftime(min(px.d), '%Y-%m-%d') AS first_day, strftime(max(px.d), '%Y-%m-%d') AS last_day
-FROM no2 JOIN ses ON ses.no BETWEEN least(t, bno) - 5 AND greatest(t, bno) + 5 JOIN px ON px.symbol = no2.symbol AND px.d = ses.d WHERE abs(ld - td) <= 40 GROUP BY id""")
+FROM no2 JOIN ses ON ses.no BETWEEN least(t, bno) - 5 AND greatest(t, bno) + 5 JOIN px ON px.symbol = no2.symbol AND px.d = ses.d GROUP BY id""")
 def window_bars(spark, sf):
     rows, bars, dim = contexts(spark, sf)
-    near = rows.where(F.abs("lag_days") <= 40)
-    result = trd.window_bars(near, bars, dim, N)
+    result = trd.window_bars(rows, bars, dim, N)
     return px.present(result.groupBy("id").agg(F.count("*").alias("bars"), F.round(F.sum("close"), 4).alias("close_sum"), F.min("session_date").alias("first_day"), F.max("session_date").alias("last_day")))
 
 

@@ -182,11 +182,11 @@ def merge_ranges(spark, sf):
 
 
 @query("scan_bars_ranges", px.with_ctes(px.PX) + """
-, r AS (SELECT DISTINCT 'S' || CAST(o_custkey % 8 AS VARCHAR) AS symbol, CAST(o_orderdate AS DATE) AS a, CAST(o_orderdate AS DATE) + 2 AS b FROM orders WHERE o_totalprice > 495000)
+, r AS (SELECT DISTINCT 'S' || CAST(o_custkey % 8 AS VARCHAR) AS symbol, CAST(o_orderdate AS DATE) AS a, CAST(o_orderdate AS DATE) + 2 AS b FROM orders)
 SELECT symbol, strftime(d, '%Y-%m-%d') AS session_date, c AS close FROM px
 WHERE EXISTS (SELECT 1 FROM r WHERE r.symbol = px.symbol AND px.d BETWEEN a AND b)""")
 def scan_bars_ranges(spark, sf):
-    ranges = px.table(spark, sf, "orders").where("o_totalprice > 495000").select(
+    ranges = px.table(spark, sf, "orders").select(
         F.concat(F.lit("S"), (F.col("o_custkey") % 8).cast("string")).alias("symbol"), F.to_date("o_orderdate").alias("start_date"),
         F.date_add(F.to_date("o_orderdate"), 2).alias("end_date"))
     return px.present(bar.scan_bars_ranges(px.bars(spark, sf), ranges).select("symbol", "session_date", "close"), exact=("close",))
@@ -234,19 +234,26 @@ def bar_inventory(spark, sf):
     return px.present(bar.bar_inventory(series, m.bars, m.sessions, m.spine, px.CUTOFF))
 
 
+# Two full refetches (S1 halved, S6 as it was) and partial ones: S5 halved, S2 within tolerance, S3 with a gap, S4 with a price gone.
 @query("correct_bars", px.with_ctes(px.PX) + """
 , st AS (SELECT symbol, d, o, h, l, c FROM px WHERE d < DATE '2001-06-01'),
-fe AS (SELECT symbol, d, o * f AS o, h * f AS h, l * f AS l, c * f AS c FROM (SELECT *, CASE WHEN symbol IN ('S1', 'S5') THEN 0.5 WHEN symbol = 'S2' THEN 1.000001 ELSE 1 END AS f
-  FROM px WHERE d >= DATE '2001-01-01')),
-k AS (SELECT DISTINCT st.symbol FROM st JOIN fe USING (symbol, d) WHERE abs(st.c - fe.c) > greatest(1e-4, abs(st.c) * 1e-5) OR abs(st.o - fe.o) > greatest(1e-4, abs(st.o) * 1e-5)
-  OR abs(st.h - fe.h) > greatest(1e-4, abs(st.h) * 1e-5) OR abs(st.l - fe.l) > greatest(1e-4, abs(st.l) * 1e-5)),
-al AS (SELECT *, FALSE AS replaced FROM st WHERE symbol NOT IN (FROM k) UNION ALL SELECT *, TRUE FROM fe WHERE symbol IN (FROM k)
-  UNION ALL SELECT fe.*, FALSE FROM fe ANTI JOIN st USING (symbol, d) WHERE symbol NOT IN (FROM k))
-SELECT symbol, strftime(d, '%Y-%m-%d') AS session_date, o AS open, h AS high, l AS low, c AS close, replaced FROM al""")
+fe AS (SELECT symbol, d, o * f AS o, h * f AS h, l * f AS l, CASE WHEN symbol = 'S4' AND day(d) = 7 THEN NULL ELSE c * f END AS c
+  FROM (SELECT *, CASE WHEN symbol IN ('S1', 'S5') THEN 0.5 WHEN symbol = 'S2' THEN 1.000001 ELSE 1 END AS f FROM px WHERE (d >= DATE '2001-01-01' OR symbol IN ('S1', 'S6')) AND NOT (symbol = 'S3' AND day(d) = 15))),
+r AS (SELECT symbol, greatest(a.lo, b.lo) AS lo, least(a.hi, b.hi) AS hi FROM (SELECT symbol, min(d) AS lo, max(d) AS hi FROM st GROUP BY 1) a JOIN (SELECT symbol, min(d) AS lo, max(d) AS hi FROM fe GROUP BY 1) b USING (symbol)),
+k AS (SELECT st.symbol FROM st JOIN fe USING (symbol, d) WHERE (st.c IS NULL) <> (fe.c IS NULL) OR abs(st.c - fe.c) > greatest(1e-4, abs(st.c) * 1e-5) OR abs(st.o - fe.o) > greatest(1e-4, abs(st.o) * 1e-5)
+  OR abs(st.h - fe.h) > greatest(1e-4, abs(st.h) * 1e-5) OR abs(st.l - fe.l) > greatest(1e-4, abs(st.l) * 1e-5)
+  UNION SELECT symbol FROM (SELECT symbol, d FROM st UNION ALL SELECT symbol, d FROM fe) u JOIN r USING (symbol) WHERE d BETWEEN lo AND hi GROUP BY symbol, d HAVING count(*) = 1),
+al AS (SELECT *, FALSE AS replaced, symbol IN (FROM k) AS needs_full FROM st WHERE symbol NOT IN (FROM k) OR symbol NOT IN ('S1', 'S6')
+  UNION ALL SELECT *, TRUE, FALSE FROM fe WHERE symbol IN (FROM k) AND symbol IN ('S1', 'S6')
+  UNION ALL SELECT fe.*, FALSE, FALSE FROM fe ANTI JOIN st USING (symbol, d) WHERE symbol NOT IN (FROM k))
+SELECT symbol, strftime(d, '%Y-%m-%d') AS session_date, o AS open, h AS high, l AS low, c AS close, replaced, needs_full FROM al""")
 def correct_bars(spark, sf):
     bars = px.market(spark, sf).bars.select("symbol", "session_date", *bar.PRICES)
     factor = F.when(F.col("symbol").isin("S1", "S5"), 0.5).when(F.col("symbol") == "S2", 1.000001).otherwise(1.0)
-    fetched = bars.where("session_date >= '2001-01-01'").select("symbol", "session_date", *[(F.col(c) * factor).alias(c) for c in bar.PRICES])
+    full, day = F.col("symbol").isin("S1", "S6"), F.dayofmonth("session_date")
+    fetched = bars.where((F.col("session_date") >= "2001-01-01") | full).where(~((F.col("symbol") == "S3") & (day == 15))).select(
+        "symbol", "session_date", full.alias("is_full"), *[(F.col(c) * factor).alias(c) for c in bar.PRICES])
+    fetched = fetched.withColumn("close", F.when(~((F.col("symbol") == "S4") & (day == 7)), F.col("close")))
     return px.present(bar.correct_bars(bars.where("session_date < '2001-06-01'"), fetched), exact=bar.PRICES)
 
 

@@ -246,13 +246,13 @@ def directory(spark, sf):
 def terms(spark, sf):
     """Search terms from the data: region-like numbers, supplier numbers and tickers."""
     nation = px.table(spark, sf, "nation").select(F.concat(F.lit("supplier "), F.lpad((F.col("n_nationkey") * 3).cast("string"), 3, "0")).alias("term"))
-    tickers = px.table(spark, sf, "supplier").where("s_suppkey % 7 = 0").select(F.format_string("t%d", "s_suppkey").alias("term"))
-    numbers = px.table(spark, sf, "supplier").where("s_suppkey % 13 = 0").select(F.col("s_suppkey").cast("string").alias("term"))
+    tickers = px.table(spark, sf, "supplier").select(F.format_string("t%d", "s_suppkey").alias("term"))
+    numbers = px.table(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("term"))
     return nation.unionByName(tickers).unionByName(numbers).distinct()
 
 
 TERMS = """
-tm AS (SELECT 'supplier ' || lpad(CAST(n_nationkey * 3 AS VARCHAR), 3, '0') AS term FROM nation UNION SELECT 't' || s_suppkey FROM supplier WHERE s_suppkey % 7 = 0 UNION SELECT CAST(s_suppkey AS VARCHAR) FROM supplier WHERE s_suppkey % 13 = 0),
+tm AS (SELECT 'supplier ' || lpad(CAST(n_nationkey * 3 AS VARCHAR), 3, '0') AS term FROM nation UNION SELECT 't' || s_suppkey FROM supplier UNION SELECT CAST(s_suppkey AS VARCHAR) FROM supplier),
 en AS (SELECT lpad(CAST(s_suppkey AS VARCHAR), 10, '0') AS entity_id, s_name AS name, 'T' || s_suppkey AS ticker, max(CAST(l_shipdate AS DATE)) AS last_trade FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey GROUP BY 1, 2, 3)
 """
 
@@ -326,13 +326,13 @@ def part_names(spark, sf):
 
 @query("match_names_exact", """
 WITH d AS (SELECT upper(concat_ws(' ', p_name, p_type, replace(p_brand, '#', ' '))) AS k, min('P' || regexp_replace(p_brand, '[^0-9]', '', 'g')) AS a, max('P' || regexp_replace(p_brand, '[^0-9]', '', 'g')) AS b FROM part GROUP BY 1),
-n AS (SELECT DISTINCT concat_ws(' ', p_name, p_type, replace(p_brand, '#', ' ')) AS asset_name FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber > 4)
+n AS (SELECT DISTINCT concat_ws(' ', p_name, p_type, replace(p_brand, '#', ' ')) AS asset_name FROM lineitem JOIN part ON l_partkey = p_partkey)
 SELECT asset_name, a AS ticker FROM n JOIN d ON d.k = upper(asset_name) WHERE a = b""")
 def match_names_exact(spark, sf):
     part = px.table(spark, sf, "part")
     _, dictionary = part_names(spark, sf)
     full = F.concat_ws(" ", "p_name", "p_type", F.regexp_replace("p_brand", "#", " "))
-    names = px.table(spark, sf, "lineitem").where("l_linenumber > 4").join(part, F.col("l_partkey") == F.col("p_partkey")).select(full.alias("asset_name"))
+    names = px.table(spark, sf, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).select(full.alias("asset_name"))
     return px.present(sea.match_names(names, dictionary).where("origin = 'local_exact'").select("asset_name", "ticker"))
 
 

@@ -25,9 +25,8 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores before row-wise parsing; a no-op once the input itself has enough partitions."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """Rows dealt by their first column over the session's shuffle partitions, before row-wise parsing."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.columns[0])
 
 
 # --- presentation -----------------------------------------------------------------

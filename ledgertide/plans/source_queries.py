@@ -112,22 +112,32 @@ def submission_text(spark, sf):
 
 
 def ownership_xml():
-    """An ownership document: a transaction, a holding and a derivative row, two owners, one footnote."""
+    """An ownership document: a transaction, a holding and a derivative row, two owners, a footnote.
+
+    One in ten documents each: no direction, unreadable shares, a derivative row in the wrong table, no issuer number, a footnote id
+    twice, an unreadable date.
+    """
     key, cust = F.col("o_orderkey"), F.col("o_custkey")
     value = lambda tag, c: F.concat(F.lit(f"<{tag}><value>"), c, F.lit(f"</value></{tag}>"))
-    amounts = lambda shares, price, way: F.concat(F.lit("<transactionAmounts>"), value("transactionShares", shares), price, value("transactionAcquiredDisposedCode", way), F.lit("</transactionAmounts>"))
+    amounts = lambda shares, price, way: F.concat(F.lit("<transactionAmounts>"), value("transactionShares", shares), price, way, F.lit("</transactionAmounts>"))
+    direction = lambda c: value("transactionAcquiredDisposedCode", F.lit(c))
+    only = lambda n, c, other="": F.when(key % 10 == n, c).otherwise(other)
     code = pick(("P", "S", "M"), key)
     owner = lambda c: F.concat(F.lit("<reportingOwner><reportingOwnerId><rptOwnerCik>"), c, F.lit("</rptOwnerCik><rptOwnerName>N</rptOwnerName></reportingOwnerId></reportingOwner>"))
     day = F.date_format("o_orderdate", "yyyy-MM-dd")
     price = F.concat(F.lit("<transactionPricePerShare><value>"), (cust % 90 + 10).cast("string"), F.lit(".25</value></transactionPricePerShare>"))
     return F.concat(
-        F.lit('<?xml version="1.0"?><ownershipDocument><documentType>4</documentType><periodOfReport>'), day, F.lit("</periodOfReport><aff10b5One>0</aff10b5One><issuer><issuerCik>"), (cust + 1).cast("string"),
-        F.lit("</issuerCik><issuerName>I</issuerName><issuerTradingSymbol>DEMO</issuerTradingSymbol></issuer>"), owner((cust + 2).cast("string")), owner((cust + 3).cast("string")),
-        F.lit("<nonDerivativeTable><nonDerivativeHolding>"), value("securityTitle", F.lit("Class B")), F.lit("</nonDerivativeHolding><nonDerivativeTransaction>"), value("securityTitle", F.lit("Common Stock")), value("transactionDate", day),
+        F.lit('<?xml version="1.0"?><ownershipDocument><documentType>4</documentType><periodOfReport>'), day, F.lit("</periodOfReport><aff10b5One>0</aff10b5One><issuer>"),
+        F.when(key % 10 != 3, F.concat(F.lit("<issuerCik>"), (cust + 1).cast("string"), F.lit("</issuerCik>"))).otherwise(""), F.lit("<issuerName>I</issuerName><issuerTradingSymbol>DEMO</issuerTradingSymbol></issuer>"),
+        owner((cust + 2).cast("string")), owner((cust + 3).cast("string")),
+        F.lit("<nonDerivativeTable><nonDerivativeHolding>"), value("securityTitle", F.lit("Class B")), F.lit("<ownershipNature>"), value("directOrIndirectOwnership", F.lit("I")), value("natureOfOwnership", F.lit("By Trust")),
+        F.lit("</ownershipNature></nonDerivativeHolding>"), only(2, "<derivativeTransaction><securityTitle><value>Odd</value></securityTitle></derivativeTransaction>"),
+        F.lit("<nonDerivativeTransaction>"), value("securityTitle", F.lit("Common Stock")), value("transactionDate", day), F.when(key % 2 == 0, value("deemedExecutionDate", day)).otherwise(""),
         F.lit("<transactionCoding><transactionFormType>4</transactionFormType><transactionCode>"), code, F.lit("</transactionCode></transactionCoding>"),
-        amounts((key % 1000).cast("string"), price, F.lit("A")), F.lit("</nonDerivativeTransaction></nonDerivativeTable><derivativeTable><derivativeTransaction>"), value("securityTitle", F.lit("Option")),
-        F.lit("<transactionCoding><transactionCode>M</transactionCode></transactionCoding>"), amounts(F.lit("5"), F.lit('<transactionPricePerShare><footnoteId id="F1"/></transactionPricePerShare>'), F.lit("D")),
-        F.lit('</derivativeTransaction></derivativeTable><footnotes><footnote id="F1">note</footnote></footnotes></ownershipDocument>'))
+        amounts(only(1, "x12", (key % 1000).cast("string")), price, only(0, "", direction("A"))), F.lit("</nonDerivativeTransaction></nonDerivativeTable><derivativeTable><derivativeTransaction>"), value("securityTitle", F.lit("Option")),
+        F.lit("<transactionCoding><transactionCode>M</transactionCode></transactionCoding>"), amounts(F.lit("5"), F.lit("<transactionPricePerShare><footnoteId id='F1'/></transactionPricePerShare>"), direction("D")),
+        value("exerciseDate", day), value("expirationDate", only(5, "soon", day)), F.lit("<underlyingSecurity>"), value("underlyingSecurityTitle", F.lit("Common Stock")), value("underlyingSecurityShares", F.lit("7")), F.lit("</underlyingSecurity>"),
+        F.lit('</derivativeTransaction></derivativeTable><footnotes><footnote id="F1">note</footnote>'), only(4, '<footnote id="F1">again</footnote>'), F.lit("</footnotes></ownershipDocument>"))
 
 
 @query("read_submission_text", f"""
@@ -140,16 +150,28 @@ def read_submission_text(spark, sf):
 
 
 @query("parse_ownership", """
-WITH o AS (SELECT o_orderkey AS k, *, ['P', 'S', 'M'][o_orderkey % 3 + 1] AS c FROM orders)
-SELECT k AS filing, 'I' AS table_no, CAST(i AS BIGINT) AS source_row_index, CASE i WHEN 1 THEN 'holding' ELSE 'transaction' END AS row_kind,
-  CASE WHEN i = 1 THEN 'holding' WHEN c = 'P' THEN 'purchase_market_or_private' WHEN c = 'S' THEN 'needs_review' ELSE 'exercise_or_conversion' END AS action_category, CASE i WHEN 1 THEN 'Class B' ELSE 'Common Stock' END AS security_title,
-  CASE i WHEN 2 THEN strftime(o_orderdate, '%Y-%m-%d') END AS transaction_date, CASE i WHEN 2 THEN CAST(k % 1000 AS DOUBLE) END AS shares, CASE i WHEN 2 THEN CAST(o_custkey % 90 AS DOUBLE) + 10.25 END AS price,
-  lpad(CAST(o_custkey + 2 AS VARCHAR), 10, '0') || ',' || lpad(CAST(o_custkey + 3 AS VARCHAR), 10, '0') AS owner_ids, CASE WHEN i = 2 AND c = 'S' THEN 'code_direction_conflict' ELSE '' END AS warnings, '' AS footnote_ids FROM (SELECT *, unnest([1, 2]) AS i FROM o)
-UNION ALL SELECT k, 'II', 1, 'transaction', 'exercise_or_conversion', 'Option', NULL, 5, NULL, lpad(CAST(o_custkey + 2 AS VARCHAR), 10, '0') || ',' || lpad(CAST(o_custkey + 3 AS VARCHAR), 10, '0'), '', 'F1' FROM o""")
+WITH o AS (SELECT o_orderkey AS k, *, ['P', 'S', 'M'][o_orderkey % 3 + 1] AS c, o_orderkey % 10 AS v, strftime(o_orderdate, '%Y-%m-%d') AS day,
+  lpad(CAST(o_custkey + 2 AS VARCHAR), 10, '0') || ',' || lpad(CAST(o_custkey + 3 AS VARCHAR), 10, '0') AS owners FROM orders)
+SELECT k AS filing, 'I' AS table_no, CAST(CASE WHEN i = 2 AND v = 2 THEN 3 ELSE i END AS BIGINT) AS source_row_index, CASE i WHEN 1 THEN 'holding' ELSE 'transaction' END AS row_kind,
+  CASE WHEN i = 1 THEN 'holding' WHEN v = 0 OR c = 'S' THEN 'needs_review' WHEN c = 'P' THEN 'purchase_market_or_private' ELSE 'exercise_or_conversion' END AS action_category, CASE i WHEN 1 THEN 'Class B' ELSE 'Common Stock' END AS security_title,
+  CASE i WHEN 2 THEN day END AS transaction_date, CASE WHEN i = 2 AND k % 2 = 0 THEN day END AS deemed_execution_date, CASE i WHEN 2 THEN '4' END AS transaction_form_type,
+  CASE WHEN i = 2 AND v <> 1 THEN CAST(k % 1000 AS DOUBLE) END AS shares, CASE i WHEN 2 THEN CAST(o_custkey % 90 AS DOUBLE) + 10.25 END AS price,
+  NULL AS exercise_date, NULL AS expiration_date, NULL AS underlying_title, CASE i WHEN 1 THEN 'By Trust' END AS nature_of_ownership, owners AS owner_ids,
+  CASE WHEN i = 1 THEN '' ELSE concat_ws(',', CASE WHEN v = 0 THEN 'incomplete_transaction_coding' END, CASE WHEN c = 'S' OR (c = 'P' AND v = 0) THEN 'code_direction_conflict' END, CASE WHEN v = 1 THEN 'invalid_number:shares' END) END AS warnings,
+  '' AS footnote_ids FROM (SELECT *, unnest([1, 2]) AS i FROM o)
+UNION ALL SELECT k, 'II', 1, 'transaction', 'exercise_or_conversion', 'Option', NULL, NULL, NULL, 5, NULL, day, CASE WHEN v <> 5 THEN day END, 'Common Stock', NULL, owners, CASE WHEN v = 5 THEN 'invalid_date:expiration_date' ELSE '' END, 'F1' FROM o""")
 def parse_ownership(spark, sf):
     docs = px.spread(px.table(spark, sf, "orders")).select(F.col("o_orderkey").alias("filing"), ownership_xml().alias("xml"))
     rows = fil.parse_ownership(docs, "xml", "filing")
-    return px.present(rows.select("filing", "table_no", "source_row_index", "row_kind", "action_category", "security_title", "transaction_date", "shares", "price", "owner_ids", "warnings", "footnote_ids"))
+    return px.present(rows.select("filing", "table_no", "source_row_index", "row_kind", "action_category", "security_title", "transaction_date", "deemed_execution_date", "transaction_form_type", "shares", "price",
+                                  "exercise_date", "expiration_date", "underlying_title", "nature_of_ownership", "owner_ids", "warnings", "footnote_ids"))
+
+
+@query("ownership_warnings", """
+SELECT o_orderkey AS filing, CASE o_orderkey % 10 WHEN 2 THEN 'unrecognized_table_child:I:2' WHEN 3 THEN 'missing_or_invalid_issuer_cik' ELSE 'duplicate_or_missing_footnote_id' END AS warning FROM orders WHERE o_orderkey % 10 IN (2, 3, 4)""")
+def ownership_warnings(spark, sf):
+    docs = px.spread(px.table(spark, sf, "orders")).select(F.col("o_orderkey").alias("filing"), ownership_xml().alias("xml"))
+    return px.present(fil.ownership_warnings(docs, "xml", "filing"))
 
 
 @query("read_filing_index", """

@@ -17,10 +17,10 @@ from ledgertide.streaming.tables import BatchLog, Snapshot
 START = "1997-01-01 00:00:00"
 
 
-def landed_folder(spark, rows, files=4):
-    """Land rows as files of a poller, in event order."""
+def landed_folder(spark, rows):
+    """Land rows as files of a poller, in event order, one file a partition."""
     path = f"{shared_folder(spark)}/landed-{uuid.uuid4().hex}"
-    rows.repartitionByRange(files, *[c for c in ("accepted_at", "fetched_at") if c in rows.columns]).write.json(path)
+    rows.repartitionByRange(*[c for c in ("accepted_at", "fetched_at") if c in rows.columns]).write.json(path)
     return path
 
 

@@ -21,8 +21,8 @@ def read_disclosure_index(rows: DataFrame, year: int) -> tuple[DataFrame, DataFr
     return parsed.where(valid).dropDuplicates(["external_id"]), parsed.where(~valid)
 
 
-def read_disclosure_links(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """Periodic transaction reports of the two top executives among the links of a page."""
+def read_disclosure_links(pages: DataFrame, key: str, html: str, since: str | None = None) -> DataFrame:
+    """Periodic transaction reports of the two top executives among the links of a page, from the day ``since`` on if one is given."""
     links = html_links(pages, key, html)
     file = F.url_decode(F.regexp_replace(F.substring_index(F.substring_index("href", "?", 1), "/", -1), "[+]", "%2B"))
     context = F.concat_ws(" ", "label", file)
@@ -36,7 +36,8 @@ def read_disclosure_links(pages: DataFrame, key: str, html: str) -> DataFrame:
         "page_key", F.sha2("href", 256).alias("external_id"), F.trim(F.regexp_replace(F.replace(ordered, F.lit("."), F.lit("")), r"\s+", " ")).alias("name"),
         position.alias("position"), F.get(F.array_compact(dates), 0).alias("document_date"), F.when(context.rlike("(?i)amend"), "unresolved").otherwise("original").alias("amendment_status"),
         F.regexp_extract(context, r"\((\d+)\)", 1).try_cast("int").alias("document_part"), F.col("href").alias("url"))
-    return rows.where("position IS NOT NULL AND name <> '' AND document_date >= date'2025-01-20'")
+    found = rows.where("position IS NOT NULL AND name <> '' AND document_date IS NOT NULL")
+    return found.where(F.col("document_date") >= F.lit(since).cast("date")) if since else found
 
 
 # Header words of a report table -> field, first match wins.

@@ -144,11 +144,11 @@ def read_company_tickers(payloads: DataFrame, document: str = "value") -> DataFr
 
 
 def read_entity_search(payloads: DataFrame, limit: int = 10, document: str = "value") -> DataFrame:
-    """The first ``limit`` hits of each search answer, best first."""
+    """The first ``limit`` hits of each search answer, best first, with all of their tickers."""
     schema = "hits struct<hits: array<struct<_id: string, _source: struct<entity: string, tickers: string>>>>"
     hits = payloads.select(F.posexplode(F.slice(F.from_json(F.col(document), schema)["hits"]["hits"], 1, limit)).alias("pos", "h"))
     return hits.select((F.col("pos") + 1).alias("position"), T.cik(F.col("h._id")).alias("cik"), F.trim("h._source.entity").alias("name"),
-                       F.slice(T.tokens(F.col("h._source.tickers")), 1, 5).alias("tickers"))
+                       T.tokens(F.col("h._source.tickers")).alias("tickers"))
 
 
 # --- documents --------------------------------------------------------------------
@@ -174,7 +174,7 @@ def read_submission_text(rows: DataFrame, document: str = "value") -> DataFrame:
 
 
 _V = "STRUCT<value: STRING>"
-OWNERSHIP_ROW = (f"securityTitle {_V}, transactionDate {_V}, transactionCoding STRUCT<transactionFormType: STRING, transactionCode: STRING>, "
+OWNERSHIP_ROW = (f"securityTitle {_V}, transactionDate {_V}, deemedExecutionDate {_V}, transactionCoding STRUCT<transactionFormType: STRING, transactionCode: STRING>, "
                  f"transactionAmounts STRUCT<transactionShares: {_V}, transactionPricePerShare: {_V}, transactionAcquiredDisposedCode: {_V}>, "
                  f"postTransactionAmounts STRUCT<sharesOwnedFollowingTransaction: {_V}>, ownershipNature STRUCT<directOrIndirectOwnership: {_V}, natureOfOwnership: {_V}>, "
                  f"conversionOrExercisePrice {_V}, exerciseDate {_V}, expirationDate {_V}, underlyingSecurity STRUCT<underlyingSecurityTitle: {_V}, underlyingSecurityShares: {_V}>")
@@ -182,54 +182,101 @@ OWNERSHIP_FILING = ("documentType STRING, periodOfReport STRING, aff10b5One STRI
                     "reportingOwner ARRAY<STRUCT<reportingOwnerId: STRUCT<rptOwnerCik: STRING, rptOwnerName: STRING>, reportingOwnerRelationship: STRUCT<isDirector: STRING, "
                     "isOfficer: STRING, isTenPercentOwner: STRING, isOther: STRING, officerTitle: STRING, otherText: STRING>>>, "
                     "footnotes STRUCT<footnote: ARRAY<STRUCT<_id: STRING, _VALUE: STRING>>>")
-_CHILD = r"(?s)(<(?:nonDerivative|derivative)(?:Transaction|Holding)>.*?</(?:nonDerivative|derivative)(?:Transaction|Holding)>)"
+# The table elements of an ownership document, with the prefix of their rows.
+OWNERSHIP_TABLES = (("I", "nonDerivative"), ("II", "derivative"))
+# Children of a table: an opening tag up to its own end tag, or an empty tag. Table rows never hold an element of their own name.
+_CHILD = r"(?s)(<([A-Za-z][\w.-]*)(?:\s[^>]*)?(?:/>|(?<!/)>.*?</\2\s*>))"
 
 
 def read_ownership_filings(rows: DataFrame, xml: str = "xml", *keep: str) -> DataFrame:
-    """Issuer, owners and footnotes of ownership documents; unsupported document types drop out."""
+    """Issuer, owners, footnotes and warnings of ownership documents; unsupported document types drop out."""
     options = {"attributePrefix": "_", "valueTag": "_VALUE"}
     f = rows.select(*keep, F.col(xml).alias("xml"), F.from_xml(F.col(xml), OWNERSHIP_FILING, options).alias("f"))
     form = form_of(F.replace(F.col("f.documentType"), F.lit(" "), F.lit("")))
-    return f.select(*keep, "xml", form.alias("form"), F.try_to_date("f.periodOfReport", "yyyy-MM-dd").alias("period"), F.col("f.aff10b5One").alias("raw_plan_flag"),
+    owners = F.coalesce("f.reportingOwner", F.array().cast("array<struct<reportingOwnerId:struct<rptOwnerCik:string,rptOwnerName:string>,reportingOwnerRelationship:struct<isDirector:string,isOfficer:string,isTenPercentOwner:string,isOther:string,officerTitle:string,otherText:string>>>"))
+    notes = F.coalesce("f.footnotes.footnote", F.array().cast("array<struct<_id:string,_VALUE:string>>"))
+    ids = F.filter(F.transform(notes, lambda n: n["_id"]), lambda i: i.isNotNull() & (i != ""))
+    period = F.try_to_date("f.periodOfReport", "yyyy-MM-dd")
+    warnings = F.concat(
+        F.when(F.size(F.array_distinct(ids)) != F.size(notes), F.array(F.lit("duplicate_or_missing_footnote_id"))).otherwise(F.array().cast("array<string>")),
+        F.transform(F.filter(owners, lambda o: T.cik(o["reportingOwnerId"]["rptOwnerCik"]).isNull()), lambda o: F.lit("missing_or_invalid_owner_cik")),
+        F.array_compact(F.array(
+            F.when(F.size(owners) == 0, "no_reporting_owners"), F.when(T.cik(F.col("f.issuer.issuerCik")).isNull(), "missing_or_invalid_issuer_cik"),
+            F.when(F.col("f.periodOfReport").isNotNull() & period.isNull(), "invalid_date:period_of_report"))))
+    return f.select(*keep, "xml", form.alias("form"), period.alias("period"), F.col("f.aff10b5One").alias("raw_plan_flag"),
                     T.cik(F.col("f.issuer.issuerCik")).alias("issuer_id"), F.col("f.issuer.issuerName").alias("issuer_name"), F.col("f.issuer.issuerTradingSymbol").alias("issuer_ticker"),
-                    F.coalesce("f.reportingOwner", F.array().cast("array<struct<reportingOwnerId:struct<rptOwnerCik:string,rptOwnerName:string>,reportingOwnerRelationship:struct<isDirector:string,isOfficer:string,isTenPercentOwner:string,isOther:string,officerTitle:string,otherText:string>>>")).alias("owners"),
-                    F.col("f.footnotes.footnote").alias("footnotes")).where("form IS NOT NULL")
+                    owners.alias("owners"), notes.alias("footnotes"), warnings.alias("filing_warnings")).where("form IS NOT NULL")
+
+
+def _table_children(tag: str):
+    body = F.regexp_extract("xml", f"(?s)<{tag}Table(?:\\s[^>]*)?(?<!/)>(.*)</{tag}Table\\s*>", 1)
+    return F.regexp_extract_all(body, F.lit(_CHILD), F.lit(1))
+
+
+def ownership_children(filings: DataFrame) -> DataFrame:
+    """Every element of the two tables, numbered in its table from 1; ``known`` tells transactions and holdings of the right table."""
+    tables = F.array(*[F.struct(F.lit(no).alias("table_no"), F.lit(tag).alias("prefix"), _table_children(tag).alias("children")) for no, tag in OWNERSHIP_TABLES])
+    children = filings.withColumn("t", F.explode(tables)).select("*", F.posexplode("t.children").alias("pos", "child"))
+    name = F.regexp_extract("child", r"^<([\w.-]+)", 1)
+    prefix = F.col("t.prefix")
+    return children.select("*", F.col("t.table_no").alias("table_no"), (F.col("pos") + 1).alias("source_row_index"),
+                           F.when(name == F.concat(prefix, F.lit("Holding")), "holding").when(name == F.concat(prefix, F.lit("Transaction")), "transaction").alias("row_kind"))
+
+
+def ownership_warnings(rows: DataFrame, xml: str = "xml", *keep: str) -> DataFrame:
+    """Warnings about whole documents, one row each: issuer, owners, footnote ids, and table elements that are no row."""
+    filings = read_ownership_filings(rows, xml, *keep)
+    odd = ownership_children(filings.select(*keep, "xml")).where("row_kind IS NULL").select(
+        *keep, F.concat_ws(":", F.lit("unrecognized_table_child"), "table_no", F.col("source_row_index").cast("string")).alias("warning"))
+    return filings.select(*keep, F.explode("filing_warnings").alias("warning")).unionByName(odd)
 
 
 def parse_ownership(rows: DataFrame, xml: str = "xml", *keep: str) -> DataFrame:
-    """One row per table child in document order, never replicated per owner.
+    """One row per transaction or holding in document order, never replicated per owner.
 
-    The children are cut out in order and parsed one by one, so source_row_index counts transactions and
-    holdings of a table together.
+    The tables' elements are cut out in order and parsed one by one; source_row_index numbers all elements of a table, so an
+    unknown one takes a number. A text that is no date or no number of zero or more gives NULL and a warning.
     """
     filings = read_ownership_filings(rows, xml, *keep)
-    tables = F.array(*[F.struct(F.lit(no).alias("table_no"), F.regexp_extract_all(F.regexp_extract("xml", f"(?s)<{tag}>(.*)</{tag}>", 1), F.lit(_CHILD), 1).alias("children"))
-                       for no, tag in (("I", "nonDerivativeTable"), ("II", "derivativeTable"))])
     owner_ids = F.array_sort(F.array_distinct(F.array_compact(F.transform("owners", lambda o: T.cik(o["reportingOwnerId"]["rptOwnerCik"])))))
-    children = filings.withColumn("owner_ids", owner_ids).withColumn("t", F.explode(tables)).select(
-        "*", F.posexplode("t.children").alias("pos", "child"))
-    parsed = children.withColumn("r", F.from_xml("child", OWNERSHIP_ROW)).withColumn(
-        "row_kind", F.when(F.col("child").rlike(r"^<\w+Holding>"), "holding").otherwise("transaction"))
-    number = lambda c: F.when(F.col(c).try_cast("decimal(30,6)") >= 0, F.col(c).try_cast("decimal(30,6)"))
+    parsed = ownership_children(filings.withColumn("owner_ids", owner_ids)).where("row_kind IS NOT NULL").withColumn("r", F.from_xml("child", OWNERSHIP_ROW))
+    warnings = []
+
+    def number(path: str, name: str):
+        text = F.trim(F.col(path))
+        good = text.rlike(r"^[+]?(?:[0-9]+(?:[.][0-9]*)?|[.][0-9]+)$")
+        warnings.append(F.when((text != "") & ~good, f"invalid_number:{name}"))
+        return F.when(good, text.try_cast("decimal(30,6)")).alias(name)
+
+    def day(path: str, name: str):
+        text = F.trim(F.col(path))
+        value = F.try_to_date(text, "yyyy-MM-dd")
+        warnings.append(F.when((text != "") & value.isNull(), f"invalid_date:{name}"))
+        return value.alias(name)
+
     code, way = F.col("r.transactionCoding.transactionCode"), F.col("r.transactionAmounts.transactionAcquiredDisposedCode.value")
-    refs = F.array_distinct(F.regexp_extract_all("child", F.lit(r'<footnoteId id="([^"]+)"'), 1))
-    known = F.transform(F.coalesce("footnotes", F.array().cast("array<struct<_id:string,_VALUE:string>>")), lambda n: n["_id"])
+    refs = F.array_distinct(F.concat(F.regexp_extract_all("child", F.lit(r"<footnoteId\s+id\s*=\s*[\"']([^\"']+)[\"']"), F.lit(1)), F.array().cast("array<string>")))
+    known = F.transform("footnotes", lambda n: n["_id"])
     transaction, form3 = F.col("row_kind") == "transaction", F.col("form").isin("3", "3/A")
-    warnings = F.concat(
+    fields = [
+        F.col("r.securityTitle.value").alias("security_title"), day("r.transactionDate.value", "transaction_date"), day("r.deemedExecutionDate.value", "deemed_execution_date"),
+        code.alias("code"), way.alias("direction"), F.col("r.transactionCoding.transactionFormType").alias("transaction_form_type"),
+        number("r.transactionAmounts.transactionShares.value", "shares"), number("r.transactionAmounts.transactionPricePerShare.value", "price"),
+        number("r.conversionOrExercisePrice.value", "exercise_price"), day("r.exerciseDate.value", "exercise_date"), day("r.expirationDate.value", "expiration_date"),
+        F.col("r.underlyingSecurity.underlyingSecurityTitle.value").alias("underlying_title"), number("r.underlyingSecurity.underlyingSecurityShares.value", "underlying_shares"),
+        F.col("r.ownershipNature.directOrIndirectOwnership.value").alias("ownership_type"), F.col("r.ownershipNature.natureOfOwnership.value").alias("nature_of_ownership"),
+        number("r.postTransactionAmounts.sharesOwnedFollowingTransaction.value", "shares_after")]
+    found = F.concat(
         F.transform(F.array_except(refs, known), lambda x: F.concat(F.lit("missing_footnote:"), x)),
         F.array_compact(F.array(
             F.when(transaction & form3, "form3_transaction_requires_review"),
             F.when(transaction & (code.isNull() | ~F.coalesce(way.isin("A", "D"), F.lit(False))), "incomplete_transaction_coding"),
-            F.when(((code == "P") & (way != "A")) | ((code == "S") & (way != "D")), "code_direction_conflict"))))
+            F.when((code.eqNullSafe("P") & ~way.eqNullSafe("A")) | (code.eqNullSafe("S") & ~way.eqNullSafe("D")), "code_direction_conflict"), *warnings)))
     return parsed.select(
-        *keep, "form", "issuer_id", "issuer_ticker", "raw_plan_flag", "owner_ids", F.col("t.table_no").alias("table_no"), (F.col("pos") + 1).alias("source_row_index"), "row_kind",
-        (transaction & ~form3).alias("is_trade"), action_category(F.col("row_kind"), F.col("form"), code, way).alias("action_category"),
-        F.col("r.securityTitle.value").alias("security_title"), F.try_to_date("r.transactionDate.value", "yyyy-MM-dd").alias("transaction_date"), code.alias("code"), way.alias("direction"),
-        number("r.transactionAmounts.transactionShares.value").alias("shares"), number("r.transactionAmounts.transactionPricePerShare.value").alias("price"),
-        number("r.postTransactionAmounts.sharesOwnedFollowingTransaction.value").alias("shares_after"), F.col("r.ownershipNature.directOrIndirectOwnership.value").alias("ownership_type"),
-        number("r.conversionOrExercisePrice.value").alias("exercise_price"), number("r.underlyingSecurity.underlyingSecurityShares.value").alias("underlying_shares"),
-        refs.alias("footnote_ids"), F.transform(F.filter(F.coalesce("footnotes", F.array().cast("array<struct<_id:string,_VALUE:string>>")), lambda n: F.array_contains(refs, n["_id"])), lambda n: n["_VALUE"]).alias("notes"),
-        warnings.alias("warnings"))
+        *keep, "form", "issuer_id", "issuer_ticker", "raw_plan_flag", "owner_ids", "table_no", "source_row_index", "row_kind",
+        (transaction & ~form3).alias("is_trade"), action_category(F.col("row_kind"), F.col("form"), code, way).alias("action_category"), *fields,
+        refs.alias("footnote_ids"), F.transform(F.filter("footnotes", lambda n: F.array_contains(refs, n["_id"])), lambda n: n["_VALUE"]).alias("notes"),
+        found.alias("warnings"))
 
 
 # --- html -------------------------------------------------------------------------
