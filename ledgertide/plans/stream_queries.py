@@ -91,11 +91,12 @@ def stream_rule_executive(spark, sf):
 , b AS (SELECT * FROM pr WHERE code = 'P'), so AS (SELECT issuer_id, td, unnest(owner_ids) AS o FROM b), en AS (SELECT DISTINCT issuer_id, td AS e FROM b),
 q AS (SELECT en.issuer_id, e, count(DISTINCT o) AS n FROM en JOIN so ON so.issuer_id = en.issuer_id AND so.td BETWEEN e - 9 AND e GROUP BY 1, 2), wi AS (SELECT issuer_id, max(e) AS e FROM q WHERE n >= 3 GROUP BY 1),
 cl AS (SELECT b.*, accepted_at >= TIMESTAMP '2000-01-01' AND form <> '4/A' AS fresh FROM b JOIN wi USING (issuer_id) WHERE td BETWEEN e - 9 AND e)
-SELECT 'rule_cluster:' || issuer_id || ':' || strftime(min(td), '%Y-%m-%d') AS dedupe_key, count(*) AS rows, {money('sum(price * shares)')} AS amount, strftime(max(accepted_at) FILTER (WHERE fresh), '%Y-%m-%d %H:%M:%S') AS at FROM cl GROUP BY issuer_id HAVING bool_or(fresh)""")
+SELECT 'rule_cluster:' || issuer_id || ':' || strftime(min(td), '%Y-%m-%d') AS dedupe_key, count(*) AS rows, (SELECT count(DISTINCT o) FROM (SELECT unnest(owner_ids) AS o FROM cl c2 WHERE c2.issuer_id = cl.issuer_id)) AS people, {money('sum(counted)')} AS amount,
+  strftime(max(accepted_at) FILTER (WHERE fresh), '%Y-%m-%d %H:%M:%S') AS at FROM cl GROUP BY issuer_id HAVING bool_or(fresh)""")
 def stream_rule_cluster(spark, sf):
     rows = checkpoint(priced(spark, sf).where("code = 'P'"))
     alerts = jobs.cluster_alerts(rows, F.col("accepted_at") >= F.lit("2000-01-01 00:00:00").cast("timestamp"), 10, 3)
-    return shown(alerts.select("dedupe_key", "rows", "amount", "at"), "amount")
+    return shown(alerts.select("dedupe_key", "rows", "people", "amount", "at"), "amount")
 
 
 @query("digest_minutes", """

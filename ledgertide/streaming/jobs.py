@@ -155,15 +155,20 @@ def executive_alerts(priced: DataFrame, fresh: Column, minimum: float) -> DataFr
 
 
 def cluster_alerts(rows: DataFrame, fresh: Column, days: int, people: int) -> DataFrame:
-    """Issuers whose newest window with enough buyers holds a fresh, unamended purchase."""
+    """Issuers whose newest window with enough buyers holds a fresh, unamended purchase.
+
+    ``rows`` carry ``counted``: the amount is that of the counted trades (mismatched prices left out, estimates in), and
+    ``people`` are the distinct owners of the window.
+    """
     buys = rows.where(F.col("code") == "P")
     clustered = ovw.cluster_trades(buys, days, people)
     is_fresh = fresh & ~F.col("form").endswith("/A")
     facts = clustered.groupBy("issuer_id").agg(
-        F.count("*").alias("rows"), F.bool_or(is_fresh).alias("_fresh"), F.sum("amount").cast("decimal(38,2)").alias("amount"), F.min("transaction_date").alias("traded_from"),
+        F.count("*").alias("rows"), F.bool_or(is_fresh).alias("_fresh"), F.sum("counted").cast("decimal(38,2)").alias("amount"), F.min("transaction_date").alias("traded_from"),
         F.max("transaction_date").alias("traded_to"), F.max(F.when(is_fresh, F.col("accepted_at"))).alias("at")).where("_fresh")
-    return facts.select(F.concat_ws(":", F.lit("rule_cluster"), "issuer_id", F.col("traded_from").cast("string")).alias("dedupe_key"), F.lit("rule_cluster").alias("kind"),
-                        F.lit(None).cast("string").alias("person_id"), "issuer_id", "rows", "amount", "traded_from", "traded_to", "at")
+    owners = clustered.select("issuer_id", F.explode("owner_ids").alias("owner_id")).distinct().groupBy("issuer_id").agg(F.count("*").alias("people"))
+    return facts.join(owners, "issuer_id").select(F.concat_ws(":", F.lit("rule_cluster"), "issuer_id", F.col("traded_from").cast("string")).alias("dedupe_key"), F.lit("rule_cluster").alias("kind"),
+                        F.lit(None).cast("string").alias("person_id"), "issuer_id", "rows", "people", "amount", "traded_from", "traded_to", "at")
 
 
 def suppress_repeats(alerts: DataFrame, sent: DataFrame, days: int) -> DataFrame:
@@ -181,13 +186,22 @@ def alert_writer(log: BatchLog, followed: DataFrame, start: str) -> Callable[[Da
     return each
 
 
+TRADE_MONTH = ("month", "date_format(transaction_date, 'yyyy-MM')")
+
+
 def cluster_writer(log: BatchLog, history: BatchLog, days: int, people: int) -> Callable[[DataFrame, int], None]:
-    """Cluster rule over the last 90 trade days: late filings meet the trades kept in ``history``."""
+    """Cluster rule over the last 90 trade days: late filings meet the trades kept in ``history``.
+
+    A history log with a ``month`` of the trade date (``BatchLog(..., by=TRADE_MONTH)``) reads the last months only.
+    """
     def each(batch: DataFrame, batch_id: int) -> None:
         history.write(batch_id, batch)
         known = history.all().where(F.col("batch") <= batch_id)
         newest = batch.agg(F.max(F.to_date("accepted_at"))).scalar()
-        window = known.where(F.col("transaction_date") >= F.date_sub(newest, RULE_TRADE_DAYS))
+        first = F.date_sub(newest, RULE_TRADE_DAYS)
+        window = known.where(F.col("transaction_date") >= first)
+        if "month" in known.columns:
+            window = window.where(F.col("month") >= F.date_format(first, "yyyy-MM"))
         alerts = suppress_repeats(cluster_alerts(window, F.col("batch") == batch_id, days, people), log.before(batch_id), days)
         log.write(batch_id, insert_once(log.before(batch_id), alerts, "dedupe_key", ["at"]))
     return each

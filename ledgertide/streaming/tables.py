@@ -10,22 +10,31 @@ class BatchLog:
     """An append-only table with one folder per micro-batch.
 
     A retried batch overwrites its own folder, so each batch counts exactly once even when the driver
-    or an executor was lost after the write.
+    or an executor was lost after the write. ``by`` (name, SQL expression) partitions each batch further, so that
+    readers who filter on the name skip the rest.
     """
 
-    def __init__(self, spark: SparkSession, path: str, schema: str) -> None:
-        self.spark, self.path, self.schema = spark, path, schema
-        spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{path}/batch=-1")
+    def __init__(self, spark: SparkSession, path: str, schema: str, by: tuple[str, str] | None = None) -> None:
+        self.spark, self.path, self.schema, self.by = spark, path, schema, by
+        start = spark.createDataFrame([], schema)
+        if by:
+            start = start.withColumn(by[0], F.expr(by[1]))
+        (start.write.mode("ignore").partitionBy(by[0]) if by else start.write.mode("ignore")).parquet(f"{path}/batch=-1")
 
     def all(self) -> DataFrame:
-        return self.spark.read.schema(f"{self.schema}, batch bigint").option("basePath", self.path).parquet(self.path)
+        extra = f", {self.by[0]} string" if self.by else ""
+        return self.spark.read.schema(f"{self.schema}, batch bigint{extra}").option("basePath", self.path).parquet(self.path)
 
     def before(self, batch_id: int) -> DataFrame:
         return self.all().where(F.col("batch") < batch_id)
 
     def write(self, batch_id: int, rows: DataFrame) -> None:
         columns = self.spark.createDataFrame([], self.schema).columns
-        rows.select(*columns).write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
+        kept = rows.select(*columns)
+        if self.by:
+            kept = kept.withColumn(self.by[0], F.expr(self.by[1]))
+        writer = kept.write.mode("overwrite").option("partitionOverwriteMode", "static")
+        (writer.partitionBy(self.by[0]) if self.by else writer).parquet(f"{self.path}/batch={batch_id}")
 
 
 class Snapshot(BatchLog):

@@ -10,7 +10,7 @@ TRADE = "id string, accession string, issuer_id string, owner_ids array<string>,
 
 def trades(spark, rows):
     return spark.createDataFrame(rows, TRADE).withColumns({
-        "status": F.lit("CURRENT"), "table_no": F.lit("I"), "visible": F.lit(True), "amount": F.lit(10).cast("decimal(38,12)"), "is_plan": F.lit(False), "form": F.lit("4")})
+        "status": F.lit("CURRENT"), "table_no": F.lit("I"), "visible": F.lit(True), "amount": F.lit(10).cast("decimal(38,12)"), "counted": F.lit(7).cast("decimal(38,12)"), "is_plan": F.lit(False), "form": F.lit("4")})
 
 
 def test_alerts_fire_once_even_when_a_batch_is_retried(spark, tmp_path):
@@ -27,13 +27,15 @@ def test_alerts_fire_once_even_when_a_batch_is_retried(spark, tmp_path):
 def test_cluster_rule_meets_late_filings_and_stays_quiet_for_the_window(spark, tmp_path):
     log = BatchLog(spark, str(tmp_path / "alerts"), jobs.ALERT_SCHEMA)
     schema = trades(spark, []).schema
-    history = BatchLog(spark, str(tmp_path / "history"), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields))
+    history = BatchLog(spark, str(tmp_path / "history"), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields), jobs.TRADE_MONTH)
     each = jobs.cluster_writer(log, history, 7, 2)
     each(trades(spark, [("a", "F1", "i", ["p"], date(2024, 1, 2), datetime(2024, 1, 3), "P")]), 0)
     assert log.all().count() == 0
     each(trades(spark, [("b", "F2", "i", ["q"], date(2024, 1, 4), datetime(2024, 1, 5), "P")]), 1)
     each(trades(spark, [("c", "F3", "i", ["r"], date(2024, 1, 5), datetime(2024, 1, 6), "P")]), 2)
-    assert [(r["issuer_id"], r["rows"]) for r in log.all().collect()] == [("i", 2)]
+    assert [(r["issuer_id"], r["rows"], float(r["amount"])) for r in log.all().collect()] == [("i", 2, 14.0)]
+    each(trades(spark, [("d", "F4", "j", ["r"], date(2021, 1, 5), datetime(2024, 1, 7), "P")]), 3)
+    assert {r["month"] for r in history.all().collect()} == {"2021-01", "2024-01"}
 
 
 def test_an_older_quote_never_replaces_a_newer_one(spark, tmp_path):
