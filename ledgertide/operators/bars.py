@@ -237,8 +237,10 @@ def first_trading_day(bars: DataFrame) -> DataFrame:
 def bar_inventory(series: DataFrame, bars: DataFrame, sessions: DataFrame, spine: DataFrame, completed: str) -> DataFrame:
     """Bars, first and last day and gaps between a series' first bar and the last completed session."""
     held = bars.where("status = 'VALID'").groupBy("symbol").agg(
-        F.count("*").alias("bars"), F.min("session_date").alias("start_date"), F.max("session_date").alias("last_date"))
-    ranges = held.select("symbol", "start_date", F.lit(completed).cast("date").alias("end_date"))
+        F.count("*").alias("bars"), F.min("session_date").alias("start_date"), F.max("session_date").alias("last_date"),
+        F.max(F.lit(completed).cast("date")).alias("end_date"))
+    # a plain literal would turn the join with the spine into a nested loop
+    ranges, held = held.select("symbol", "start_date", "end_date"), held.drop("end_date")
     covered = coverage(ranges, bars, sessions, spine, completed).select("symbol", F.col("gaps").alias("gap_days"))
     return (series.join(held, "symbol", "left").join(covered, "symbol", "left").fillna(0, ["bars", "gap_days"])
             .withColumn("ready", F.col("active") & (F.col("bars") > 0) & (F.col("gap_days") == 0)))

@@ -136,7 +136,8 @@ def chart_start(end: str, chart_range: str, interval: str) -> Column:
 
 
 def sector_candles(members: DataFrame, bars: DataFrame, completed: str, chart_range: str, interval: str) -> DataFrame:
-    shown = bars.join(F.broadcast(members.select("symbol")), "symbol", "left_semi").where(
+    # an inner join: a semi join would be pushed below a union of bars, onto a branch with one symbol, and become a nested loop there
+    shown = bars.join(F.broadcast(members.select("symbol").distinct()), "symbol").where(
         (F.col("session_date") >= chart_start(completed, chart_range, interval)) & (F.col("session_date") <= F.lit(completed).cast("date")))
     return resample_ohlc(shown, interval).join(F.broadcast(members), "symbol")
 

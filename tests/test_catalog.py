@@ -28,7 +28,7 @@ def test_query_equals_its_sql(spark, name):
 
 
 @pytest.mark.skipif(not Path(SF).exists(), reason="shared tables are not here")
-@pytest.mark.parametrize("name", ("entity_history", "people_timeline", "cluster_trades", "join_session_offset", "search_entities", "feed_groups"))
+@pytest.mark.parametrize("name", ("entity_history", "people_timeline", "cluster_trades", "join_session_offset", "search_entities", "feed_groups", "bar_inventory", "sector_candles"))
 def test_plans_hold_no_cross_product(spark, name):
     plan = entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
