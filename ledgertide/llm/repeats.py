@@ -9,11 +9,12 @@ Only the top of that order matters: two places are equal down to ``least`` bytes
 suffixes, the dictionary gives every phrase string (with all it needs to the right: the depth-``least`` prefix of each
 of its suffixes) an equality class, by a 128-bit fingerprint, and the parse lists each occurrence once:
 
-1. Phrases whose right context (the ``least - SPREAD + 1`` bytes from the trigger, a part of every suffix of theirs) occurs once
+1. Phrases whose context (the ``least - spread + 1`` bytes from the trigger, a part of every suffix of theirs) occurs once
    cannot repeat and leave.
 2. A phrase string that occurs again repeats as a whole: all its places repeat. This settles all but the edges of repeats.
-3. The other phrases with a shared context are the edges. The suffixes of each distinct dictionary entry there, cut at ``least``
-   bytes, are ordered by fingerprint in Spark; those found twice repeat.
+3. The other phrases with a shared context are the edges. Their distinct strings are fetched once, as dictionary entries; each is cut
+   into runs of ``RUN`` places, which are settled in the same two ways.
+4. What is left, the runs in which a match begins or ends, gives its suffixes one by one; those found twice repeat.
 
 Everything is an aggregate with counts combined before the shuffle or a join that Spark may split; a string that occurs in
 a third of all documents is one dictionary entry.
@@ -36,7 +37,9 @@ from ledgertide.llm import common
 LEAST = 400
 GRAM = 16
 #: Places among which a trigger is the least; the more, the fewer phrases and the longer the edges.
-SPREAD = 256
+SPREAD = 320
+#: Places of a dictionary entry that are settled together.
+RUN = 16
 #: Bits of a trigger key that hold the place, for texts up to 256 MB; the rest is hash.
 PLACE_BITS = 28
 
@@ -53,10 +56,10 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def phrases(data: np.ndarray, sums: tuple[np.ndarray, np.ndarray], begin: int, end: int, least: int, spread: int) -> tuple[np.ndarray, ...]:
-    """First place, number of places, context hash and string hash of every phrase of data[begin:end] (places count from begin)."""
+    """First place, number of places, places before the trigger, context hash and string hash of every phrase of data[begin:end] (places count from begin)."""
     n = end - begin - least + 1
     if n <= 0:
-        return tuple(np.zeros(0, np.int64) for _ in range(4))
+        return tuple(np.zeros(0, np.int64) for _ in range(5))
     grams = np.arange(begin, begin + n + spread - 1)
     key = common.span_hash(sums[1], grams, grams + GRAM, 1)
     low = np.uint64(2**PLACE_BITS - 1)
@@ -69,8 +72,9 @@ def phrases(data: np.ndarray, sums: tuple[np.ndarray, np.ndarray], begin: int, e
     context = common.span_hash(sums[0], at, at + least - spread + 1, 0)
     whole = common.span_hash(sums[1], first + begin, first + begin + count - 1 + least, 1)
     # how the places lie around the trigger is a part of the phrase
-    whole = common.mix(whole + (at - begin - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return first, count, context.view(np.int64), whole.view(np.int64)
+    lead = at - begin - first
+    whole = common.mix(whole + lead.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return first, count, lead, context.view(np.int64), whole.view(np.int64)
 
 
 def row_key(id_col: str):
@@ -79,40 +83,94 @@ def row_key(id_col: str):
 
 
 def parsed(docs: DataFrame, least: int, spread: int) -> DataFrame:
-    """(key, text) -> one row per phrase: key, first, count, context, whole."""
+    """(key, text) -> one row per phrase: key, first, count, lead, context, whole."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, "text"):
             data, offsets = common.buffers(batch.column(1))
             sums = common.prefix_hash(data, 0), common.prefix_hash(data, 1)
             found = [phrases(data, sums, a, b, least, spread) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
             sizes = [len(f[0]) for f in found]
-            columns = [pa.array(np.concatenate([f[i] for f in found]).astype(t)) for i, t in enumerate((np.int32, np.int32, np.int64, np.int64))]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(np.arange(len(sizes)), sizes))), *columns], ["key", "first", "count", "context", "whole"])
+            columns = [pa.array(np.concatenate([f[i] for f in found]).astype(t)) for i, t in enumerate((np.int32, np.int32, np.int32, np.int64, np.int64))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(np.arange(len(sizes)), sizes))), *columns], ["key", "first", "count", "lead", "context", "whole"])
 
-    return docs.mapInArrow(run, f"key {docs.schema['key'].dataType.simpleString()}, first int, count int, context long, whole long")
+    return docs.mapInArrow(run, f"key {docs.schema['key'].dataType.simpleString()}, first int, count int, lead int, context long, whole long")
 
 
-def edge_places(texts: DataFrame, least: int) -> DataFrame:
-    """(key, text, parts: first, count, times) -> the suffixes of dictionary entries at edges: key, place, h1, h2, times."""
+ENTRY = "context long, whole long, times int, first int, count int, lead int"
+
+
+def _flat(column: pa.Array, names: tuple[str, ...]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Row numbers and fields of a list-of-structs column."""
+    rows = np.repeat(np.arange(len(column)), np.diff(column.offsets.to_numpy()))
+    flat = column.flatten()
+    return rows, [flat.field(flat.type.get_field_index(n)).to_numpy(zero_copy_only=False).astype(np.int64) for n in names]
+
+
+def entry_strings(texts: DataFrame, least: int) -> DataFrame:
+    """(key, text, parts) -> the dictionary: one row per part with its string, the bytes of all its suffixes down to ``least``."""
+    names = tuple(x.split()[0] for x in ENTRY.split(", "))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, "text"):
             data, offsets = common.buffers(batch.column(1))
+            rows, fields = _flat(batch.column(2), names)
+            begin = offsets[rows] + fields[3]
+            end = begin + fields[4] - 1 + least
+            strings = [data[x:y].tobytes() for x, y in zip(begin.tolist(), end.tolist(), strict=True)]
+            columns = [pa.array(f.astype(np.int64 if i < 2 else np.int32)) for i, f in enumerate(fields)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), *columns, pa.array(strings, pa.binary())], ["key", *names, "data"])
+
+    return texts.mapInArrow(run, f"key {texts.schema['key'].dataType.simpleString()}, {ENTRY}, data binary")
+
+
+def runs(entries: DataFrame, least: int) -> DataFrame:
+    """Dictionary entries cut into runs of ``RUN`` places, on a grid that hangs on the trigger: key, entry, times, run, first, count, c2, w2.
+
+    ``c2`` is the part that all suffixes of a full run share, ``w2`` the run's whole string.
+    """
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.slices(batches, "data"):
+            data, offsets = common.buffers(batch.column(7))
             sums = common.prefix_hash(data, 0), common.prefix_hash(data, 1)
-            parts = batch.column(2)
-            rows = np.repeat(np.arange(batch.num_rows), np.diff(parts.offsets.to_numpy()))
-            flat = parts.flatten()
-            first, count, times = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3))
-            for some in np.array_split(np.arange(len(first)), max(1, int(count.sum()) // 500_000)):
-                c = count[some]
-                place = np.repeat(first[some], c) + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
-                row = np.repeat(rows[some], c)
-                at = place + offsets[row]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(row)), pa.array(place.astype(np.int32)), pa.array(common.span_hash(sums[0], at, at + least, 0).view(np.int64)),
-                     pa.array(common.span_hash(sums[1], at, at + least, 1).view(np.int64)), pa.array(np.repeat(times[some], c).astype(np.int32))],
-                    ["key", "place", "h1", "h2", "times"])
+            context, whole, times, first, count, lead = (batch.column(i).to_numpy().astype(np.int64) for i in range(1, 7))
+            # places by their distance before the trigger: lead … lead - count + 1, all of them 0 or more
+            high, low = lead // RUN, (lead - count + 1) // RUN
+            n = high - low + 1
+            row = np.repeat(np.arange(batch.num_rows), n)
+            number = high[row] - (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+            near, far = number * RUN, number * RUN + RUN - 1
+            start = np.maximum(lead[row] - far, 0)
+            stop = np.minimum(lead[row] - near, count[row] - 1)
+            base = offsets[row]
+            salt = common.mix(context[row].view(np.uint64) + number.astype(np.uint64))
+            # the grid's run may reach over the entry's places; what all its suffixes share lies inside in any case
+            c2 = common.mix(salt + common.span_hash(sums[0], base + lead[row] - near, base + lead[row] - far + least, 0))
+            w2 = common.mix(salt + common.span_hash(sums[1], base + start, base + stop + least, 1) + (stop - start).astype(np.uint64))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(row)), pa.array(context[row]), pa.array(whole[row]), pa.array(times[row].astype(np.int32)), pa.array(start.astype(np.int32)),
+                 pa.array((first[row] + start).astype(np.int32)), pa.array((stop - start + 1).astype(np.int32)), pa.array(c2.view(np.int64)), pa.array(w2.view(np.int64))],
+                ["key", "context", "whole", "times", "start", "first", "count", "c2", "w2"])
 
-    return texts.mapInArrow(run, f"key {texts.schema['key'].dataType.simpleString()}, place int, h1 long, h2 long, times int")
+    return entries.mapInArrow(cut, f"key {entries.schema['key'].dataType.simpleString()}, context long, whole long, times int, start int, first int, count int, c2 long, w2 long")
+
+
+def suffixes(entries: DataFrame, least: int) -> DataFrame:
+    """(key, first, data, parts) -> single places: key, place, h1, h2, times, for the parts' runs (start, count, times) of an entry."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.slices(batches, "data"):
+            data, offsets = common.buffers(batch.column(2))
+            sums = common.prefix_hash(data, 0), common.prefix_hash(data, 1)
+            rows, (start, count, times) = _flat(batch.column(3), ("start", "count", "times"))
+            each = np.repeat(np.arange(len(start)), count)
+            place = start[each] + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            row = rows[each]
+            at = offsets[row] + place
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(row)), pa.array((batch.column(1).to_numpy()[row] + place).astype(np.int32)), pa.array(common.span_hash(sums[0], at, at + least, 0).view(np.int64)),
+                 pa.array(common.span_hash(sums[1], at, at + least, 1).view(np.int64)), pa.array(times[each].astype(np.int32))],
+                ["key", "place", "h1", "h2", "times"])
+
+    return entries.select("key", "first", "data", "parts").mapInArrow(run, f"key {entries.schema['key'].dataType.simpleString()}, place int, h1 long, h2 long, times int")
 
 
 def merged(first: np.ndarray, count: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -142,18 +200,36 @@ def on_characters(text: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple
 def repeated_parts(docs: DataFrame, least: int = LEAST, spread: int = SPREAD) -> DataFrame:
     """(key, text) -> key and ``parts``, the runs of places (first, count) whose ``least`` bytes occur elsewhere too."""
     places = common.stored(parsed(docs, least, spread))
-    shared = places.groupBy("context").agg(F.count("*").alias("n"), F.min("whole").alias("low"), F.max("whole").alias("high")).where("n > 1")
-    # one join brings every phrase with a shared context together with what is known of the context
-    known = common.stored(places.join(shared.select("context", (F.col("low") == F.col("high")).alias("one")), "context"))
-    entries = common.stored(known.where("not one").groupBy("context", "whole").agg(F.count("*").alias("times"), F.min(F.struct("key", "first", "count")).alias("at")))
-    settled = known.where("one").select("key", "first", "count").union(
-        known.where("not one").join(entries.where("times > 1").select("context", "whole"), ["context", "whole"], "left_semi").select("key", "first", "count"))
-    edges = entries.select("at.*", F.least("times", F.lit(2)).alias("times")).groupBy("key").agg(F.collect_list(F.struct("first", "count", "times")).alias("parts"))
-    suffixes = common.stored(edge_places(docs.join(edges, "key").select("key", "text", "parts"), least))
-    again = suffixes.groupBy("h1", "h2").agg(F.sum("times").alias("n")).where("n > 1").select("h1", "h2")
-    # an entry that occurs more than once is settled; of the others, the single occurrence holds the place
-    single = suffixes.where("times = 1").join(again, ["h1", "h2"], "left_semi").select("key", F.col("place").alias("first"), F.lit(1).alias("count"))
-    return settled.union(single).groupBy("key").agg(F.collect_list(F.struct("first", "count")).alias("parts"))
+    known, entries = shared_only(places, "context", "whole", F.lit(1), ("key", "first", "count", "lead"))
+    settled = settled_of(known, entries, "context", "whole")
+
+    edges = entries.select("at.*", F.least("times", F.lit(2)).cast("int").alias("times"), "context", "whole").groupBy("key").agg(
+        F.collect_list(F.struct(*[x.split()[0] for x in ENTRY.split(", ")])).alias("parts"))
+    dictionary = common.stored(entry_strings(docs.join(edges, "key").select("key", "text", "parts"), least))
+    pieces = common.stored(runs(dictionary, least))
+    known2, entries2 = shared_only(pieces, "c2", "w2", F.col("times"), ("context", "whole", "start", "count"))
+    # an entry that occurs more than once is settled; another one's string has its only place at the entry's
+    settled2 = settled_of(known2.where("times = 1"), entries2, "c2", "w2")
+
+    wanted = entries2.select("at.*", F.least("times", F.lit(2)).cast("int").alias("times")).groupBy("context", "whole").agg(F.collect_list(F.struct("start", "count", "times")).alias("parts"))
+    single = common.stored(suffixes(dictionary.drop("times", "count").join(wanted, ["context", "whole"]), least))
+    again = single.groupBy("h1", "h2").agg(F.sum("times").alias("n")).where("n > 1").select("h1", "h2")
+    settled3 = single.where("times = 1").join(again, ["h1", "h2"], "left_semi").select("key", F.col("place").alias("first"), F.lit(1).alias("count"))
+    return settled.union(settled2).union(settled3).groupBy("key").agg(F.collect_list(F.struct("first", "count")).alias("parts"))
+
+
+def shared_only(rows: DataFrame, context: str, whole: str, times, at: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """The rows whose context occurs more than once (``one``: with one string only), and the distinct strings of the contexts that have several."""
+    shared = rows.groupBy(context).agg(F.sum(times).alias("n"), F.min(whole).alias("low"), F.max(whole).alias("high")).where("n > 1")
+    known = common.stored(rows.join(shared.select(context, (F.col("low") == F.col("high")).alias("one")), context))
+    entries = common.stored(known.where("not one").groupBy(context, whole).agg(F.sum(times).alias("times"), F.min(F.struct(*at)).alias("at")))
+    return known, entries
+
+
+def settled_of(known: DataFrame, entries: DataFrame, context: str, whole: str) -> DataFrame:
+    """Runs of places whose whole string occurs again."""
+    again = known.where("not one").join(entries.where("times > 1").select(context, whole), [context, whole], "left_semi")
+    return known.where("one").select("key", "first", "count").union(again.select("key", "first", "count"))
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, spread: int | None = None, whole_characters: bool = False) -> DataFrame:
@@ -161,7 +237,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     With ``whole_characters``, a character that a run covers in part only stays.
     """
-    spread = spread or min(SPREAD, max(1, (least - GRAM) * 5 // 8))
+    spread = spread or min(SPREAD, max(1, (least - GRAM) * 5 // 6))
     if least < GRAM + spread:
         raise ValueError("least must be at least GRAM + spread bytes")
     names = [c for c in docs.columns if c != text_col]
