@@ -37,7 +37,7 @@ ALPHA = 1.0
 BLANK = "▁"
 #: Edge ids from here on stand for a character that goes as bytes.
 AS_BYTES = 1 << 24
-SLICE = 3_000_000
+SLICE = 1_500_000
 _P = common.BASES[0]
 
 
@@ -75,23 +75,36 @@ def _sums(codes: np.ndarray) -> np.ndarray:
     return out
 
 
+def _keys(sums: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    """Hash of ``size`` characters from each start: equal for equal strings, wherever they stand."""
+    return (sums[starts + size] - sums[starts]) * common.powers(len(sums), 0, True)[starts] * np.uint64(0x9E3779B97F4A7C15)
+
+
+def _order(values: np.ndarray) -> np.ndarray:
+    """Stable order of small numbers, by one plain sort of value and place together."""
+    return (np.sort((values.astype(np.uint64) << np.uint64(32)) | np.arange(len(values), dtype=np.uint64)) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+
 class Pieces:
     """Lookup tables of a vocabulary."""
 
     def __init__(self, vocab: Vocabulary):
         self.vocab = vocab
         self.by_length: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        self.maybe = np.zeros(1 << 20, bool)
+        # by the top bits of a hash: whether a piece may have it, and whether a longer piece may begin with such a string
+        self.maybe, self.begins = np.zeros(1 << 20, bool), np.zeros(1 << 20, bool)
         self.covered = np.zeros(0x110000, bool)
         lengths = np.array([len(p) for p in vocab.pieces])
         for length in sorted(set(lengths.tolist())):
             rows = np.flatnonzero(lengths == length)
             codes = _codes("".join(vocab.pieces[r] for r in rows))
             starts = np.arange(len(rows)) * length
-            keys = common.span_hash(_sums(codes), starts, starts + length)
+            keys = _keys(_sums(codes), starts, length)
             order = np.argsort(keys)
             self.by_length[length] = keys[order], rows[order]
             self.maybe[(keys >> np.uint64(44)).astype(np.int64)] = True
+            for part in range(1, length):
+                self.begins[(_keys(_sums(codes), starts, part) >> np.uint64(44)).astype(np.int64)] = True
             if length == 1:
                 self.covered[codes] = True
         self.weights = np.array(vocab.weights)
@@ -109,23 +122,27 @@ class Lattice:
         sums = _sums(codes)
         at, length, piece = [], [], []
         where = np.arange(n)
-        for size, (keys, rows) in pieces.by_length.items():
+        for size in range(1, max(pieces.by_length) + 1):
             where = where[left[where] >= size]
             if not len(where):
                 break
-            key = common.span_hash(sums, where, where + size)
-            some = np.flatnonzero(pieces.maybe[(key >> np.uint64(44)).astype(np.int64)])
-            place = np.minimum(np.searchsorted(keys, key[some]), len(keys) - 1)
-            good = keys[place] == key[some]
-            at.append(where[some[good]])
-            length.append(np.full(len(at[-1]), size))
-            piece.append(rows[place[good]])
+            key = _keys(sums, where, size)
+            slot = (key >> np.uint64(44)).astype(np.int64)
+            if size in pieces.by_length:
+                keys, rows = pieces.by_length[size]
+                some = np.flatnonzero(pieces.maybe[slot])
+                place = np.minimum(np.searchsorted(keys, key[some]), len(keys) - 1)
+                good = keys[place] == key[some]
+                at.append(where[some[good]])
+                length.append(np.full(len(at[-1]), size))
+                piece.append(rows[place[good]])
+            where = where[pieces.begins[slot]]
         other = np.flatnonzero(~pieces.covered[codes])
         at.append(other)
         length.append(np.ones(len(other), np.int64))
         piece.append(AS_BYTES + codes[other].astype(np.int64))
         at, length, piece = np.concatenate(at), np.concatenate(length), np.concatenate(piece)
-        order = np.argsort(at, kind="stable")
+        order = _order(at)
         at, length, self.piece = at[order], length[order], piece[order]
         weight = np.where(self.piece < AS_BYTES, pieces.weights[np.minimum(self.piece, len(pieces.weights) - 1)], pieces.vocab.byte_weight)
         source = at + chunk[at]
@@ -136,7 +153,7 @@ class Lattice:
         # mass of all ways from a node to its chunk's end, from the end backwards
         self.ahead = np.zeros(nodes)
         distance = left[at]
-        back = np.argsort(distance, kind="stable")
+        back = _order(distance)
         w, t, s, d = weight[back], self.target[back], source[back], distance[back]
         new = np.r_[True, s[1:] != s[:-1]] if len(s) else np.zeros(0, bool)
         steps = np.searchsorted(d, np.arange(1, (d[-1] if len(d) else 0) + 2))
@@ -182,8 +199,8 @@ class Lattice:
 
 
 def uniform(keys: np.ndarray, salt: int | np.ndarray) -> np.ndarray:
-    """Numbers in (0, 1) that depend on key and salt only."""
-    mixed = common.mix(common.mix(keys) + np.asarray(salt).astype(np.uint64) * np.uint64(0xD1342543DE82EF95) + np.uint64(0x2545F4914F6CDD1D))
+    """Numbers in (0, 1) that depend on key and salt only; keys are well-mixed already."""
+    mixed = common.mix(keys + np.asarray(salt).astype(np.uint64) * np.uint64(0xD1342543DE82EF95) + np.uint64(0x2545F4914F6CDD1D))
     return ((mixed >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
 
 
@@ -213,7 +230,7 @@ def _path(lattice: Lattice, edges: np.ndarray, chunks: np.ndarray, value: float,
     np.cumsum(lattice.log[edges], out=before[1:])
     split = np.full(len(edges), -np.inf)
     if start < len(edges):
-        u = uniform(np.full(len(edges) - start, key, np.uint64), np.arange(start, len(edges)))
+        u = uniform(key, np.arange(start, len(edges)))
         split[start:] = below(before[start:-1] + lattice.others[edges[start:]], value, u)
     return Path(edges, chunks, before, value, split, {})
 
@@ -238,6 +255,7 @@ def sampled(texts: list[str | None], seeds: np.ndarray, pieces: Pieces, k: int)
     lattice = Lattice(codes[place], spans, pieces)
     chunks = np.searchsorted(begin, offsets)
     row = common.row_of(chunks)
+    seeds = common.mix(seeds)
     own = common.mix(seeds[row] + np.arange(len(begin), dtype=np.uint64) - chunks[:-1][row].astype(np.uint64)) if len(begin) else np.zeros(0, np.uint64)
     heads, tails = lattice.first[kind], lattice.last[kind]
 
@@ -312,15 +330,23 @@ def log_inclusion(log: float, next_value: float) -> float:
 
 
 class Decoder:
-    """Text of piece ids: pieces joined, bytes put together, the dummy blank taken away."""
+    """Text of piece ids: pieces joined, bytes put together, the dummy blank taken away. Ids that stand for nothing give nothing."""
 
     def __init__(self, vocab: Vocabulary):
-        self.bytes: dict[int, bytes] = {i: p.encode("utf-8") for i, p in zip(vocab.ids, vocab.pieces, strict=True)}
-        self.bytes |= {i: bytes([b]) for b, i in enumerate(vocab.byte_ids)}
-
-    def text(self, ids: list[int]) -> str:
-        table = self.bytes
-        return b"".join([table[i] for i in ids]).decode("utf-8", "replace")[1:]
+        strings = {i: p.encode("utf-8") for i, p in zip(vocab.ids, vocab.pieces, strict=True)} | {i: bytes([b]) for b, i in enumerate(vocab.byte_ids)}
+        every = [strings.get(i, b"") for i in range(max(strings) + 1)]
+        self.flat = np.frombuffer(b"".join(every), np.uint8)
+        self.sizes = np.array([len(x) for x in every], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def text(self, ids: np.ndarray | list[int]) -> str:
+        ids = np.asarray(ids, np.int64)
+        sizes = self.sizes[ids]
+        ends = np.cumsum(sizes)
+        if not len(ids):
+            return ""
+        place = np.repeat(self.starts[ids] - ends + sizes, sizes) + np.arange(ends[-1])
+        return self.flat[place].tobytes().decode("utf-8", "replace")[1:]
 
 
 _loaded: dict[int, tuple[Pieces, Decoder]] = {}
@@ -354,7 +380,7 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
                     logs.append(path.log)
                     values.append(path.value + 0.0)
                     chances.append(log_inclusion(path.log, after))
-                    same.append(decoder.text(ids[-1].tolist()) == (texts[i] or ""))
+                    same.append(decoder.text(ids[-1]) == (texts[i] or ""))
             sizes = np.array([len(x) for x in ids], np.int64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(samples, pa.int32()), pa.array(sizes), common.lists(np.concatenate(ids), np.r_[0, np.cumsum(sizes)], pa.int32()),
