@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,10 +45,31 @@ def work_folder(spark: SparkSession) -> str:
 def stored(df: DataFrame, compression: str = "zstd") -> DataFrame:
     """Write ``df`` to the shared work folder and read it back: cuts the lineage and survives lost executors."""
     folder = work_folder(df.sparkSession)
+    if _scratch:
+        _scratch[-1].append(folder)
     df.write.option("compression", compression).parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+#: Folders that ``stored`` made since each open ``finished`` began.
+_scratch: list[list[str]] = []
+
+
+def finished(spark: SparkSession, build: Callable[[], DataFrame]) -> DataFrame:
+    """The stored result of ``build``; the tables that were stored on the way to it are deleted."""
+    _scratch.append([])
+    try:
+        result = build()
+        folder = work_folder(spark)
+        result.write.option("compression", "zstd").parquet(folder)
+    finally:
+        files = spark.sparkContext._jvm.org.apache.hadoop.fs
+        for old in _scratch.pop():
+            path = files.Path(old)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return spark.read.schema(result.schema).parquet(folder)
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all rows and their n + 1 offsets; a null is empty."""
     if column.null_count:

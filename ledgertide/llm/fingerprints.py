@@ -19,10 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgertide.llm import common
+from ledgertide.llm import common, near_duplicates
 
 SHINGLE = 5
 PERMUTATIONS = 128
+#: Bands of the signature for ``near_groups``: a pair at similarity 0.75 shares none with probability (1 - 0.75**4)**32 < 6e-6.
+BANDS, ROWS = 32, 4
 _rng = np.random.default_rng(61)
 FACTORS = _rng.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 TERMS = _rng.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2)
@@ -64,6 +66,30 @@ def likeness(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return np.where(empty, 0.0, ((left & 0xFFFF) == (right & 0xFFFF)).mean(axis=1))
 
 
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.75) -> DataFrame:
+    """doc_id and class_id, the smallest id that links reach: signature bands joined in Spark, links verified by the Jaccard similarity of full sets."""
+    plain = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    kind = plain.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.slices(batches, "text"):
+            marks = signatures(batch.column(1))
+            table = marks.astype(np.uint64).reshape(len(marks), BANDS, ROWS)
+            bands = np.zeros((len(marks), BANDS), np.uint64) + np.arange(BANDS, dtype=np.uint64)
+            for r in range(ROWS):
+                bands = common.mix(bands + table[:, :, r])
+            some = ~(marks == 0xFFFFFFFF).all(axis=1)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), common.lists(bands[some].reshape(-1).view(np.int64), np.r_[0, np.cumsum(np.where(some, BANDS, 0))], pa.int64())], ["doc_id", "bands"])
+
+    def build() -> DataFrame:
+        buckets = plain.mapInArrow(run, f"doc_id {kind}, bands array<long>").select("doc_id", F.explode("bands").alias("band"))
+        groups = near_duplicates.linked(buckets.distinct(), plain, threshold)
+        return plain.select("doc_id").join(groups, F.col("doc_id") == groups["node"], "left").select("doc_id", F.coalesce("label", "doc_id").alias("class_id"))
+
+    return common.finished(docs.sparkSession, build)
+
+
 def in_order(docs: DataFrame) -> DataFrame:
     """(id, text) -> id, text, bucket, tail: sorted runs of documents, each followed by the first document of the next run.
 

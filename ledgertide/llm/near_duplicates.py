@@ -7,9 +7,9 @@ is thrown into one hashed bin; round i of the second half throws all shingles in
 coordinates estimate the Jaccard similarity with concentration bounds.
 
 Documents with equal sets are one class and only its smallest id goes on. The bands of the sketches make buckets. Links
-are confirmed on full sets, first between each bucket's members and its leader (two rounds with different leaders), so
-a group of thousands of copies costs one comparison a member; then all pairs of a bucket that still lie in different
-components are compared in bounded tiles, whatever their number. A component's label is its smallest id.
+are confirmed on full sets, first between each bucket's members and its leader, so that a group of thousands of copies costs
+few comparisons a member; then all pairs of a bucket that still lie in different components are compared in bounded
+tiles, whatever their number. A component's label is its smallest id.
 
 Null ids make rows of their own (component null, kept); rows with one id and several texts count as one document whose
 set is that of the row with the largest set hash. Null texts are empty.
@@ -133,11 +133,11 @@ def confirmed(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
 
 def in_tiles(labelled: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Links (a, b) that join components within any bucket which holds several, after comparing all pairs there.
+    """Pairs (a, b) of components that a link joins, after comparing all pairs within every bucket which holds several components.
 
     A bucket's members are dealt to tiles of about ``TILE``; every pair of tiles is one bounded group, in which a product of
     membership matrices counts all intersections of full sets at once. Pairs never become rows; a group gives
-    the links that connect its components, not all it sees.
+    what connects its components, not all the links it sees.
     """
     percent = round(100 * threshold)
     mixed = labelled.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).where("low <> high")
@@ -148,7 +148,7 @@ def in_tiles(labelled: DataFrame, sets: DataFrame, threshold: float) -> DataFram
     kind = sets.schema["doc_id"].dataType.simpleString()
 
     def compare(table: pa.Table) -> pa.Table:
-        labels = np.unique(table["label"].to_numpy(), return_inverse=True)[1]
+        names, labels = np.unique(table["label"].to_numpy(), return_inverse=True)
         items = table["items"].combine_chunks()
         sizes = np.diff(items.offsets.to_numpy())
         _, token = np.unique(items.flatten().to_numpy(), return_inverse=True)
@@ -177,47 +177,43 @@ def in_tiles(labelled: DataFrame, sets: DataFrame, threshold: float) -> DataFram
             u, v = find(int(labels[x])), find(int(labels[y]))
             if u != v:
                 root[max(u, v)] = min(u, v)
-                kept.append((x, y))
+                kept.append((int(labels[x]), int(labels[y])))
         at = np.array(kept, np.int64).reshape(-1, 2)
-        ids = table["doc_id"].combine_chunks()
-        return pa.table({"a": ids.take(pa.array(at[:, 0])), "b": ids.take(pa.array(at[:, 1]))})
+        return pa.table({"a": pa.array(names[at[:, 0]], table["label"].type), "b": pa.array(names[at[:, 1]], table["label"].type)})
 
     return spread.join(sets, "doc_id").groupBy("band", "i", "j").applyInArrow(compare, f"a {kind}, b {kind}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def joined_up(links: DataFrame | None, found: DataFrame, buckets: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """All links so far, the components they make, and the buckets' members with their components."""
-    links = found if links is None else links.union(found)
-    groups = common.stored(graph.components(links))
-    labelled = common.stored(buckets.join(groups, buckets["doc_id"] == groups["node"], "left").select("band", "doc_id", F.coalesce("label", "doc_id").alias("label")))
-    return links, groups, labelled
+def linked(buckets: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """(doc_id, band) and (doc_id, text) -> node, label: the components of the links among documents that share a bucket."""
+    shared = buckets.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
+    open_buckets = common.stored(buckets.join(shared, "band"))
+    members = open_buckets.select("doc_id").distinct()
+    sets = common.stored(full_sets(texts.join(members, "doc_id", "left_semi")).groupBy("doc_id").agg(F.max_by("items", F.size("items")).alias("items")))
+
+    order = F.struct(F.xxhash64("doc_id").alias("o"), F.col("doc_id").alias("lead"))
+    leaders = open_buckets.groupBy("band").agg(F.min(order)["lead"].alias("lead"))
+    met = open_buckets.join(leaders, "band").where("doc_id <> lead").select(F.least("doc_id", "lead").alias("a"), F.greatest("doc_id", "lead").alias("b")).distinct()
+    stars = common.stored(graph.components(confirmed(met, sets, threshold)))
+    labelled = common.stored(open_buckets.join(stars, open_buckets["doc_id"] == stars["node"], "left").select("band", "doc_id", F.coalesce("label", "doc_id").alias("label")))
+    joined = common.stored(graph.components(in_tiles(labelled, sets, threshold)).select(F.col("node").alias("label"), F.col("label").alias("least")))
+    return labelled.select("doc_id", "label").distinct().join(joined, "label", "left").select(F.col("doc_id").alias("node"), F.coalesce("least", "label").alias("label"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id that links reach) and kept, one row per row of ``docs``."""
+    return common.finished(docs.sparkSession, lambda: _grouped(docs, id_col, text_col, threshold))
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
     marks = common.stored(signatures(docs, id_col, text_col))
     known = marks.where("doc_id is not null")
     classes = known.where("n_shingles > 0").groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("head"))
     heads = common.stored(classes.select("head").distinct())
     buckets = (known.join(heads, known["doc_id"] == heads["head"], "left_semi").where("n_shingles > 0")
                .groupBy("doc_id").agg(F.max_by("bands", F.struct("n_shingles", "s1", "s2")).alias("bands")).select("doc_id", F.explode("bands").alias("band")))
-    shared = buckets.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
-    open_buckets = common.stored(buckets.join(shared, "band"))
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    members = open_buckets.select("doc_id").distinct()
-    sets = common.stored(full_sets(texts.join(members, "doc_id", "left_semi")).groupBy("doc_id").agg(F.max_by("items", F.size("items")).alias("items")))
-
-    links, tried, groups = None, None, None
-    labelled = open_buckets.withColumn("label", F.col("doc_id"))
-    for turn in range(2):
-        order = F.struct(F.xxhash64(F.lit(turn), "doc_id").alias("o"), "doc_id", "label")
-        leaders = labelled.groupBy("band").agg(F.min(order).alias("lead"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-        met = labelled.join(leaders, "band").where("label <> lead.label").select(F.least("doc_id", "lead.doc_id").alias("a"), F.greatest("doc_id", "lead.doc_id").alias("b")).distinct()
-        met = common.stored(met if tried is None else met.join(tried, ["a", "b"], "left_anti"))
-        tried = met
-        links, groups, labelled = joined_up(links, common.stored(confirmed(met, sets, threshold)), open_buckets)
-    links, groups, labelled = joined_up(links, common.stored(in_tiles(labelled, sets, threshold)), open_buckets)
-
+    groups = linked(buckets, texts, threshold)
     keyed = classes.join(groups, classes["head"] == groups["node"], "left").select("n_shingles", "s1", "s2", F.coalesce("label", "head").alias("component_id"))
     own = known.select("doc_id", "n_shingles", "s1", "s2").join(keyed, ["n_shingles", "s1", "s2"], "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -199,6 +199,10 @@ def on_characters(text: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple
 
 def repeated_parts(docs: DataFrame, least: int = LEAST, spread: int = SPREAD) -> DataFrame:
     """(key, text) -> key and ``parts``, the runs of places (first, count) whose ``least`` bytes occur elsewhere too."""
+    return common.finished(docs.sparkSession, lambda: _parts(docs, least, spread))
+
+
+def _parts(docs: DataFrame, least: int, spread: int) -> DataFrame:
     places = common.stored(parsed(docs, least, spread))
     known, entries = shared_only(places, "context", "whole", F.lit(1), ("key", "first", "count", "lead"))
     settled = settled_of(known, entries, "context", "whole")

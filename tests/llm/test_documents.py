@@ -76,6 +76,13 @@ def test_near_duplicates_equal_brute_force(docs, corpus):
         assert (got[i]["n_shingles"], got[i]["component_id"], got[i]["kept"]) == (len(sets[i]), find(i), find(i) == i), i
 
 
+def test_fingerprint_bands_give_the_same_groups(docs):
+    want = {r["doc_id"]: r["component_id"] for r in near_duplicates.near_duplicates(docs).collect()}
+    got = fingerprints.near_groups(docs).collect()
+    assert len(got) == len(want) and {r["doc_id"]: r["class_id"] for r in got} == want
+    assert fingerprints.near_groups(docs.where("false")).collect() == []
+
+
 def test_tiles_find_what_leaders_miss(spark, monkeypatch):
     """A chain in one bucket, whose ends are unlike: all links lie between neighbours, over several tiles."""
     monkeypatch.setattr(near_duplicates, "TILE", 4)
