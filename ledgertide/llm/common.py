@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # A slice of rows is worked on at once in numpy; it holds about so many bytes of text. A longer text is a slice of its own.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 500_000
 
 _rng = np.random.default_rng(20240229)
 #: One random odd 64-bit value for each byte and hash.

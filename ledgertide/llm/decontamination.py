@@ -141,7 +141,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     plain = docs.select(*[F.col(c) for c in names], F.col(text_col).cast("string").alias("_text"))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches, "_text", 4_000_000):
+        for batch in common.slices(batches, "_text", 1_000_000):
             raw, offsets = common.buffers(batch.column(batch.schema.get_field_index("_text")))
             data = common.LOWER[raw]
             starts, ends, rows = common.words(data, offsets, WORD)

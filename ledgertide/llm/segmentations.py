@@ -37,7 +37,7 @@ ALPHA = 1.0
 BLANK = "▁"
 #: Edge ids from here on stand for a character that goes as bytes.
 AS_BYTES = 1 << 24
-SLICE = 1_500_000
+SLICE = 400_000
 _P = common.BASES[0]
 
 
@@ -225,13 +225,16 @@ class Path:
         return float(self.before[-1])
 
 
-def _path(lattice: Lattice, edges: np.ndarray, chunks: np.ndarray, value: float, key: np.uint64, start: int) -> Path:
+def _path(lattice: Lattice, edges: np.ndarray, chunks: np.ndarray, value: float, key: np.uint64, start: int, k: int) -> Path:
     before = np.zeros(len(edges) + 1)
     np.cumsum(lattice.log[edges], out=before[1:])
     split = np.full(len(edges), -np.inf)
     if start < len(edges):
-        u = uniform(key, np.arange(start, len(edges)))
-        split[start:] = below(before[start:-1] + lattice.others[edges[start:]], value, u)
+        mu = before[start:-1] + lattice.others[edges[start:]]
+        # uniform() has 53 bits, so noise lies between -3.7 and 36.8: what is 42 below the (k + 1)-th is never among the first k + 1
+        least = np.partition(mu, -k - 1)[-k - 1] - 42 if len(mu) > k else -np.inf
+        some = np.flatnonzero(mu >= least)
+        split[start + some] = below(mu[some], value, uniform(key, start + some))
     return Path(edges, chunks, before, value, split, {})
 
 
@@ -265,7 +268,7 @@ def sampled(texts: list[str | None], seeds: np.ndarray, pieces: Pieces, k: int)
     paths: list[list[Path]] = []
     for i in range(len(texts)):
         a, b = ends[chunks[i]], ends[chunks[i + 1]]
-        paths.append([_path(lattice, edges[a:b], chunk_of[a:b], float(gumbel[i]), common.mix(seeds[i:i + 1] + np.uint64(1))[0], 0)])
+        paths.append([_path(lattice, edges[a:b], chunk_of[a:b], float(gumbel[i]), common.mix(seeds[i:i + 1] + np.uint64(1))[0], 0, k)])
 
     for turn in range(1, k):
         jobs, nodes, stops, salts = [], [], [], []
@@ -301,7 +304,7 @@ def sampled(texts: list[str | None], seeds: np.ndarray, pieces: Pieces, k: int)
             a, b = ends[base], ends[base + len(part)]
             steps = np.diff(ends[base:base + len(part) + 1])
             chunk = int(path.chunks[at])
-            paths[i].append(_path(lattice, np.r_[path.edges[:at], pick, edges[a:b]], np.r_[path.chunks[:at], chunk, np.repeat(np.arange(chunk, chunk + len(part)), steps)], value, common.mix(salt + np.uint64(2))[0], at + 1))
+            paths[i].append(_path(lattice, np.r_[path.edges[:at], pick, edges[a:b]], np.r_[path.chunks[:at], chunk, np.repeat(np.arange(chunk, chunk + len(part)), steps)], value, common.mix(salt + np.uint64(2))[0], at + 1, k))
             base += len(part)
     return [(lattice, known, max((float(p.split.max()) for p in known if len(p.split)), default=-np.inf) if len(known) == k else -np.inf) for known in paths]
 
