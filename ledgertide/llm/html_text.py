@@ -1,11 +1,11 @@
 """HTML extraction by layout-aware rendering.
 
 A small tree builder reads tags, applies the usual implied tags (a block ends an open paragraph, an item the item before it,
-a row the cells and row before it; whatever stays open ends with its parent) and drops what is never shown: scripts,
-styles, heads, templates, comments, and elements with ``hidden``, ``aria-hidden=true`` or a style of ``display:none`` or
-``visibility:hidden``. The tree is rendered as plain text: blocks on lines of their own with a blank line around
-paragraphs, headings, lists and tables; list items with bullets or numbers and indented by depth; table cells padded so
-that the columns of a table align; preformatted text kept as it is.
+a row the cells and row before it; text, and any element that does not belong into a head, ends an open head; whatever stays
+open ends with its parent) and drops what is never shown: scripts, styles, heads, templates, comments, and elements with
+``hidden``, ``aria-hidden=true`` or a style of ``display:none`` or ``visibility:hidden``. The tree is rendered as plain text:
+blocks on lines of their own with a blank line around paragraphs, headings, lists and tables; list items with bullets or
+numbers and indented by depth; table cells padded so that the columns of a table align; preformatted text kept as it is.
 
 Null and empty pages give an empty text. Unclosed and stray tags never fail; nesting deeper than ``DEEPEST`` is flattened.
 """
@@ -43,6 +43,8 @@ TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>
 HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*[\"']?true|style\s*=\s*(?:\"[^\"]*|'[^']*)(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))|type\s*=\s*[\"']?hidden", re.I)
 START = re.compile(r"\bstart\s*=\s*[\"']?(-?\d{1,9})", re.I)
 SPAN = re.compile(r"\bcolspan\s*=\s*[\"']?(\d{1,3})", re.I)
+#: Whatever else begins, or any text, ends an open head.
+IN_HEAD = frozenset("title meta link base style script noscript noframes template".split())
 BLANKS = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -68,13 +70,18 @@ def tree(source: str) -> Node:
             if stack[i].name in borders:
                 return
 
+    def write(text: str) -> None:
+        if stack[-1].name == "head" and text.strip():
+            del stack[-1]
+        stack[-1].parts.append(html.unescape(text))
+
     while position < length:
         found = TAG.search(source, position)
         if not found:
-            stack[-1].parts.append(html.unescape(source[position:]))
+            write(source[position:])
             break
         if found.start() > position:
-            stack[-1].parts.append(html.unescape(source[position:found.start()]))
+            write(source[position:found.start()])
         position = found.end()
         name = (found[2] or "").lower()
         if not name:
@@ -87,6 +94,10 @@ def tree(source: str) -> Node:
                 if stack[i].name in ("td", "th", "table") and name not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html"):
                     break
             continue
+        if stack[-1].name == "head" and name not in IN_HEAD:
+            if name in ("html", "head"):  # one more of them opens nothing
+                continue
+            del stack[-1]
         if name in CLOSES_P:
             close({"p"}, {"td", "th", "table", "button", "li", "div", "section", "article", "blockquote", "body"})
         if name in ("tr", "td", "th"):  # a row without table parts around it still makes one

@@ -73,6 +73,15 @@ def test_page_text(source, text):
     assert html_text.visible_text(source) == text
 
 
+@pytest.mark.parametrize("source,text", [
+    ("<html><head><title>T</title><p>Hello", "Hello"), ("<head><meta charset=x><title>T</title>\n Hello <b>you</b>", "Hello you"),
+    ("<html><head><link rel=x><style>p {}</style><script>1</script><h1>H</h1><div>a</div>", "H\n\na"), ("<head><template><p>no</p></template><base href=x>\n<table><tr><td>c</table>", "c"),
+    ("<head><html><head><title>no</title><main>yes</main>", "yes"), ("<head><title>no</title></head>yes", "yes"), ("<body>a<head><p>b", "a\n\nb"),
+])
+def test_page_text_without_the_end_of_the_head(source, text):
+    assert html_text.visible_text(source) == text
+
+
 def test_page_text_of_deep_and_long_pages(spark):
     deep = "<div>" * 5000 + "x" + "</div>" * 10
     assert html_text.visible_text(deep) == "x"
