@@ -40,7 +40,11 @@ IMPLIED = {
 }
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"'=]|=\s*+(?>\"[^\"]*\"|'[^']*')|[\"'=])*+)>", re.S)
-HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*[\"']?true|style\s*=\s*(?:\"[^\"]*|'[^']*)(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))|type\s*=\s*[\"']?hidden", re.I)
+ATTRIBUTE = re.compile(r"([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(\"[^\"]*\"|'[^']*'|[^\s>]+))?+")
+#: Only elements with one of these words among their attributes can be hidden.
+MAY_HIDE = re.compile(r"hidden|style", re.I)
+#: What may hold a semicolon or colon inside a style declaration.
+STYLE_PARTS = re.compile(r"/\*.*?(?:\*/|\Z)|\"[^\"]*\"|'[^']*'|\([^()]*\)", re.S)
 START = re.compile(r"\bstart\s*=\s*[\"']?(-?\d{1,9})", re.I)
 SPAN = re.compile(r"\bcolspan\s*=\s*[\"']?(\d{1,3})", re.I)
 #: Whatever else begins, or any text, ends an open head.
@@ -55,6 +59,31 @@ class Node:
         self.name, self.attributes, self.parts = name, attributes, []
 
 
+def attributes_of(raw: str) -> dict[str, str]:
+    """Attributes by lower-case name; the first of a name counts, one without a value is empty."""
+    found: dict[str, str] = {}
+    for name, value in ATTRIBUTE.findall(raw):
+        found.setdefault(name.lower(), html.unescape(value[1:-1] if len(value) > 1 and value[0] in "\"'" and value[-1] == value[0] else value))
+    return found
+
+
+def hidden(node: Node) -> bool:
+    """Whether the element's own attributes take it out of the layout; a display style wins over ``hidden``."""
+    if not MAY_HIDE.search(node.attributes):
+        return False
+    found = attributes_of(node.attributes)
+    style: dict[str, tuple[bool, str]] = {}
+    for declaration in STYLE_PARTS.sub(" ", found.get("style", "")).split(";"):
+        name, _, value = (x.strip().lower() for x in declaration.partition(":"))
+        firm = value.endswith("!important")
+        value = value.removesuffix("!important").strip()
+        if value and (firm or not style.get(name, (False,))[0]):
+            style[name] = firm, value
+    display, visibility = style.get("display", (False, ""))[1], style.get("visibility", (False, ""))[1]
+    return (display == "none" or "hidden" in found and not display or visibility in ("hidden", "collapse")
+            or found.get("aria-hidden", "").strip().lower() == "true")
+
+
 def tree(source: str) -> Node:
     root = Node("#root")
     stack = [root]
@@ -171,7 +200,7 @@ def render(node: Node, page: Page, depth: int = 0) -> None:
             page.text(part)
             continue
         name = part.name
-        if name in UNSEEN or (part.attributes and HIDDEN.search(part.attributes)):
+        if name in UNSEEN or hidden(part):
             continue
         if name == "br":
             if page.line:
@@ -199,7 +228,7 @@ def _plain(node: Node) -> Iterator[str]:
             yield part
         elif part.name == "br":
             yield "\n"
-        elif part.name not in UNSEEN and not (part.attributes and HIDDEN.search(part.attributes)):
+        elif part.name not in UNSEEN and not hidden(part):
             yield from _plain(part)
 
 
@@ -223,7 +252,7 @@ def items(node: Node, depth: int) -> list[str]:
             loose.parts.append(part)
             continue
         rest()
-        if part.attributes and HIDDEN.search(part.attributes):
+        if hidden(part):
             continue
         mark = f"{number}. " if node.name == "ol" else "- "
         number += 1
@@ -243,13 +272,13 @@ def cells(node: Node) -> list[str]:
         for part in parent.parts:
             if isinstance(part, str):
                 loose.parts.append(part)
-            elif part.name in UNSEEN or (part.attributes and HIDDEN.search(part.attributes)):
+            elif part.name in UNSEEN or hidden(part):
                 continue
             elif part.name == "tr":
                 row = []
                 for cell in part.parts:
                     if not isinstance(cell, str) and cell.name in ("td", "th"):
-                        if cell.attributes and HIDDEN.search(cell.attributes):
+                        if hidden(cell):
                             continue
                         span = SPAN.search(cell.attributes)
                         row.append((lines_of(cell), max(1, int(span[1])) if span else 1))

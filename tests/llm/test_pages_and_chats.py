@@ -82,6 +82,18 @@ def test_page_text_without_the_end_of_the_head(source, text):
     assert html_text.visible_text(source) == text
 
 
+@pytest.mark.parametrize("attributes,shown", [
+    ('title="the hidden truth"', True), ('class="nav hidden md:block"', True), ("alt='x hidden=y'", True), ('class="hidden"', True), ("data-type=hidden", True), ("type=hidden", True),
+    ('data-style="display:none"', True), ("data-hidden", True), ("title='aria-hidden=true'", True), ("style='background:url(a;display:none)'", True), ("style='content:\";display:none;\"'", True),
+    ("style='display:none;display:block'", True), ("hidden style='display:flex'", True), ("style='backface-visibility:hidden'", True), ("aria-hidden=false", True), ("style='display:'", True),
+    ("hidden", False), ("HIDDEN", False), ("id=a hidden=''", False), ("a/hidden", False), ("title='a'hidden", False), ("style='color:red; DISPLAY : None'", False), ("style=display:none", False),
+    ("style='visibility: collapse'", False), ("style='display:none!important;display:block'", False), ("style='/* a; */display:none'", False), ("hidden=until-found", False), ("style='display&#58;none'", False),
+])
+def test_page_text_of_hidden_elements(attributes, shown):
+    expected = "a\nb\nc" if shown else "a\nc"
+    assert html_text.visible_text(f"<div>a</div><div {attributes}>b</div><div>c</div>") == expected
+
+
 def test_page_text_of_deep_and_long_pages(spark):
     deep = "<div>" * 5000 + "x" + "</div>" * 10
     assert html_text.visible_text(deep) == "x"
