@@ -5,7 +5,8 @@ a row the cells and row before it; text, and any element that does not belong in
 open ends with its parent) and drops what is never shown: scripts, styles, heads, templates, comments, and elements with
 ``hidden``, ``aria-hidden=true`` or a style of ``display:none`` or ``visibility:hidden``. The tree is rendered as plain text:
 blocks on lines of their own with a blank line around paragraphs, headings, lists and tables; list items with bullets or
-numbers and indented by depth; table cells padded so that the columns of a table align; preformatted text kept as it is.
+numbers and indented by depth; table cells padded so that the columns of a table align; preformatted text kept as it is. Formulas (MathML without its annotations) and the texts of drawings
+(SVG without title, desc, defs, metadata and other parts that are not drawn where they stand) are inline text.
 
 Null and empty pages give an empty text. Unclosed and stray tags never fail; nesting deeper than ``DEEPEST`` is flattened.
 """
@@ -27,8 +28,8 @@ DEEPEST = 400
 # The element classes of the HTML standard that decide about spacing and implied ends.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp".split())
-UNSEEN = frozenset("head script style title noscript template iframe noembed noframes svg math object audio video canvas datalist meta link base".split())
-SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure fieldset hr".split())
+UNSEEN = frozenset("head script style title noscript template iframe noembed noframes object audio video canvas datalist meta link base".split())
+SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre xmp blockquote figure fieldset hr".split())
 BLOCK = SPACED | frozenset("address article aside body details dd dialog div dt footer figcaption form header html li legend main menu nav option section summary tr caption thead tbody tfoot td th".split())
 CLOSES_P = SPACED | frozenset("address article aside details div dialog figcaption footer form header main menu nav section li dd dt".split())
 #: An opening tag ends these open elements, searched up to the named borders.
@@ -47,16 +48,22 @@ MAY_HIDE = re.compile(r"hidden|style", re.I)
 STYLE_PARTS = re.compile(r"/\*.*?(?:\*/|\Z)|\"[^\"]*\"|'[^']*'|\([^()]*\)", re.S)
 START = re.compile(r"\bstart\s*=\s*[\"']?(-?\d{1,9})", re.I)
 SPAN = re.compile(r"\bcolspan\s*=\s*[\"']?(\d{1,3})", re.I)
+#: Drawings and formulas: what brings back to HTML inside them, which HTML elements end them, what of them is not shown in its place,
+#: and whose parts in a formula stand apart.
+INTEGRATION = frozenset("foreignobject desc mi mo mn ms mtext".split())
+BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+UNDRAWN = frozenset("desc defs metadata symbol clippath mask marker pattern annotation annotation-xml mphantom".split())
+APART = frozenset("mfrac mtable mtr mlabeledtr mtd".split())
 #: Whatever else begins, or any text, ends an open head.
 IN_HEAD = frozenset("title meta link base style script noscript noframes template".split())
 BLANKS = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    __slots__ = ("name", "attributes", "parts")
+    __slots__ = ("name", "attributes", "parts", "gone")
 
-    def __init__(self, name: str, attributes: str = ""):
-        self.name, self.attributes, self.parts = name, attributes, []
+    def __init__(self, name: str, attributes: str = "", gone: bool = False):
+        self.name, self.attributes, self.parts, self.gone = name, attributes, [], gone
 
 
 def attributes_of(raw: str) -> dict[str, str]:
@@ -68,9 +75,9 @@ def attributes_of(raw: str) -> dict[str, str]:
 
 
 def hidden(node: Node) -> bool:
-    """Whether the element's own attributes take it out of the layout; a display style wins over ``hidden``."""
-    if not MAY_HIDE.search(node.attributes):
-        return False
+    """Whether the element's kind or own attributes take it out of the layout; a display style wins over ``hidden``."""
+    if node.gone or not MAY_HIDE.search(node.attributes):
+        return node.gone
     found = attributes_of(node.attributes)
     style: dict[str, tuple[bool, str]] = {}
     for declaration in STYLE_PARTS.sub(" ", found.get("style", "")).split(";"):
@@ -88,6 +95,7 @@ def tree(source: str) -> Node:
     root = Node("#root")
     stack = [root]
     position, length = 0, len(source)
+    drawn = False  # whether any svg or math came
 
     def close(names: set, borders: set) -> None:
         for i in range(len(stack) - 1, 0, -1):
@@ -99,6 +107,16 @@ def tree(source: str) -> Node:
             if stack[i].name in borders:
                 return
 
+    def foreign() -> int:
+        """Place of the open drawing or formula whose own elements the next tag is among; 0 for none."""
+        if drawn:
+            for i in range(len(stack) - 1, 0, -1):
+                if stack[i].name in ("svg", "math"):
+                    return i
+                if stack[i].name in INTEGRATION or stack[i].name == "annotation-xml" and "html" in stack[i].attributes.lower():
+                    return 0
+        return 0
+
     def write(text: str) -> None:
         if stack[-1].name == "head" and text.strip():
             del stack[-1]
@@ -127,6 +145,8 @@ def tree(source: str) -> Node:
             if name in ("html", "head"):  # one more of them opens nothing
                 continue
             del stack[-1]
+        if name in BREAKOUT and (i := foreign()):
+            del stack[i:]
         if name in CLOSES_P:
             close({"p"}, {"td", "th", "table", "button", "li", "div", "section", "article", "blockquote", "body"})
         if name in ("tr", "td", "th"):  # a row without table parts around it still makes one
@@ -135,14 +155,19 @@ def tree(source: str) -> Node:
                 _push(stack, Node("tr"))
         if name in IMPLIED:
             close(*IMPLIED[name])
-        node = Node(name, found[3])
+        node = Node(name, found[3], name in UNDRAWN and foreign() > 0)
         stack[-1].parts.append(node)
+        drawn |= name in ("svg", "math")
+        if found[3].endswith("/") and (name in ("svg", "math") or foreign()):
+            continue
         if name in RAW:
             end = re.compile(rf"</{name}\s*>", re.I).search(source, position)
             if name == "textarea":
                 node.parts.append(html.unescape(source[position:end.start() if end else length]))
+            elif name == "xmp":
+                node.parts.append(source[position:end.start() if end else length])
             position = end.end() if end else length
-        elif name not in VOID and not (found[3].endswith("/") and name in ("svg", "path", "math")) and len(stack) < DEEPEST:
+        elif name not in VOID and len(stack) < DEEPEST:
             stack.append(node)
     return root
 
@@ -207,7 +232,7 @@ def render(node: Node, page: Page, depth: int = 0) -> None:
                 page.end()
         elif name == "hr":
             page.end(True)
-        elif name == "pre":
+        elif name in ("pre", "xmp"):
             raw = "".join(_plain(part)).strip("\n").split("\n")
             page.whole([x.rstrip() for x in raw] if any(x.strip() for x in raw) else [], True)
         elif name in ("ul", "ol", "menu"):
@@ -218,16 +243,40 @@ def render(node: Node, page: Page, depth: int = 0) -> None:
             page.end(name in SPACED)
             render(part, page, depth)
             page.end(name in SPACED)
+        elif name == "svg":
+            for label in labels(part):
+                page.text(" ")
+                render(label, page, depth)
+                page.text(" ")
+        elif name in APART or node.name == "mfrac":
+            page.text(" ")
+            render(part, page, depth)
+            page.text(" ")
         else:
             render(part, page, depth)
 
 
+def labels(drawing: Node) -> Iterator[Node]:
+    """The texts of a drawing that are drawn; characters outside them are not."""
+    left = list(reversed(drawing.parts))
+    while left:
+        part = left.pop()
+        if isinstance(part, str) or part.name in UNSEEN or hidden(part):
+            continue
+        if part.name in ("text", "foreignobject"):
+            yield part
+        else:
+            left.extend(reversed(part.parts))
+
+
 def _plain(node: Node) -> Iterator[str]:
     for part in node.parts:
         if isinstance(part, str):
             yield part
         elif part.name == "br":
             yield "\n"
+        elif part.name == "svg" and not hidden(part):
+            yield " ".join("".join(_plain(label)) for label in labels(part))
         elif part.name not in UNSEEN and not hidden(part):
             yield from _plain(part)
 

@@ -94,6 +94,19 @@ def test_page_text_of_hidden_elements(attributes, shown):
     assert html_text.visible_text(f"<div>a</div><div {attributes}>b</div><div>c</div>") == expected
 
 
+@pytest.mark.parametrize("source,text", [
+    ("so <math><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac></math> holds", "so x= 1 2 holds"),
+    ("<math><semantics><mrow><mi>a</mi></mrow><annotation encoding=tex>\\a</annotation><annotation-xml><mi>no</mi></annotation-xml></semantics></math>b", "ab"),
+    ("a<svg><title>no</title><desc>no</desc><defs><text>no</text></defs><metadata>no</metadata>no<g><rect/><text>up <tspan>and</tspan></text><text>down</text></g></svg>b", "a up and down b"),
+    ("<svg><title/><style/><path d=M0/><text>x</text></svg> y", "x y"), ("<svg><foreignObject><div>in</div><p>side</p></foreignObject></svg>", "in\n\nside"), ("<svg hidden><text>no</text></svg>ok", "ok"),
+    ("<svg><path d='M0'><p>Hello", "Hello"), ("<math><mi>x<mo>+</math><p>b", "x+\n\nb"), ("<svg/>a<math/>b", "ab"), ("<svg><text>x<desc>no</desc></text></svg>", "x"), ("<annotation>a</annotation><desc>b</desc>", "ab"),
+    ("<math><annotation-xml><mi>no</annotation-xml><p>a", "a"), ("<math><annotation-xml encoding=text/html><p>no</p></annotation-xml></math>a", "a"), ("<script/>no</script>yes", "yes"),
+    ("a<xmp> <b>&lt;</b>\n  two</xmp>b", "a\n\n <b>&lt;</b>\n  two\n\nb"), ("<p>a<xmp>b</xmp>", "a\n\nb"), ("<pre>a<svg><text>x</text><text>y</text></svg>\n<math><mi>z</math></pre>", "ax y\nz"),
+])
+def test_page_text_of_formulas_drawings_and_xmp(source, text):
+    assert html_text.visible_text(source) == text
+
+
 def test_page_text_of_deep_and_long_pages(spark):
     deep = "<div>" * 5000 + "x" + "</div>" * 10
     assert html_text.visible_text(deep) == "x"
