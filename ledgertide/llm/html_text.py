@@ -8,14 +8,15 @@ blocks on lines of their own with a blank line around paragraphs, headings, list
 numbers and indented by depth; table cells padded so that the columns of a table align; preformatted text kept as it is. Formulas (MathML without its annotations) and the texts of drawings
 (SVG without title, desc, defs, metadata and other parts that are not drawn where they stand) are inline text.
 
-Null and empty pages give an empty text. Unclosed and stray tags never fail; nesting deeper than ``DEEPEST`` is flattened.
+Null and empty pages give an empty text. Unclosed and stray tags never fail; nesting deeper than ``DEEPEST`` is flattened. Rendering keeps
+its own stack, so that no depth of lists and tables meets Python's limit of recursion.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -167,7 +168,7 @@ def tree(source: str) -> Node:
             elif name == "xmp":
                 node.parts.append(source[position:end.start() if end else length])
             position = end.end() if end else length
-        elif name not in VOID and len(stack) < DEEPEST:
+        elif name not in VOID and len(stack) < DEEPEST + (name in ("text", "foreignobject")):  # without them a drawing shows nothing
             stack.append(node)
     return root
 
@@ -219,7 +220,22 @@ class Page:
         self.blank |= blank
 
 
-def render(node: Node, page: Page, depth: int = 0) -> None:
+def result_of(first: Generator):
+    """The result of steps that hand over to their inner steps by ``yield`` instead of calling them."""
+    steps, value = [first], None
+    while steps:
+        try:
+            inner = steps[-1].send(value)
+        except StopIteration as end:
+            steps.pop()
+            value = end.value
+        else:
+            steps.append(inner)
+            value = None
+    return value
+
+
+def render(node: Node, page: Page, depth: int = 0) -> Generator:
     for part in node.parts:
         if isinstance(part, str):
             page.text(part)
@@ -236,24 +252,24 @@ def render(node: Node, page: Page, depth: int = 0) -> None:
             raw = "".join(_plain(part)).strip("\n").split("\n")
             page.whole([x.rstrip() for x in raw] if any(x.strip() for x in raw) else [], True)
         elif name in ("ul", "ol", "menu"):
-            page.whole(items(part, depth), depth == 0)
+            page.whole((yield items(part, depth)), depth == 0)
         elif name == "table":
-            page.whole(cells(part), True)
+            page.whole((yield cells(part)), True)
         elif name in BLOCK:
             page.end(name in SPACED)
-            render(part, page, depth)
+            yield render(part, page, depth)
             page.end(name in SPACED)
         elif name == "svg":
             for label in labels(part):
                 page.text(" ")
-                render(label, page, depth)
+                yield render(label, page, depth)
                 page.text(" ")
         elif name in APART or node.name == "mfrac":
             page.text(" ")
-            render(part, page, depth)
+            yield render(part, page, depth)
             page.text(" ")
         else:
-            render(part, page, depth)
+            yield render(part, page, depth)
 
 
 def labels(drawing: Node) -> Iterator[Node]:
@@ -270,54 +286,57 @@ def labels(drawing: Node) -> Iterator[Node]:
 
 
 def _plain(node: Node) -> Iterator[str]:
-    for part in node.parts:
+    left = list(reversed(node.parts))
+    while left:
+        part = left.pop()
         if isinstance(part, str):
             yield part
         elif part.name == "br":
             yield "\n"
-        elif part.name == "svg" and not hidden(part):
-            yield " ".join("".join(_plain(label)) for label in labels(part))
         elif part.name not in UNSEEN and not hidden(part):
-            yield from _plain(part)
+            inner = part.parts
+            if part.name == "svg":
+                inner = [x for label in labels(part) for x in (" ", label)][1:]
+            left.extend(reversed(inner))
 
 
-def lines_of(node: Node, depth: int = 0) -> list[str]:
+def lines_of(node: Node, depth: int = 0) -> Generator:
     page = Page()
-    render(node, page, depth)
+    yield render(node, page, depth)
     page.end()
     return page.lines
 
 
-def items(node: Node, depth: int) -> list[str]:
+def items(node: Node, depth: int) -> Generator:
     start = START.search(node.attributes)
     number, out, loose = int(start[1]) if start else 1, [], Node("#loose")
 
-    def rest() -> None:
-        out.extend(lines_of(loose, depth + 1))
+    def rest() -> Generator:
+        out.extend((yield lines_of(loose, depth + 1)))
         loose.parts = []
 
     for part in node.parts:
         if isinstance(part, str) or part.name != "li":
             loose.parts.append(part)
             continue
-        rest()
+        yield rest()
         if hidden(part):
             continue
         mark = f"{number}. " if node.name == "ol" else "- "
         number += 1
-        own = lines_of(part, depth + 1) or [""]
+        own = (yield lines_of(part, depth + 1)) or [""]
         out.append((mark + own[0]).rstrip())
         out.extend(" " * len(mark) + x if x else "" for x in own[1:])
-    rest()
+    yield rest()
     return out
 
 
-def cells(node: Node) -> list[str]:
+def cells(node: Node) -> Generator:
     """Rows of a table with aligned columns; a caption and stray text come before it."""
     rows: list[list[tuple[list[str], int]]] = []
     loose = Node("#loose")
 
-    def gather(parent: Node) -> None:
+    def gather(parent: Node) -> Generator:
         for part in parent.parts:
             if isinstance(part, str):
                 loose.parts.append(part)
@@ -330,16 +349,16 @@ def cells(node: Node) -> list[str]:
                         if hidden(cell):
                             continue
                         span = SPAN.search(cell.attributes)
-                        row.append((lines_of(cell), max(1, int(span[1])) if span else 1))
+                        row.append(((yield lines_of(cell)), max(1, int(span[1])) if span else 1))
                     else:
                         loose.parts.append(cell)
                 rows.append(row)
             elif part.name in ("thead", "tbody", "tfoot", "colgroup"):
-                gather(part)
+                yield gather(part)
             else:
                 loose.parts.append(part)
 
-    gather(node)
+    yield gather(node)
     widths: dict[int, int] = {}
     for row in rows:
         column = 0
@@ -347,7 +366,7 @@ def cells(node: Node) -> list[str]:
             if span == 1:
                 widths[column] = max(widths.get(column, 0), max(map(len, lines), default=0))
             column += span
-    out = lines_of(loose)
+    out = yield lines_of(loose)
     for row in rows:
         for k in range(max((len(lines) for lines, _ in row), default=0)):
             column, line = 0, []
@@ -361,7 +380,7 @@ def cells(node: Node) -> list[str]:
 
 def visible_text(source: str | None) -> str:
     """All visible text of one page."""
-    return "\n".join(lines_of(tree(source))) if source else ""
+    return "\n".join(result_of(lines_of(tree(source)))) if source else ""
 
 
 def extracted(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:

@@ -107,6 +107,13 @@ def test_page_text_of_formulas_drawings_and_xmp(source, text):
     assert html_text.visible_text(source) == text
 
 
+@pytest.mark.parametrize("tags", ["<ul>", "<table>", "<ul><table>", "<ol><li>", "<table><tr><td>", "<dl><dd><ol>", "<menu><li><table><tbody><tr><th>", "<table><colgroup>", "<pre><b>", "<math><mrow>", "<svg><g>", "<svg><foreignObject>"])
+def test_page_text_of_any_nesting(tags):
+    inner = "<text>x" if tags == "<svg><g>" else "x"
+    assert html_text.visible_text(tags * 1000 + inner).endswith("x")
+    assert html_text.visible_text(f"<p>a</p>{tags * 500}{inner}").startswith("a\n")
+
+
 def test_page_text_of_deep_and_long_pages(spark):
     deep = "<div>" * 5000 + "x" + "</div>" * 10
     assert html_text.visible_text(deep) == "x"
