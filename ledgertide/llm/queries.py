@@ -107,7 +107,8 @@ def op8_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op6_minhash_fingerprints")
 def op6_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints.with_edits(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return fingerprints.with_edits(docs).join(fingerprints.near_groups(docs).distinct(), "doc_id", "left")
 
 
 @query("op4_context_tree")

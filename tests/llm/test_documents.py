@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from ledgertide.llm import common, context_tree, decontamination, fingerprints, near_duplicates, quality, repeats
+from ledgertide.llm import common, context_tree, decontamination, fingerprints, near_duplicates, quality, queries, repeats
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -83,6 +83,14 @@ def test_fingerprint_bands_give_the_same_groups(docs):
     assert fingerprints.near_groups(docs.where("false")).collect() == []
 
 
+def test_fingerprint_query_tells_the_near_groups(spark, docs, corpus, tmp_path):
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.QUERIES["op6_minhash_fingerprints"](spark, str(tmp_path)).collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in got) == sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in docs.select("doc_id").collect())
+    want = {r["doc_id"]: r["class_id"] for r in fingerprints.near_groups(docs).collect()}
+    assert all(r["class_id"] == want.get(r["doc_id"]) for r in got) and len(set(want.values())) < len(want)
+
+
 def test_tiles_find_what_leaders_miss(spark, monkeypatch):
     """A chain in one bucket, whose ends are unlike: all links lie between neighbours, over several tiles."""
     monkeypatch.setattr(near_duplicates, "TILE", 4)
