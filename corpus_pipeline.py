@@ -30,13 +30,23 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of every group of near-duplicates. Rows with one id are one document: one of them stays."""
-    gone = common.stored(near_duplicates.near_duplicates(docs).where("not kept").select("doc_id").distinct())
-    kept = docs.join(gone, "doc_id", "left_anti")
-    again = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    if not again.isEmpty():
-        kept = kept.join(again, "doc_id", "left_anti").unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    return kept.select(*docs.columns)
+    """Keep the document with the smallest id of every group of near-duplicates. Of rows with one id, one of each group stays."""
+    found = near_duplicates.near_duplicates(docs, sets=True)
+    again = common.stored(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
+    if again.isEmpty():
+        return docs.join(found.where("not kept").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    gone = found.where("not kept").join(again, "doc_id", "left_anti").select("doc_id")
+    single = docs.join(again, "doc_id", "left_anti").join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+    # rows that share an id find their group by text, and the least text hash of a group stays
+    tag = F.sha2(F.coalesce("text", F.lit("")), 256)
+    shared = docs.join(again, "doc_id", "left_semi")
+    marks = near_duplicates.signatures(shared.select(tag.alias("tag"), "text").dropDuplicates(["tag"]), "tag", "text").select(F.col("doc_id").alias("tag"), "n_shingles", "s1", "s2")
+    groups = found.where("kept").join(again, "doc_id", "left_semi").select("doc_id", "n_shingles", "s1", "s2", F.coalesce("component", F.lit(-1)).alias("component")).distinct()
+    placed = shared.select("doc_id", tag.alias("tag")).join(marks, "tag").join(groups, ["doc_id", "n_shingles", "s1", "s2"])
+    chosen = placed.groupBy("doc_id", "component").agg(F.min("tag").alias("tag")).select(F.col("doc_id").alias("id"), F.col("tag").alias("kept_tag"))
+    whole = shared.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), tag.alias("kept_tag")).dropDuplicates(["id", "kept_tag"])
+    return single.unionByName(whole.join(chosen, ["id", "kept_tag"], "left_semi").select(*[F.col("row").getField(c).alias(c) for c in docs.columns]))
 
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -84,7 +84,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def build() -> DataFrame:
         buckets = plain.mapInArrow(run, f"doc_id {kind}, bands array<long>").select("doc_id", F.explode("bands").alias("band"))
-        groups = near_duplicates.linked(buckets.distinct(), plain, threshold)
+        groups = near_duplicates.linked(buckets.distinct(), lambda members: near_duplicates.largest_sets(plain, members), threshold)
         return plain.select("doc_id").join(groups, F.col("doc_id") == groups["node"], "left").select("doc_id", F.coalesce("label", "doc_id").alias("class_id"))
 
     return common.finished(docs.sparkSession, build)

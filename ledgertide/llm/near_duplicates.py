@@ -6,18 +6,18 @@ is thrown into one hashed bin; round i of the second half throws all shingles in
 (round, hash) value, and a document stops as soon as all bins are full, so every coordinate is filled and agreeing
 coordinates estimate the Jaccard similarity with concentration bounds.
 
-Documents with equal sets are one class and only its smallest id goes on. The bands of the sketches make buckets. Links
+Documents with equal sets are one class and only that goes on. The bands of the sketches make buckets. Links
 are confirmed on full sets, first between each bucket's members and its leader, so that a group of thousands of copies costs
 few comparisons a member; then all pairs of a bucket that still lie in different components are compared in bounded
 tiles, whatever their number. A component's label is its smallest id.
 
-Null ids make rows of their own (component null, kept); rows with one id and several texts count as one document whose
-set is that of the row with the largest set hash. Null texts are empty.
+Null ids make rows of their own (component null, kept); rows with one id and several texts have each the component of their
+own set. Null texts are empty.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -61,6 +61,13 @@ def shingle_sets(text: pa.Array, size: int = SHINGLE) -> list[np.ndarray]:
     return out
 
 
+def set_hashes(sets: list[np.ndarray]) -> tuple[pa.Array, pa.Array]:
+    """A 128-bit hash of every set, in two halves."""
+    s1 = np.array([common.mix(s).sum(dtype=np.uint64) for s in sets], np.uint64)
+    s2 = np.array([np.bitwise_xor.reduce(common.mix(s + np.uint64(7))) if len(s) else 0 for s in sets], np.uint64)
+    return pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64))
+
+
 def sketches(sets: list[np.ndarray], bins: int = BINS) -> np.ndarray:
     """Fast similarity sketches, one row of ``bins`` values a set; the row of an empty set stays at the largest value."""
     full = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -100,11 +107,9 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             for r in range(ROWS):
                 bands = common.mix(bands + table[:, :, r])
             sizes = np.array([len(s) for s in sets], np.int64)
-            s1 = np.array([common.mix(s).sum(dtype=np.uint64) for s in sets], np.uint64)
-            s2 = np.array([np.bitwise_xor.reduce(common.mix(s + np.uint64(7))) if len(s) else 0 for s in sets], np.uint64)
             filled = np.where(sizes > 0, BANDS, 0)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)),
+                [batch.column(0), pa.array(sizes), *set_hashes(sets),
                  common.lists(bands[sizes > 0].reshape(-1).view(np.int64), np.r_[0, np.cumsum(filled)], pa.int64())],
                 ["doc_id", "n_shingles", "s1", "s2", "bands"])
 
@@ -112,15 +117,20 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) -> (doc_id, items): the full shingle sets."""
+    """(doc_id, text) -> (doc_id, s1, s2, items): the full shingle sets and their hashes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, "text"):
             sets = shingle_sets(batch.column(1))
             offsets = np.r_[0, np.cumsum([len(s) for s in sets])]
             values = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), common.lists(values.view(np.int64), offsets, pa.int64())], ["doc_id", "items"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *set_hashes(sets), common.lists(values.view(np.int64), offsets, pa.int64())], ["doc_id", "s1", "s2", "items"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, s1 long, s2 long, items array<long>")
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, items array<long>")
+
+def largest_sets(texts: DataFrame, members: DataFrame) -> DataFrame:
+    """The full sets of ``members`` (doc_id), the largest one of an id."""
+    return full_sets(texts.join(members, "doc_id", "left_semi")).groupBy("doc_id").agg(F.max_by("items", F.size("items")).alias("items"))
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -184,12 +194,12 @@ def in_tiles(labelled: DataFrame, sets: DataFrame, threshold: float) -> DataFram
     return spread.join(sets, "doc_id").groupBy("band", "i", "j").applyInArrow(compare, f"a {kind}, b {kind}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def linked(buckets: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """(doc_id, band) and (doc_id, text) -> node, label: the components of the links among documents that share a bucket."""
+def linked(buckets: DataFrame, sets_of: Callable[[DataFrame], DataFrame], threshold: float) -> DataFrame:
+    """(doc_id, band) -> node, label: the components of the links among documents that share a bucket; ``sets_of`` gives the sets (doc_id, items) of those."""
     shared = buckets.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
     open_buckets = common.stored(buckets.join(shared, "band"))
     members = open_buckets.select("doc_id").distinct()
-    sets = common.stored(full_sets(texts.join(members, "doc_id", "left_semi")).groupBy("doc_id").agg(F.max_by("items", F.size("items")).alias("items")))
+    sets = common.stored(sets_of(members))
 
     order = F.struct(F.xxhash64("doc_id").alias("o"), F.col("doc_id").alias("lead"))
     leaders = open_buckets.groupBy("band").agg(F.min(order)["lead"].alias("lead"))
@@ -200,22 +210,31 @@ def linked(buckets: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return labelled.select("doc_id", "label").distinct().join(joined, "label", "left").select(F.col("doc_id").alias("node"), F.coalesce("least", "label").alias("label"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest id that links reach) and kept, one row per row of ``docs``."""
-    return common.finished(docs.sparkSession, lambda: _grouped(docs, id_col, text_col, threshold))
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, sets: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest id that links reach) and kept, one row per row of ``docs``.
+
+    With ``sets`` also s1, s2 (the hash of the row's set) and component, which tells apart the components that one id lies in."""
+    return common.finished(docs.sparkSession, lambda: _grouped(docs, id_col, text_col, threshold, sets))
 
 
-def _grouped(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
+def _grouped(docs: DataFrame, id_col: str, text_col: str, threshold: float, with_sets: bool) -> DataFrame:
+    key = ["n_shingles", "s1", "s2"]
     marks = common.stored(signatures(docs, id_col, text_col))
     known = marks.where("doc_id is not null")
-    classes = known.where("n_shingles > 0").groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("head"))
-    heads = common.stored(classes.select("head").distinct())
-    buckets = (known.join(heads, known["doc_id"] == heads["head"], "left_semi").where("n_shingles > 0")
-               .groupBy("doc_id").agg(F.max_by("bands", F.struct("n_shingles", "s1", "s2")).alias("bands")).select("doc_id", F.explode("bands").alias("band")))
+    # a class of equal sets is a node; its smallest id only says where to find its text
+    classes = common.stored(known.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("head"), F.first("bands").alias("bands")).withColumn("node", F.monotonically_increasing_id()))
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    groups = linked(buckets, texts, threshold)
-    keyed = classes.join(groups, classes["head"] == groups["node"], "left").select("n_shingles", "s1", "s2", F.coalesce("label", "head").alias("component_id"))
-    own = known.select("doc_id", "n_shingles", "s1", "s2").join(keyed, ["n_shingles", "s1", "s2"], "left").select(
-        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    nameless = marks.where("doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return own.union(nameless).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+    def sets_of(members: DataFrame) -> DataFrame:
+        wanted = classes.join(members, classes["node"] == members["doc_id"], "left_semi").select(F.col("head").alias("doc_id"), "s1", "s2", "node")
+        found = full_sets(texts.join(wanted, "doc_id", "left_semi")).groupBy("doc_id", "s1", "s2").agg(F.first("items").alias("items"))
+        return found.join(wanted, ["doc_id", "s1", "s2"]).select(F.col("node").alias("doc_id"), "items")
+
+    groups = linked(classes.select(F.col("node").alias("doc_id"), F.explode("bands").alias("band")), sets_of, threshold)
+    placed = common.stored(classes.select(*key, "head", "node").join(groups, "node", "left").select(*key, "head", F.coalesce("label", "node").alias("component")))
+    least = placed.groupBy("component").agg(F.min("head").alias("component_id"))
+    own = known.select("doc_id", *key).join(placed.join(least, "component").select(*key, "component", "component_id"), key, "left").select(
+        "doc_id", *key, "component", F.coalesce("component_id", "doc_id").alias("component_id"))
+    nameless = marks.where("doc_id is null").select("doc_id", *key, F.lit(None).cast("long").alias("component"), F.col("doc_id").alias("component_id"))
+    rows = own.union(nameless).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return rows if with_sets else rows.drop("s1", "s2", "component")

@@ -9,7 +9,7 @@ from pathlib import Path
 import pytest
 
 import corpus_pipeline
-from ledgertide.llm import segmentations
+from ledgertide.llm import near_duplicates, segmentations
 from tests.llm.test_documents import LOWER, covered, junk, prose, shingles
 
 PASSAGE, ITEM = prose(1001, 140), prose(1002, 40)
@@ -88,3 +88,18 @@ def test_order_of_rows_does_not_matter(spark):
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     kept = {r["doc_id"] for r in corpus_pipeline.near_duplicate_stage(spark, frame, "").collect()}
     assert kept == {i for i in range(30) if i % 3 or not i}
+
+
+def test_rows_that_share_an_id_stay_for_each_distinct_text(spark):
+    """Different texts of one id both stay; equal, near and empty ones are one; links reach the second text of an id too."""
+    a, b, c = prose(71, 80), prose(72, 90), prose(73, 100)
+    rows = [(5, a), (5, b), (5, a), (5, a + " one more"), (7, b + " one more"), (8, c), (8, b), (9, None), (9, ""), (10, ""), (None, a)]
+    frame = spark.createDataFrame([(*r, 1, r[0], {"m": 1}) for r in rows], "doc_id long, text string, tag int, id long, component map<string,int>").repartition(3)
+    got = corpus_pipeline.near_duplicate_stage(spark, frame, "")
+    assert got.columns == frame.columns
+    kept = sorted((str(r["doc_id"]), r["text"] or "") for r in got.collect())
+    one = next(t for i, t in kept if i == "5" and t != b)
+    assert one in (a, a + " one more") and kept == sorted([("5", one), ("5", b), ("8", c), ("9", ""), ("10", ""), ("None", a)])
+    found = near_duplicates.near_duplicates(frame).collect()
+    assert sorted(str((r["doc_id"], r["component_id"], r["kept"])) for r in found) == sorted(str(x) for x in [
+        (5, 5, True), (5, 5, True), (5, 5, True), (5, 5, True), (7, 5, False), (8, 8, True), (8, 5, False), (9, 9, True), (9, 9, True), (10, 10, True), (None, None, True)])
