@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgertide.llm import archives, common, context_tree, conversations, decontamination, fingerprints, html_text, near_duplicates, quality, repeats, segmentations
+from ledgertide.llm import (
+    archives, common, context_tree, conversations, decontamination, fingerprints, html_text, lexical_search, near_duplicates, quality, repeats, segmentations, simhash,
+    vector_codes,
+)
 from ledgertide.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,3 +122,54 @@ def op4_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_gumbel_segmentations")
 def op1_gumbel_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segmentations.encoded(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = rf"""
+with d as (select doc_id, row_number() over () row, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') w from documents),
+q as (select distinct item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) t from benchmark),
+totals as (select count(*) n_docs, sum(len(w)) n_terms from d where len(w) > 0),
+tf as (select doc_id, row, t, count(*) tf from (select doc_id, row, unnest(w) t from d) group by all),
+weights as (select t, cast(floor(1000 * ln(cast(2 * n_docs + 2 as double) / (2 * coalesce(df, 0) + 1))) as bigint) weight
+  from (select distinct t from q) left join (select t, count(*) df from tf group by t) using (t), totals),
+sizes as (select row, 10 + (90 * len(w) * n_docs) // n_terms m from d, totals where len(w) > 0),
+scores as (select item_id, doc_id, row, cast(sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * m))) as bigint) score from q join tf using (t) join weights using (t) join sizes using (row) group by all),
+ranked as (select *, row_number() over (partition by item_id order by score desc, doc_id, row) rank from scores where score > 0)
+select item_id, cast(rank as integer) rank, doc_id, score from ranked where rank <= 10
+"""
+
+
+@query("op11_max_sketch_search", OP11_SQL)
+def op11_max_sketch_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def _op12_round(books: str, number: int) -> str:
+    """Assignment of all parts to the entries of ``books`` (``m`` packs distance and index) and the means that follow."""
+    return f"""
+a{number} as (select row, part, min(gap * 64 + entry) m from (select row, x.part, entry, sum((x.val - c.val) * (x.val - c.val)) gap from x join {books} c on x.part = c.part and x.pos = c.pos group by all) group by all),
+c{number} as (select c.part, c.entry, c.pos, coalesce(mean, c.val) val from {books} c left join (
+  select x.part, m % 64 entry, pos, cast(floor(sum(val) / count(*)) as bigint) mean from x join a{number} using (row, part) group by all) s on c.part = s.part and c.entry = s.entry and c.pos = s.pos)"""
+
+
+OP12_SQL = f"""
+with kept as (select vec_id, label, row_number() over (order by vec_id nulls last, embedding) row, embedding v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda y: y is not null and isfinite(y))) = len(embedding)),
+spread as (select row, unnest(v) val, unnest(range(len(v))) place, len(v) // 16 width from kept),
+x as (select row, cast(place // width as integer) part, cast(place % width as integer) pos, cast(floor(256 * cast(val as double)) as bigint) val from spread),
+c0 as (select part, cast(row - 1 as bigint) entry, pos, val from x where row <= 64),
+{_op12_round("c0", 1)}, {_op12_round("c1", 2)}, {_op12_round("c2", 3)},
+coded as (select row, string_agg(printf('%02x', m % 64), '' order by part) code, cast(sum(m // 64) as bigint) error from a3 group by row),
+books as (select sha256(string_agg(cast(val as varchar), ',' order by part, entry, pos)) codebooks_sha256 from c2)
+select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) label_error, codebooks_sha256 from kept join coded using (row), books
+"""
+
+
+@query("op12_gnat_codes", OP12_SQL)
+def op12_gnat_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compressed(table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_simhash_groups")
+def op13_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = simhash.near_groups(table(spark, sf_dir, "documents"))
+    return groups.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
