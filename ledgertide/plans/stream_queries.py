@@ -1,38 +1,67 @@
-"""Streaming queries: real streams over files landed from the tables, and batch twins of the alert rules."""
+"""Streaming queries: real streams over files landed from the tables page by page, and batch twins of the alert rules."""
 
 from __future__ import annotations
 
 import uuid
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from ledgertide.plans import proxies as px
 from ledgertide.plans.insider_queries import OVERVIEW, money, priced, shown
 from ledgertide.plans.registry import query
 from ledgertide.plans.source_queries import shared_folder
 from ledgertide.session import checkpoint
-from ledgertide.streaming import jobs
-from ledgertide.streaming.tables import BatchLog, Snapshot
+from ledgertide.streaming import alerts, jobs
+from ledgertide.streaming.tables import BucketLog, BucketSnapshot
 
 START = "1997-01-01 00:00:00"
+LANDED_TRADE = ("id string, accession string, issuer_id string, owner_ids array<string>, code string, form string, is_ceo boolean, is_cfo boolean, counted decimal(38,12), "
+                "transaction_date date, accepted_at timestamp, received_at timestamp")
 
 
-def landed_folder(spark, rows):
-    """Land rows as files of a poller, in event order, one file a partition."""
+def play(spark, rows, clock, schema, job, pages=3, beats=None):
+    """Land ``rows`` page by page in the order of ``clock`` (or by the pages it names) and start ``job(stream, checkpoint)`` anew after each: every page is a restart.
+
+    ``beats`` are rows landed last, which only move the clock.
+    """
     path = f"{shared_folder(spark)}/landed-{uuid.uuid4().hex}"
-    rows.repartitionByRange(*[c for c in ("accepted_at", "fetched_at") if c in rows.columns]).write.json(path)
+    page = F.col("_page")
+    if "_page" not in rows.columns:
+        cuts = rows.agg(F.percentile_approx(F.unix_micros(clock), [k / pages for k in range(1, pages)])).first()[0] or []
+        page = sum((F.when(F.unix_micros(clock) > cut, 1).otherwise(0) for cut in cuts), F.lit(0))
+    stored = checkpoint(rows.withColumn("_page", page))
+    landing = [stored.where(F.col("_page") == k).drop("_page") for k in range(pages)] + ([beats] if beats is not None else [])
+    for k, part in enumerate(landing):
+        part.write.mode("append").json(f"{path}/in")
+        job(jobs.landed(spark, f"{path}/in", schema, 100_000), f"{path}/state").awaitTermination()
     return path
 
 
+def played(spark, rows, clock, schema, stream, out, **options):
+    """The rows that ``stream(landed)`` appends to its files while the pages are played."""
+    target = f"{shared_folder(spark)}/alerts-{uuid.uuid4().hex}"
+    play(spark, rows, clock, schema, lambda landed, state: jobs.append(stream(landed), target, state), **options)
+    return spark.read.schema(out).parquet(target)
+
+
+def landed_trades(rows):
+    """The columns of LANDED_TRADE and the page, if the rows name one."""
+    return rows.select(*[F.col(f.name).cast(f.dataType) for f in DataType.fromDDL(LANDED_TRADE).fields], *[c for c in ("_page",) if c in rows.columns])
+
+
 @query("stream_filings", "SELECT 'A' || lpad(CAST(event_id // 3 AS VARCHAR), 10, '0') AS accession FROM events GROUP BY 1")
 def stream_filings(spark, sf):
     ev = px.table(spark, sf, "events")
+    at = F.col("ts").cast("timestamp")
     rows = ev.select(F.concat(F.lit("A"), px.pad(F.floor(F.col("event_id") / 3))).alias("accession"), F.lit("4").alias("form"), px.pad(F.col("user_id")).alias("issuer_id"),
-                     F.col("event_type").alias("role"), F.col("ts").cast("timestamp").alias("accepted_at"))
-    source = landed_folder(spark, rows)
-    log = BatchLog(spark, f"{source}-filings", jobs.FILING_SCHEMA)
-    jobs.run(jobs.landed(spark, source, jobs.FILING_SCHEMA, 1), jobs.filing_writer(log), f"{source}-state").awaitTermination()
-    return px.present(log.all().select("accession"))
+                     F.col("event_type").alias("role"), at.alias("accepted_at"), at.alias("received_at"))
+    # the poll after the last one lands the first day again, whose scan was broken off
+    first = rows.agg(F.min("accepted_at").alias("first"), F.max("accepted_at").alias("last"))
+    again = rows.join(F.broadcast(first)).where("accepted_at < first + INTERVAL 1 DAY").withColumn("received_at", F.expr("last + INTERVAL 1 HOUR")).drop("first", "last")
+    log = BucketLog(spark, f"{shared_folder(spark)}/filings-{uuid.uuid4().hex}", jobs.FILING_SCHEMA, "accession", 16, 2)
+    play(spark, rows, "received_at", f"{jobs.FILING_SCHEMA}, received_at timestamp", lambda landed, state: jobs.filing_log(landed, log, state), beats=again)
+    return px.present(log.read().select("accession"))
 
 
 @query("stream_quotes_latest", """
@@ -44,10 +73,9 @@ def stream_quotes_latest(spark, sf):
     # One answer per symbol and second, as a provider gives it.
     rows = px.table(spark, sf, "events").groupBy(F.concat(F.lit("S"), (F.col("user_id") % 8).cast("string")).alias("symbol"), at.alias("source_time")).agg(
         F.max_by("value", best).alias("value")).select("symbol", "value", "source_time", F.to_date("source_time").alias("as_of"), F.col("source_time").alias("fetched_at"), F.lit("LIVE").alias("quote_status"))
-    source = landed_folder(spark, rows)
-    table = Snapshot(spark, f"{source}-quotes", jobs.QUOTE_SCHEMA)
-    jobs.run(jobs.landed(spark, source, jobs.QUOTE_SCHEMA, 1), jobs.quote_writer(table), f"{source}-state").awaitTermination()
-    return px.present(table.current().select("symbol", "value", "source_time", "quote_status"))
+    table = BucketSnapshot(spark, f"{shared_folder(spark)}/quotes-{uuid.uuid4().hex}", jobs.QUOTE_SCHEMA, "symbol", 16)
+    play(spark, rows, "fetched_at", jobs.QUOTE_SCHEMA, lambda landed, state: jobs.quote_table(landed, table, state))
+    return px.present(table.read().select("symbol", "value", "source_time", "quote_status"))
 
 
 ALERTS = px.with_ctes(px.TRADES, px.FOLLOWED) + f"""
@@ -62,7 +90,10 @@ SELECT 'trade:sec:' || accession AS dedupe_key, person_id, count(*) AS rows, cou
   CASE WHEN count(*) FILTER (WHERE code = 'S') > 0 THEN CASE WHEN bool_and(is_plan) FILTER (WHERE code = 'S') THEN 'yes' WHEN bool_or(is_plan) FILTER (WHERE code = 'S') THEN 'partly' ELSE 'no' END END AS plan,
   strftime(min(td), '%Y-%m-%d') AS traded_from FROM r JOIN c USING (accession) GROUP BY accession, person_id""")
 def stream_trade_alerts(spark, sf):
-    rows = jobs.trade_alerts(px.trades(spark, sf), px.followed(spark, sf), START)
+    trade = F.struct("id", "code", "table_no", "status", "visible", "accepted_at", "transaction_date", F.col("amount").cast("decimal(38,12)").alias("amount"), "is_plan", "owner_ids")
+    filings = px.trades(spark, sf).groupBy("accession").agg(F.min("issuer_id").alias("issuer_id"), F.max("accepted_at").alias("received_at"), F.collect_list(trade).alias("trades"))
+    followed = checkpoint(px.followed(spark, sf))
+    rows = played(spark, filings, "received_at", alerts.FILING_SCHEMA, lambda landed: alerts.trade_alert_stream(landed, followed, START, lookback=None), alerts.TRADE_ALERT_SCHEMA)
     return shown(rows.select("dedupe_key", "person_id", "rows", "buys", "sells", "amount", "plan", "traded_from"), "amount")
 
 
@@ -75,34 +106,77 @@ def stream_report_alerts(spark, sf):
     return shown(rows.select("dedupe_key", "person_id", "rows", "buys", "amount"), "amount")
 
 
-@query("stream_rule_executive", OVERVIEW + "," + px.CONSTITUENTS.strip() + f"""
+EXECUTIVE = OVERVIEW + "," + px.CONSTITUENTS.strip() + f"""
 , sc AS (SELECT * FROM pr WHERE issuer_id IN (SELECT cik FROM con WHERE index_name = 'sp500' AND cik IS NOT NULL) OR EXISTS (SELECT 1 FROM con WHERE index_name = 'sp500'
     AND list_contains(list_transform(string_split_regex(issuer_ticker || coalesce(' ' || filing_ticker, ''), '[,;\\s]+'), lambda x: replace(upper(x), '.', '-')), ticker)))
+"""
+
+
+@query("rule_executive", EXECUTIVE + f"""
 SELECT 'rule_executive:' || accession AS dedupe_key, count(*) AS rows, {money('sum(counted)')} AS amount, strftime(min(td), '%Y-%m-%d') AS traded_from FROM sc WHERE code = 'P' AND form <> '4/A' AND (is_ceo OR is_cfo) AND accepted_at >= TIMESTAMP '1998-01-01'
 GROUP BY accession HAVING sum(counted) >= 20000""")
-def stream_rule_executive(spark, sf):
+def rule_executive(spark, sf):
     members = px.constituents(spark, sf).where("index_name = 'sp500'")
     rows = jobs.in_scope(checkpoint(priced(spark, sf)), members, None)
-    alerts = jobs.executive_alerts(rows, F.col("accepted_at") >= F.lit("1998-01-01 00:00:00").cast("timestamp"), 20000)
-    return shown(alerts.select("dedupe_key", "rows", "amount", "traded_from"), "amount")
+    found = jobs.executive_alerts(rows, F.col("accepted_at") >= F.lit("1998-01-01 00:00:00").cast("timestamp"), 20000)
+    return shown(found.select("dedupe_key", "rows", "amount", "traded_from"), "amount")
+
 
+@query("stream_rule_executive", EXECUTIVE + f"""
+, pg AS (SELECT accession, CASE WHEN l_linenumber <= 2 THEN 0 ELSE 1 END AS page, sum(counted) AS s, count(*) AS n, min(td) AS d FROM sc
+  WHERE code = 'P' AND form <> '4/A' AND (is_ceo OR is_cfo) AND accepted_at >= TIMESTAMP '1998-01-01' GROUP BY 1, 2),
+su AS (SELECT accession, page, sum(s) OVER w AS s, sum(n) OVER w AS n, min(d) OVER w AS d FROM pg WINDOW w AS (PARTITION BY accession ORDER BY page)),
+al AS (SELECT *, row_number() OVER (PARTITION BY accession ORDER BY page) AS k FROM su WHERE s >= 20000)
+SELECT 'rule_executive:' || accession AS dedupe_key, CAST(n AS BIGINT) AS rows, {money('s')} AS amount, strftime(d, '%Y-%m-%d') AS traded_from FROM al WHERE k = 1""")
+def stream_rule_executive(spark, sf):
+    """Filings land in two pages, the first two lines of each an hour before the rest."""
+    members = px.constituents(spark, sf).where("index_name = 'sp500'")
+    page = F.when(F.split("id", "-")[1].cast("int") <= 2, 0).otherwise(1)
+    rows = jobs.in_scope(checkpoint(priced(spark, sf)), members, None).withColumn("_page", page).withColumn("received_at", F.lit("2002-01-01 00:00:00").cast("timestamp") + F.make_dt_interval(hours=page))
+    found = played(spark, landed_trades(rows), "received_at", LANDED_TRADE, lambda landed: alerts.executive_stream(landed, 20000, "1998-01-01 00:00:00"), alerts.EXECUTIVE_SCHEMA, pages=2)
+    return shown(found.select("dedupe_key", "rows", "amount", "traded_from"), "amount")
 
-@query("stream_rule_cluster", OVERVIEW + f"""
+
+@query("rule_cluster", OVERVIEW + f"""
 , b AS (SELECT * FROM pr WHERE code = 'P'), so AS (SELECT issuer_id, td, unnest(owner_ids) AS o FROM b), en AS (SELECT DISTINCT issuer_id, td AS e FROM b),
 q AS (SELECT en.issuer_id, e, count(DISTINCT o) AS n FROM en JOIN so ON so.issuer_id = en.issuer_id AND so.td BETWEEN e - 9 AND e GROUP BY 1, 2), wi AS (SELECT issuer_id, max(e) AS e FROM q WHERE n >= 3 GROUP BY 1),
 cl AS (SELECT b.*, accepted_at >= TIMESTAMP '2000-01-01' AND form <> '4/A' AS fresh FROM b JOIN wi USING (issuer_id) WHERE td BETWEEN e - 9 AND e)
 SELECT 'rule_cluster:' || issuer_id || ':' || strftime(min(td), '%Y-%m-%d') AS dedupe_key, count(*) AS rows, (SELECT count(DISTINCT o) FROM (SELECT unnest(owner_ids) AS o FROM cl c2 WHERE c2.issuer_id = cl.issuer_id)) AS people, {money('sum(counted)')} AS amount,
   strftime(max(accepted_at) FILTER (WHERE fresh), '%Y-%m-%d %H:%M:%S') AS at FROM cl GROUP BY issuer_id HAVING bool_or(fresh)""")
-def stream_rule_cluster(spark, sf):
+def rule_cluster(spark, sf):
     rows = checkpoint(priced(spark, sf).where("code = 'P'"))
-    alerts = jobs.cluster_alerts(rows, F.col("accepted_at") >= F.lit("2000-01-01 00:00:00").cast("timestamp"), 10, 3)
-    return shown(alerts.select("dedupe_key", "rows", "people", "amount", "at"), "amount")
+    found = jobs.cluster_alerts(rows, F.col("accepted_at") >= F.lit("2000-01-01 00:00:00").cast("timestamp"), 10, 3)
+    return shown(found.select("dedupe_key", "rows", "people", "amount", "at"), "amount")
+
+
+@query("stream_rule_cluster", OVERVIEW.replace("WITH", "WITH RECURSIVE", 1) + f"""
+, b AS (SELECT issuer_id, td, owner_ids, counted, accepted_at, form <> '4/A' AS fresh FROM pr WHERE code = 'P'),
+ev AS (SELECT DISTINCT issuer_id, accepted_at AS a FROM b WHERE fresh),
+kn AS (SELECT b.*, a FROM ev JOIN b USING (issuer_id) WHERE accepted_at <= a AND td >= CAST(a AS DATE) - 90),
+ow AS (SELECT DISTINCT issuer_id, a, td, unnest(owner_ids) AS o FROM kn), en AS (SELECT DISTINCT issuer_id, a, td AS e FROM kn),
+q AS (SELECT en.issuer_id, en.a, e FROM en JOIN ow ON ow.issuer_id = en.issuer_id AND ow.a = en.a AND ow.td BETWEEN e - 9 AND e GROUP BY 1, 2, 3 HAVING count(DISTINCT o) >= 2),
+wi AS (SELECT issuer_id, a, max(e) AS e FROM q GROUP BY 1, 2),
+ca AS (SELECT kn.issuer_id, kn.a, min(td) AS first, count(*) AS rows, sum(counted) AS amount FROM kn JOIN wi USING (issuer_id, a) WHERE td BETWEEN e - 9 AND e GROUP BY 1, 2 HAVING bool_or(fresh AND accepted_at = a)),
+pe AS (SELECT ow.issuer_id, ow.a, count(DISTINCT o) AS people FROM ow JOIN wi USING (issuer_id, a) WHERE td BETWEEN e - 9 AND e GROUP BY 1, 2),
+nu AS (SELECT *, 'rule_cluster:' || issuer_id || ':' || strftime(first, '%Y-%m-%d') AS dedupe_key FROM ca JOIN pe USING (issuer_id, a)),
+al AS (SELECT * EXCLUDE k FROM (SELECT *, [dedupe_key] AS sent, row_number() OVER (PARTITION BY issuer_id ORDER BY a) AS k FROM nu) WHERE k = 1
+  UNION ALL SELECT * EXCLUDE k FROM (SELECT nu.*, list_append(al.sent, nu.dedupe_key) AS sent, row_number() OVER (PARTITION BY nu.issuer_id ORDER BY nu.a) AS k
+    FROM al JOIN nu ON nu.issuer_id = al.issuer_id AND nu.a > al.a + INTERVAL 10 DAY AND NOT list_contains(al.sent, nu.dedupe_key)) WHERE k = 1)
+SELECT dedupe_key, rows, people, {money('amount')} AS amount, strftime(a, '%Y-%m-%d %H:%M:%S') AS at FROM al""")
+def stream_rule_cluster(spark, sf):
+    rows = priced(spark, sf).where("code = 'P'").withColumn("received_at", F.col("accepted_at"))
+    found = played(spark, landed_trades(rows), "received_at", LANDED_TRADE, lambda landed: alerts.cluster_stream(landed, 10, 2), alerts.CLUSTER_SCHEMA)
+    return shown(found.select("dedupe_key", "rows", "people", "amount", "at"), "amount")
 
 
 @query("digest_minutes", """
 SELECT strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M:%S') AS minute, count(*) AS alerts, CASE WHEN count(*) > 5 THEN 'digest' ELSE 'single' END AS message FROM events GROUP BY date_trunc('minute', ts)""")
 def digest_minutes(spark, sf):
-    return px.present(jobs.minute_counts(px.table(spark, sf, "events"), "ts"))
+    at = F.col("ts").cast("timestamp")
+    rows = px.table(spark, sf, "events").select(at.alias("at"), at.alias("received_at"), F.lit(False).alias("beat"))
+    beat = rows.agg((F.max("at") + F.expr("INTERVAL 1 DAY")).alias("at")).select("at", F.col("at").alias("received_at"), F.lit(True).alias("beat"))
+    found = played(spark, rows, "received_at", "at timestamp, received_at timestamp, beat boolean", alerts.minute_digests, "minute timestamp, alerts long, message string", beats=beat)
+    return px.present(found)
 
 
 @query("arrival_gaps", px.with_ctes(px.TRADES) + """

@@ -18,13 +18,19 @@ from ledgertide.operators import trades as trd
 from ledgertide.operators.timeline import active_reports
 from ledgertide.operators.versions import insert_once, latest_per_key
 from ledgertide.sources.market import merge_quotes
-from ledgertide.streaming.tables import BatchLog, Snapshot
+from ledgertide.streaming.tables import BatchLog, BucketLog, BucketSnapshot, Snapshot
 
 # Fixed values of the alert rules.
 LOOKBACK_DAYS, RULE_TRADE_DAYS, REPORT_SLACK_DAYS, DIGEST_OVER = 30, 90, 7, 5
 FILING_SCHEMA = "accession string, form string, issuer_id string, role string, accepted_at timestamp"
 
 
+def append(stream: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
+    """Write a stream to Parquet files, each row exactly once."""
+    writer = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
+    return (writer.trigger(availableNow=True) if once else writer).start()
+
+
 def run(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, once: bool = True) -> StreamingQuery:
     writer = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
@@ -50,8 +56,18 @@ def filing_writer(log: BatchLog) -> Callable[[DataFrame, int], None]:
 
 
 def new_filings(entries: DataFrame, delay: str = "30 days") -> DataFrame:
-    """Each accession once with bounded state, for feeds that never run later than ``delay``."""
-    return entries.withWatermark("accepted_at", delay).dropDuplicatesWithinWatermark(["accession"])
+    """Feed entries without those that polls landed again within ``delay``: most of every poll, kept from the log by bounded state.
+
+    The clock is ``received_at``, when a poll landed the entry, so pages of old filings that fill a gap are not late.
+    """
+    return entries.withWatermark("received_at", delay).dropDuplicatesWithinWatermark(["accession", "role"])
+
+
+def filing_log(entries: DataFrame, log: BucketLog, checkpoint: str, delay: str = "30 days") -> StreamingQuery:
+    """Each accession once, however late it arrives: recent repeats end in state, older ones in the touched buckets of the log."""
+    def each(batch: DataFrame, batch_id: int) -> None:
+        log.insert(batch_id, batch, ["accepted_at", "role"])
+    return run(new_filings(entries, delay), each, checkpoint)
 
 
 def arrival_gaps(entries: DataFrame, hours: int) -> DataFrame:
@@ -81,6 +97,13 @@ def quote_writer(table: Snapshot) -> Callable[[DataFrame, int], None]:
     return each
 
 
+def quote_table(stream: DataFrame, table: BucketSnapshot, checkpoint: str) -> StreamingQuery:
+    """Latest quotes; a batch reads and rewrites the buckets of its own symbols."""
+    def each(batch: DataFrame, batch_id: int) -> None:
+        table.update(batch_id, latest_per_key(batch, ["symbol"], ["source_time", "fetched_at"]), merge_quotes)
+    return run(stream, each, checkpoint)
+
+
 # --- alerts -----------------------------------------------------------------------
 
 ALERT_SCHEMA = "dedupe_key string, kind string, person_id string, issuer_id string, rows bigint, amount decimal(38,2), traded_from date, traded_to date, at timestamp"
