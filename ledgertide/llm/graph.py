@@ -17,9 +17,10 @@ def components(links: DataFrame) -> DataFrame:
     edges = common.stored(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     while not stars_only(edges):
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        # stored, so that Spark can split the edges of a node with many
+        least = common.stored(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")))
         large = common.stored(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
-        joined = large.join(large.groupBy("a").agg(F.min("b").alias("m")), "a")
+        joined = large.join(common.stored(large.groupBy("a").agg(F.min("b").alias("m"))), "a")
         edges = common.stored(joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(joined.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
     return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
 

@@ -152,7 +152,7 @@ def in_tiles(labelled: DataFrame, sets: DataFrame, threshold: float) -> DataFram
     percent = round(100 * threshold)
     mixed = labelled.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).where("low <> high")
     tiles = F.ceil(F.col("n") / TILE).cast("int")
-    rest = labelled.join(mixed.select("band", tiles.alias("tiles")), "band").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int"))
+    rest = labelled.join(common.stored(mixed.select("band", tiles.alias("tiles"))), "band").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int"))
     spread = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
         "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc_id", "label")
     kind = sets.schema["doc_id"].dataType.simpleString()
@@ -196,13 +196,14 @@ def in_tiles(labelled: DataFrame, sets: DataFrame, threshold: float) -> DataFram
 
 def linked(buckets: DataFrame, sets_of: Callable[[DataFrame], DataFrame], threshold: float) -> DataFrame:
     """(doc_id, band) -> node, label: the components of the links among documents that share a bucket; ``sets_of`` gives the sets (doc_id, items) of those."""
-    shared = buckets.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
+    # aggregates that are joined to many rows are stored first, so that Spark can split the rows of a frequent key
+    shared = common.stored(buckets.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band"))
     open_buckets = common.stored(buckets.join(shared, "band"))
     members = open_buckets.select("doc_id").distinct()
     sets = common.stored(sets_of(members))
 
     order = F.struct(F.xxhash64("doc_id").alias("o"), F.col("doc_id").alias("lead"))
-    leaders = open_buckets.groupBy("band").agg(F.min(order)["lead"].alias("lead"))
+    leaders = common.stored(open_buckets.groupBy("band").agg(F.min(order)["lead"].alias("lead")))
     met = open_buckets.join(leaders, "band").where("doc_id <> lead").select(F.least("doc_id", "lead").alias("a"), F.greatest("doc_id", "lead").alias("b")).distinct()
     stars = common.stored(graph.components(confirmed(met, sets, threshold)))
     labelled = common.stored(open_buckets.join(stars, open_buckets["doc_id"] == stars["node"], "left").select("band", "doc_id", F.coalesce("label", "doc_id").alias("label")))
@@ -232,8 +233,9 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, threshold: float, with
 
     groups = linked(classes.select(F.col("node").alias("doc_id"), F.explode("bands").alias("band")), sets_of, threshold)
     placed = common.stored(classes.select(*key, "head", "node").join(groups, "node", "left").select(*key, "head", F.coalesce("label", "node").alias("component")))
-    least = placed.groupBy("component").agg(F.min("head").alias("component_id"))
-    own = known.select("doc_id", *key).join(placed.join(least, "component").select(*key, "component", "component_id"), key, "left").select(
+    least = common.stored(placed.groupBy("component").agg(F.min("head").alias("component_id")))
+    named = common.stored(placed.join(least, "component").select(*key, "component", "component_id"))
+    own = known.select("doc_id", *key).join(named, key, "left").select(
         "doc_id", *key, "component", F.coalesce("component_id", "doc_id").alias("component_id"))
     nameless = marks.where("doc_id is null").select("doc_id", *key, F.lit(None).cast("long").alias("component"), F.col("doc_id").alias("component_id"))
     rows = own.union(nameless).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

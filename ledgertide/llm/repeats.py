@@ -204,36 +204,40 @@ def repeated_parts(docs: DataFrame, least: int = LEAST, spread: int = SPREAD) ->
 
 def _parts(docs: DataFrame, least: int, spread: int) -> DataFrame:
     places = common.stored(parsed(docs, least, spread))
-    known, entries = shared_only(places, "context", "whole", F.lit(1), ("key", "first", "count", "lead"))
-    settled = settled_of(known, entries, "context", "whole")
+    one, several, entries = shared_only(places, "context", "whole", F.lit(1), ("key", "first", "count", "lead"))
+    settled = settled_of(one, several, entries, "context", "whole")
 
     edges = entries.select("at.*", F.least("times", F.lit(2)).cast("int").alias("times"), "context", "whole").groupBy("key").agg(
         F.collect_list(F.struct(*[x.split()[0] for x in ENTRY.split(", ")])).alias("parts"))
     dictionary = common.stored(entry_strings(docs.join(edges, "key").select("key", "text", "parts"), least))
     pieces = common.stored(runs(dictionary, least))
-    known2, entries2 = shared_only(pieces, "c2", "w2", F.col("times"), ("context", "whole", "start", "count"))
+    one2, several2, entries2 = shared_only(pieces, "c2", "w2", F.col("times"), ("context", "whole", "start", "count"))
     # an entry that occurs more than once is settled; another one's string has its only place at the entry's
-    settled2 = settled_of(known2.where("times = 1"), entries2, "c2", "w2")
+    settled2 = settled_of(one2.where("times = 1"), several2.where("times = 1"), entries2, "c2", "w2")
 
     wanted = entries2.select("at.*", F.least("times", F.lit(2)).cast("int").alias("times")).groupBy("context", "whole").agg(F.collect_list(F.struct("start", "count", "times")).alias("parts"))
     single = common.stored(suffixes(dictionary.drop("times", "count").join(wanted, ["context", "whole"]), least))
-    again = single.groupBy("h1", "h2").agg(F.sum("times").alias("n")).where("n > 1").select("h1", "h2")
+    again = common.stored(single.groupBy("h1", "h2").agg(F.sum("times").alias("n")).where("n > 1").select("h1", "h2"))
     settled3 = single.where("times = 1").join(again, ["h1", "h2"], "left_semi").select("key", F.col("place").alias("first"), F.lit(1).alias("count"))
     return settled.union(settled2).union(settled3).groupBy("key").agg(F.collect_list(F.struct("first", "count")).alias("parts"))
 
 
-def shared_only(rows: DataFrame, context: str, whole: str, times, at: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
-    """The rows whose context occurs more than once (``one``: with one string only), and the distinct strings of the contexts that have several."""
-    shared = rows.groupBy(context).agg(F.sum(times).alias("n"), F.min(whole).alias("low"), F.max(whole).alias("high")).where("n > 1")
-    known = common.stored(rows.join(shared.select(context, (F.col("low") == F.col("high")).alias("one")), context))
-    entries = common.stored(known.where("not one").groupBy(context, whole).agg(F.sum(times).alias("times"), F.min(F.struct(*at)).alias("at")))
-    return known, entries
+def shared_only(rows: DataFrame, context: str, whole: str, times, at: tuple[str, ...]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows whose context occurs more than once, those of contexts with one string and those of contexts with several, and the distinct strings of the latter.
+
+    The contexts are stored key tables, so that Spark can split the rows of a frequent one.
+    """
+    shared = common.stored(rows.groupBy(context).agg(F.sum(times).alias("n"), (F.min(whole) == F.max(whole)).alias("one")).where("n > 1").select(context, "one"))
+    one, several = (rows.join(shared.where(which).select(context), context, "left_semi") for which in ("one", "not one"))
+    several = common.stored(several)
+    entries = common.stored(several.groupBy(context, whole).agg(F.sum(times).alias("times"), F.min(F.struct(*at)).alias("at")))
+    return one, several, entries
 
 
-def settled_of(known: DataFrame, entries: DataFrame, context: str, whole: str) -> DataFrame:
+def settled_of(one: DataFrame, several: DataFrame, entries: DataFrame, context: str, whole: str) -> DataFrame:
     """Runs of places whose whole string occurs again."""
-    again = known.where("not one").join(entries.where("times > 1").select(context, whole), [context, whole], "left_semi")
-    return known.where("one").select("key", "first", "count").union(again.select("key", "first", "count"))
+    again = several.join(entries.where("times > 1").select(context, whole), [context, whole], "left_semi")
+    return one.select("key", "first", "count").union(again.select("key", "first", "count"))
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, spread: int | None = None, whole_characters: bool = False) -> DataFrame:

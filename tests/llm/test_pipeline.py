@@ -54,7 +54,7 @@ def test_stages_take_effect(spark, tables, tmp_path):
 
     before, after, _ = kept["repeats"]
     assert set(before) == set(after)
-    gone = covered({i: (r["text"] or "").encode() for i, r in before.items()}, 400)
+    gone = covered({i: (r["text"] or "").encode() for i, r in before.items()}, corpus_pipeline.LEAST)
     for i, r in after.items():
         text = (before[i]["text"] or "").encode()
         plain = bytes(b for b, out in zip(text, gone[i], strict=True) if not out)
