@@ -49,9 +49,13 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return single.unionByName(whole.join(chosen, ["id", "kept_tag"], "left_semi").select(*[F.col("row").getField(c).alias(c) for c in docs.columns]))
 
 
+#: Bytes of a repeated passage that this stage removes: fifty words are at least as long, of four bytes each with the blank.
+LEAST = 200
+
+
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take long passages that occur more than once out of all texts; the rows stay."""
-    done = unwrapped(repeats.without_repeats(wrapped(docs), whole_characters=True).withColumn("text", F.decode("kept", "utf-8")), docs)
+    """Take passages of at least ``LEAST`` bytes that occur more than once out of all texts; the rows stay."""
+    done = unwrapped(repeats.without_repeats(wrapped(docs), least=LEAST, whole_characters=True).withColumn("text", F.decode("kept", "utf-8")), docs)
     return done.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else done
 
 
