@@ -25,8 +25,9 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows dealt by their first column over the session's shuffle partitions, before row-wise parsing."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.columns[0])
+    """Short rows dealt out evenly before texts are made of them and parsed, where the scan has fewer splits than the session's shuffle partitions (a small file is one split)."""
+    wanted = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
 
 
 # --- presentation -----------------------------------------------------------------

@@ -6,10 +6,13 @@ streams and tables are read the same way; ``lines`` and ``documents`` load files
 
 from __future__ import annotations
 
+import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from itertools import accumulate
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -173,99 +176,135 @@ def read_submission_text(rows: DataFrame, document: str = "value") -> DataFrame:
         F.when(problem.isNull(), F.regexp_extract(one, r"(?is)((?:<\?xml\s[^?]*\?>\s*)?<ownershipDocument.*</ownershipDocument>)", 1)).alias("xml"), problem.alias("reason"))
 
 
-_V = "STRUCT<value: STRING>"
-OWNERSHIP_ROW = (f"securityTitle {_V}, transactionDate {_V}, deemedExecutionDate {_V}, transactionCoding STRUCT<transactionFormType: STRING, transactionCode: STRING>, "
-                 f"transactionAmounts STRUCT<transactionShares: {_V}, transactionPricePerShare: {_V}, transactionAcquiredDisposedCode: {_V}>, "
-                 f"postTransactionAmounts STRUCT<sharesOwnedFollowingTransaction: {_V}>, ownershipNature STRUCT<directOrIndirectOwnership: {_V}, natureOfOwnership: {_V}>, "
-                 f"conversionOrExercisePrice {_V}, exerciseDate {_V}, expirationDate {_V}, underlyingSecurity STRUCT<underlyingSecurityTitle: {_V}, underlyingSecurityShares: {_V}>")
-OWNERSHIP_FILING = ("documentType STRING, periodOfReport STRING, aff10b5One STRING, issuer STRUCT<issuerCik: STRING, issuerName: STRING, issuerTradingSymbol: STRING>, "
-                    "reportingOwner ARRAY<STRUCT<reportingOwnerId: STRUCT<rptOwnerCik: STRING, rptOwnerName: STRING>, reportingOwnerRelationship: STRUCT<isDirector: STRING, "
-                    "isOfficer: STRING, isTenPercentOwner: STRING, isOther: STRING, officerTitle: STRING, otherText: STRING>>>, "
-                    "footnotes STRUCT<footnote: ARRAY<STRUCT<_id: STRING, _VALUE: STRING>>>")
-# The table elements of an ownership document, with the prefix of their rows.
+# The table elements of an ownership document with the prefix of their rows, and where a row's facts lie.
 OWNERSHIP_TABLES = (("I", "nonDerivative"), ("II", "derivative"))
-# Children of a table: an opening tag up to its own end tag, or an empty tag. Table rows never hold an element of their own name.
-_CHILD = r"(?s)(<([A-Za-z][\w.-]*)(?:\s[^>]*)?(?:/>|(?<!/)>.*?</\2\s*>))"
+OWNERSHIP_FACTS = {
+    "security_title": "securityTitle/value", "transaction_date": "transactionDate/value", "deemed_execution_date": "deemedExecutionDate/value",
+    "transaction_form_type": "transactionCoding/transactionFormType", "code": "transactionCoding/transactionCode", "shares": "transactionAmounts/transactionShares/value",
+    "price": "transactionAmounts/transactionPricePerShare/value", "direction": "transactionAmounts/transactionAcquiredDisposedCode/value",
+    "exercise_price": "conversionOrExercisePrice/value", "exercise_date": "exerciseDate/value", "expiration_date": "expirationDate/value",
+    "underlying_title": "underlyingSecurity/underlyingSecurityTitle/value", "underlying_shares": "underlyingSecurity/underlyingSecurityShares/value",
+    "ownership_type": "ownershipNature/directOrIndirectOwnership/value", "nature_of_ownership": "ownershipNature/natureOfOwnership/value",
+    "shares_after": "postTransactionAmounts/sharesOwnedFollowingTransaction/value",
+}
+OWNERSHIP_HEAD = {"document_type": "documentType", "period_of_report": "periodOfReport", "raw_plan_flag": "aff10b5One", "issuer_cik": "issuer/issuerCik", "issuer_name": "issuer/issuerName",
+                  "issuer_ticker": "issuer/issuerTradingSymbol"}
+
+
+def _text_at(element: ET.Element | None, path: str) -> str | None:
+    for tag in path.split("/"):
+        element = element.find(tag) if element is not None else None
+    return None if element is None else "".join(element.itertext()).strip()
+
+
+def _ownership_document(xml: str | None) -> tuple[ET.Element | None, list[tuple[str, int, ET.Element]]]:
+    """The root and the elements of both tables in order, numbered in their table from 1; no root where the text is no XML."""
+    try:
+        root = ET.fromstring(xml or "")
+    except ET.ParseError:
+        return None, []
+    if root.tag.startswith("{"):
+        for element in root.iter():
+            element.tag = element.tag.rpartition("}")[2] if isinstance(element.tag, str) else element.tag
+    rows = []
+    for table_no, prefix in OWNERSHIP_TABLES:
+        own = [child for table in root.findall(f"{prefix}Table") for child in table if isinstance(child.tag, str)]
+        rows += [(table_no, number + 1, child) for number, child in enumerate(own)]
+    return root, rows
+
+
+def ownership_documents(rows: DataFrame, xml: str = "xml", *keep: str) -> DataFrame:
+    """Each document parsed once: its head, owners, footnotes, and every element of the two tables with its position and facts as texts.
+
+    Python parses the XML, batch by batch; what the texts mean is left to columns.
+    """
+    kinds = {f"{prefix}{kind}": (no, kind.lower()) for no, prefix in OWNERSHIP_TABLES for kind in ("Transaction", "Holding")}
+    text = pa.string()
+
+    def lists(counts: list[int], columns: dict[str, pa.Array]) -> pa.ListArray:
+        return pa.ListArray.from_arrays(pa.array([0, *accumulate(counts)], pa.int32()), pa.StructArray.from_arrays(list(columns.values()), list(columns)))
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parsed = [_ownership_document(x) for x in batch.column(batch.num_columns - 1).to_pylist()]
+            roots = [root for root, _ in parsed]
+            head = [pa.array([_text_at(root, path) for root in roots], text) for path in OWNERSHIP_HEAD.values()]
+            owners = [[] if root is None else root.findall("reportingOwner") for root in roots]
+            notes = [[] if root is None else root.findall("footnotes/footnote") for root in roots]
+            elements = [row for _, own in parsed for row in own]
+            refs = [list(dict.fromkeys(n.get("id") for n in element.iter("footnoteId") if n.get("id"))) for _, _, element in elements]
+            known = [kinds.get(element.tag) for _, _, element in elements]
+            yield pa.RecordBatch.from_arrays([
+                *batch.columns[:-1], *head,
+                lists([len(o) for o in owners], {"cik": pa.array([_text_at(o, "reportingOwnerId/rptOwnerCik") for own in owners for o in own], text),
+                                                 "name": pa.array([_text_at(o, "reportingOwnerId/rptOwnerName") for own in owners for o in own], text)}),
+                lists([len(n) for n in notes], {"id": pa.array([n.get("id") for own in notes for n in own], text), "note": pa.array(["".join(n.itertext()).strip() for own in notes for n in own], text)}),
+                lists([len(own) for _, own in parsed], {
+                    "table_no": pa.array([no for no, _, _ in elements], text), "source_row_index": pa.array([number for _, number, _ in elements], pa.int32()),
+                    "row_kind": pa.array([k[1] if k and k[0] == no else None for k, (no, _, _) in zip(known, elements, strict=True)], text),
+                    **{name: pa.array([_text_at(element, path) for _, _, element in elements], text) for name, path in OWNERSHIP_FACTS.items()},
+                    "footnote_ids": pa.array(refs, pa.list_(text))})], names)
+
+    names = [*keep, *OWNERSHIP_HEAD, "owners", "footnotes", "elements"]
+    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.select(*keep).schema.fields)
+    element = ", ".join(["table_no: string", "source_row_index: int", "row_kind: string", *[f"{name}: string" for name in OWNERSHIP_FACTS], "footnote_ids: array<string>"])
+    schema = (kept + "".join(f"{name} string, " for name in OWNERSHIP_HEAD) + "owners array<struct<cik: string, name: string>>, footnotes array<struct<id: string, note: string>>, "
+              f"elements array<struct<{element}>>")
+    return rows.select(*keep, F.col(xml).cast("string")).mapInArrow(parse, schema)
 
 
 def read_ownership_filings(rows: DataFrame, xml: str = "xml", *keep: str) -> DataFrame:
-    """Issuer, owners, footnotes and warnings of ownership documents; unsupported document types drop out."""
-    options = {"attributePrefix": "_", "valueTag": "_VALUE"}
-    f = rows.select(*keep, F.col(xml).alias("xml"), F.from_xml(F.col(xml), OWNERSHIP_FILING, options).alias("f"))
-    form = form_of(F.replace(F.col("f.documentType"), F.lit(" "), F.lit("")))
-    owners = F.coalesce("f.reportingOwner", F.array().cast("array<struct<reportingOwnerId:struct<rptOwnerCik:string,rptOwnerName:string>,reportingOwnerRelationship:struct<isDirector:string,isOfficer:string,isTenPercentOwner:string,isOther:string,officerTitle:string,otherText:string>>>"))
-    notes = F.coalesce("f.footnotes.footnote", F.array().cast("array<struct<_id:string,_VALUE:string>>"))
-    ids = F.filter(F.transform(notes, lambda n: n["_id"]), lambda i: i.isNotNull() & (i != ""))
-    period = F.try_to_date("f.periodOfReport", "yyyy-MM-dd")
+    """Issuer, owners, footnotes, table elements and warnings of ownership documents; unsupported document types drop out."""
+    f = ownership_documents(rows, xml, *keep)
+    form = form_of(F.replace(F.col("document_type"), F.lit(" "), F.lit("")))
+    ids = F.filter(F.transform("footnotes", lambda n: n["id"]), lambda i: i.isNotNull() & (i != ""))
+    period = F.try_to_date("period_of_report", "yyyy-MM-dd")
     warnings = F.concat(
-        F.when(F.size(F.array_distinct(ids)) != F.size(notes), F.array(F.lit("duplicate_or_missing_footnote_id"))).otherwise(F.array().cast("array<string>")),
-        F.transform(F.filter(owners, lambda o: T.cik(o["reportingOwnerId"]["rptOwnerCik"]).isNull()), lambda o: F.lit("missing_or_invalid_owner_cik")),
+        F.when(F.size(F.array_distinct(ids)) != F.size("footnotes"), F.array(F.lit("duplicate_or_missing_footnote_id"))).otherwise(F.array().cast("array<string>")),
+        F.transform(F.filter("owners", lambda o: T.cik(o["cik"]).isNull()), lambda o: F.lit("missing_or_invalid_owner_cik")),
         F.array_compact(F.array(
-            F.when(F.size(owners) == 0, "no_reporting_owners"), F.when(T.cik(F.col("f.issuer.issuerCik")).isNull(), "missing_or_invalid_issuer_cik"),
-            F.when(F.col("f.periodOfReport").isNotNull() & period.isNull(), "invalid_date:period_of_report"))))
-    return f.select(*keep, "xml", form.alias("form"), period.alias("period"), F.col("f.aff10b5One").alias("raw_plan_flag"),
-                    T.cik(F.col("f.issuer.issuerCik")).alias("issuer_id"), F.col("f.issuer.issuerName").alias("issuer_name"), F.col("f.issuer.issuerTradingSymbol").alias("issuer_ticker"),
-                    owners.alias("owners"), notes.alias("footnotes"), warnings.alias("filing_warnings")).where("form IS NOT NULL")
-
-
-def _table_children(tag: str):
-    body = F.regexp_extract("xml", f"(?s)<{tag}Table(?:\\s[^>]*)?(?<!/)>(.*)</{tag}Table\\s*>", 1)
-    return F.regexp_extract_all(body, F.lit(_CHILD), F.lit(1))
-
-
-def ownership_children(filings: DataFrame) -> DataFrame:
-    """Every element of the two tables, numbered in its table from 1; ``known`` tells transactions and holdings of the right table."""
-    tables = F.array(*[F.struct(F.lit(no).alias("table_no"), F.lit(tag).alias("prefix"), _table_children(tag).alias("children")) for no, tag in OWNERSHIP_TABLES])
-    children = filings.withColumn("t", F.explode(tables)).select("*", F.posexplode("t.children").alias("pos", "child"))
-    name = F.regexp_extract("child", r"^<([\w.-]+)", 1)
-    prefix = F.col("t.prefix")
-    return children.select("*", F.col("t.table_no").alias("table_no"), (F.col("pos") + 1).alias("source_row_index"),
-                           F.when(name == F.concat(prefix, F.lit("Holding")), "holding").when(name == F.concat(prefix, F.lit("Transaction")), "transaction").alias("row_kind"))
+            F.when(F.size("owners") == 0, "no_reporting_owners"), F.when(T.cik(F.col("issuer_cik")).isNull(), "missing_or_invalid_issuer_cik"),
+            F.when(F.col("period_of_report").isNotNull() & period.isNull(), "invalid_date:period_of_report"))))
+    return f.select(*keep, form.alias("form"), period.alias("period"), "raw_plan_flag", T.cik(F.col("issuer_cik")).alias("issuer_id"), "issuer_name", "issuer_ticker",
+                    "owners", "footnotes", "elements", warnings.alias("filing_warnings")).where("form IS NOT NULL")
 
 
 def ownership_warnings(rows: DataFrame, xml: str = "xml", *keep: str) -> DataFrame:
     """Warnings about whole documents, one row each: issuer, owners, footnote ids, and table elements that are no row."""
     filings = read_ownership_filings(rows, xml, *keep)
-    odd = ownership_children(filings.select(*keep, "xml")).where("row_kind IS NULL").select(
-        *keep, F.concat_ws(":", F.lit("unrecognized_table_child"), "table_no", F.col("source_row_index").cast("string")).alias("warning"))
-    return filings.select(*keep, F.explode("filing_warnings").alias("warning")).unionByName(odd)
+    odd = F.transform(F.filter("elements", lambda e: e["row_kind"].isNull()), lambda e: F.concat_ws(":", F.lit("unrecognized_table_child"), e["table_no"], e["source_row_index"].cast("string")))
+    return filings.select(*keep, F.explode(F.concat("filing_warnings", odd)).alias("warning"))
 
 
 def parse_ownership(rows: DataFrame, xml: str = "xml", *keep: str) -> DataFrame:
     """One row per transaction or holding in document order, never replicated per owner.
 
-    The tables' elements are cut out in order and parsed one by one; source_row_index numbers all elements of a table, so an
-    unknown one takes a number. A text that is no date or no number of zero or more gives NULL and a warning.
+    source_row_index numbers all elements of a table, so an unknown one takes a number. A text that is no date or no number of zero or more gives NULL and a warning.
     """
     filings = read_ownership_filings(rows, xml, *keep)
-    owner_ids = F.array_sort(F.array_distinct(F.array_compact(F.transform("owners", lambda o: T.cik(o["reportingOwnerId"]["rptOwnerCik"])))))
-    parsed = ownership_children(filings.withColumn("owner_ids", owner_ids)).where("row_kind IS NOT NULL").withColumn("r", F.from_xml("child", OWNERSHIP_ROW))
+    owner_ids = F.array_sort(F.array_distinct(F.array_compact(F.transform("owners", lambda o: T.cik(o["cik"])))))
+    parsed = filings.withColumn("owner_ids", owner_ids).withColumn("r", F.explode(F.filter("elements", lambda e: e["row_kind"].isNotNull()))).drop("elements")
     warnings = []
 
-    def number(path: str, name: str):
-        text = F.trim(F.col(path))
+    def number(name: str):
+        text = F.col(f"r.{name}")
         good = text.rlike(r"^[+]?(?:[0-9]+(?:[.][0-9]*)?|[.][0-9]+)$")
         warnings.append(F.when((text != "") & ~good, f"invalid_number:{name}"))
         return F.when(good, text.try_cast("decimal(30,6)")).alias(name)
 
-    def day(path: str, name: str):
-        text = F.trim(F.col(path))
+    def day(name: str):
+        text = F.col(f"r.{name}")
         value = F.try_to_date(text, "yyyy-MM-dd")
         warnings.append(F.when((text != "") & value.isNull(), f"invalid_date:{name}"))
         return value.alias(name)
 
-    code, way = F.col("r.transactionCoding.transactionCode"), F.col("r.transactionAmounts.transactionAcquiredDisposedCode.value")
-    refs = F.array_distinct(F.concat(F.regexp_extract_all("child", F.lit(r"<footnoteId\s+id\s*=\s*[\"']([^\"']+)[\"']"), F.lit(1)), F.array().cast("array<string>")))
-    known = F.transform("footnotes", lambda n: n["_id"])
-    transaction, form3 = F.col("row_kind") == "transaction", F.col("form").isin("3", "3/A")
+    plain = lambda name: F.col(f"r.{name}")
+    code, way, refs = plain("code"), plain("direction"), plain("footnote_ids")
+    known = F.transform("footnotes", lambda n: n["id"])
+    transaction, form3 = plain("row_kind") == "transaction", F.col("form").isin("3", "3/A")
     fields = [
-        F.col("r.securityTitle.value").alias("security_title"), day("r.transactionDate.value", "transaction_date"), day("r.deemedExecutionDate.value", "deemed_execution_date"),
-        code.alias("code"), way.alias("direction"), F.col("r.transactionCoding.transactionFormType").alias("transaction_form_type"),
-        number("r.transactionAmounts.transactionShares.value", "shares"), number("r.transactionAmounts.transactionPricePerShare.value", "price"),
-        number("r.conversionOrExercisePrice.value", "exercise_price"), day("r.exerciseDate.value", "exercise_date"), day("r.expirationDate.value", "expiration_date"),
-        F.col("r.underlyingSecurity.underlyingSecurityTitle.value").alias("underlying_title"), number("r.underlyingSecurity.underlyingSecurityShares.value", "underlying_shares"),
-        F.col("r.ownershipNature.directOrIndirectOwnership.value").alias("ownership_type"), F.col("r.ownershipNature.natureOfOwnership.value").alias("nature_of_ownership"),
-        number("r.postTransactionAmounts.sharesOwnedFollowingTransaction.value", "shares_after")]
+        plain("security_title"), day("transaction_date"), day("deemed_execution_date"), code, way, plain("transaction_form_type"), number("shares"), number("price"), number("exercise_price"),
+        day("exercise_date"), day("expiration_date"), plain("underlying_title"), number("underlying_shares"), plain("ownership_type"), plain("nature_of_ownership"), number("shares_after")]
     found = F.concat(
         F.transform(F.array_except(refs, known), lambda x: F.concat(F.lit("missing_footnote:"), x)),
         F.array_compact(F.array(
@@ -273,9 +312,9 @@ def parse_ownership(rows: DataFrame, xml: str = "xml", *keep: str) -> DataFrame:
             F.when(transaction & (code.isNull() | ~F.coalesce(way.isin("A", "D"), F.lit(False))), "incomplete_transaction_coding"),
             F.when((code.eqNullSafe("P") & ~way.eqNullSafe("A")) | (code.eqNullSafe("S") & ~way.eqNullSafe("D")), "code_direction_conflict"), *warnings)))
     return parsed.select(
-        *keep, "form", "issuer_id", "issuer_ticker", "raw_plan_flag", "owner_ids", "table_no", "source_row_index", "row_kind",
-        (transaction & ~form3).alias("is_trade"), action_category(F.col("row_kind"), F.col("form"), code, way).alias("action_category"), *fields,
-        refs.alias("footnote_ids"), F.transform(F.filter("footnotes", lambda n: F.array_contains(refs, n["_id"])), lambda n: n["_VALUE"]).alias("notes"),
+        *keep, "form", "issuer_id", "issuer_ticker", "raw_plan_flag", "owner_ids", "r.table_no", "r.source_row_index", "r.row_kind",
+        (transaction & ~form3).alias("is_trade"), action_category(plain("row_kind"), F.col("form"), code, way).alias("action_category"), *fields,
+        refs.alias("footnote_ids"), F.transform(F.filter("footnotes", lambda n: F.array_contains(refs, n["id"])), lambda n: n["note"]).alias("notes"),
         found.alias("warnings"))
 
 
