@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ledgertide.functions import stats
 from ledgertide.functions import text as T
 from ledgertide.operators import trades as trd
+from ledgertide.session import checkpoint
 
 # Rows per list.
 SECTION_ROWS = {"cluster_buys": 20, "cluster_sales": 20, "large_buys": 10, "large_sales": 10, "executive_buys": 20,
@@ -96,16 +97,14 @@ def cluster_order(side: str) -> list[Column]:
 def cluster_windows(rows: DataFrame, days: int = 7, people: int = 2) -> DataFrame:
     """Newest window (d-days+1 .. d) per issuer and side with at least ``people`` distinct owners.
 
-    Each distinct (issuer, side, owner, day) votes for the window ends it lies in, kept only where the
-    issuer traded on that end day; owners are then counted per end with a two-step distinct.
+    Each trade votes for the window ends its day lies in, once per owner; an end counts if the issuer traded on
+    that day. Owners are counted per end with a two-step distinct.
     """
-    seen = rows.select("issuer_id", "code", "transaction_date", F.explode("owner_ids").alias("owner_id")).distinct()
-    ends = seen.select("issuer_id", "code", F.col("transaction_date").alias("end_date")).distinct()
-    votes = seen.select("issuer_id", "code", "owner_id", F.explode(F.sequence(
-        F.col("transaction_date"), F.date_add("transaction_date", days - 1))).alias("end_date")).distinct()
-    counted = votes.groupBy("issuer_id", "code", "end_date").agg(F.count("*").alias("owners")).where(F.col("owners") >= people)
-    valid = counted.join(ends, ["issuer_id", "code", "end_date"], "left_semi")
-    return valid.groupBy("issuer_id", "code").agg(F.max("end_date").alias("window_end"))
+    seen = rows.select("issuer_id", "code", "transaction_date", F.explode("owner_ids").alias("owner_id"))
+    votes = seen.select("*", F.explode(F.sequence(F.col("transaction_date"), F.date_add("transaction_date", days - 1))).alias("end_date"))
+    owners = votes.groupBy("issuer_id", "code", "end_date", "owner_id").agg(F.bool_or(F.col("transaction_date") == F.col("end_date")).alias("traded"))
+    ends = owners.groupBy("issuer_id", "code", "end_date").agg(F.count("*").alias("owners"), F.bool_or("traded").alias("traded")).where(F.col("traded") & (F.col("owners") >= people))
+    return ends.groupBy("issuer_id", "code").agg(F.max("end_date").alias("window_end"))
 
 
 def cluster_trades(rows: DataFrame, days: int = 7, people: int = 2, exclude_plans: bool = False) -> DataFrame:
@@ -132,26 +131,60 @@ def holding_increase(rows: DataFrame) -> DataFrame:
     return rows.withColumn("holding_change", F.when(before > 0, stats.ratio(F.col("shares"), before) * 100))
 
 
-def overview_sections(priced: DataFrame, min_amount: float = 0, cluster_days: int = 7, cluster_people: int = 2,
-                      exclude_cluster_plans: bool = True, company_sort: str = "net_buy",
-                      sizes: dict[str, int] | None = None) -> dict[str, DataFrame]:
-    """The seven lists over priced rows; pass a checkpointed or cached ``priced``."""
+def overview_lists(priced: DataFrame, min_amount: float = 0, cluster_days: int = 7, cluster_people: int = 2, exclude_cluster_plans: bool = True,
+                   company_sort: str = "net_buy", sizes: dict[str, int] | None = None) -> DataFrame:
+    """All seven lists in one frame: section, position, total, key, and the trade or the company that the key names.
+
+    Every trade is tagged with the lists it belongs to. Companies of all three company lists are one aggregation by (list, issuer); one
+    count by list gives the totals, and one ranking by list, which Spark limits before the shuffle, gives the positions.
+    ``priced`` is read a few times; pass a checkpointed one.
+    """
     k = {**SECTION_ROWS, **(sizes or {})}
     rows = priced.where(F.col("counted") >= min_amount) if min_amount > 0 else priced
-    buys, sales = rows.where("code = 'P'"), rows.where("code = 'S'")
-    largest = [F.desc("counted"), F.desc("id")]
+    buy, sale = F.col("code") == "P", F.col("code") == "S"
     executive = F.col("is_ceo") | F.col("is_cfo") | F.col("is_president") | F.col("is_chair")
-    raised = holding_increase(buys).where("holding_change >= 20")
-    return {
-        "large_buys": top_with_total(buys.where("counted IS NOT NULL"), "large_buys", largest, k["large_buys"]),
-        "large_sales": top_with_total(sales.where("counted IS NOT NULL"), "large_sales", largest, k["large_sales"]),
-        "executive_buys": top_with_total(buys.where(executive), "executive_buys", [F.desc("transaction_date"), F.desc("id")], k["executive_buys"]),
-        "holding_increases": top_with_total(raised, "holding_increases", [F.desc("holding_change"), F.desc("id")], k["holding_increases"]),
-        "cluster_buys": top_with_total(company_totals(cluster_trades(buys, cluster_days, cluster_people)), "cluster_buys", cluster_order("P"), k["cluster_buys"]),
-        "cluster_sales": top_with_total(company_totals(cluster_trades(sales, cluster_days, cluster_people, exclude_cluster_plans)), "cluster_sales",
-                                        cluster_order("S"), k["cluster_sales"]),
-        "companies": top_with_total(company_totals(rows), "companies", company_order(company_sort), k["companies"]),
-    }
+    nothing, none = F.lit(0).cast("decimal(38,12)"), F.lit(None)
+
+    # orders of the lists on common columns: day, people, amount (unknown last), ratio, then ascending issuer or descending trade
+    def tag(name: str, when: Column, day: Column = F.lit(0), amount: Column = nothing, ratio: Column = F.lit(0.0)) -> Column:
+        return F.when(when, F.struct(F.lit(name).alias("section"), day.alias("day"), F.lit(0).cast("long").alias("people"), amount.cast("decimal(38,12)").alias("amount"), ratio.alias("ratio")))
+
+    raised = holding_increase(rows)
+    lists = F.array_compact(F.array(
+        tag("large_buys", buy & F.col("counted").isNotNull(), amount=F.col("counted")), tag("large_sales", sale & F.col("counted").isNotNull(), amount=F.col("counted")),
+        tag("executive_buys", buy & executive, day=F.unix_date("transaction_date")), tag("holding_increases", buy & (F.col("holding_change") >= 20), ratio=F.col("holding_change"))))
+    trades = raised.select(F.explode(lists).alias("t"), F.struct(*raised.columns).alias("trade")).select("t.*", none.cast("string").alias("issuer_id"), F.col("trade.id").alias("id"), "trade")
+
+    used = rows.where(~(sale & F.col("is_plan"))) if exclude_cluster_plans else rows
+    windows = cluster_windows(used, cluster_days, cluster_people)
+    inside = F.coalesce(F.col("transaction_date").between(F.date_sub("window_end", cluster_days - 1), F.col("window_end")), F.lit(False))
+    planned = sale & F.col("is_plan") if exclude_cluster_plans else F.lit(False)
+    member = F.array_compact(F.array(F.lit("companies"), F.when(inside & buy, "cluster_buys"), F.when(inside & sale & ~planned, "cluster_sales")))
+    totals = company_totals(rows.join(windows, ["issuer_id", "code"], "left").withColumn("section", F.explode(member)), ["section", "issuer_id"])
+    in_cluster, sells = F.col("section") != "companies", F.col("section") == "cluster_sales"
+    gross = F.coalesce("buy", F.lit(0)) + F.coalesce("sell", F.lit(0))
+    chosen = {"net_buy": F.col("net"), "net_sell": -F.col("net"), "buy": F.col("buy"), "sell": F.col("sell"), "people": gross}[company_sort]
+    company_people = F.col("people") if company_sort == "people" else F.lit(0)
+    companies = totals.select(
+        "section", F.when(in_cluster, F.unix_date("end_date")).otherwise(0).alias("day"),
+        F.when(sells, F.col("sell_people")).when(in_cluster, F.col("buy_people")).otherwise(company_people).cast("long").alias("people"),
+        F.when(sells, F.col("sell")).when(in_cluster, F.col("buy")).otherwise(chosen).cast("decimal(38,12)").alias("amount"), F.lit(0.0).alias("ratio"),
+        "issuer_id", none.cast("string").alias("id"), F.struct(*[c for c in totals.columns if c != "section"]).alias("company"))
+
+    tagged = trades.unionByName(companies, allowMissingColumns=True)
+    order = Window.partitionBy("section").orderBy(F.desc("day"), F.desc("people"), F.desc_nulls_last("amount"), F.desc("ratio"), F.asc("issuer_id"), F.desc("id"))
+    limit = F.create_map(*[F.lit(x) for name, size in k.items() for x in (name, size)])
+    most = max(k.values())
+    first = tagged.withColumn("position", F.row_number().over(order)).where((F.col("position") <= most)).where(F.col("position") <= limit[F.col("section")])
+    counts = tagged.groupBy("section").agg(F.count("*").alias("total"))
+    return first.join(F.broadcast(counts), "section").select("section", "position", "total", F.coalesce("id", "issuer_id").alias("key"), "trade", "company")
+
+
+def overview_sections(priced: DataFrame, **options) -> dict[str, DataFrame]:
+    """The seven lists by name, with the columns of their trades or companies; see ``overview_lists``."""
+    lists = checkpoint(overview_lists(priced, **options))  # as many rows as the lists are long
+    companies = ("cluster_buys", "cluster_sales", "companies")
+    return {name: lists.where(F.col("section") == name).select("company.*" if name in companies else "trade.*", "section", "position", "total") for name in SECTION_ROWS}
 
 
 # --- activity ---------------------------------------------------------------------

@@ -328,15 +328,7 @@ UNION ALL {top_sql('executive_buys', 'ex', 'td DESC, key DESC', 20)} UNION ALL {
 UNION ALL {top_sql('cluster_buys', 'cb', 'b DESC, pn DESC, amt2 DESC NULLS LAST, key', 20)} UNION ALL {top_sql('cluster_sales', 'cz', 'b DESC, pn DESC, amt2 DESC NULLS LAST, key', 20)}
 UNION ALL {top_sql('companies', 'cn', 'net DESC NULLS LAST, key', 50)}""")
 def overview_sections(spark, sf):
-    sections = ovw.overview_sections(checkpoint(priced(spark, sf)))
-    parts = []
-    for name, rows in sections.items():
-        key = "id" if "id" in rows.columns else "issuer_id"
-        parts.append(rows.select("section", "position", F.col(key).alias("key"), "total"))
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return px.present(result)
+    return px.present(ovw.overview_lists(checkpoint(priced(spark, sf))).select("section", "position", "key", "total"))
 
 
 @query("topk_with_total", OVERVIEW + ", lb AS (SELECT id AS key, counted FROM pr WHERE code = 'P' AND counted IS NOT NULL) " + top_sql("large_buys", "lb", "counted DESC, key DESC", 100))
