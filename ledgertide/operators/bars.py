@@ -163,20 +163,40 @@ def missing_sessions(ranges: DataFrame, bars: DataFrame, sessions: DataFrame, sp
                       ["symbol", "session_date"], "left_anti").select("symbol", "session_date", "session_no")
 
 
-def coverage(ranges: DataFrame, bars: DataFrame, sessions: DataFrame, spine: DataFrame, completed: str) -> DataFrame:
-    """COMPLETE / PARTIAL / NOT_FETCHED per range, with missing sessions and those already closed (gaps)."""
+def prefix_counts(bars: DataFrame, sessions: DataFrame) -> DataFrame:
+    """(symbol, session_no) -> bars and valid bars of the symbol up to that session, from its first bar to the last session.
+
+    At most one row per symbol and session, as bars have; any range is then counted by two equi-joined lookups.
+    """
     days = F.broadcast(sessions.select("session_date", "session_no"))
-    present = (bars.join(days, "session_date")
-               .join(ranges.select("symbol", "start_date", "end_date"), "symbol")
-               .where(F.col("session_date").between(F.col("start_date"), F.col("end_date")))
-               .groupBy("symbol", "start_date", "end_date")
-               .agg(F.count("*").alias("fetched"), F.count_if(F.col("status") == "VALID").alias("valid"),
-                    F.count_if((F.col("status") == "VALID") & (F.col("session_date") <= F.lit(completed).cast("date"))).alias("valid_done")))
+    daily = bars.join(days, "session_date").groupBy("symbol", "session_no").agg(F.count("*").alias("fetched"), F.count_if(F.col("status") == "VALID").alias("valid"))
+    w = Window.partitionBy("symbol").orderBy("session_no")
+    final = sessions.select(F.max("session_no")).scalar()
+    running = daily.select("symbol", "session_no", F.coalesce(F.lead("session_no").over(w) - 1, F.greatest("session_no", final)).alias("until"),
+                           F.sum("fetched").over(w).alias("fetched"), F.sum("valid").over(w).alias("valid"))
+    return running.select("symbol", F.explode(F.sequence("session_no", "until")).alias("session_no"), "fetched", "valid")
+
+
+def coverage(ranges: DataFrame, bars: DataFrame, sessions: DataFrame, spine: DataFrame, completed: str) -> DataFrame:
+    """COMPLETE / PARTIAL / NOT_FETCHED per range, with missing sessions and those already closed (gaps).
+
+    Counts are differences of prefix counts, so a range costs three lookups however long it is and however many ranges a symbol has.
+    """
     rows = expected_sessions(ranges, spine)
     rows = rows.withColumn("_cut_no", spine.where(F.col("day") == F.lit(completed).cast("date")).select("prev_incl").scalar())
     done = F.greatest(F.lit(0), F.least(F.col("last_no"), F.col("_cut_no")) - F.col("first_no") + 1)
-    rows = rows.withColumn("_done", done).join(present, ["symbol", "start_date", "end_date"], "left").fillna(
-        0, ["fetched", "valid", "valid_done"])
+    rows = rows.withColumn("_done", done)
+    key = ["symbol", "first_no", "last_no", "_cut_no"]
+    # the counts before the range, at its last session, and at its last closed session
+    ends = F.array(*[F.struct(F.lit(end).alias("end"), no.cast("int").alias("session_no")) for end, no in (
+        ("before", F.col("first_no") - 1), ("last", F.col("last_no")), ("closed", F.greatest(F.col("first_no") - 1, F.least("last_no", "_cut_no"))))])
+    asked = rows.select(*key).distinct().select(*key, F.explode(ends).alias("e")).select(*key, "e.*")
+    at = lambda end, name: F.coalesce(F.max(F.when(F.col("end") == end, F.col(name))), F.lit(0))
+    found = asked.join(prefix_counts(bars, sessions), ["symbol", "session_no"], "left").groupBy(*key).agg(
+        (at("last", "fetched") - at("before", "fetched")).alias("fetched"), (at("last", "valid") - at("before", "valid")).alias("valid"),
+        (at("closed", "valid") - at("before", "valid")).alias("valid_done"))
+    # a range without sessions has nothing to look up
+    rows = rows.join(found, key, "left").withColumns({c: F.when(F.col("last_no") >= F.col("first_no"), F.coalesce(c, F.lit(0))).otherwise(0) for c in ("fetched", "valid", "valid_done")})
     missing, gaps = F.col("expected") - F.col("valid"), F.col("_done") - F.col("valid_done")
     return rows.select(
         "symbol", "start_date", "end_date", F.col("expected").cast("long").alias("expected"), "valid",
@@ -197,11 +217,20 @@ def merge_ranges(ranges: DataFrame, keys: Sequence[str], start: str, end: str) -
     return islands.groupBy(*keys, "_island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_island")
 
 
+#: Days of a bucket in which bars and ranges of a symbol meet.
+RANGE_BUCKET = 64
+
+
 def scan_bars_ranges(bars: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Bars of each symbol inside its wanted ranges; ranges are merged so a bar is read once."""
+    """Bars of each symbol inside its wanted ranges; ranges are merged so a bar is read once.
+
+    Bars and ranges meet by symbol and bucket of days, never by the symbol alone: a bucket holds at most ``RANGE_BUCKET`` bars and half as many merged ranges.
+    """
     merged = merge_ranges(ranges, ["symbol"], "start_date", "end_date")
-    return bars.join(merged, "symbol").where(F.col("session_date").between(F.col("start_date"), F.col("end_date"))).select(
-        *bars.columns)
+    bucket = lambda day: F.floor(F.unix_date(day) / RANGE_BUCKET)
+    pieces = merged.select("symbol", "start_date", "end_date", F.explode(F.sequence(bucket("start_date"), bucket("end_date"))).alias("_bucket"))
+    return bars.withColumn("_bucket", bucket("session_date")).join(pieces, ["symbol", "_bucket"]).where(
+        F.col("session_date").between(F.col("start_date"), F.col("end_date"))).select(*bars.columns)
 
 
 def scan_source_priority(*sources: DataFrame) -> DataFrame:

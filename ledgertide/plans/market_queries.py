@@ -161,6 +161,21 @@ def coverage(spark, sf):
     return px.present(bar.coverage(wanted_ranges(spark, sf), m.bars, m.sessions, m.spine, px.CUTOFF))
 
 
+@query("coverage_of_many_ranges", px.with_ctes(px.PX) + """
+, r AS (SELECT DISTINCT 'S' || CAST(o_custkey % 8 AS VARCHAR) AS symbol, CAST(o_orderdate AS DATE) AS a, CAST(o_orderdate AS DATE) + 20 + CAST(o_orderkey % 3 AS INTEGER) AS b FROM orders WHERE o_orderdate < DATE '1998-06-01'),
+e AS (SELECT r.symbol, a, b, ses.d, px.d IS NOT NULL AS have FROM r JOIN ses ON ses.d BETWEEN a AND b LEFT JOIN px ON px.symbol = r.symbol AND px.d = ses.d)
+SELECT symbol, strftime(a, '%Y-%m-%d') AS start_date, strftime(b, '%Y-%m-%d') AS end_date, count(*) AS expected, count(*) FILTER (WHERE have) AS valid,
+  count(*) FILTER (WHERE NOT have) AS missing, count(*) FILTER (WHERE NOT have AND d <= DATE '1995-06-30') AS gaps,
+  CASE WHEN count(*) FILTER (WHERE have) = 0 THEN 'NOT_FETCHED' WHEN count(*) FILTER (WHERE NOT have AND d <= DATE '1995-06-30') = 0 THEN 'COMPLETE' ELSE 'PARTIAL' END AS coverage
+FROM e GROUP BY symbol, a, b""")
+def coverage_of_many_ranges(spark, sf):
+    m = px.market(spark, sf)
+    first = F.to_date("o_orderdate")
+    ranges = px.table(spark, sf, "orders").where("o_orderdate < DATE '1998-06-01'").select(
+        F.concat(F.lit("S"), (F.col("o_custkey") % 8).cast("string")).alias("symbol"), first.alias("start_date"), F.date_add(first, 20 + (F.col("o_orderkey") % 3).cast("int")).alias("end_date")).distinct()
+    return px.present(bar.coverage(ranges, m.bars, m.sessions, m.spine, "1995-06-30"))
+
+
 @query("anti_missing_sessions", px.with_ctes(px.PX) + RANGES + """
 SELECT rg.symbol, strftime(ses.d, '%Y-%m-%d') AS session_date, CAST(ses.no AS BIGINT) AS session_no FROM rg JOIN ses ON ses.d BETWEEN a AND b
 WHERE NOT EXISTS (SELECT 1 FROM px WHERE px.symbol = rg.symbol AND px.d = ses.d)""")

@@ -108,3 +108,30 @@ def test_merge_ranges(spark):
     d = lambda n: date(2024, 1, 1) + timedelta(n)
     df = spark.createDataFrame([("a", d(0), d(5)), ("a", d(3), d(8)), ("a", d(20), d(19)), ("a", d(10), d(11)), ("a", d(11), d(12))], "k string, s date, e date")
     assert sorted((r["s"], r["e"]) for r in bar.merge_ranges(df, ["k"], "s", "e").collect()) == [(d(0), d(8)), (d(10), d(12))]
+
+
+def test_many_ranges_of_one_symbol_are_counted_and_read_by_index(spark):
+    rnd = random.Random(5)
+    sessions = cal.exchange_sessions(spark, 2019, 2021)
+    spine = cal.date_spine(sessions)
+    days = sorted(r["session_date"] for r in sessions.select("session_date").collect())
+    rows = [(s, d, 1.0, 2.0, 0.5, 1.5, 10, rnd.choice(["VALID", "VALID", "SUSPECT"])) for s in ("A", "B") for d in days if rnd.random() < 0.8 and (s == "B" or d.month != 5)]
+    frame = spark.createDataFrame(rows, "symbol string, session_date date, open double, high double, low double, close double, volume long, status string")
+    starts = [date(2019, 1, 1) + timedelta(days=rnd.randrange(1000)) for _ in range(150)]
+    wanted = list({("A", d, d + timedelta(days=rnd.choice([0, 1, 5, 40, 400]))) for d in starts} | {("C", starts[0], starts[0] + timedelta(days=30)), ("A", date(2019, 5, 2), date(2019, 5, 20))})
+    wanted = [w for w in wanted if w[2] <= date(2021, 12, 31)]
+    ranges = spark.createDataFrame(wanted, "symbol string, start_date date, end_date date")
+    closed = date(2020, 6, 30)
+    have = {(r[0], r[1]): r[7] for r in rows}
+    want = set()
+    for s, a, b in wanted:
+        inside = [d for d in days if a <= d <= b]
+        valid = [d for d in inside if have.get((s, d)) == "VALID"]
+        gaps = sum(d <= closed for d in inside) - sum(d <= closed for d in valid)
+        want.add((s, a, b, len(inside), len(valid), len(inside) - len(valid), gaps, "NOT_FETCHED" if not any((s, d) in have for d in inside) else "COMPLETE" if gaps == 0 else "PARTIAL"))
+    found = bar.coverage(ranges, frame, sessions, spine, closed.isoformat())
+    assert {tuple(r) for r in found.collect()} == want and len({w[-1] for w in want}) == 3
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Join Inner, (symbol" in line and "AND" not in line]
+    read = bar.scan_bars_ranges(frame, ranges).collect()
+    assert sorted((r["symbol"], r["session_date"]) for r in read) == sorted((s, d) for s, d in have if any(s == x and a <= d <= b for x, a, b in wanted))
