@@ -72,13 +72,22 @@ def bounded_distribution(df: DataFrame, keys: Sequence[str], value: str) -> Data
 
 # --- groups of any size -----------------------------------------------------------
 
-BUCKETS = 8192
+#: Buckets of a doubling of the value: a bucket is 0.02 % of its value wide.
+BUCKETS = 4096
+#: More doublings than a double has.
+_DOUBLINGS = 1100
+#: Copies of a group's one row where rows meet it by the group alone.
+SALTS = 16
 
 
-def _bucket(value: Column, center: Column, scale: Column) -> Column:
-    """A monotone bucket number: dense around the approximate median, never failing on outliers."""
-    unit = F.atan((value - center) / scale) / F.lit(3.141592653589793) + 0.5
-    return F.floor(unit * BUCKETS).cast("int")
+def bucket_of(value: Column) -> Column:
+    """A bucket number that grows with the value, the same for every group, so that rows need no facts of their group to find it.
+
+    The logarithm of a double never falls where the value rises, nor does anything made of it here.
+    """
+    size = F.least(F.abs(value), F.lit(1.7976931348623157e308))
+    level = (F.floor(F.log2(size) * BUCKETS) + _DOUBLINGS * BUCKETS).cast("int")
+    return F.when(F.isnan(value), 2 * _DOUBLINGS * BUCKETS).when(value > 0, level).when(value < 0, -level).otherwise(0)
 
 
 def _counted(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -93,35 +102,28 @@ def _counted(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 
 
 def _summary(counted: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One row per group: exact n, mean, extremes, up and flat, and an approximate center and spread."""
+    """One row per group: exact n, mean, extremes, up and flat."""
     v, k = F.col("_v"), F.col("_k")
-    grouped = counted.groupBy(*keys).agg(
+    return counted.groupBy(*keys).agg(
         F.sum(k).alias("n"), (F.sum(v * k) / F.sum(k)).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"),
-        F.coalesce(F.sum(F.when(v > 0, k)), F.lit(0)).alias("up"), F.coalesce(F.sum(F.when(v == 0, k)), F.lit(0)).alias("flat"),
-        F.percentile_approx("_v", [0.25, 0.5, 0.75], F.lit(1000)).alias("_a"))
-    spread = F.col("_a")[2] - F.col("_a")[0]
-    return grouped.withColumn("_c", F.col("_a")[1]).withColumn(
-        "_s", F.when(spread > 0, spread).otherwise(F.lit(1.0))).drop("_a")
+        F.coalesce(F.sum(F.when(v > 0, k)), F.lit(0)).alias("up"), F.coalesce(F.sum(F.when(v == 0, k)), F.lit(0)).alias("flat"))
 
 
 def describe(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float] = (0.25, 0.5, 0.75)) -> DataFrame:
     """n, mean, min, max, up, flat and exact interpolated quantiles (q25, q50, ...) of groups of any size.
 
-    Quantiles need no gathered group: values are counted in monotone buckets around the approximate
-    median, running counts over at most ``BUCKETS`` rows per group give the buckets that hold the
-    wanted ranks, and only the values of those buckets are ordered.
+    Quantiles need no gathered group: values are counted in buckets, running counts over a group's buckets give those that
+    hold the wanted ranks, and only the values of these are ordered. Rows meet on (group, bucket), so a group with most of the rows is spread.
     """
     keys = list(keys)
     return _describe_counted(_counted(df, keys, value), keys, probs)
 
 
 def _describe_counted(counted: DataFrame, keys: list[str], probs: Sequence[float]) -> DataFrame:
-    summary = checkpoint(_summary(counted, keys))
-    placed = counted.join(summary.select(*keys, "n", "_c", "_s"), keys).select(
-        *keys, "_v", "_k", "n", _bucket(F.col("_v"), F.col("_c"), F.col("_s")).alias("_b"))
-    histogram = placed.groupBy(*keys, "_b").agg(F.sum("_k").alias("_bk"), F.first("n").alias("n"))
-    w = Window.partitionBy(*keys).orderBy("_b")
-    histogram = histogram.withColumn("_end", F.sum("_bk").over(w)).withColumn("_start", F.col("_end") - F.col("_bk"))
+    placed = counted.withColumn("_b", bucket_of(F.col("_v")))
+    across = Window.partitionBy(*keys)
+    histogram = placed.groupBy(*keys, "_b").agg(F.sum("_k").alias("_bk")).select(
+        *keys, "_b", "_bk", F.sum("_bk").over(across.orderBy("_b")).alias("_end"), F.sum("_bk").over(across).alias("n")).withColumn("_start", F.col("_end") - F.col("_bk"))
     last = F.col("n") - 1
     ranks = F.array_distinct(F.array(*[rank for q in probs for rank in (
         F.floor(last * F.lit(q)), F.least(F.floor(last * F.lit(q)) + 1, last))]))
@@ -133,7 +135,7 @@ def _describe_counted(counted: DataFrame, keys: list[str], probs: Sequence[float
     hits = ranked.select(*keys, "_v", F.explode(F.filter("_ranks", lambda r: (r >= F.col("_lo")) & (r < F.col("_hi")))).alias("_r"))
     # At most two ranks per wanted quantile reach this aggregate.
     found = hits.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_r", "_v"))).alias("_m"))
-    result = summary.drop("_c", "_s").join(found, keys)
+    result = _summary(counted, keys).join(found, keys)
     columns = []
     for q in probs:
         position = last * F.lit(q)
@@ -155,15 +157,26 @@ def distribution(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     full = checkpoint(_describe_counted(counted, keys, (0.25, 0.5, 0.75))).withColumnRenamed("q50", "median").withColumn("up_ratio", ratio(F.col("up"), F.col("n")))
     reach = 1.5 * (F.col("q75") - F.col("q25"))
     fences = full.select(*keys, (F.col("q25") - reach).alias("_f_lo"), (F.col("q75") + reach).alias("_f_hi"))
-    inside = counted.join(fences, keys).where(F.col("_v").between(F.col("_f_lo"), F.col("_f_hi")))
-    whiskers = inside.groupBy(*keys).agg(F.min("_v").alias("whisker_low"), F.max("_v").alias("whisker_high"))
+    # whole buckets within the fences give their extremes; only the buckets that a fence cuts are looked into
+    placed = counted.withColumn("_b", bucket_of(F.col("_v")))
+    buckets = placed.groupBy(*keys, "_b").agg(F.min("_v").alias("_low"), F.max("_v").alias("_high")).join(fences, keys)
+    lowest, highest = F.col("_low") >= F.col("_f_lo"), F.col("_high") <= F.col("_f_hi")
+    whole = buckets.where(lowest & highest).select(*keys, "_low", "_high")
+    cut = buckets.where(~(lowest & highest) & (F.col("_high") >= F.col("_f_lo")) & (F.col("_low") <= F.col("_f_hi"))).select(*keys, "_b", "_f_lo", "_f_hi")
+    inner = placed.join(cut, [*keys, "_b"]).where(F.col("_v").between(F.col("_f_lo"), F.col("_f_hi"))).select(*keys, F.col("_v").alias("_low"), F.col("_v").alias("_high"))
+    whiskers = whole.unionByName(inner).groupBy(*keys).agg(F.min("_low").alias("whisker_low"), F.max("_high").alias("whisker_high"))
     return full.join(whiskers, keys, "left")
 
 
 def outliers(df: DataFrame, keys: Sequence[str], value: str, boxes: DataFrame) -> DataFrame:
-    """The rows of ``df`` beyond the whiskers of their group, one row each (never a list)."""
-    fences = boxes.select(*keys, F.col("whisker_low").alias("_lo"), F.col("whisker_high").alias("_hi"))
-    return df.join(fences, list(keys)).where((F.col(value) < F.col("_lo")) | (F.col(value) > F.col("_hi"))).drop("_lo", "_hi")
+    """The rows of ``df`` beyond the whiskers of their group, one row each (never a list).
+
+    Rows meet their group's fences in one of ``SALTS`` copies, by a hash of the value.
+    """
+    copies = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
+    fences = boxes.select(*keys, F.col("whisker_low").alias("_lo"), F.col("whisker_high").alias("_hi"), copies)
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(value), F.lit(SALTS)).cast("int"))
+    return salted.join(fences, [*keys, "_salt"]).where((F.col(value) < F.col("_lo")) | (F.col(value) > F.col("_hi"))).drop("_lo", "_hi", "_salt")
 
 
 def comparison(df: DataFrame, symbol: str, value: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -200,22 +213,20 @@ def distributed_ranks(df: DataFrame, keys: Sequence[str], value: str, tie: str)
     keys = list(keys)
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"), F.col(tie).cast("long").alias("_t"))
     rows = checkpoint(rows)
-    counted = rows.groupBy(*keys, "_v").agg(F.count("*").alias("_k"), F.min("_t").alias("_t0"), F.max("_t").alias("_t1"))
-    summary = _summary(counted, keys).select(*keys, "n", "_c", "_s")
-    distinct = counted.join(summary, keys).withColumn("_b", _bucket(F.col("_v"), F.col("_c"), F.col("_s")))
-    totals = distinct.groupBy(*keys, "_b").agg(F.sum("_k").alias("_bk"))
-    across, inside = Window.partitionBy(*keys).orderBy("_b"), Window.partitionBy(*keys, "_b").orderBy("_v")
-    totals = totals.select(*keys, "_b", (F.sum("_bk").over(across) - F.col("_bk")).alias("_before"))
-    offsets = distinct.join(totals, [*keys, "_b"]).select(
-        *keys, "_v", "_k", "_t0", "_t1", "n", (F.col("_before") + F.sum("_k").over(inside) - F.col("_k")).alias("_smaller"))
-    # A value that occurs once needs no ordering among equals.
-    width = F.greatest((F.col("_t1") - F.col("_t0") + 1) / F.lit(1024.0), F.lit(1.0))
-    repeated = rows.join(offsets.where("_k > 1"), [*keys, "_v"]).withColumn("_tb", F.floor((F.col("_t") - F.col("_t0")) / width))
-    counts = repeated.groupBy(*keys, "_v", "_tb").agg(F.count("*").alias("_tk"))
-    ordered, within = Window.partitionBy(*keys, "_v").orderBy("_tb"), Window.partitionBy(*keys, "_v", "_tb").orderBy("_t")
-    counts = counts.select(*keys, "_v", "_tb", (F.sum("_tk").over(ordered) - F.col("_tk")).alias("_tbefore"))
+    counted = checkpoint(rows.groupBy(*keys, "_v").agg(F.count("*").alias("_k"), F.min("_t").alias("_t")).withColumn("_b", bucket_of(F.col("_v"))))
+    group = Window.partitionBy(*keys)
+    totals = counted.groupBy(*keys, "_b").agg(F.sum("_k").alias("_bk")).select(
+        *keys, "_b", (F.sum("_bk").over(group.orderBy("_b")) - F.col("_bk")).alias("_before"), F.sum("_bk").over(group).alias("n"))
+    inside = Window.partitionBy(*keys, "_b").orderBy("_v")
+    offsets = counted.join(totals, [*keys, "_b"]).select(*keys, "_v", "_k", "_t", "n", (F.col("_before") + F.sum("_k").over(inside) - F.col("_k")).alias("_smaller"))
+    # A value that occurs once needs no ordering among equals; the rows of a repeated one meet by (group, value, bucket of the tie).
+    repeated = rows.withColumn("_tb", bucket_of(F.col("_t").cast("double")))
+    counts = repeated.groupBy(*keys, "_v", "_tb").agg(F.count("*").alias("_tk")).select(
+        *keys, "_v", "_tb", (F.sum("_tk").over(Window.partitionBy(*keys, "_v").orderBy("_tb")) - F.col("_tk")).alias("_tbefore"))
+    counts = counts.join(offsets.where("_k > 1").drop("_t"), [*keys, "_v"])
+    within = Window.partitionBy(*keys, "_v", "_tb").orderBy("_t")
     equal = repeated.join(counts, [*keys, "_v", "_tb"]).withColumn("_e", F.col("_tbefore") + F.row_number().over(within))
-    single = offsets.where("_k = 1").withColumn("_t", F.col("_t0")).withColumn("_e", F.lit(1).cast("long"))
+    single = offsets.where("_k = 1").withColumn("_e", F.lit(1).cast("long"))
     names = [*keys, "_v", "_t", "_k", "n", "_smaller", "_e"]
     ranked = single.select(*names).unionByName(equal.select(*names))
     return ranked.select(*keys, F.col("_v").alias(value), F.col("_t").alias(tie),

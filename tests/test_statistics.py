@@ -46,3 +46,29 @@ def test_drawdown_needs_every_price(spark):
     df = spark.createDataFrame([("a", 1, 10.0), ("a", 2, 12.0), ("a", 3, 9.0), ("b", 1, 5.0), ("b", 2, None)], "s string, t int, p double")
     got = {r["s"]: r["max_drawdown"] for r in stats.max_drawdown(df, ["s"], "t", "p").collect()}
     assert got["a"] == pytest.approx(0.25) and got["b"] is None
+
+
+def test_buckets_grow_with_the_value(spark):
+    rng = random.Random(2)
+    values = sorted([0.0, -0.0, 5e-324, -5e-324, 1.0, 2.0, 4.0, 1.7976931348623157e308, -1.7976931348623157e308, float("inf"), float("-inf")]
+                    + [rng.choice([-1, 1]) * rng.random() * 10 ** rng.randint(-300, 300) for _ in range(2000)] + [2.0**e * (1 + d) for e in range(-20, 20) for d in (-1e-16, 0, 1e-15)])
+    got = [r["b"] for r in spark.createDataFrame([(x,) for x in values], "x double").coalesce(1).select("x", stats.bucket_of(F.col("x")).alias("b")).collect()]
+    assert got == sorted(got) and len(set(got)) > 1500
+
+
+def test_a_ticker_with_most_events_is_no_single_task(spark):
+    """Nine tenths of the rows in one group: where rows are joined, no key takes them to one task."""
+    rng = random.Random(11)
+    rows = [("hot" if i % 10 else f"t{i % 70}", rng.gauss(0, 0.05), i) for i in range(20_000)]
+    df = spark.createDataFrame(rows, "ticker string, x double, pos long")
+    dealt = df.select("ticker", stats.bucket_of(F.col("x")).alias("b")).groupBy(F.pmod(F.hash("ticker", "b"), F.lit(16)).alias("task")).count().collect()
+    assert len(dealt) == 16 and max(r["count"] for r in dealt) < 20_000 / 5
+    boxes = stats.distribution(df, ["ticker"], "x")
+    beyond = stats.outliers(df, ["ticker"], "x", boxes).collect()
+    fences = {r["ticker"]: (r["whisker_low"], r["whisker_high"]) for r in boxes.collect()}
+    for ticker, (low, high) in fences.items():
+        own = np.array([x for t, x, _ in rows if t == ticker])
+        q1, q3 = np.quantile(own, [0.25, 0.75])
+        inside = own[(own >= q1 - 1.5 * (q3 - q1)) & (own <= q3 + 1.5 * (q3 - q1))]
+        assert (low, high) == pytest.approx((inside.min(), inside.max()))
+    assert sorted(r["pos"] for r in beyond) == sorted(p for t, x, p in rows if not fences[t][0] <= x <= fences[t][1]) and beyond
