@@ -55,6 +55,8 @@ def display_ticker(*texts: Column) -> Column:
 # --- names ------------------------------------------------------------------------
 
 # Company suffixes dropped before names are compared.
+NAME_CODE, NAME_PAR = r"\[[A-Z]{1,3}\]", r"\b(?:USD|US\$|PAR VALUE)\s*\d+(?:\.\d+)?"
+NAME_CLASS = r"\b(?:COMMON\s+(?:STOCK|SHARES)|CLASS\s+[AB])\b"
 NAME_SUFFIXES = ("INCORPORATED", "INC", "CORPORATION", "CORP", "COMPANY", "CO", "LIMITED", "LTD", "PLC", "COM", "CMN")
 
 
@@ -71,9 +73,8 @@ def normalize_name(name: Column) -> Column:
     """Comparable company name: no codes, par values, classes, suffixes or punctuation; digits that
     stand for letters are corrected only inside words that also hold letters."""
     value = F.upper(name)
-    value = F.regexp_replace(value, r"\[[A-Z]{1,3}\]", " ")
-    value = F.regexp_replace(value, r"\b(?:USD|US\$|PAR VALUE)\s*\d+(?:\.\d+)?", " ")
-    value = F.regexp_replace(value, r"\b(?:COMMON\s+(?:STOCK|SHARES)|CLASS\s+[AB])\b", " ")
+    for pattern in (NAME_CODE, NAME_PAR, NAME_CLASS):
+        value = F.regexp_replace(value, pattern, " ")
     pieces = F.regexp_extract_all(value, F.lit(r"([A-Z0-9]+|[^A-Z0-9]+)"), 1)
     mended = F.transform(pieces, lambda w: F.when(w.rlike("[A-Z]") & w.rlike("[0-9]"), F.translate(w, "50", "SO")).otherwise(w))
     value = F.array_join(mended, "")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ledgertide.functions import text as T
+from ledgertide.session import checkpoint
 
 SIMILARITY = 0.94
 #: Names below this length are never matched by similarity.
@@ -187,3 +188,30 @@ def match_names(names: DataFrame, dictionary: DataFrame, threshold: float = SIMI
     inferred = agreed.where("_a = _b").select("key", F.col("_a").alias("ticker"), F.lit("inferred").alias("origin"))
     found = exact.where("ticker IS NOT NULL").unionByName(inferred)
     return keyed.join(found, "key", "left").select("asset_name", F.col("key").alias("name_key"), "ticker", "origin")
+
+
+# Fixed value: where the description of a debt begins in the name of a bond.
+DEBT = r"(?i)\d+(?:\.\d+)?\s*%|\b(?:NOTE|NOTES|BOND|BONDS|DEBENTURE|DUE)\b"
+
+
+def match_assets(rows: DataFrame, dictionary: DataFrame, threshold: float = SIMILARITY, least_length: int = LEAST_FUZZY) -> DataFrame:
+    """Disclosed rows with the security, or for a bond the issuer, that their name tells.
+
+    ``rows``: asset_name, asset_type, ticker, warnings, confidence and any others. What is looked up is decided before any matching: nothing
+    for a row that states a ticker, a fund, an option or another class; the issuer alone for a bond, whose debt description is cut
+    off, and which never gets a ticker; the name for stocks and rows of unknown class. A match makes an unknown row a stock, takes that warning
+    away, and the row counts as read once no warning is left. Names are never changed.
+    """
+    kind, name = F.col("asset_type"), F.col("asset_name")
+    lookup = F.when(F.coalesce("ticker", F.lit("")) != "", "none").when(kind == "bond", "issuer").when(kind.isin("stock", "unknown"), "name").otherwise("none")
+    asked = rows.withColumn("lookup", lookup).withColumn("_asked", F.when(F.col("lookup") == "issuer", F.split(name, DEBT, 2)[0]).when(F.col("lookup") == "name", name))
+    found = checkpoint(match_names(asked.where("_asked IS NOT NULL").select(F.col("_asked").alias("asset_name")), dictionary, threshold, least_length).where("ticker IS NOT NULL"))
+    joined = asked.join(found.select(F.col("asset_name").alias("_asked"), F.col("ticker").alias("_ticker"), "origin"), "_asked", "left")
+    named = (F.col("lookup") == "name") & F.col("_ticker").isNotNull()
+    left = F.filter(F.coalesce("warnings", F.array().cast("array<string>")), lambda w: w != "unknown_asset_type")
+    issuer = F.col("lookup") == "issuer"
+    changed = {
+        "ticker": F.when(named, F.col("_ticker")).otherwise(F.col("ticker")), "asset_type": F.when(named, "stock").otherwise(kind), "warnings": F.when(named, left).otherwise(F.col("warnings")),
+        "confidence": F.when(named, F.when(F.size(left) > 0, "review").otherwise("parsed")).otherwise(F.col("confidence"))}
+    return joined.select(*[changed.get(c, F.col(c)).alias(c) for c in rows.columns], "lookup", F.when(named, F.col("origin")).alias("ticker_origin"),
+                         F.when(issuer, F.col("_ticker")).alias("issuer_ticker"), F.when(issuer, F.col("origin")).alias("issuer_ticker_origin"))

@@ -336,12 +336,55 @@ def match_names_exact(spark, sf):
     return px.present(sea.match_names(names, dictionary).where("origin = 'local_exact'").select("asset_name", "ticker"))
 
 
-# The sequence ratio has no SQL form; tests compare this operator with brute force on a small fixture.
-@query("match_names")
+def _longest_block(al: str, ah: str, bl: str, bh: str) -> str:
+    """The longest run that a[al, ah) and b[bl, bh) have in common, as (-length, place in a, place in b): the first such one."""
+    room = f"least({ah} - i, {bh} - j)"
+    run = f"coalesce(list_min(list_filter(range(0, {room}), lambda k: substr(a, i + k, 1) <> substr(b, j + k, 1))), {room})"
+    return f"list_min(flatten(list_transform(range({al}, {ah}), lambda i: list_transform(range({bl}, {bh}), lambda j: {{'n': -{run}, 'i': i, 'j': j}}))))"
+
+
+# Names as filed and their comparable forms; the ratio of matching blocks by recursion: the longest block, then what lies left and right of it.
+MATCHED = f"""
+WITH RECURSIVE p AS (SELECT concat_ws(' ', p_name, p_type, replace(p_brand, '#', ' ')) AS name, concat_ws(' ', p_name, p_type, regexp_replace(p_brand, '#.*', '')) AS head, regexp_replace(p_brand, '[^0-9]', '', 'g') AS num, p_partkey FROM part),
+d AS (SELECT upper(name) AS k, min('P' || num) AS lo, max('P' || num) AS hi FROM p GROUP BY 1),
+f AS (SELECT DISTINCT CASE l_linenumber WHEN 1 THEN name || ' Inc.' WHEN 2 THEN replace(name, 'e', '') WHEN 3 THEN name || 's Common Stock' WHEN 4 THEN substr(name, 2, 1) || substr(name, 1, 1) || substr(name, 3) ELSE name END AS asset_name,
+  upper(CASE l_linenumber WHEN 2 THEN replace(name, 'e', '') WHEN 3 THEN head || ' ' || translate(num, '50', 'SO') || 'S' WHEN 4 THEN substr(name, 2, 1) || substr(name, 1, 1) || substr(name, 3) ELSE name END) AS key
+  FROM lineitem JOIN p ON l_partkey = p_partkey),
+ex AS (SELECT DISTINCT key, CASE WHEN lo = hi THEN lo END AS ticker, 'local_exact' AS origin FROM f JOIN d ON d.k = key),
+re AS (SELECT DISTINCT key FROM f WHERE key NOT IN (SELECT k FROM d) AND length(key) >= 6),
+pa AS (SELECT key AS a, k AS b FROM re JOIN d ON 2.0 * least(length(key), length(k)) > 0.94 * (length(key) + length(k)) AND levenshtein(key, k) < 0.06 * (length(key) + length(k))),
+seg AS (SELECT a, b, 1 AS al, length(a) + 1 AS ah, 1 AS bl, length(b) + 1 AS bh, {_longest_block("1", "length(a) + 1", "1", "length(b) + 1")} AS m FROM pa
+  UNION ALL SELECT a, b, al, ah, bl, bh, {_longest_block("al", "ah", "bl", "bh")} FROM (
+    SELECT a, b, unnest([al, m.i - m.n]) AS al, unnest([m.i, ah]) AS ah, unnest([bl, m.j - m.n]) AS bl, unnest([m.j, bh]) AS bh FROM seg WHERE m.n < 0) WHERE al < ah AND bl < bh),
+sc AS (SELECT a, b, 2.0 * sum(-m.n) / (length(a) + length(b)) AS ratio FROM seg GROUP BY a, b),
+inf AS (SELECT a AS key, min(lo) AS ticker, 'inferred' AS origin FROM sc JOIN d ON k = b WHERE ratio > 0.94 GROUP BY a HAVING min(lo) = max(hi)),
+fo AS (SELECT * FROM ex WHERE ticker IS NOT NULL UNION ALL SELECT * FROM inf)
+"""
+
+
+@query("match_names", MATCHED + "SELECT asset_name, key AS name_key, ticker, origin FROM f LEFT JOIN fo USING (key)")
 def match_names(spark, sf):
     return px.present(sea.match_names(*part_names(spark, sf)))
 
 
+@query("match_assets", MATCHED + """
+, r AS (SELECT DISTINCT asset_name, key, length(asset_name) % 5 AS v FROM f),
+t AS (SELECT asset_name, v, ticker, origin, ['stock', 'bond', 'unknown', 'fund', 'stock'][v + 1] AS kind FROM r LEFT JOIN fo USING (key)),
+u AS (SELECT asset_name || CASE WHEN kind = 'bond' THEN ' 4.5% Notes due 2030' ELSE '' END AS asset_name, v, kind, CASE WHEN v = 4 THEN 'OWN' END AS own, ticker AS tk, origin AS og, CASE WHEN kind = 'bond' THEN 'issuer' WHEN v IN (0, 2) THEN 'name' ELSE 'none' END AS lookup FROM t)
+SELECT asset_name, lookup, CASE WHEN lookup = 'name' THEN tk ELSE own END AS ticker, CASE WHEN lookup = 'name' AND tk IS NOT NULL THEN 'stock' ELSE kind END AS asset_type, CASE WHEN lookup = 'issuer' THEN tk END AS issuer_ticker,
+  CASE WHEN lookup = 'issuer' THEN og END AS issuer_ticker_origin, CASE WHEN lookup = 'name' THEN og END AS ticker_origin, CASE WHEN kind <> 'unknown' THEN '' WHEN tk IS NULL THEN 'unknown_asset_type' ELSE '' END AS warnings,
+  CASE WHEN kind <> 'unknown' THEN 'parsed' WHEN tk IS NULL THEN 'review' ELSE 'parsed' END AS confidence FROM u""")
+def match_assets(spark, sf):
+    names, dictionary = part_names(spark, sf)
+    v = F.length("asset_name") % 5
+    kind = F.element_at(F.array(*[F.lit(k) for k in ("stock", "bond", "unknown", "fund", "stock")]), v + 1)
+    unknown = kind == "unknown"
+    rows = names.distinct().select(
+        F.concat("asset_name", F.when(kind == "bond", " 4.5% Notes due 2030").otherwise("")).alias("asset_name"), kind.alias("asset_type"), F.when(v == 4, "OWN").alias("ticker"),
+        F.when(unknown, F.array(F.lit("unknown_asset_type"))).otherwise(F.array().cast("array<string>")).alias("warnings"), F.when(unknown, "review").otherwise("parsed").alias("confidence"))
+    return px.present(sea.match_assets(rows, dictionary).select("asset_name", "lookup", "ticker", "asset_type", "issuer_ticker", "issuer_ticker_origin", "ticker_origin", "warnings", "confidence"))
+
+
 # --- scalar functions -------------------------------------------------------------
 
 

@@ -126,3 +126,55 @@ def test_accepted_corrections_move_to_the_original_group(spark):
     first, update = groups[date(2024, 1, 2)], groups[date(2024, 1, 9)]
     assert (first["total_transactions"], first["filings"], first["amendment_updates"]) == (2, 1, 0)
     assert (update["total_transactions"], update["amendment_updates"], update["known_amount"]) == (0, 1, None)
+
+
+def test_asset_class_decides_what_is_looked_up(spark):
+    dictionary = sea.name_dictionary(spark.createDataFrame([("Netflix Inc", "NFLX"), ("Acme Fund", "FUND"), ("Meta Platforms Inc", "META"), ("Two Corp", "AAA"), ("Two Inc", "BBB")], "name string, ticker string"))
+    rows = [("NETFLIX INC 4.875% 2028", "bond", None, ["ocr"], "review"), ("Netflix Notes Due 2030", "bond", None, [], "parsed"), ("Acme Fund", "fund", None, [], "parsed"), ("Acme Fund", "option", None, [], "parsed"),
+            ("META PLATFORMS INC", "unknown", None, ["ocr", "unknown_asset_type"], "review"), ("Meta Platform Inc", "unknown", None, ["unknown_asset_type"], "review"), ("META PLATFORMS INC", "stock", "OWN", None, "parsed"),
+            ("Two", "unknown", None, ["unknown_asset_type"], "review"), ("Nobody", "stock", None, None, "parsed"), ("META PLATFORMS INC", "crypto", None, [], "parsed"), (None, "stock", None, [], "parsed"), ("5% Notes", "bond", None, [], "parsed")]
+    frame = spark.createDataFrame(rows, "asset_name string, asset_type string, ticker string, warnings array<string>, confidence string")
+    got = {(r["asset_name"], before[1]): r for before in rows for r in sea.match_assets(frame, dictionary).collect() if r["asset_name"] == before[0] and (r["asset_type"] == before[1] or before[1] == "unknown" and r["lookup"] == "name" and r["ticker_origin"])}
+    netflix = got["NETFLIX INC 4.875% 2028", "bond"]
+    assert (netflix["ticker"], netflix["issuer_ticker"], netflix["issuer_ticker_origin"], netflix["warnings"]) == (None, "NFLX", "local_exact", ["ocr"])
+    assert got["Netflix Notes Due 2030", "bond"]["issuer_ticker"] == "NFLX" and got["5% Notes", "bond"]["issuer_ticker"] is None
+    assert got["Acme Fund", "fund"]["ticker"] is None and got["Acme Fund", "option"]["lookup"] == "none" and got["META PLATFORMS INC", "crypto"]["ticker"] is None
+    meta = got["META PLATFORMS INC", "unknown"]
+    assert (meta["ticker"], meta["asset_type"], meta["warnings"], meta["confidence"], meta["ticker_origin"]) == ("META", "stock", ["ocr"], "review", "local_exact")
+    near = got["Meta Platform Inc", "unknown"]
+    assert (near["ticker"], near["ticker_origin"], near["warnings"], near["confidence"]) == ("META", "inferred", [], "parsed")
+    two = got["Two", "unknown"]
+    assert (two["ticker"], two["asset_type"], two["warnings"]) == (None, "unknown", ["unknown_asset_type"])
+
+
+def test_scanned_directions_follow_the_plain_rule(spark):
+    import re
+
+    from ledgertide.functions import disclosure as D
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row = row, [i] + [0] * len(b)
+            for j, y in enumerate(b, 1):
+                row[j] = min(row[j - 1] + 1, last[j] + 1, last[j - 1] + (x != y))
+        return row[-1]
+
+    rng = random.Random(9)
+    cells = ["", "P", "s ", "E", "pe", "sale (full)", "S (partial)", "5ale", "sa1e", "purch", "zzz", "p.", "S.", "1", "saleul", "salepartal", "exch4nge", "excange", "ale"]
+    for label, *_ in D.OCR_LABELS * 12:
+        chars = list(label)
+        for _ in range(rng.choice([1, 1, 2, 3])):
+            rng.choice([lambda: chars.pop(rng.randrange(len(chars))), lambda: chars.insert(rng.randrange(len(chars) + 1), rng.choice("aelo0 1-")), lambda: chars.__setitem__(rng.randrange(len(chars)), rng.choice("aelox"))])()
+        cells.append("".join(chars))
+    for r in spark.createDataFrame([(c,) for c in cells], "c string").select("c", D.ocr_direction(F.col("c")).alias("d"), D.direction(F.col("c")).alias("plain")).collect():
+        cell = r["c"].lower()
+        if r["plain"] != "unknown" and (len(re.sub("[^a-z]", "", cell)) >= 3 or cell.strip() in ("p", "s", "e")):
+            want = r["plain"]
+        else:
+            word = re.sub("[^a-z0-9]", "", cell).translate(str.maketrans("10", "lo"))
+            near = min(edits(word, label) for label, _, _ in D.OCR_LABELS)
+            best = [(m, a, label) for label, m, a in D.OCR_LABELS if edits(word, label) == near]
+            meaning, allowed, label = best[0]
+            want = meaning if len({m for m, _, _ in best}) == 1 and near <= allowed and len(word) >= len(label) - allowed else "unknown"
+        assert r["d"] == want, r["c"]
