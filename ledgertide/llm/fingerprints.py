@@ -5,13 +5,14 @@ shingles of a text; the least value under each is a coordinate of the signature.
 in hex, the likeness of two fingerprints the share of equal coordinates, an estimate of the Jaccard similarity of the
 shingle sets. Signature bands are joined in Spark and candidates verified on full sets (``near_groups``).
 
-A text without words has the fingerprint of all ones: alike to itself only. Null texts are empty. For the comparison with
+A text without words has the fingerprint of all ones: alike to itself only. Null texts are empty. Ids may be of any type that Spark orders. For the comparison with
 the next document, documents stand in the order of (id, text hash), null ids first; the one after the last is the first.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -66,86 +67,80 @@ def likeness(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return np.where(empty, 0.0, ((left & 0xFFFF) == (right & 0xFFFF)).mean(axis=1))
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.75) -> DataFrame:
-    """doc_id and class_id, the smallest id that links reach: signature bands joined in Spark, links verified by the Jaccard similarity of full sets."""
-    plain = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    kind = plain.schema["doc_id"].dataType.simpleString()
+def banded(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Per row: doc_id, tag (a hash of the text), n_shingles, a 128-bit hash of the shingle set (s1, s2) and the hashes of the signature's bands."""
+    plain = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("tag", F.xxhash64("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, "text"):
+            sets = near_duplicates.shingle_sets(batch.column(1))
             marks = signatures(batch.column(1))
             table = marks.astype(np.uint64).reshape(len(marks), BANDS, ROWS)
             bands = np.zeros((len(marks), BANDS), np.uint64) + np.arange(BANDS, dtype=np.uint64)
             for r in range(ROWS):
                 bands = common.mix(bands + table[:, :, r])
-            some = ~(marks == 0xFFFFFFFF).all(axis=1)
+            sizes = np.array([len(s) for s in sets], np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), common.lists(bands[some].reshape(-1).view(np.int64), np.r_[0, np.cumsum(np.where(some, BANDS, 0))], pa.int64())], ["doc_id", "bands"])
+                [batch.column(0), batch.column(2), pa.array(sizes), *near_duplicates.set_hashes(sets),
+                 common.lists(bands[sizes > 0].reshape(-1).view(np.int64), np.r_[0, np.cumsum(np.where(sizes > 0, BANDS, 0))], pa.int64())],
+                ["doc_id", "tag", "n_shingles", "s1", "s2", "bands"])
+
+    return plain.mapInArrow(run, f"doc_id {plain.schema['doc_id'].dataType.simpleString()}, tag long, n_shingles long, s1 long, s2 long, bands array<long>")
 
-    def build() -> DataFrame:
-        buckets = plain.mapInArrow(run, f"doc_id {kind}, bands array<long>").select("doc_id", F.explode("bands").alias("band"))
-        groups = near_duplicates.linked(buckets.distinct(), lambda members: near_duplicates.largest_sets(plain, members), threshold)
-        return plain.select("doc_id").join(groups, F.col("doc_id") == groups["node"], "left").select("doc_id", F.coalesce("label", "doc_id").alias("class_id"))
 
-    return common.finished(docs.sparkSession, build)
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.75) -> DataFrame:
+    """doc_id, tag (a hash of the text) and class_id, the smallest id that links reach, one row per row of ``docs``.
+
+    Signature bands are joined in Spark and links verified by the Jaccard similarity of full sets. Rows of equal sets are one class before that, so
+    copies cost nothing, and rows that share an id have each the class of their own text. Null ids have no class.
+    """
+    found = common.finished(docs.sparkSession, lambda: near_duplicates._grouped(docs, id_col, text_col, threshold, False, banded, ("tag",)))
+    return found.select("doc_id", "tag", F.col("component_id").alias("class_id"))
 
 
 def in_order(docs: DataFrame) -> DataFrame:
-    """(id, text) -> id, text, bucket, tail: sorted runs of documents, each followed by the first document of the next run.
+    """(id, text) -> id, text, tag, bucket, tail: sorted runs of documents, each followed by the first document of the next run.
 
-    Cut points come from approximate quantiles of the ids, so the runs are about equally long, and every text is shuffled
-    once. The driver sees one id per run only.
+    Spark cuts the order of (id, tag) into ranges of about equal numbers, whatever the type of the ids and however many rows share one; the driver sees the first
+    place of each range. Every text is shuffled once.
     """
     spark = docs.sparkSession
     runs = int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = docs.schema["id"].dataType.simpleString()
-    marks = docs.agg(F.percentile_approx("id", [i / runs for i in range(1, runs)], 100 * runs)).first()[0] if runs > 1 else []
-    cuts = np.array(sorted(set(marks or [])))
     tagged = docs.select("id", F.coalesce("text", F.lit("")).alias("text")).withColumn("tag", F.xxhash64("text"))
+    ranged = tagged.select("id", "tag").repartitionByRange(runs, "id", "tag").withColumn("range", F.spark_partition_id())
+    firsts = ranged.groupBy("range").agg(F.min(F.struct(F.col("id").isNotNull().alias("known"), "id", "tag")).alias("at")).collect()
+    heads = sorted((r["at"]["known"], r["at"]["id"] if r["at"]["known"] else 0, r["at"]["tag"]) for r in firsts)
 
-    def placed(ids: pa.Array) -> np.ndarray:
-        known = ids.is_valid().to_numpy(zero_copy_only=False)
-        out = np.zeros(len(ids), np.int32)
-        out[known] = np.searchsorted(cuts, ids.drop_null().to_numpy(zero_copy_only=False), side="right") if len(cuts) else 0
-        return out
-
-    def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(placed(batch.column(0))), batch.column(0), batch.column(1)], ["bucket", "id", "tag"])
-
-    least = tagged.select("id", "tag").mapInArrow(numbers, f"bucket int, id {kind}, tag long").groupBy("bucket").agg(F.min(F.struct(F.col("id").isNotNull().alias("known"), "id", "tag")).alias("at"))
-    heads = sorted((r["bucket"], r["at"]["id"], r["at"]["tag"]) for r in least.collect())  # one row a run
-    before = {heads[i][0]: heads[i - 1][0] for i in range(len(heads))}
-    head_of = {b: (i, t) for b, i, t in heads}
     # numbers whose hash puts each run into a partition of its own
     wanted = spark.range(40 * runs).select("id", F.pmod(F.hash("id"), F.lit(runs)).alias("p")).groupBy("p").agg(F.min("id").alias("id")).collect()
     route = {r["p"]: r["id"] for r in wanted}
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, "text"):
-            bucket = placed(batch.column(0))
-            ids, tags = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            copies = [i for i in range(batch.num_rows) if head_of[int(bucket[i])] == (ids[i], tags[i])]
+            places = [(i is not None, 0 if i is None else i, t) for i, t in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            bucket = [bisect_right(heads, place) - 1 for place in places]
+            copies = [k for k, (place, b) in enumerate(zip(places, bucket, strict=True)) if place == heads[b]]
+            to = bucket + [(bucket[k] - 1) % len(heads) for k in copies]
             rows = np.r_[np.arange(batch.num_rows), np.array(copies, np.int64)].astype(np.int64)
-            to = np.r_[bucket, [before[int(bucket[i])] for i in copies]].astype(np.int64)
             tail = np.r_[np.zeros(batch.num_rows, bool), np.ones(len(copies), bool)]
             taken = batch.take(pa.array(rows))
-            yield pa.RecordBatch.from_arrays([pa.array([route.get(int(b), int(b)) for b in to], pa.int64()), pa.array(to), pa.array(tail), *taken.columns], ["route", "bucket", "tail", "id", "text", "tag"])
+            yield pa.RecordBatch.from_arrays([pa.array([route.get(b, b) for b in to], pa.int64()), pa.array(to, pa.int64()), pa.array(tail), *taken.columns], ["route", "bucket", "tail", "id", "text", "tag"])
 
     spread = tagged.mapInArrow(dealt, f"route long, bucket long, tail boolean, id {kind}, text string, tag long")
-    return spread.repartition(runs, "route").sortWithinPartitions("bucket", "tail", "id", "tag").select("bucket", "tail", "id", "text")
+    return spread.repartition(runs, "route").sortWithinPartitions("bucket", "tail", "id", "tag").select("bucket", "tail", "id", "text", "tag")
 
 
 def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: its fingerprint, that of its edited text (the second half replaced by the next document's start) and the likenesses."""
+    """Per document: its fingerprint, that of its edited text (the second half replaced by the next document's start), the likenesses, and tag (a hash of its text)."""
     plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "tag"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the last row of the slice before, which waits for its successor
         for batch in common.slices(batches, "text"):
             marks = signatures(batch.column(3))
-            rows = list(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), marks, strict=True))
+            rows = list(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), marks, batch.column(4).to_pylist(), strict=True))
             if held:
                 rows.insert(0, held)
             held = rows[-1]
@@ -158,6 +153,14 @@ def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             own, after = np.stack([rows[i][3] for i in some]), np.stack([rows[i + 1][3] for i in some])
             yield pa.RecordBatch.from_arrays(
                 [pa.array([rows[i][1] for i in some], batch.column(2).type), pa.array(sizes, pa.int64()), pa.array([hashlib.sha256(x.encode("utf-8")).hexdigest() for x in edits]),
-                 pa.array(fingerprint(own)), pa.array(fingerprint(edited)), pa.array(likeness(own, edited)), pa.array(likeness(own, after))], names)
+                 pa.array(fingerprint(own)), pa.array(fingerprint(edited)), pa.array(likeness(own, edited)), pa.array(likeness(own, after)), pa.array([rows[i][4] for i in some], pa.int64())], names)
+
+    return in_order(plain).mapInArrow(run, f"doc_id {plain.schema['id'].dataType.simpleString()}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, tag long")
+
 
-    return in_order(plain).mapInArrow(run, f"doc_id {plain.schema['id'].dataType.simpleString()}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+def with_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``with_edits`` and each row's class_id of ``near_groups``."""
+    classes = common.stored(near_groups(docs, id_col, text_col).where("doc_id is not null and class_id <> doc_id").distinct().withColumnsRenamed({"doc_id": "_id", "tag": "_tag"}))
+    found = with_edits(docs, id_col, text_col)
+    joined = found.join(classes, (found["doc_id"] == classes["_id"]) & (found["tag"] == classes["_tag"]), "left")
+    return joined.select(*[c for c in found.columns if c != "tag"], F.coalesce("class_id", "doc_id").alias("class_id"))

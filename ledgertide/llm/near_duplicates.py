@@ -218,9 +218,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return common.finished(docs.sparkSession, lambda: _grouped(docs, id_col, text_col, threshold, sets))
 
 
-def _grouped(docs: DataFrame, id_col: str, text_col: str, threshold: float, with_sets: bool) -> DataFrame:
+def _grouped(docs: DataFrame, id_col: str, text_col: str, threshold: float, with_sets: bool, marks_of=signatures, extra: tuple[str, ...] = ()) -> DataFrame:
+    """``marks_of`` gives the columns of ``signatures``, and those named in ``extra``, which stay."""
     key = ["n_shingles", "s1", "s2"]
-    marks = common.stored(signatures(docs, id_col, text_col))
+    marks = common.stored(marks_of(docs, id_col, text_col))
     known = marks.where("doc_id is not null")
     # a class of equal sets is a node; its smallest id only says where to find its text
     classes = common.stored(known.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("head"), F.first("bands").alias("bands")).withColumn("node", F.monotonically_increasing_id()))
@@ -235,8 +236,8 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, threshold: float, with
     placed = common.stored(classes.select(*key, "head", "node").join(groups, "node", "left").select(*key, "head", F.coalesce("label", "node").alias("component")))
     least = common.stored(placed.groupBy("component").agg(F.min("head").alias("component_id")))
     named = common.stored(placed.join(least, "component").select(*key, "component", "component_id"))
-    own = known.select("doc_id", *key).join(named, key, "left").select(
-        "doc_id", *key, "component", F.coalesce("component_id", "doc_id").alias("component_id"))
-    nameless = marks.where("doc_id is null").select("doc_id", *key, F.lit(None).cast("long").alias("component"), F.col("doc_id").alias("component_id"))
+    own = known.select("doc_id", *extra, *key).join(named, key, "left").select(
+        "doc_id", *extra, *key, "component", F.coalesce("component_id", "doc_id").alias("component_id"))
+    nameless = marks.where("doc_id is null").select("doc_id", *extra, *key, F.lit(None).cast("long").alias("component"), F.col("doc_id").alias("component_id"))
     rows = own.union(nameless).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     return rows if with_sets else rows.drop("s1", "s2", "component")

@@ -111,7 +111,7 @@ def op8_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_minhash_fingerprints")
 def op6_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return fingerprints.with_edits(docs).join(fingerprints.near_groups(docs).distinct(), "doc_id", "left")
+    return fingerprints.with_classes(docs)
 
 
 @query("op4_context_tree")

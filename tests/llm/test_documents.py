@@ -323,3 +323,21 @@ def test_hash_of_a_span_does_not_depend_on_its_place():
     sums = common.prefix_hash(data)
     keys = common.span_hash(sums, np.array([0, 5, 9, 1]), np.array([3, 8, 12, 4]))
     assert keys[0] == keys[1] == keys[2] != keys[3]
+
+
+def test_fingerprints_of_ids_of_any_type_and_of_shared_ids(spark):
+    a, b = prose(81, 60), prose(82, 60)
+    rows = [(1, a), (1, b), (2, b + " one"), (3, None), (4, ""), (None, a), (None, b), (5, a), (5, a)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(((r["doc_id"], r["fingerprint"], r["n_chars"], r["class_id"]) for r in fingerprints.with_classes(frame).collect()), key=str)
+    marks = {t: fingerprints.fingerprint(fingerprints.signatures(pa.array([t])))[0] for t in (a, b, b + " one", "")}
+    classes = {(1, a): 1, (1, b): 1, (2, b + " one"): 1, (3, None): 3, (4, ""): 4, (None, a): None, (None, b): None, (5, a): 1}
+    assert got == sorted(((i, marks[t or ""], len(t or ""), classes[i, t]) for i, t in rows), key=str)
+    named = frame.selectExpr("concat('d', doc_id) as doc_id", "text")
+    texts = sorted(((r["doc_id"], r["fingerprint"], r["n_chars"], r["class_id"]) for r in fingerprints.with_classes(named).collect()), key=str)
+    assert texts == sorted(((i and f"d{i}", marks[t or ""], len(t or ""), classes[i, t] and f"d{classes[i, t]}") for i, t in rows), key=str)
+    order = [r["edited_sha256"] for r in fingerprints.with_edits(frame).collect()]
+    assert sorted(order) == sorted(r["edited_sha256"] for r in fingerprints.with_edits(named).collect()) and len(order) == len(rows)
+    days = frame.selectExpr("date_add(date'2024-01-01', cast(doc_id as int)) as doc_id", "text")
+    assert sorted(order) == sorted(r["edited_sha256"] for r in fingerprints.with_edits(days).collect())
+    assert fingerprints.with_classes(named.where("false")).collect() == []
