@@ -102,6 +102,21 @@ def search_all(sources: list[tuple[str, DataFrame]]) -> DataFrame:
     return best.select("term", "key", F.col("_r.source").alias("source"), F.col("_r.label").alias("label"))
 
 
+def person_hits(terms: DataFrame, owners: DataFrame) -> DataFrame:
+    """Filers of each term, as a source of ``search_all``: every word in the name, or the number. ``owners``: owner_id, name."""
+    by_name = name_matches(terms, owners, "owner_id", "name")
+    by_number = terms.select("term", F.trim("term").alias("owner_id")).join(owners.select("owner_id"), "owner_id", "left_semi").select("term", "owner_id")
+    found = by_name.unionByName(by_number).distinct().join(owners, "owner_id")
+    return found.select("term", F.concat(F.lit("sec:"), "owner_id").alias("key"), F.col("name").alias("label"), F.lit(0).cast("long").alias("score"))
+
+
+def official_hits(terms: DataFrame, people: DataFrame) -> DataFrame:
+    """House members and executive officials whose name holds the term's words. ``people``: source, name, district, position."""
+    known = people.where(F.col("source").isin("house", "oge")).withColumn("key", T.person_key(F.col("source"), F.lit(None), F.col("name"), F.col("district"), F.col("position")))
+    first = known.where("key IS NOT NULL").groupBy("key").agg(F.min("name").alias("name"))
+    return name_matches(terms, first, "key", "name").distinct().join(first, "key").select("term", "key", F.col("name").alias("label"), F.lit(0).cast("long").alias("score"))
+
+
 def resolve_names(wanted: DataFrame, sources: list[DataFrame]) -> DataFrame:
     """Name and issuer of each code from ranked sources (ticker_code, name, issuer_id), the first that knows it."""
     rows = None

@@ -236,6 +236,21 @@ def overview_rows(spark, sf):
     return px.present(open_market(spark, sf, role="executive", exclude_plans=True).select("id", "transaction_date", "code"))
 
 
+@query("overview_rows_index", OVERVIEW + "," + px.CONSTITUENTS.strip() + """
+SELECT id, strftime(td, '%Y-%m-%d') AS transaction_date, code FROM ov WHERE issuer_id IN (SELECT cik FROM con WHERE index_name = 'sp500' AND cik IS NOT NULL)
+  OR replace(coalesce(filing_ticker, issuer_ticker), '.', '-') IN (SELECT replace(ticker, '.', '-') FROM con WHERE index_name = 'sp500')""")
+def overview_rows_index(spark, sf):
+    return px.present(open_market(spark, sf, index="sp500", members=px.constituents(spark, sf)).select("id", "transaction_date", "code"))
+
+
+@query("overview_rows_codes", OVERVIEW + """
+, cd AS (SELECT DISTINCT CASE WHEN s_suppkey % 10 = 0 THEN 'T' || s_suppkey || '-B' WHEN s_suppkey % 3 = 0 THEN 'T' || s_suppkey || '-A' ELSE 'T' || s_suppkey END AS k FROM supplier WHERE s_acctbal > 0),
+tk AS (SELECT DISTINCT id, unnest(list_transform(string_split_regex(issuer_ticker || coalesce(' ' || filing_ticker, ''), '[,;\\s]+'), lambda x: replace(upper(x), '.', '-'))) AS k FROM ov)
+SELECT id, strftime(td, '%Y-%m-%d') AS transaction_date, code FROM ov WHERE id IN (SELECT id FROM tk JOIN cd USING (k)) AND is_director""")
+def overview_rows_codes(spark, sf):
+    return px.present(open_market(spark, sf, codes=codes(spark, sf), role="director").select("id", "transaction_date", "code"))
+
+
 @query("trade_price", OVERVIEW + f"SELECT id, {money('tp')} AS trade_price, estimated, {money('amt')} AS trade_amount FROM pr")
 def trade_price(spark, sf):
     return shown(priced(spark, sf).select("id", "trade_price", "estimated", "trade_amount"), "trade_price", "trade_amount")

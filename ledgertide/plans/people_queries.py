@@ -285,6 +285,25 @@ def search_all(spark, sf):
     return px.present(sea.search_all([("alias", alias_hits), ("security", securities), ("company", companies)]))
 
 
+@query("search_all_people", px.with_ctes(px.PEOPLE) + """
+, t AS (SELECT lower(name) AS term FROM ppl WHERE CAST(person_id AS INTEGER) % 50 = 0 UNION SELECT person_id FROM ppl WHERE CAST(person_id AS INTEGER) % 70 = 0 UNION SELECT lower(substr(name, 1, 16)) FROM ppl WHERE CAST(person_id AS INTEGER) % 300 = 0),
+u AS (SELECT term, person_id AS key, 'Co ' || name AS label, 0 AS r FROM t JOIN ppl ON person_id = term UNION ALL SELECT term, 'sec:' || person_id, name, 1 FROM t JOIN ppl ON contains(lower(name), term) OR person_id = term
+  UNION ALL SELECT term, source || ':' || name || '|' || coalesce(district, position), name, 2 FROM t JOIN ppl ON contains(lower(name), term) WHERE source IN ('house', 'oge'))
+SELECT term, key, ['company', 'person', 'official'][r + 1] AS source, label FROM u QUALIFY row_number() OVER (PARTITION BY term, key ORDER BY r) = 1""")
+def search_all_people(spark, sf):
+    customer = px.table(spark, sf, "customer")
+    owners = customer.select(px.pad(F.col("c_custkey")).alias("owner_id"), F.col("c_name").alias("name"))
+    key = F.col("c_custkey")
+    people = customer.select(
+        F.element_at(F.array(F.lit("oge"), F.lit("house"), F.lit("senate")), (key % 3 + 1).cast("int")).alias("source"), F.col("c_name").alias("name"),
+        F.when(key % 3 == 1, F.concat(F.lit("CA"), F.lpad((key % 50).cast("string"), 2, "0"))).alias("district"),
+        F.when(key % 3 == 0, F.when(key % 2 == 0, "Secretary (Commerce)").otherwise("President")).alias("position"))
+    wanted = (customer.where("c_custkey % 50 = 0").select(F.lower("c_name").alias("term")).unionByName(owners.where("cast(owner_id as int) % 70 = 0").select(F.col("owner_id").alias("term")))
+              .unionByName(customer.where("c_custkey % 300 = 0").select(F.lower(F.substring("c_name", 1, 16)).alias("term"))).distinct())
+    companies = wanted.join(owners.select(F.col("owner_id").alias("term"), F.concat(F.lit("Co "), "name").alias("label")), "term").select("term", F.col("term").alias("key"), "label", F.lit(0).cast("long").alias("score"))
+    return px.present(sea.search_all([("company", companies), ("person", sea.person_hits(wanted, owners)), ("official", sea.official_hits(wanted, people))]))
+
+
 @query("alias_matches", """
 WITH t AS (SELECT DISTINCT lower(left(n_name, 6)) || '_' || n_nationkey AS term FROM nation UNION SELECT 'nation_1' UNION SELECT 'n'), a AS (SELECT n_name AS alias, n_nationkey AS pos, 'T' || (n_nationkey % 6) AS code FROM nation)
 SELECT term, code, CAST(r AS BIGINT) AS match_rank, alias FROM (SELECT term, code, CASE WHEN lower(alias) = term THEN 0 ELSE 1 END AS r, alias, pos FROM t JOIN a ON lower(alias) = term OR (length(term) >= 2 AND contains(lower(alias), term)))

@@ -12,7 +12,7 @@ from ledgertide.plans.calendar_queries import exchange_sql, local_of
 from ledgertide.plans.event_queries import WINDOWED, studied
 from ledgertide.plans.insider_queries import contexts, shown
 from ledgertide.plans.market_queries import MONTHS, YEARS, candle_sql
-from ledgertide.plans.registry import query
+from ledgertide.plans.registry import ORACLES, QUERIES, query
 from ledgertide.sources import disclosures as dis
 from ledgertide.sources import event_lists as evl
 from ledgertide.sources import exports as exp
@@ -360,6 +360,52 @@ def read_config_dims(spark, sf):
     return px.present(mkt.check_sector_dims(dims))
 
 
+@query("config_sub_industries", """
+WITH g AS (SELECT n_name AS id FROM nation), s AS (SELECT DISTINCT CASE WHEN p_partkey % 29 < 22 THEN n_name ELSE 'X' || (p_partkey % 29) END AS industry_group, p_brand || ' ' || (p_partkey % 9) AS sub_industry
+  FROM part LEFT JOIN nation ON n_nationkey = p_partkey % 29)
+SELECT DISTINCT 'group_unknown' AS problem, industry_group AS item FROM s WHERE industry_group NOT IN (SELECT id FROM g) UNION ALL SELECT 'group_empty', id FROM g WHERE id NOT IN (SELECT industry_group FROM s)
+UNION ALL SELECT 'sub_industry_repeated', sub_industry FROM s GROUP BY 2 HAVING count(*) > 1""")
+def config_sub_industries(spark, sf):
+    groups = px.table(spark, sf, "nation").select(F.col("n_name").alias("id"), F.col("n_nationkey").alias("k"))
+    part = px.table(spark, sf, "part").withColumn("k", F.col("p_partkey") % 29)
+    subs = part.join(groups, "k", "left").select(F.when(F.col("k") < 22, F.col("id")).otherwise(F.concat(F.lit("X"), F.col("k").cast("string"))).alias("industry_group"),
+                                                 F.concat("p_brand", F.lit(" "), (F.col("p_partkey") % 9).cast("string")).alias("sub_industry")).distinct()
+    return px.present(mkt.check_sub_industries(groups.select("id"), subs))
+
+
+@query("config_aliases", """
+WITH a AS (SELECT CASE WHEN s_suppkey % 13 = 0 THEN ' ' ELSE 'Name ' || (s_suppkey % 60) END AS alias, CASE s_suppkey % 7 WHEN 0 THEN [] WHEN 1 THEN ['T' || s_suppkey, 'T' || s_suppkey] WHEN 2 THEN ['bad code'] WHEN 3 THEN ['Z' || s_suppkey] ELSE ['T' || s_suppkey] END AS codes FROM supplier),
+f AS (SELECT *, lower(trim(alias)) AS fo FROM a), c AS (SELECT alias, unnest(codes) AS code FROM a), b AS (SELECT code FROM c WHERE NOT regexp_matches(code, '^[A-Z0-9]{1,6}(-[A-Z0-9]{1,2})?$'))
+SELECT DISTINCT 'alias_blank' AS problem, alias AS item FROM f WHERE fo = '' UNION ALL SELECT 'alias_repeated', fo FROM f GROUP BY fo HAVING count(*) > 1 UNION ALL SELECT DISTINCT 'codes_missing', alias FROM f WHERE len(codes) = 0
+UNION ALL SELECT DISTINCT 'code_repeated', alias FROM f WHERE len(codes) <> len(list_distinct(codes)) UNION ALL SELECT DISTINCT 'code_malformed', code FROM b
+UNION ALL SELECT DISTINCT 'code_unknown', code FROM c WHERE code NOT IN (SELECT 'T' || s_suppkey FROM supplier) AND code NOT IN (SELECT code FROM b)""")
+def config_aliases(spark, sf):
+    key = F.col("s_suppkey")
+    code = lambda letter: F.concat(F.lit(letter), key.cast("string"))
+    codes = (F.when(key % 7 == 0, F.array().cast("array<string>")).when(key % 7 == 1, F.array(code("T"), code("T"))).when(key % 7 == 2, F.array(F.lit("bad code")))
+             .when(key % 7 == 3, F.array(code("Z"))).otherwise(F.array(code("T"))))
+    aliases = px.table(spark, sf, "supplier").select(F.when(key % 13 == 0, " ").otherwise(F.concat(F.lit("Name "), (key % 60).cast("string"))).alias("alias"), codes.alias("codes"))
+    return px.present(mkt.check_aliases(aliases, px.table(spark, sf, "supplier").select(code("T").alias("ticker"))))
+
+
+@query("config_people", """
+WITH p AS (SELECT c_custkey AS k, CASE c_custkey % 4 WHEN 0 THEN 'sec' WHEN 1 THEN 'house' WHEN 2 THEN 'oge' ELSE 'blog' END AS source, CASE WHEN c_custkey % 11 = 0 THEN 'x1' ELSE CAST(c_custkey + 1 AS VARCHAR) END AS cik,
+  CASE WHEN c_custkey % 17 = 0 THEN ' ' ELSE 'Person ' || (c_custkey % 400) END AS name, CASE WHEN c_custkey % 19 = 0 THEN 'CA' ELSE 'CA11' END AS district, CASE WHEN c_custkey % 23 = 0 THEN '' WHEN c_custkey % 6 = 0 THEN 'Head|Deputy' ELSE 'Secretary' END AS position FROM customer),
+q AS (SELECT *, CASE WHEN source = 'blog' THEN 'source_unknown' WHEN source = 'sec' AND cik = 'x1' THEN 'cik_invalid' WHEN source <> 'sec' AND trim(name) = '' THEN 'name_missing' WHEN source = 'oge' AND position = '' THEN 'detail_missing'
+  WHEN source = 'oge' AND contains(position, '|') THEN 'separator_in_text' END AS broken FROM p),
+r AS (SELECT *, CASE source WHEN 'sec' THEN 'sec:' || lpad(cik, 10, '0') WHEN 'house' THEN 'house:' || name || '|' || district ELSE 'oge:' || name || '|' || position END AS key FROM q WHERE broken IS NULL)
+SELECT broken AS problem, name AS item FROM q WHERE broken IS NOT NULL UNION ALL SELECT 'district_malformed', name FROM r WHERE source = 'house' AND district = 'CA' UNION ALL SELECT 'name_missing', name FROM r WHERE source = 'sec' AND trim(name) = ''
+UNION ALL SELECT 'category_unknown', name FROM r WHERE k % 29 = 0 UNION ALL SELECT 'note_missing', name FROM r WHERE k % 31 = 0 UNION ALL SELECT 'listed_twice', key FROM r GROUP BY key HAVING count(*) > 1""")
+def config_people(spark, sf):
+    key = F.col("c_custkey")
+    people = px.table(spark, sf, "customer").select(
+        F.element_at(F.array(*[F.lit(x) for x in ("sec", "house", "oge", "blog")]), (key % 4 + 1).cast("int")).alias("source"), F.when(key % 11 == 0, "x1").otherwise((key + 1).cast("string")).alias("cik"),
+        F.when(key % 17 == 0, " ").otherwise(F.concat(F.lit("Person "), (key % 400).cast("string"))).alias("name"), F.when(key % 19 == 0, "CA").otherwise("CA11").alias("district"),
+        F.when(key % 23 == 0, "").when(key % 6 == 0, "Head|Deputy").otherwise("Secretary").alias("position"),
+        F.when(key % 29 == 0, "other").otherwise("cabinet").alias("category"), F.lit("note").alias("note_en"), F.when(key % 31 == 0, " ").otherwise("note").alias("note_zh"), "c_custkey")
+    return px.present(mkt.check_people(people))
+
+
 # --- sinks: written by the tasks, then read back ----------------------------------
 
 
@@ -404,3 +450,30 @@ def export_trade_context(spark, sf):
     exp.write_json(exp.context_points(contexts(spark, sf)[0]), path)
     back = spark.read.schema("id string, basis string, measure string, value double").json(path)
     return px.present(back.groupBy("basis", "measure").agg(F.count("*").alias("points")))
+
+
+def written_and_read(rows, path, table):
+    """The rows of a statistics table after they were written as CSV and read back in the types they had."""
+    exp.write_csv(table(rows), path)
+    return rows.sparkSession.read.schema(rows.schema).csv(path, header=True)
+
+
+@query("export_study_stats", ORACLES["seasonality_monthly"])
+def export_study_stats(spark, sf):
+    return written_and_read(QUERIES["seasonality_monthly"](spark, sf), shared_folder(spark), lambda rows: exp.study_table(rows, rows, "stats"))
+
+
+@query("export_events_stats", ORACLES["window_stats"])
+def export_events_stats(spark, sf):
+    return written_and_read(QUERIES["window_stats"](spark, sf), shared_folder(spark), lambda rows: exp.event_table(rows, rows, "stats"))
+
+
+@query("export_context_csv", f"""
+WITH x AS ({ORACLES["trade_context"]}), v AS (SELECT id, 'disclosure' AS basis, 'after_n' AS measure, disclosure_after_n AS value FROM x UNION ALL SELECT id, 'transaction', 'day_1', transaction_day_1 FROM x)
+SELECT id, basis, measure, value FROM v""")
+def export_context_csv(spark, sf):
+    """Trade contexts as CSV, with their values: those of the two measures that the SQL of a trade's context states."""
+    path = shared_folder(spark)
+    exp.write_csv(exp.context_points(contexts(spark, sf)[0]), path)
+    back = spark.read.schema("id string, basis string, measure string, value double").csv(path, header=True)
+    return px.present(back.where("(basis = 'disclosure' AND measure = 'after_n') OR (basis = 'transaction' AND measure = 'day_1')"))

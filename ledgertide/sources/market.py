@@ -181,14 +181,33 @@ def check_aliases(aliases: DataFrame, known: DataFrame) -> DataFrame:
             .unionByName(row(bad, "code_malformed", "code")).unionByName(row(unknown, "code_unknown", "code")))
 
 
-def check_people(people: DataFrame) -> DataFrame:
-    """Problems of a default people list: source, cik, name, detail, district form, repeated keys."""
-    detail = F.when(F.col("source") == "house", F.col("district")).otherwise(F.col("position"))
-    key = T.person_key(F.col("source"), F.col("cik"), F.col("name"), F.col("district"), F.col("position"))
+# What a person of the default list can be.
+PEOPLE_CATEGORIES = ("investor", "investment_firm", "founder_ceo", "house", "president", "cabinet")
+
+
+def check_people(people: DataFrame, categories: tuple[str, ...] = PEOPLE_CATEGORIES) -> DataFrame:
+    """Problems of a default people list, one row each: source, cik, name, detail, district form, separators, repeated keys, and, where the list
+    states them, category (one of ``categories``) and notes in both languages (note_en, note_zh).
+
+    An entry whose identity is broken is told of once and is no further looked at; any other may have several problems.
+    """
+    source, name = F.col("source"), F.col("name")
+    detail = F.when(source == "house", F.col("district")).otherwise(F.col("position"))
     blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
-    problem = (F.when(~F.col("source").isin("sec", "house", "oge"), "source_unknown").when((F.col("source") == "sec") & T.cik(F.col("cik")).isNull(), "cik_invalid")
-               .when(blank(F.col("name")), "name_missing").when((F.col("source") != "sec") & blank(detail), "detail_missing")
-               .when((F.col("source") == "house") & ~F.col("district").rlike("^[A-Z]{2}[0-9]{2}$"), "district_malformed").when(F.concat_ws("", "name", detail).contains("|"), "separator_in_text"))
-    rows = people.withColumn("_key", key).withColumn("problem", problem)
+    filer = source == "sec"
+    broken = (F.when(~F.coalesce(source.isin("sec", "house", "oge"), F.lit(False)), "source_unknown").when(filer & T.cik(F.col("cik")).isNull(), "cik_invalid").when(~filer & blank(name), "name_missing")
+              .when(~filer & blank(detail), "detail_missing").when(~filer & F.concat_ws("", name, detail).contains("|"), "separator_in_text"))
+    malformed = F.when((source == "house") & ~F.col("district").rlike("^[A-Z]{2}[0-9]{2}$"), "district_malformed")
+    others = [malformed, F.when(filer & blank(name), "name_missing")]
+    if "category" in people.columns:
+        others.append(F.when(~F.coalesce(F.col("category").isin(*categories), F.lit(False)), "category_unknown"))
+    if {"note_en", "note_zh"} <= set(people.columns):
+        others.append(F.when(blank(F.col("note_en")) | blank(F.col("note_zh")), "note_missing"))
+    stop = F.col("_broken")
+    found = F.when(stop.isNull(), F.array_compact(F.array(*others))).otherwise(
+        F.array_compact(F.array(stop, F.when((stop == "separator_in_text"), malformed))))
+    key = F.when(stop.isNull(), T.person_key(source, F.col("cik"), name, F.col("district"), F.col("position")))
+    rows = people.withColumn("_broken", broken).withColumns({"_problems": found, "_key": key})
     repeated = rows.where("_key IS NOT NULL").groupBy("_key").agg(F.count("*").alias("n")).where("n > 1").select(F.lit("listed_twice").alias("problem"), F.col("_key").alias("item"))
-    return rows.where("problem IS NOT NULL").select("problem", F.coalesce("name", "cik").alias("item")).unionByName(repeated)
+    return rows.select(F.explode("_problems").alias("problem"), F.coalesce("name", "cik").alias("item")).unionByName(repeated)
+
