@@ -70,6 +70,26 @@ def finished(spark: SparkSession, build: Callable[[], DataFrame]) -> DataFrame:
     return spark.read.schema(result.schema).parquet(folder)
 
 
+#: Hash buckets by which rows of a query set are dealt to one block.
+BUCKETS = 64
+
+
+def text_blocks(rows: DataFrame, size: int, *together: str) -> Iterator[list[tuple]]:
+    """(id, text) rows in blocks of about ``size`` bytes of text, a block at a time on the driver; rows with equal ``together`` columns are in one block.
+
+    Rows fall into many small hash buckets, which fill the blocks in turn, so a block is over its size by one bucket at most, or holds one key only.
+    """
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64(*together), F.lit(BUCKETS * (total // size) + 1)))
+    sizes = dealt.groupBy("bucket").agg(F.sum(F.octet_length("text")).alias("bytes")).orderBy("bucket").collect()
+    low, held = 0, 0
+    for k, r in enumerate(sizes):
+        held += r["bytes"]
+        if k + 1 == len(sizes) or held + sizes[k + 1]["bytes"] > size:
+            yield [(x["id"], x["text"]) for x in dealt.where(F.col("bucket").between(low, r["bucket"])).collect()]
+            low, held = r["bucket"] + 1, 0
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all rows and their n + 1 offsets; a null is empty."""
     if column.null_count:

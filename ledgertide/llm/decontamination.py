@@ -5,8 +5,8 @@ length share a searcher. Its shift table tells, for a hashed block of two words,
 pattern can end earlier; where the shift is 0, the hash bucket of the block names the patterns to test, and a direct
 comparison of the bytes confirms each. All documents of a slice advance together, one jump per step.
 
-Empty and null texts have no words, no hits and an empty item list. Items without id are left out; repeated items each
-count. Rows with equal ids are searched each for itself.
+Empty and null texts have no words, no hits and an empty item list. Items without id are left out; repeated items count
+once. Rows with equal ids are searched each for itself.
 """
 
 from __future__ import annotations
@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from ledgertide.llm import common
 
 WINDOW = 13
-#: Bytes of benchmark text that one broadcast block may hold; a larger benchmark is searched in several blocks.
-BLOCK_BYTES = 16_000_000
+#: Bytes of benchmark text that one broadcast block holds (its tables take about a hundred times as much on the driver); a larger benchmark is searched block after block.
+BLOCK_BYTES = 2_000_000
 TABLE_BITS = 18
 #: Word bytes: digits, lower-case letters and everything beyond ASCII.
 WORD = np.zeros(256, bool)
@@ -127,19 +127,28 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """Per document: its words, the words inside an occurrence of any window, the hit spans (word places) and the items found.
 
     ``keep`` names further columns of ``docs`` that go through unchanged. The benchmark is a stated query set: it is
-    read in blocks of at most ``BLOCK_BYTES`` of text, each broadcast by itself, and every block meets all documents.
+    read in blocks of about ``BLOCK_BYTES`` of text. Only one block's tables are on the driver and the workers at a time: the documents pass by it with
+    what earlier blocks found, and what they found goes on to the next pass as a stored table.
     """
     spark = docs.sparkSession
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text).cast("string").alias("text")).where("item is not null and text is not null")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = int(total // BLOCK_BYTES) + 1
-    shared = []
-    for part in range(parts):  # a bounded block at a time
-        block = items if parts == 1 else items.where(F.pmod(F.xxhash64("item"), F.lit(parts)) == part)
-        shared.append(spark.sparkContext.broadcast(searchers([(r[0], r[1]) for r in block.collect()], window)))
+    items = benchmark.select(F.col(item_col).cast("string").alias("id"), F.col(item_text).cast("string").alias("text")).where("id is not null and text is not null").distinct()
     names = [id_col, *keep]
-    plain = docs.select(*[F.col(c) for c in names], F.col(text_col).cast("string").alias("_text"))
-
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*names).schema.fields)
+    rows = docs.select(*[F.col(c) for c in names], F.col(text_col).cast("string").alias("_text"))
+    blocks = common.text_blocks(items, BLOCK_BYTES, "id", "text")
+    block, again = next(blocks, []), False
+    while True:
+        following = next(blocks, None)
+        shared = spark.sparkContext.broadcast(searchers(block, window))
+        found = rows.mapInArrow(_search(shared, names, again, following is not None), f"{kinds}{SCHEMA}" + (", _text string" if following is not None else ""))
+        if following is None:
+            return found
+        rows, block, again = common.stored(found.select(*names, "_text", "hit_spans", "items")), following, True
+        shared.destroy()
+
+
+def _search(shared, names: list[str], again: bool, on: bool):
+    """One pass of documents by a block; ``again`` if they come with the spans and items of blocks before, ``on`` if their texts go on to another."""
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, "_text", 1_000_000):
             raw, offsets = common.buffers(batch.column(batch.schema.get_field_index("_text")))
@@ -152,14 +161,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
             edges = np.zeros(len(starts) + 1, np.int64)
             found: list[set[str]] = [set() for _ in range(batch.num_rows)]
-            for block in shared:
-                engines, ids = block.value
-                for engine in engines:
-                    last, numbers = engine.find(hashes, rows, text_of)
-                    np.add.at(edges, last - engine.length + 1, 1)
-                    np.add.at(edges, last + 1, -1)
-                    for row, number in zip((np.searchsorted(rows, last, side="right") - 1).tolist(), numbers.tolist(), strict=True):
-                        found[row].update(ids[i] for i in engine.items[number])
+            if again:
+                spans, known = (batch.column(batch.schema.get_field_index(c)) for c in ("hit_spans", "items"))
+                held = np.repeat(rows[:-1], np.diff(spans.offsets.to_numpy()))
+                np.add.at(edges, held + spans.flatten().field("first").to_numpy(), 1)
+                np.add.at(edges, held + spans.flatten().field("end").to_numpy(), -1)
+                found = [set(x) for x in known.to_pylist()]
+            engines, ids = shared.value
+            for engine in engines:
+                last, numbers = engine.find(hashes, rows, text_of)
+                np.add.at(edges, last - engine.length + 1, 1)
+                np.add.at(edges, last + 1, -1)
+                for row, number in zip((np.searchsorted(rows, last, side="right") - 1).tolist(), numbers.tolist(), strict=True):
+                    found[row].update(ids[i] for i in engine.items[number])
             hit = np.cumsum(edges)[:-1] > 0
             total_hit = np.r_[0, np.cumsum(hit)]
             first = np.zeros(len(hit) + 1, bool)
@@ -171,11 +185,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             spans = pa.StructArray.from_arrays([pa.array(begin - base, pa.int64()), pa.array(finish - base, pa.int64())], ["first", "end"])
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(i) for i in range(len(names))], pa.array(np.diff(rows), pa.int64()), pa.array(total_hit[rows[1:]] - total_hit[rows[:-1]], pa.int64()),
-                 pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), spans), pa.array([sorted(x) for x in found], pa.list_(pa.string()))],
-                [*names, "n_words", "n_hit", "hit_spans", "items"])
+                 pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), spans), pa.array([sorted(x) for x in found], pa.list_(pa.string())), *([batch.column(batch.schema.get_field_index("_text"))] if on else [])],
+                [*names, "n_words", "n_hit", "hit_spans", "items", *(["_text"] if on else [])])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields[:-1])
-    return plain.mapInArrow(search, f"{kinds}, {SCHEMA}")
+    return search
 
 
 def is_contaminated(n_words, n_hit):

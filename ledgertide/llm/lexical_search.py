@@ -38,8 +38,8 @@ TOP = 10
 WIDTH = 4096
 #: Largest count a sketch tells apart; one more stands for all above.
 MOST = 254
-#: Text of the items of one block, and the buckets by which items are dealt to blocks.
-BLOCK_BYTES, BUCKETS = 4_000_000, 64
+#: Text of the items of one block.
+BLOCK_BYTES = 4_000_000
 #: Cells of a matrix of impacts; documents scored for an item in one step.
 CELLS, STEP = 2_000_000, 16
 
@@ -128,15 +128,7 @@ class Block:
 def blocks(items: DataFrame, id_col: str = "item_id", text_col: str = "text", size: int = BLOCK_BYTES) -> Iterator[list[tuple]]:
     """(id, text) rows in blocks of about ``size`` bytes of text, all rows of an id in one block; a block at a time is on the driver."""
     plain = items.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    total = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    dealt = plain.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(BUCKETS * (total // size) + 1)))
-    low, held = 0, 0
-    sizes = dealt.groupBy("bucket").agg(F.sum(F.octet_length("text")).alias("bytes")).orderBy("bucket").collect()
-    for k, r in enumerate(sizes):
-        held += r["bytes"]
-        if k + 1 == len(sizes) or held + sizes[k + 1]["bytes"] > size:
-            yield [(x["id"], x["text"]) for x in dealt.where(F.col("bucket").between(low, r["bucket"])).collect()]
-            low, held = r["bucket"] + 1, 0
+    return common.text_blocks(plain, size, "id")
 
 
 class Scorer:

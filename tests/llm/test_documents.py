@@ -188,8 +188,16 @@ def test_decontamination_equals_brute_force(spark, docs, corpus):
 def test_decontamination_in_blocks(spark, docs, corpus, monkeypatch):
     benchmark = spark.createDataFrame([(i, t[:400]) for i, t in corpus[:7]], "item_id long, text string")
     whole = sorted(map(str, decontamination.contamination(docs, benchmark).collect()))
+    made = []
+    plain = decontamination.searchers
+    monkeypatch.setattr(decontamination, "searchers", lambda rows, window: made.append(sum(len(t) for _, t in rows)) or plain(rows, window))
     monkeypatch.setattr(decontamination, "BLOCK_BYTES", 500)
     assert sorted(map(str, decontamination.contamination(docs, benchmark).collect())) == whole
+    assert len(made) > 3 and max(made) <= 500 + 400  # a block at a time, however many there are
+    many = benchmark.union(spark.createDataFrame([(7, t[:400]) for _, t in corpus[:7] if t], "item_id long, text string"))  # one id with most of the text
+    made.clear()
+    again = {r["doc_id"]: r for r in decontamination.contamination(docs, many).collect()}
+    assert max(made) <= 500 + 400 and "7" in again[1]["items"]
     assert all(r["n_hit"] == 0 for r in decontamination.contamination(docs, benchmark.where("false")).collect())
 
 
