@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -70,6 +71,12 @@ def finished(spark: SparkSession, build: Callable[[], DataFrame]) -> DataFrame:
     return spark.read.schema(result.schema).parquet(folder)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of frames that are gone: it does so when the driver's garbage is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 #: Hash buckets by which rows of a query set are dealt to one block.
 BUCKETS = 64
 

@@ -94,7 +94,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Signature bands are joined in Spark and links verified by the Jaccard similarity of full sets. Rows of equal sets are one class before that, so
     copies cost nothing, and rows that share an id have each the class of their own text. Null ids have no class.
     """
-    found = common.finished(docs.sparkSession, lambda: near_duplicates._grouped(docs, id_col, text_col, threshold, False, banded, ("tag",)))
+    found = common.finished(docs.sparkSession, lambda: near_duplicates._grouped(docs, id_col, text_col, threshold, False, banded, ("tag",), sift=True))
     return found.select("doc_id", "tag", F.col("component_id").alias("class_id"))
 
 
@@ -161,6 +161,7 @@ def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def with_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``with_edits`` and each row's class_id of ``near_groups``."""
     classes = common.stored(near_groups(docs, id_col, text_col).where("doc_id is not null and class_id <> doc_id").distinct().withColumnsRenamed({"doc_id": "_id", "tag": "_tag"}))
+    common.release(docs.sparkSession)  # the groups' shuffles are done with before all texts are shuffled
     found = with_edits(docs, id_col, text_col)
     joined = found.join(classes, (found["doc_id"] == classes["_id"]) & (found["tag"] == classes["_tag"]), "left")
     return joined.select(*[c for c in found.columns if c != "tag"], F.coalesce("class_id", "doc_id").alias("class_id"))

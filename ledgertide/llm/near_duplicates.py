@@ -128,6 +128,31 @@ def full_sets(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, s1 long, s2 long, items array<long>")
 
 
+#: Bits of the table by which texts are sifted before they are shuffled: 4 MB, whatever the corpus.
+SIFT_BITS = 1 << 25
+
+
+def sifted(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Those of ``texts`` (doc_id, text) whose id may be among ``wanted``, without a shuffle of texts: a bitmap of hashed ids, of a fixed size, goes to all tasks.
+
+    None of the wanted is lost; of the others the share of set bits is left, and the join that follows drops them.
+    """
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(SIFT_BITS)) + 1
+    parts = wanted.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect()
+    table = np.zeros((SIFT_BITS // 2**15, 2**15 // 8), np.uint8)
+    for part, bits in parts:  # at most 1,024 rows of 4 KB
+        table[part - 1] = np.frombuffer(bits, np.uint8)
+    shared = texts.sparkSession.sparkContext.broadcast(table.reshape(-1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bit = batch.column(2).to_numpy() - 1
+            held = (shared.value[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1
+            yield batch.select(["doc_id", "text"]).filter(pa.array(held.astype(bool)))
+
+    return texts.select("doc_id", "text", at.alias("at")).mapInArrow(run, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, text string")
+
+
 def largest_sets(texts: DataFrame, members: DataFrame) -> DataFrame:
     """The full sets of ``members`` (doc_id), the largest one of an id."""
     return full_sets(texts.join(members, "doc_id", "left_semi")).groupBy("doc_id").agg(F.max_by("items", F.size("items")).alias("items"))
@@ -218,8 +243,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return common.finished(docs.sparkSession, lambda: _grouped(docs, id_col, text_col, threshold, sets))
 
 
-def _grouped(docs: DataFrame, id_col: str, text_col: str, threshold: float, with_sets: bool, marks_of=signatures, extra: tuple[str, ...] = ()) -> DataFrame:
-    """``marks_of`` gives the columns of ``signatures``, and those named in ``extra``, which stay."""
+def _grouped(docs: DataFrame, id_col: str, text_col: str, threshold: float, with_sets: bool, marks_of=signatures, extra: tuple[str, ...] = (), sift: bool = False) -> DataFrame:
+    """``marks_of`` gives the columns of ``signatures``, and those named in ``extra``, which stay; with ``sift`` only texts that may be wanted leave their tasks."""
     key = ["n_shingles", "s1", "s2"]
     marks = common.stored(marks_of(docs, id_col, text_col))
     known = marks.where("doc_id is not null")
@@ -229,7 +254,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, threshold: float, with
 
     def sets_of(members: DataFrame) -> DataFrame:
         wanted = classes.join(members, classes["node"] == members["doc_id"], "left_semi").select(F.col("head").alias("doc_id"), "s1", "s2", "node")
-        found = full_sets(texts.join(wanted, "doc_id", "left_semi")).groupBy("doc_id", "s1", "s2").agg(F.first("items").alias("items"))
+        found = full_sets(sifted(texts, wanted) if sift else texts.join(wanted, "doc_id", "left_semi")).groupBy("doc_id", "s1", "s2").agg(F.first("items").alias("items"))
         return found.join(wanted, ["doc_id", "s1", "s2"]).select(F.col("node").alias("doc_id"), "items")
 
     groups = linked(classes.select(F.col("node").alias("doc_id"), F.explode("bands").alias("band")), sets_of, threshold)

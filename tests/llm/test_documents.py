@@ -349,3 +349,11 @@ def test_fingerprints_of_ids_of_any_type_and_of_shared_ids(spark):
     days = frame.selectExpr("date_add(date'2024-01-01', cast(doc_id as int)) as doc_id", "text")
     assert sorted(order) == sorted(r["edited_sha256"] for r in fingerprints.with_edits(days).collect())
     assert fingerprints.with_classes(named.where("false")).collect() == []
+
+
+def test_sifting_keeps_all_that_is_wanted(spark):
+    texts = spark.createDataFrame([(i, f"t{i}") for i in range(20_000)] + [(None, "n")], "doc_id long, text string")
+    wanted = spark.createDataFrame([(i,) for i in range(0, 20_000, 7)] + [(10**12,)], "doc_id long")
+    left = {r["doc_id"] for r in near_duplicates.sifted(texts, wanted).collect()}
+    assert set(range(0, 20_000, 7)) <= left and len(left) < 20_000 / 7 + 100
+    assert near_duplicates.sifted(texts, wanted.where("false")).collect() == []
