@@ -54,12 +54,16 @@ def context_points(contexts: DataFrame) -> DataFrame:
     return contexts.select("id", F.explode(pieces).alias("p")).select("id", "p.*")
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    flatten(df).write.mode("overwrite").csv(path, header=True)
+#: Text repeats its column names and keys in every row, so files are compressed where they are written; readers know it by the name.
+COMPRESSION = "gzip"
 
 
-def write_json(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").json(path)
+def write_csv(df: DataFrame, path: str, compression: str = COMPRESSION) -> None:
+    flatten(df).write.mode("overwrite").csv(path, header=True, compression=compression)
+
+
+def write_json(df: DataFrame, path: str, compression: str = COMPRESSION) -> None:
+    df.write.mode("overwrite").json(path, compression=compression)
 
 
 def overwrite_partitions(df: DataFrame, path: str, *partitions: str) -> None:
