@@ -50,11 +50,12 @@ def with_block(terms: DataFrame, pieces: Column, grams: DataFrame) -> DataFrame:
 def name_matches(terms: DataFrame, entities: DataFrame, key: str, name: str) -> DataFrame:
     """(term, key) where every word of the term is part of the name.
 
-    Blocks on the piece of the term's words that the fewest names have, then checks every word.
+    Blocks on the piece of the term's words that the fewest names have, then checks every word. The exploded pieces are many times
+    the names that the planner estimates them by, so they are merged with the terms and never broadcast.
     """
     parsed = terms.select("term").distinct().withColumn("_words", words(F.col("term"))).where(F.size("_words") > 0)
     names = entities.select(key, F.lower(name).alias("_name")).withColumn("_block", F.explode(_grams(F.col("_name"))))
-    pairs = names.join(with_block(parsed, F.flatten(F.transform("_words", _own_pieces)), names), "_block")
+    pairs = names.hint("merge").join(with_block(parsed, F.flatten(F.transform("_words", _own_pieces)), names), "_block")
     return pairs.where(F.forall("_words", lambda w: F.col("_name").contains(w))).select("term", key)
 
 
@@ -85,7 +86,7 @@ def alias_matches(terms: DataFrame, aliases: DataFrame) -> DataFrame:
     table = aliases.withColumn("_a", T.fold(F.col("alias")))
     exact = folded.join(table, F.col("_f") == F.col("_a")).withColumn("match_rank", F.lit(0))
     grams = table.withColumn("_block", F.explode(_grams(F.col("_a"))))
-    partial = (with_block(folded.where(F.length("_f") >= 2), _own_pieces(F.col("_f")), grams).join(grams, "_block")
+    partial = (with_block(folded.where(F.length("_f") >= 2), _own_pieces(F.col("_f")), grams).join(grams.hint("merge"), "_block")
                .where(F.col("_a").contains(F.col("_f")) & (F.col("_a") != F.col("_f"))).drop("_block").withColumn("match_rank", F.lit(1)))
     rows = exact.unionByName(partial).select("term", "match_rank", "alias_pos", "alias", F.posexplode("codes").alias("code_pos", "code"))
     best = rows.groupBy("term", "code").agg(F.min(F.struct("match_rank", "alias_pos", "code_pos", "alias")).alias("_r"))
@@ -106,7 +107,7 @@ def person_hits(terms: DataFrame, owners: DataFrame) -> DataFrame:
     """Filers of each term, as a source of ``search_all``: every word in the name, or the number. ``owners``: owner_id, name."""
     by_name = name_matches(terms, owners, "owner_id", "name")
     by_number = terms.select("term", F.trim("term").alias("owner_id")).join(owners.select("owner_id"), "owner_id", "left_semi").select("term", "owner_id")
-    found = by_name.unionByName(by_number).distinct().join(owners, "owner_id")
+    found = by_name.unionByName(by_number).distinct().join(owners.hint("merge"), "owner_id")
     return found.select("term", F.concat(F.lit("sec:"), "owner_id").alias("key"), F.col("name").alias("label"), F.lit(0).cast("long").alias("score"))
 
 
@@ -114,7 +115,7 @@ def official_hits(terms: DataFrame, people: DataFrame) -> DataFrame:
     """House members and executive officials whose name holds the term's words. ``people``: source, name, district, position."""
     known = people.where(F.col("source").isin("house", "oge")).withColumn("key", T.person_key(F.col("source"), F.lit(None), F.col("name"), F.col("district"), F.col("position")))
     first = known.where("key IS NOT NULL").groupBy("key").agg(F.min("name").alias("name"))
-    return name_matches(terms, first, "key", "name").distinct().join(first, "key").select("term", "key", F.col("name").alias("label"), F.lit(0).cast("long").alias("score"))
+    return name_matches(terms, first, "key", "name").distinct().join(first.hint("merge"), "key").select("term", "key", F.col("name").alias("label"), F.lit(0).cast("long").alias("score"))
 
 
 def resolve_names(wanted: DataFrame, sources: list[DataFrame]) -> DataFrame:

@@ -4,6 +4,7 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
+from ledgertide.operators import search as sea
 from ledgertide.sources import exports as exp
 
 
@@ -16,3 +17,14 @@ def test_exported_text_is_compressed_and_reads_back(spark, tmp_path):
         assert parts and all(p.suffix == ".gz" for p in parts)
         assert sum(p.stat().st_size for p in parts) < 20000 * 15  # a third of the text
         assert read(path).exceptAll(rows).count() == 0 and rows.exceptAll(read(path)).count() == 0
+
+
+def test_pieces_of_names_are_never_broadcast(spark):
+    """The planner takes exploded pieces for as large as their names, so it would broadcast them."""
+    names = spark.range(2000).select("id", F.format_string("customer #%06d", "id").alias("name"))
+    terms = names.where("id % 500 = 0").select(F.col("name").alias("term"))
+    found = sea.name_matches(terms, names, "id", "name")
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    joined = plan[:plan.index("explode(array_distinct(concat(")]
+    assert "SortMergeJoin" in joined and "BroadcastHashJoin" not in joined
+    assert sorted(r["id"] for r in found.collect()) == [0, 500, 1000, 1500]
