@@ -4,7 +4,7 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from ledgertide.operators import search as sea
+from ledgertide.operators import search as sea, trades as trd
 from ledgertide.sources import exports as exp
 
 
@@ -28,3 +28,18 @@ def test_pieces_of_names_are_never_broadcast(spark):
     joined = plan[:plan.index("explode(array_distinct(concat(")]
     assert "SortMergeJoin" in joined and "BroadcastHashJoin" not in joined
     assert sorted(r["id"] for r in found.collect()) == [0, 500, 1000, 1500]
+
+
+def test_totals_of_shared_windows_equal_those_of_their_bars(spark):
+    bars = spark.range(40).selectExpr("'S' AS symbol", "date_add(DATE '2024-01-01', int(id)) AS session_date", "id * 1.25D AS open", "id * 2.0D AS high", "id * 1.0D AS low",
+                                      "IF(id = 9, NULL, id * 1.5D) AS close", "1L AS volume", "IF(id IN (4, 11), 'INVALID', 'VALID') AS status")
+    sessions = bars.selectExpr("session_date", "int(datediff(session_date, DATE '2023-12-31')) AS session_no")
+    contexts = spark.range(300).selectExpr("id", "IF(id % 50 = 7, 'none', 'S') AS symbol", "IF(id % 40 = 3, NULL, int(id % 6 + 4)) AS transaction_no", "IF(id % 20 = 3, NULL, int(id % 9 + 5)) AS baseline_no").unionAll(
+        spark.sql("SELECT 900L, 'S', 500, 510"))
+    whole = trd.window_bars(contexts, bars, sessions, 3).groupBy("id").agg(
+        F.count("*").alias("bars"), F.sum("close").alias("close_sum"), F.min("session_date").alias("first_day"), F.max("session_date").alias("last_day"))
+    totals = trd.window_totals(contexts, bars, sessions, 3)
+    assert sorted(map(tuple, totals.collect())) == sorted(map(tuple, whole.collect())) and totals.count() > 250
+    # the days that are laid out do not grow with the trades
+    many = trd.window_totals(contexts.crossJoin(spark.range(20).toDF("copy")).withColumn("id", F.col("id") * 20 + F.col("copy")).drop("copy"), bars, sessions, 3)
+    assert many.count() == 20 * totals.count()
