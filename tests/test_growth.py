@@ -4,7 +4,7 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from ledgertide.operators import search as sea, trades as trd
+from ledgertide.operators import search as sea, trades as trd, versions as ver
 from ledgertide.sources import exports as exp
 
 
@@ -43,3 +43,51 @@ def test_totals_of_shared_windows_equal_those_of_their_bars(spark):
     # the days that are laid out do not grow with the trades
     many = trd.window_totals(contexts.crossJoin(spark.range(20).toDF("copy")).withColumn("id", F.col("id") * 20 + F.col("copy")).drop("copy"), bars, sessions, 3)
     assert many.count() == 20 * totals.count()
+
+
+def filed(spark, n, title="Common"):
+    """Feed trades: four a group, some updates, owners alone, in pairs and missing."""
+    return spark.range(n).selectExpr(
+        "concat('t', id) AS id", "lpad(string(id % 3), 10, '0') AS issuer_id", "concat('A', id div 2) AS accession", "TIMESTAMP '2024-01-03 15:00:00' + make_dt_interval(int(id div 12)) AS accepted_at",
+        "IF(id % 5 = 0, TIMESTAMP '2024-01-02 15:00:00', NULL) AS original_accepted_at", "IF(id % 5 = 0, 'A0', NULL) AS original_accession", "DATE '2024-01-01' AS transaction_date", "'CURRENT' AS status",
+        "IF(id % 2 = 0, 'P', 'M') AS code", "IF(id % 7 = 0, 'II', 'I') AS table_no", f"'{title}' AS security_title", "decimal(id) AS amount", "true AS visible",
+        "IF(id % 11 = 0, array(), array(string(id % 4), 'o')) AS owner_ids")
+
+
+def exchanges(frame):
+    return frame._jdf.queryExecution().sparkPlan().toString(), frame._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_feed_groups_shuffle_their_rows_once(spark):
+    rows = ver.feed_rows(filed(spark, 60))
+    groups = ver.feed_groups(rows)
+    assert exchanges(groups)[1] == 1
+    want = {}
+    for r in rows.collect():
+        g = want.setdefault(r["group_key"], [0, 0, 0, set(), set()])
+        g[0 if not r["is_update"] else 1] += 1
+        g[2] += 0 if r["is_update"] else r["amount"]
+        g[3].update(r["owner_ids"])
+        g[4].update(() if r["is_update"] else (r["group_accession"],))
+    got = {r["group_key"]: (r["total_transactions"], r["amendment_updates"], r["known_amount"] or 0, r["owners"], r["filings"]) for r in groups.collect()}
+    assert got == {k: (a, b, c, len(o), len(f)) for k, (a, b, c, o, f) in want.items()}
+    assert sorted(map(tuple, ver.feed_contents(rows).collect())) == sorted(map(tuple, groups.select(*ver.REVISION).collect()))
+
+
+def test_a_revised_log_reads_its_inputs_once(spark):
+    stored = ver.feed_contents(ver.feed_rows(filed(spark, 40))).withColumn("seq", F.lit(1))
+    changed = filed(spark, 60).where("issuer_id <> '0000000001'").withColumn("security_title", F.when(F.col("issuer_id") == "0000000002", "New").otherwise(F.col("security_title")))
+    second = ver.feed_contents(ver.feed_rows(changed))
+    log = ver.revised_log(stored, second, 2)
+    assert exchanges(log)[1] <= 3  # the two inputs and their meeting
+    added = ver.feed_revisions(stored, second, 2)
+    assert sorted(map(tuple, log.collect())) == sorted(map(tuple, stored.unionByName(added).collect()))
+    old, new = {r["group_key"]: r for r in stored.collect()}, {r["group_key"]: r for r in second.collect()}
+    want = {k: r["row_count"] for k, r in new.items() if k not in old or old[k]["content"] != r["content"]} | {k: 0 for k in old if k not in new}
+    assert {r["group_key"]: r["row_count"] for r in added.collect()} == want and 0 in want.values() and len(want) > 4
+    third = ver.feed_revisions(log, second.limit(0), 3)  # tombstones once, and none for groups already gone
+    assert {r["group_key"] for r in third.collect()} == set(new)
+    listed = lambda rows: {k for k, r in rows.items() if "buy" in r["match_kinds"]}
+    diff = {r["group_key"]: r["change"] for r in ver.diff_listing(log, 1, 2, "buy").collect()}
+    assert diff == {k: "removed" for k in listed(old) - listed(new)} | {k: "changed" for k in listed(new) if k not in listed(old) or k in want}
+    assert exchanges(ver.diff_listing(log, 1, 2, "buy"))[1] <= exchanges(log)[1] + 1
