@@ -91,3 +91,23 @@ def test_a_revised_log_reads_its_inputs_once(spark):
     diff = {r["group_key"]: r["change"] for r in ver.diff_listing(log, 1, 2, "buy").collect()}
     assert diff == {k: "removed" for k in listed(old) - listed(new)} | {k: "changed" for k in listed(new) if k not in listed(old) or k in want}
     assert exchanges(ver.diff_listing(log, 1, 2, "buy"))[1] <= exchanges(log)[1] + 1
+
+
+def test_two_parses_of_filings_are_shuffled_once(spark):
+    def parse(rows):
+        return spark.createDataFrame(rows, "id string, accession string, row_key string, n int").select("id", "accession", "row_key", F.col("n").cast("decimal(18,6)").alias("shares")).withColumns({
+            "issuer_id": F.lit("i"), "accepted_at": F.lit("2024-01-01").cast("timestamp"), "table_no": F.lit("I"), "security_title": F.lit("C"), "transaction_date": F.lit("2024-01-01").cast("date"), "code": F.lit("P"),
+            "direction": F.lit("A"), "currency": F.lit("USD"), "price": F.lit(None).cast("decimal(18,6)"), "shares_after": F.lit(1).cast("decimal(18,6)"), "owner_ids": F.array(F.lit("o"))})
+
+    old = [(f"a{f}{i}", f"F{f}", f"k{i}", i // 2) for f in range(3) for i in range(6)] + [("ax", None, "k0", 0)]
+    new = [(f"b{f}{i}", f"F{f}", f"k{i + f}", i // 2 if i < 5 else 50) for f in range(3) for i in range(6)] + [("bx", None, "k0", 0)]
+    rows = ver.matched_rows(parse(old), parse(new))
+    assert exchanges(rows)[1] == 1
+    got = {r["id"]: r for r in rows.collect()}
+    assert len(got) == len(old) + len(new)
+    kept = {k: r["partner"] for k, r in got.items() if r["outcome"] == "kept"}
+    assert len(kept) == 3 * 2 * 5 and all(kept[kept[k]] == k for k in kept)  # pairs, five a filing
+    numbers = {r[0]: (r[1], r[3]) for r in old + new}
+    assert all(numbers[k] == numbers[p] for k, p in kept.items())
+    assert all(kept[f"b0{i}"] == f"a0{i}" for i in range(5)) and (got["b05"]["outcome"], got["b05"]["replaces_id"]) == ("new", None)  # a05 equals b04, so it is no correction
+    assert got["ax"]["outcome"] == "superseded" and got["bx"]["outcome"] == "new"
