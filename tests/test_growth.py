@@ -111,3 +111,22 @@ def test_two_parses_of_filings_are_shuffled_once(spark):
     assert all(numbers[k] == numbers[p] for k, p in kept.items())
     assert all(kept[f"b0{i}"] == f"a0{i}" for i in range(5)) and (got["b05"]["outcome"], got["b05"]["replaces_id"]) == ("new", None)  # a05 equals b04, so it is no correction
     assert got["ax"]["outcome"] == "superseded" and got["bx"]["outcome"] == "new"
+
+
+def test_duplicates_are_found_with_one_shuffle_of_all_rows(spark):
+    trades = filed(spark, 40).withColumns({"transaction_date": F.lit("2024-01-01").cast("date"), "direction": F.lit("A"), "shares": F.col("amount").cast("int") % 6, "price": F.lit(None).cast("decimal(18,6)"),
+                                           "shares_after": F.lit(1).cast("decimal(18,6)")}).withColumn("issuer_id", F.when(F.col("shares") > 0, F.col("issuer_id")))
+    found = ver.duplicates_across_filings(trades)
+    assert exchanges(found)[1] == 2  # the rows, then the ids of marked ones
+    rows, groups = trades.collect(), {}
+    same = lambda r: (r["issuer_id"], r["table_no"], r["code"], r["shares"])
+    for r in rows:
+        for o in r["owner_ids"]:
+            groups.setdefault((*same(r), o), []).append(r)
+    want = {}
+    for (issuer, *_), members in groups.items():
+        if issuer is not None and len({m["accession"] for m in members}) > 1:
+            first = min(members, key=lambda m: (m["accepted_at"], m["id"]))["id"]
+            for m in members:
+                want[m["id"]] = min(first, want.get(m["id"], first))
+    assert {r["id"]: r["first_id"] for r in found.collect()} == want and len(want) > 10
