@@ -159,21 +159,23 @@ def read_entity_search(payloads: DataFrame, limit: int = 10, document: str = "va
 
 def read_submission_text(rows: DataFrame, document: str = "value") -> DataFrame:
     """The one ownership document of a full submission with its header facts, or the reason there is none."""
-    raw = F.col(document)
-    header = F.regexp_extract(raw, r"(?is)<SEC-HEADER>(.*?)(?:</SEC-HEADER>|<DOCUMENT>)", 1)
-    stamp = F.regexp_extract(header, r"(?i)<ACCEPTANCE-DATETIME>\s*(\d{14})(?!\d)", 1)
-    wall = F.regexp_replace(stamp, r"^(\d{4})(\d{2})(\d{2})(\d{2})(\d{2})(\d{2})$", "$1-$2-$3 $4:$5:$6")
-    docs = F.filter(F.regexp_extract_all(raw, F.lit(r"(?is)<DOCUMENT>(.*?)</DOCUMENT>"), 1), lambda d: form_of(
-        F.regexp_extract(d, r"(?i)<TYPE>\s*([^\r\n<]+)", 1)).isNotNull() & (F.regexp_extract(d, r"(?is)(<ownershipDocument.*</ownershipDocument>)", 1) != ""))
-    form = form_of(F.regexp_extract(header, r"CONFORMED SUBMISSION TYPE:\s*([^\r\n<]+)", 1))
-    one = F.get(docs, 0)
-    doc_form = form_of(F.regexp_extract(one, r"(?i)<TYPE>\s*([^\r\n<]+)", 1))
-    problem = (F.when(header == "", "sec_submission_header_missing").when(form.isNull(), "unsupported_submission_form")
-               .when(F.size(docs) != 1, "ownership_document_missing_or_ambiguous").when(doc_form != form, "submission_document_form_conflict"))
-    return rows.select(
-        F.nullif(F.regexp_extract(header, r"ACCESSION NUMBER:\s*(\d{10}-\d{2}-\d{6})", 1), F.lit("")).alias("accession"), form.alias("form"),
-        cal.eastern_instant(F.nullif(wall, F.lit(""))).alias("accepted_at"), filing_date(F.regexp_extract(header, r"FILED AS OF DATE:\s*(\d{8})(?!\d)", 1)).alias("filing_date"),
-        F.when(problem.isNull(), F.regexp_extract(one, r"(?is)((?:<\?xml\s[^?]*\?>\s*)?<ownershipDocument.*</ownershipDocument>)", 1)).alias("xml"), problem.alias("reason"))
+    # Every step reads columns of the step before, so that each pattern runs once a document and not once a mention.
+    whole = r"(?is)((?:<\?xml\s[^?]*\?>\s*)?<ownershipDocument.*</ownershipDocument>)"
+    typed = F.transform(F.regexp_extract_all(F.col(document), F.lit(r"(?is)<DOCUMENT>(.*?)</DOCUMENT>"), 1), lambda d: F.struct(
+        form_of(F.regexp_extract(d, r"(?i)<TYPE>\s*([^\r\n<]+)", 1)).alias("form"), F.regexp_extract(d, whole, 1).alias("xml")))
+    parts = rows.select(F.regexp_extract(F.col(document), r"(?is)<SEC-HEADER>(.*?)(?:</SEC-HEADER>|<DOCUMENT>)", 1).alias("header"), typed.alias("typed"))
+    stamp = F.regexp_extract("header", r"(?i)<ACCEPTANCE-DATETIME>\s*(\d{14})(?!\d)", 1)
+    facts = parts.select(
+        (F.col("header") == "").alias("bare"), F.filter("typed", lambda d: d["form"].isNotNull() & (d["xml"] != "")).alias("docs"),
+        F.nullif(F.regexp_extract("header", r"ACCESSION NUMBER:\s*(\d{10}-\d{2}-\d{6})", 1), F.lit("")).alias("accession"),
+        form_of(F.regexp_extract("header", r"CONFORMED SUBMISSION TYPE:\s*([^\r\n<]+)", 1)).alias("form"),
+        F.nullif(F.regexp_replace(stamp, r"^(\d{4})(\d{2})(\d{2})(\d{2})(\d{2})(\d{2})$", "$1-$2-$3 $4:$5:$6"), F.lit("")).alias("wall"),
+        F.regexp_extract("header", r"FILED AS OF DATE:\s*(\d{8})(?!\d)", 1).alias("filed"))
+    problem = (F.when(F.col("bare"), "sec_submission_header_missing").when(F.col("form").isNull(), "unsupported_submission_form")
+               .when(F.size("docs") != 1, "ownership_document_missing_or_ambiguous").when(F.get("docs", 0)["form"] != F.col("form"), "submission_document_form_conflict"))
+    return facts.withColumn("reason", problem).select(
+        "accession", "form", cal.eastern_instant(F.col("wall")).alias("accepted_at"), filing_date(F.col("filed")).alias("filing_date"),
+        F.when(F.col("reason").isNull(), F.get("docs", 0)["xml"]).alias("xml"), "reason")
 
 
 # The table elements of an ownership document with the prefix of their rows, and where a row's facts lie.

@@ -5,7 +5,7 @@ from pathlib import Path
 from pyspark.sql import functions as F
 
 from ledgertide.operators import search as sea, trades as trd, versions as ver
-from ledgertide.sources import exports as exp
+from ledgertide.sources import exports as exp, filings as fil
 
 
 def test_exported_text_is_compressed_and_reads_back(spark, tmp_path):
@@ -130,3 +130,18 @@ def test_duplicates_are_found_with_one_shuffle_of_all_rows(spark):
             for m in members:
                 want[m["id"]] = min(first, want.get(m["id"], first))
     assert {r["id"]: r["first_id"] for r in found.collect()} == want and len(want) > 10
+
+
+def test_patterns_of_a_submission_run_once_a_document(spark):
+    head = "<SEC-HEADER>\nACCESSION NUMBER:\t0000000001-01-000001\nCONFORMED SUBMISSION TYPE:\t4\nFILED AS OF DATE:\t20240102\n<ACCEPTANCE-DATETIME>20240102033000\n</SEC-HEADER>"
+    own = lambda form: f"<DOCUMENT>\n<TYPE>{form}\n<XML><?xml version='1.0'?><ownershipDocument>x</ownershipDocument></XML></DOCUMENT>"
+    other = "<DOCUMENT>\n<TYPE>EX-24\n<TEXT>power</TEXT></DOCUMENT>"
+    texts = [head + other + own("4"), head + own("4") + own("4"), head + own("3"), own("4"), head.replace("TYPE:\t4", "TYPE:\t8-K") + own("4"), head + other, None]
+    rows = fil.read_submission_text(spark.createDataFrame([(t,) for t in texts], "value string"))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("(?is)<SEC-HEADER>") == 1 and plan.count("(?is)<DOCUMENT>") == 1
+    got = rows.collect()
+    assert [r["reason"] for r in got] == [None, "ownership_document_missing_or_ambiguous", "submission_document_form_conflict", "sec_submission_header_missing", "unsupported_submission_form",
+                                          "ownership_document_missing_or_ambiguous", "unsupported_submission_form"]
+    assert got[0]["xml"] == "<?xml version='1.0'?><ownershipDocument>x</ownershipDocument>" and got[1]["xml"] is None
+    assert (got[0]["accession"], got[0]["form"], str(got[0]["accepted_at"]), str(got[0]["filing_date"])) == ("0000000001-01-000001", "4", "2024-01-02 08:30:00", "2024-01-02")
