@@ -178,6 +178,9 @@ def read_submission_text(rows: DataFrame, document: str = "value") -> DataFrame:
         F.when(F.col("reason").isNull(), F.get("docs", 0)["xml"]).alias("xml"), "reason")
 
 
+#: Documents of a batch whose trees are held at once.
+PARSED_AT_ONCE = 256
+
 # The table elements of an ownership document with the prefix of their rows, and where a row's facts lie.
 OWNERSHIP_TABLES = (("I", "nonDerivative"), ("II", "derivative"))
 OWNERSHIP_FACTS = {
@@ -193,10 +196,16 @@ OWNERSHIP_HEAD = {"document_type": "documentType", "period_of_report": "periodOf
                   "issuer_ticker": "issuer/issuerTradingSymbol"}
 
 
-def _text_at(element: ET.Element | None, path: str) -> str | None:
-    for tag in path.split("/"):
-        element = element.find(tag) if element is not None else None
-    return None if element is None else "".join(element.itertext()).strip()
+def _texts_at(elements: list[ET.Element | None], path: str) -> list[str | None]:
+    """The text at the path below each element; only the first child of a name counts, and one without children gives its text at once."""
+    tags, found = path.split("/"), []
+    for element in elements:
+        for tag in tags:
+            if element is None:
+                break
+            element = element.find(tag)
+        found.append(None if element is None else "".join(element.itertext()).strip() if len(element) else (element.text or "").strip())
+    return found
 
 
 def _ownership_document(xml: str | None) -> tuple[ET.Element | None, list[tuple[str, int, ET.Element]]]:
@@ -215,10 +224,10 @@ def _ownership_document(xml: str | None) -> tuple[ET.Element | None, list[tuple[
     return root, rows
 
 
-def ownership_documents(rows: DataFrame, xml: str = "xml", *keep: str) -> DataFrame:
+def ownership_documents(rows: DataFrame, xml: str = "xml", *keep: str, facts: dict[str, str] = OWNERSHIP_FACTS) -> DataFrame:
     """Each document parsed once: its head, owners, footnotes, and every element of the two tables with its position and facts as texts.
 
-    Python parses the XML, batch by batch; what the texts mean is left to columns.
+    Python parses the XML, batch by batch and a bounded number of trees at a time; what the texts mean is left to columns. ``facts`` are those a caller reads.
     """
     kinds = {f"{prefix}{kind}": (no, kind.lower()) for no, prefix in OWNERSHIP_TABLES for kind in ("Transaction", "Holding")}
     text = pa.string()
@@ -228,36 +237,41 @@ def ownership_documents(rows: DataFrame, xml: str = "xml", *keep: str) -> DataFr
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parsed = [_ownership_document(x) for x in batch.column(batch.num_columns - 1).to_pylist()]
-            roots = [root for root, _ in parsed]
-            head = [pa.array([_text_at(root, path) for root in roots], text) for path in OWNERSHIP_HEAD.values()]
-            owners = [[] if root is None else root.findall("reportingOwner") for root in roots]
-            notes = [[] if root is None else root.findall("footnotes/footnote") for root in roots]
-            elements = [row for _, own in parsed for row in own]
-            refs = [list(dict.fromkeys(n.get("id") for n in element.iter("footnoteId") if n.get("id"))) for _, _, element in elements]
-            known = [kinds.get(element.tag) for _, _, element in elements]
-            yield pa.RecordBatch.from_arrays([
-                *batch.columns[:-1], *head,
-                lists([len(o) for o in owners], {"cik": pa.array([_text_at(o, "reportingOwnerId/rptOwnerCik") for own in owners for o in own], text),
-                                                 "name": pa.array([_text_at(o, "reportingOwnerId/rptOwnerName") for own in owners for o in own], text)}),
-                lists([len(n) for n in notes], {"id": pa.array([n.get("id") for own in notes for n in own], text), "note": pa.array(["".join(n.itertext()).strip() for own in notes for n in own], text)}),
-                lists([len(own) for _, own in parsed], {
-                    "table_no": pa.array([no for no, _, _ in elements], text), "source_row_index": pa.array([number for _, number, _ in elements], pa.int32()),
-                    "row_kind": pa.array([k[1] if k and k[0] == no else None for k, (no, _, _) in zip(known, elements, strict=True)], text),
-                    **{name: pa.array([_text_at(element, path) for _, _, element in elements], text) for name, path in OWNERSHIP_FACTS.items()},
-                    "footnote_ids": pa.array(refs, pa.list_(text))})], names)
+            for start in range(0, batch.num_rows, PARSED_AT_ONCE):
+                yield read(batch.slice(start, PARSED_AT_ONCE))
+
+    def read(batch: pa.RecordBatch) -> pa.RecordBatch:
+        parsed = [_ownership_document(x) for x in batch.column(batch.num_columns - 1).to_pylist()]
+        roots = [root for root, _ in parsed]
+        head = [pa.array(_texts_at(roots, path), text) for path in OWNERSHIP_HEAD.values()]
+        owners = [[] if root is None else root.findall("reportingOwner") for root in roots]
+        notes = [[] if root is None else root.findall("footnotes/footnote") for root in roots]
+        elements = [row for _, own in parsed for row in own]
+        rows = [element for _, _, element in elements]
+        refs = [list(dict.fromkeys(n.get("id") for n in element.iter("footnoteId") if n.get("id"))) for element in rows]
+        known = [kinds.get(element.tag) for element in rows]
+        of_owners = [o for own in owners for o in own]
+        return pa.RecordBatch.from_arrays([
+            *batch.columns[:-1], *head,
+            lists([len(o) for o in owners], {"cik": pa.array(_texts_at(of_owners, "reportingOwnerId/rptOwnerCik"), text), "name": pa.array(_texts_at(of_owners, "reportingOwnerId/rptOwnerName"), text)}),
+            lists([len(n) for n in notes], {"id": pa.array([n.get("id") for own in notes for n in own], text), "note": pa.array(["".join(n.itertext()).strip() for own in notes for n in own], text)}),
+            lists([len(own) for _, own in parsed], {
+                "table_no": pa.array([no for no, _, _ in elements], text), "source_row_index": pa.array([number for _, number, _ in elements], pa.int32()),
+                "row_kind": pa.array([k[1] if k and k[0] == no else None for k, (no, _, _) in zip(known, elements, strict=True)], text),
+                **{name: pa.array(_texts_at(rows, path), text) for name, path in facts.items()},
+                "footnote_ids": pa.array(refs, pa.list_(text))})], names)
 
     names = [*keep, *OWNERSHIP_HEAD, "owners", "footnotes", "elements"]
     kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.select(*keep).schema.fields)
-    element = ", ".join(["table_no: string", "source_row_index: int", "row_kind: string", *[f"{name}: string" for name in OWNERSHIP_FACTS], "footnote_ids: array<string>"])
+    element = ", ".join(["table_no: string", "source_row_index: int", "row_kind: string", *[f"{name}: string" for name in facts], "footnote_ids: array<string>"])
     schema = (kept + "".join(f"{name} string, " for name in OWNERSHIP_HEAD) + "owners array<struct<cik: string, name: string>>, footnotes array<struct<id: string, note: string>>, "
               f"elements array<struct<{element}>>")
     return rows.select(*keep, F.col(xml).cast("string")).mapInArrow(parse, schema)
 
 
-def read_ownership_filings(rows: DataFrame, xml: str = "xml", *keep: str) -> DataFrame:
+def read_ownership_filings(rows: DataFrame, xml: str = "xml", *keep: str, facts: dict[str, str] = OWNERSHIP_FACTS) -> DataFrame:
     """Issuer, owners, footnotes, table elements and warnings of ownership documents; unsupported document types drop out."""
-    f = ownership_documents(rows, xml, *keep)
+    f = ownership_documents(rows, xml, *keep, facts=facts)
     form = form_of(F.replace(F.col("document_type"), F.lit(" "), F.lit("")))
     ids = F.filter(F.transform("footnotes", lambda n: n["id"]), lambda i: i.isNotNull() & (i != ""))
     period = F.try_to_date("period_of_report", "yyyy-MM-dd")
@@ -272,8 +286,8 @@ def read_ownership_filings(rows: DataFrame, xml: str = "xml", *keep: str) -> Dat
 
 
 def ownership_warnings(rows: DataFrame, xml: str = "xml", *keep: str) -> DataFrame:
-    """Warnings about whole documents, one row each: issuer, owners, footnote ids, and table elements that are no row."""
-    filings = read_ownership_filings(rows, xml, *keep)
+    """Warnings about whole documents, one row each: issuer, owners, footnote ids, and table elements that are no row. The facts of rows are not read for it."""
+    filings = read_ownership_filings(rows, xml, *keep, facts={})
     odd = F.transform(F.filter("elements", lambda e: e["row_kind"].isNull()), lambda e: F.concat_ws(":", F.lit("unrecognized_table_child"), e["table_no"], e["source_row_index"].cast("string")))
     return filings.select(*keep, F.explode(F.concat("filing_warnings", odd)).alias("warning"))
 

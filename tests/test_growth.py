@@ -2,6 +2,7 @@
 
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ledgertide.operators import search as sea, trades as trd, versions as ver
@@ -145,3 +146,24 @@ def test_patterns_of_a_submission_run_once_a_document(spark):
                                           "ownership_document_missing_or_ambiguous", "unsupported_submission_form"]
     assert got[0]["xml"] == "<?xml version='1.0'?><ownershipDocument>x</ownershipDocument>" and got[1]["xml"] is None
     assert (got[0]["accession"], got[0]["form"], str(got[0]["accepted_at"]), str(got[0]["filing_date"])) == ("0000000001-01-000001", "4", "2024-01-02 08:30:00", "2024-01-02")
+
+
+def test_trees_held_at_once_do_not_grow_with_the_batch(spark, monkeypatch):
+    xml = "concat('<ownershipDocument><documentType>4</documentType><nonDerivativeTable><nonDerivativeHolding><securityTitle><value> T', id, ' </value><value>2</value></securityTitle></nonDerivativeHolding></nonDerivativeTable></ownershipDocument>')"
+    docs = spark.range(1000, numPartitions=1).selectExpr("id", f"IF(id = 700, 'no xml', {xml}) AS xml")
+    assert {r["id"]: [e["security_title"] for e in r["elements"]] for r in fil.ownership_documents(docs, "xml", "id").collect()} == {i: [] if i == 700 else [f"T{i}"] for i in range(1000)}
+    # the function Spark runs over the batches, called here on one batch of 1,000 documents
+    caught = []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, function, schema: caught.append(function))
+    fil.ownership_documents(docs, "xml", "id")
+    batch = pa.RecordBatch.from_pydict({"id": list(range(1000)), "xml": [r["xml"] for r in docs.orderBy("id").collect()]})
+    sizes = [b.num_rows for b in caught[0](iter([batch]))]
+    assert sum(sizes) == 1000 and max(sizes) <= fil.PARSED_AT_ONCE
+
+
+def test_warnings_read_no_facts_of_rows(spark):
+    docs = spark.createDataFrame([(1, "<ownershipDocument><documentType>4</documentType><nonDerivativeTable><odd/></nonDerivativeTable></ownershipDocument>")], "id int, xml string")
+    warned = fil.ownership_warnings(docs, "xml", "id")
+    plan = warned._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "security_title" not in warned._jdf.queryExecution().analyzed().toJSON()
+    assert sorted(r["warning"] for r in warned.collect()) == ["missing_or_invalid_issuer_cik", "no_reporting_owners", "unrecognized_table_child:I:1"]
