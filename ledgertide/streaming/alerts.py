@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from datetime import date
 from decimal import ROUND_HALF_UP, Decimal
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -39,8 +40,8 @@ def cents(amount: Decimal) -> Decimal:
 BUCKETS = 64
 
 
-def in_buckets(rows: DataFrame, buckets: int):
-    return rows.withColumn("bucket", F.pmod(F.xxhash64("accession"), F.lit(buckets))).groupBy("bucket")
+def in_buckets(rows: DataFrame, buckets: int, key: str = "accession"):
+    return rows.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets))).groupBy("bucket")
 
 
 def keep_until(state: GroupState, entries: dict, packed: Callable[[dict], tuple], end: Callable) -> None:
@@ -164,7 +165,8 @@ def executive_stream(trades: DataFrame, minimum: float, since: str, delay: str =
 
 
 CLUSTER_SCHEMA = "dedupe_key string, kind string, issuer_id string, rows long, people long, amount decimal(38,2), traded_from date, traded_to date, at timestamp"
-CLUSTER_STATE = "ids array<string>, days array<int>, owners array<array<string>>, amounts array<string>, last long, sent array<string>"
+CLUSTER_STATE = ("issuers array<struct<issuer_id: string, ids: array<string>, days: array<int>, owners: array<array<string>>, amounts: array<string>, last: bigint, sent: array<string>, "
+                 "until: bigint>>")
 
 
 def newest_window(days: list[int], owners: list[list[str]], span: int, people: int) -> list[int] | None:
@@ -186,12 +188,14 @@ def newest_window(days: list[int], owners: list[list[str]], span: int, people: i
     return best
 
 
-def cluster_stream(trades: DataFrame, days: int = 7, people: int = 2, since: str | None = None, delay: str = "1 day", keep_days: int = RULE_TRADE_DAYS) -> DataFrame:
+def cluster_stream(trades: DataFrame, days: int = 7, people: int = 2, since: str | None = None, delay: str = "1 day", keep_days: int = RULE_TRADE_DAYS,
+                   buckets: int = BUCKETS) -> DataFrame:
     """An alert when enough people bought the same company within ``days`` days, at most one per issuer in as many days.
 
     ``trades`` are those of ``executive_stream``. An issuer's state is its purchases of the last ``keep_days`` days before the newest acceptance, so a trade reported late still changes
     the window its day lies in; no log is read. Trades are taken in the order of their acceptance, whatever the batches: after each
-    acceptance the newest window with enough people counts if it holds an unamended purchase just accepted. A trade landed again changes nothing.
+    acceptance the newest window with enough people counts if it holds an unamended purchase just accepted. A trade landed again changes nothing. Issuers share a
+    state by a hash, as filings do; an issuer's part of it ends on its own.
     """
     floor = F.lit(since).cast("timestamp") if since else F.lit(None).cast("timestamp")
     fresh = ~F.upper(F.coalesce("form", F.lit(""))).endswith("/A") & F.coalesce(F.col("accepted_at") >= floor, F.lit(since is None))
@@ -199,45 +203,53 @@ def cluster_stream(trades: DataFrame, days: int = 7, people: int = 2, since: str
         "issuer_id", "id", "owner_ids", F.col("counted").cast("decimal(38,12)").alias("counted"), "transaction_date", "accepted_at", "received_at", fresh.alias("fresh"))
     quiet = days * DAY_MS * 1000
 
-    def watched(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        ids, traded, owners, amounts, last, sent = (list(x) if isinstance(x, (list, tuple)) else x for x in state.get) if state.exists else ([], [], [], [], None, [])
-        rows = pd.concat(list(frames), ignore_index=True).sort_values(["accepted_at", "id"], kind="stable")
-        seen, found = set(ids), []
-        for accepted, group in rows.groupby("accepted_at", sort=True):
+    def purchases_of(issuer: str, known: list, rows: Iterator[tuple]) -> Iterator[tuple]:
+        """The alerts of one issuer's new rows, in the order of their acceptance; ``known`` is its state and is brought up to date."""
+        ids, traded, owners, amounts, last, sent, until = known
+        seen = set(ids)
+        for accepted, group in groupby(rows, key=lambda r: r[1]):
+            at_once = list(group)
+            until = max(until, *(millis(r[6]) + (keep_days + days) * DAY_MS for r in at_once))
+            if pd.isna(accepted):
+                continue
             oldest = accepted.date().toordinal() - keep_days
-            new = []
-            for r in group.itertuples():
-                day = r.transaction_date.toordinal()
-                if r.id not in seen and day >= oldest:
-                    seen.add(r.id)
-                    ids.append(r.id), traded.append(day), owners.append([str(o) for o in r.owner_ids]), amounts.append(None if r.counted is None else str(r.counted))
-                    if r.fresh:
-                        new.append(r.id)
-            stale = [i for i, day in enumerate(traded) if day < oldest]
-            if stale:
-                kept = sorted(set(range(len(ids))) - set(stale))
+            new = set()
+            for _, _, name, people_of, counted, traded_on, _, is_fresh in at_once:
+                day = traded_on.toordinal()
+                if name not in seen and day >= oldest:
+                    seen.add(name)
+                    ids.append(name), traded.append(day), owners.append([str(o) for o in people_of]), amounts.append(None if counted is None else str(counted))
+                    if is_fresh:
+                        new.add(name)
+            if traded and min(traded) < oldest:
+                kept = [i for i, day in enumerate(traded) if day >= oldest]
                 ids, traded, owners, amounts = ([x[i] for i in kept] for x in (ids, traded, owners, amounts))
                 seen = set(ids)
             window = newest_window(traded, owners, days, people) if new else None
             stamp = accepted.value // 1000
-            if window is None or not {ids[i] for i in window} & set(new) or (last is not None and last + quiet >= stamp):
+            if window is None or not new.intersection(ids[i] for i in window) or (last is not None and last + quiet >= stamp):
                 continue
             first, final = date.fromordinal(min(traded[i] for i in window)), date.fromordinal(max(traded[i] for i in window))
-            name = f"rule_cluster:{key[0]}:{first.isoformat()}"
+            name = f"rule_cluster:{issuer}:{first.isoformat()}"
             if name in sent:
                 continue
-            known = [Decimal(amounts[i]) for i in window if amounts[i] is not None]
-            found.append((name, "rule_cluster", key[0], len(window), len({o for i in window for o in owners[i]}), cents(sum(known, Decimal(0))) if known else None, first, final, accepted))
+            sums = [Decimal(amounts[i]) for i in window if amounts[i] is not None]
+            yield name, "rule_cluster", issuer, len(window), len({o for i in window for o in owners[i]}), cents(sum(sums, Decimal(0))) if sums else None, first, final, accepted
             last, sent = stamp, [s for s in sent if date.fromisoformat(s[-10:]).toordinal() >= oldest - days] + [name]
-        if found:
-            yield pd.DataFrame(found, columns=["dedupe_key", "kind", "issuer_id", "rows", "people", "amount", "traded_from", "traded_to", "at"])
-        state.update((ids, traded, owners, amounts, last, sent))
-        state.setTimeoutTimestamp(millis(rows["received_at"].max()) + (keep_days + days) * DAY_MS)
+        known[:] = [ids, traded, owners, amounts, last, sent, until]
 
-    return rows.groupBy("issuer_id").applyInPandasWithState(watched, CLUSTER_SCHEMA, CLUSTER_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    def watched(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        issuers = {x[0]: [list(v) if isinstance(v, (list, tuple)) else v for v in x[1:]] for x in state.get[0]} if state.exists else {}
+        if not state.hasTimedOut:
+            rows = pd.concat(list(frames), ignore_index=True).sort_values(["issuer_id", "accepted_at", "id"], kind="stable")
+            columns = (rows[c] for c in ("issuer_id", "accepted_at", "id", "owner_ids", "counted", "transaction_date", "received_at", "fresh"))
+            found = [alert for issuer, own in groupby(zip(*columns, strict=True), key=lambda r: r[0])
+                     for alert in purchases_of(issuer, issuers.setdefault(issuer, [[], [], [], [], None, [], 0]), own)]
+            if found:
+                yield pd.DataFrame(found, columns=["dedupe_key", "kind", "issuer_id", "rows", "people", "amount", "traded_from", "traded_to", "at"])
+        keep_until(state, issuers, lambda kept: ([(name, *x) for name, x in kept.items()],), lambda x: x[-1])
+
+    return in_buckets(rows, buckets, "issuer_id").applyInPandasWithState(watched, CLUSTER_SCHEMA, CLUSTER_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 # --- digests ----------------------------------------------------------------------

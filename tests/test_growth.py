@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgertide.operators import search as sea, trades as trd, versions as ver
 from ledgertide.sources import exports as exp, filings as fil
+from ledgertide.streaming import alerts
 
 
 def test_exported_text_is_compressed_and_reads_back(spark, tmp_path):
@@ -167,3 +168,11 @@ def test_warnings_read_no_facts_of_rows(spark):
     plan = warned._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan and "security_title" not in warned._jdf.queryExecution().analyzed().toJSON()
     assert sorted(r["warning"] for r in warned.collect()) == ["missing_or_invalid_issuer_cik", "no_reporting_owners", "unrecognized_table_child:I:1"]
+
+
+def test_issuers_share_calls_and_states_by_bucket(spark, tmp_path):
+    """One call of Python a bucket and batch, whatever the number of issuers."""
+    trades = spark.readStream.schema("id string, accession string, issuer_id string, owner_ids array<string>, code string, form string, counted decimal(38,12), transaction_date date, accepted_at timestamp, "
+                                     "received_at timestamp").parquet(str(tmp_path))
+    plan = alerts.cluster_stream(trades, 7, 2)._jdf.queryExecution().analyzed().toString()
+    assert "pmod(xxhash64(issuer_id" in plan and f"cast({alerts.BUCKETS} as bigint)" in plan
