@@ -135,25 +135,28 @@ def executive_stream(trades: DataFrame, minimum: float, since: str, delay: str =
         # per filing: sent, ids, amount (text, exact), first and last day, newest acceptance, end of the state
         filings = {f[0]: list(f[1:]) for f in state.get[0] if f[-1] > state.getCurrentWatermarkMs()} if state.exists else {}
         found = []
-        for frame in () if state.hasTimedOut else frames:
-            for accession, group in frame.groupby("accession", sort=True):
-                filing = filings.setdefault(accession, [False, [], None, None, None, None, 0])
-                sent, ids, amount, first, last, at, until = filing
+        if not state.hasTimedOut:
+            # all of a batch together: a filing's rows may lie in several frames, and it is told of with all of them
+            rows = pd.concat(list(frames), ignore_index=True).dropna(subset=["accession"]).sort_values("accession", kind="stable")
+            columns = (rows[c] for c in ("accession", "id", "issuer_id", "person_id", "counted", "transaction_date", "accepted_at", "received_at"))
+            for accession, own in groupby(zip(*columns, strict=True), key=lambda r: r[0]):
+                group = list(own)
+                sent, ids, amount, first, last, at, until = filings.get(accession, (False, [], None, None, None, None, 0))
                 known = set(ids)
-                for r in group.itertuples():
-                    until = max(until, millis(r.received_at) + remember_days * DAY_MS)
-                    if r.id in known:
+                for _, name, _, _, counted, traded_on, accepted, received in group:
+                    until = max(until, millis(received) + remember_days * DAY_MS)
+                    if name in known:
                         continue
-                    known.add(r.id)
-                    if r.counted is not None:
-                        amount = str(Decimal(amount or 0) + r.counted)
-                    day, accepted = r.transaction_date.toordinal(), r.accepted_at.value // 1000
-                    first, last, at = min(first or day, day), max(last or day, day), max(at or accepted, accepted)
-                filings[accession] = [sent, sorted(known), amount, first, last, at, until]
-                if not sent and amount is not None and Decimal(amount) >= least:
-                    filings[accession][0] = True
-                    people = [p for p in group["person_id"] if p is not None]
-                    found.append((f"rule_executive:{accession}", "rule_executive", min(people, default=None), group["issuer_id"].iloc[0], len(known), cents(Decimal(amount)),
+                    known.add(name)
+                    if counted is not None:
+                        amount = str(Decimal(amount or 0) + counted)
+                    day, stamp = traded_on.toordinal(), accepted.value // 1000
+                    first, last, at = min(first or day, day), max(last or day, day), max(at or stamp, stamp)
+                reached = not sent and amount is not None and Decimal(amount) >= least
+                filings[accession] = [sent or reached, sorted(known), amount, first, last, at, until]
+                if reached:
+                    people = [r[3] for r in group if r[3] is not None]
+                    found.append((f"rule_executive:{accession}", "rule_executive", min(people, default=None), group[0][2], len(known), cents(Decimal(amount)),
                                   date.fromordinal(first), date.fromordinal(last), pd.Timestamp(at, unit="us")))
         if found:
             yield pd.DataFrame(found, columns=["dedupe_key", "kind", "person_id", "issuer_id", "rows", "amount", "traded_from", "traded_to", "at"])

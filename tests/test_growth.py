@@ -1,5 +1,7 @@
 """Steps whose disk, memory or time grew faster than their input."""
 
+from datetime import datetime
+from decimal import Decimal
 from pathlib import Path
 
 import pyarrow as pa
@@ -8,6 +10,7 @@ from pyspark.sql import functions as F
 from ledgertide.operators import search as sea, trades as trd, versions as ver
 from ledgertide.sources import exports as exp, filings as fil
 from ledgertide.streaming import alerts
+from tests.test_stream_state import PURCHASE, Pages, purchase
 
 
 def test_exported_text_is_compressed_and_reads_back(spark, tmp_path):
@@ -176,3 +179,15 @@ def test_issuers_share_calls_and_states_by_bucket(spark, tmp_path):
                                      "received_at timestamp").parquet(str(tmp_path))
     plan = alerts.cluster_stream(trades, 7, 2)._jdf.queryExecution().analyzed().toString()
     assert "pmod(xxhash64(issuer_id" in plan and f"cast({alerts.BUCKETS} as bigint)" in plan
+
+
+def test_a_filing_in_several_frames_is_told_of_with_all_its_rows(spark, tmp_path):
+    """Spark hands a bucket over in frames of so many rows; where one ends says nothing about a filing."""
+    at, pages = datetime(2024, 3, 1), lambda landed: alerts.executive_stream(landed, 100, "2024-01-01 00:00:00", buckets=1)
+    rows = [purchase(f"{n}", f"F{n % 2}", at, Decimal(100)) for n in range(6)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        found = Pages(spark, tmp_path, PURCHASE, pages, alerts.EXECUTIVE_SCHEMA).land(rows)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted((r["dedupe_key"], r["rows"], r["amount"]) for r in found) == [(f"rule_executive:F{n}", 3, Decimal(300)) for n in range(2)]
