@@ -32,9 +32,10 @@ def play(spark, rows, clock, schema, job, pages=3, beats=None):
         page = sum((F.when(F.unix_micros(clock) > cut, 1).otherwise(0) for cut in cuts), F.lit(0))
     stored = checkpoint(rows.withColumn("_page", page))
     landing = [stored.where(F.col("_page") == k).drop("_page") for k in range(pages)] + ([beats] if beats is not None else [])
-    for k, part in enumerate(landing):
-        part.write.mode("append").json(f"{path}/in")
-        job(jobs.landed(spark, f"{path}/in", schema, 100_000), f"{path}/state").awaitTermination()
+    typed = [F.col(f.name).cast(f.dataType) for f in DataType.fromDDL(schema).fields]
+    for part in landing:
+        part.select(*typed).write.mode("append").parquet(f"{path}/in")
+        job(jobs.landed(spark, f"{path}/in", schema, 100_000, "parquet"), f"{path}/state").awaitTermination()
     return path
 
 

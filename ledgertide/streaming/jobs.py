@@ -39,9 +39,9 @@ def run(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: s
 # --- discovery --------------------------------------------------------------------
 
 
-def landed(spark: SparkSession, path: str, schema: str, files_per_batch: int = 1000) -> DataFrame:
-    """A stream over files that pollers land in a folder."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).json(path)
+def landed(spark: SparkSession, path: str, schema: str, files_per_batch: int = 1000, form: str = "json") -> DataFrame:
+    """A stream over files that pollers land in a folder, as JSON or in another format Spark reads."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).format(form).load(path)
 
 
 def filing_writer(log: BatchLog) -> Callable[[DataFrame, int], None]:

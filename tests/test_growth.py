@@ -8,8 +8,9 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ledgertide.operators import search as sea, trades as trd, versions as ver
+from ledgertide.plans.stream_queries import play
 from ledgertide.sources import exports as exp, filings as fil
-from ledgertide.streaming import alerts
+from ledgertide.streaming import alerts, jobs
 from tests.test_stream_state import PURCHASE, Pages, purchase
 
 
@@ -191,3 +192,12 @@ def test_a_filing_in_several_frames_is_told_of_with_all_its_rows(spark, tmp_path
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert sorted((r["dedupe_key"], r["rows"], r["amount"]) for r in found) == [(f"rule_executive:F{n}", 3, Decimal(300)) for n in range(2)]
+
+
+def test_pages_of_the_tables_land_in_columns(spark, tmp_path):
+    rows = spark.range(30).selectExpr("id", "TIMESTAMP '2024-01-01 00:00:00' + make_dt_interval(0, int(id)) AS at", "array(struct(decimal(id / 8) AS amount)) AS parts")
+    schema = "id long, at timestamp, parts array<struct<amount: decimal(38,12)>>"
+    path = play(spark, rows, "at", schema, lambda landed, state: jobs.append(landed, str(tmp_path / "out"), state))
+    parts = [p for p in Path(f"{path}/in").iterdir() if p.name.startswith("part-")]
+    assert len(parts) >= 3 and all(p.suffix == ".parquet" for p in parts)
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 30 == spark.read.parquet(f"{path}/in").distinct().count()
