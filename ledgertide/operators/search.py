@@ -143,10 +143,14 @@ def sequence_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
 
 
 def name_dictionary(candidates: DataFrame) -> DataFrame:
-    """(name_key, tickers) of local names; a multi-class ticker never picks a class."""
-    rows = candidates.select(T.normalize_name(F.coalesce("name", F.lit(""))).alias("name_key"), F.upper("ticker").alias("_t")).where(
+    """(name_key, tickers) of local names; a multi-class ticker never picks a class.
+
+    Equal names are one row before any is normalized: the checkpoint keeps the filter on the normalized name above it.
+    """
+    stated = checkpoint(candidates.select(F.coalesce("name", F.lit("")).alias("name"), F.upper("ticker").alias("_t")).distinct())
+    rows = stated.select(T.normalize_name(F.col("name")).alias("name_key"), "_t").where(
         (F.col("name_key") != "") & F.col("_t").rlike(r"^[A-Z][A-Z0-9.\-]{0,14}$"))
-    return rows.groupBy("name_key").agg(F.min(T.ticker_key(F.col("_t"))).alias("ticker_low"), F.max(T.ticker_key(F.col("_t"))).alias("ticker_high"))
+    return checkpoint(rows.groupBy("name_key").agg(F.min(T.ticker_key(F.col("_t"))).alias("ticker_low"), F.max(T.ticker_key(F.col("_t"))).alias("ticker_high")))
 
 
 # Two names above the threshold differ by fewer than 6% of their joint characters, at most this share
@@ -169,8 +173,10 @@ def _piece(length: Column, pieces: Column, i: Column) -> tuple[Column, Column]:
 def fuzzy_candidates(keys: DataFrame, dictionary: DataFrame, least_length: int = LEAST_FUZZY) -> DataFrame:
     """(key, name_key) pairs that share an unchanged piece; complete for ratios above the threshold.
 
-    Names shorter than ``least_length`` are matched exactly only: one letter of them is too much of a difference.
+    Names shorter than ``least_length`` are matched exactly only: one letter of them is too much of a difference. Few bytes make much
+    work here, so rows are dealt to a fixed number of tasks: partitions merged by their bytes would leave one.
     """
+    tasks = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     d = dictionary.select("name_key", F.length("name_key").alias("lb")).where("lb >= 1")
     d = d.withColumn("p", _most_differences(F.col("lb")) + 1).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("p") - 1)))
     start, size = _piece(F.col("lb"), F.col("p"), F.col("i"))
@@ -182,8 +188,8 @@ def fuzzy_candidates(keys: DataFrame, dictionary: DataFrame, least_length: int =
     start, size = _piece(F.col("lb"), F.col("most") + 1, F.col("i"))
     q = q.withColumn("_start", start).withColumn("_size", size).withColumn("_at", F.explode(F.sequence(
         F.greatest(F.col("_start") - F.col("most"), F.lit(0)), F.col("_start") + F.col("most"))))
-    spots = q.where(F.col("_at") + F.col("_size") <= la).select("key", "lb", "i", F.col("key").substr(F.col("_at") + 1, F.col("_size")).alias("piece")).distinct()
-    pairs = spots.join(pieces, ["lb", "i", "piece"]).select("key", "name_key").distinct()
+    spots = q.where(F.col("_at") + F.col("_size") <= la).select("key", "lb", "i", F.col("key").substr(F.col("_at") + 1, F.col("_size")).alias("piece")).repartition(tasks, "lb", "i", "piece").distinct()
+    pairs = spots.join(pieces, ["lb", "i", "piece"]).select("key", "name_key").repartition(tasks, "key", "name_key").distinct()
     # An edit distance never exceeds the number of unmatched characters, so this drops no match.
     unmatched = F.ceil((F.length("key") + F.length("name_key")) * F.lit(1 - SIMILARITY)) - 1
     return pairs.where(F.levenshtein("key", "name_key") <= unmatched)
@@ -192,9 +198,10 @@ def fuzzy_candidates(keys: DataFrame, dictionary: DataFrame, least_length: int =
 def match_names(names: DataFrame, dictionary: DataFrame, threshold: float = SIMILARITY, least_length: int = LEAST_FUZZY) -> DataFrame:
     """Ticker of each asset name: the exact normalized name when unique, else every similar name must agree.
 
-    Distinct names are matched once. The similarity runs as a pandas UDF over the block candidates only.
+    Distinct names are normalized and matched once: they are read four times below, and filters on the normalized name would be
+    pushed through the distinct to every row without the checkpoint. The similarity runs as a pandas UDF over the block candidates only.
     """
-    keyed = names.select(F.col("asset_name")).distinct().withColumn("key", T.normalize_name(F.col("asset_name")))
+    keyed = checkpoint(names.select(F.col("asset_name")).distinct().withColumn("key", T.normalize_name(F.col("asset_name"))))
     keys = keyed.select("key").where("key <> ''").distinct()
     exact = keys.join(dictionary.withColumnRenamed("name_key", "key"), "key").withColumn(
         "ticker", F.when(F.col("ticker_low") == F.col("ticker_high"), F.col("ticker_low"))).select("key", "ticker", F.lit("local_exact").alias("origin"))

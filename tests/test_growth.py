@@ -201,3 +201,13 @@ def test_pages_of_the_tables_land_in_columns(spark, tmp_path):
     parts = [p for p in Path(f"{path}/in").iterdir() if p.name.startswith("part-")]
     assert len(parts) >= 3 and all(p.suffix == ".parquet" for p in parts)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 30 == spark.read.parquet(f"{path}/in").distinct().count()
+
+
+def test_names_are_normalized_once_and_their_candidates_dealt_out(spark):
+    """Filters on normalized names stay above the distinct names, so that no row is normalized that is no distinct name."""
+    rows = spark.range(600, numPartitions=2).select(F.concat(F.lit("Northern Widgets "), F.element_at(F.array(F.lit("Alpha"), F.lit("Beta"), F.lit("Gamma")), (F.col("id") % 3 + 1).cast("int"))).alias("asset_name"))
+    dictionary = sea.name_dictionary(rows.where("asset_name LIKE '%a'").select(F.col("asset_name").alias("name"), F.lit("NW").alias("ticker")))
+    found = sea.match_names(rows.withColumn("asset_name", F.concat("asset_name", F.lit("s"))), dictionary)
+    assert "Range" not in found._jdf.queryExecution().optimizedPlan().toString() and "Range" not in dictionary._jdf.queryExecution().optimizedPlan().toString()
+    assert "REPARTITION_BY_NUM" in sea.fuzzy_candidates(dictionary.select(F.col("name_key").alias("key")), dictionary)._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["asset_name"], r["ticker"], r["origin"]) for r in found.collect()) == [(f"Northern Widgets {n}s", "NW", "inferred") for n in ("Alpha", "Beta", "Gamma")]
