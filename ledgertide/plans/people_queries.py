@@ -398,7 +398,8 @@ def match_assets(spark, sf):
     v = F.length("asset_name") % 5
     kind = F.element_at(F.array(*[F.lit(k) for k in ("stock", "bond", "unknown", "fund", "stock")]), v + 1)
     unknown = kind == "unknown"
-    rows = names.distinct().select(
+    # read twice below; what is decided about a name would be pushed through the distinct to every line
+    rows = checkpoint(names.distinct()).select(
         F.concat("asset_name", F.when(kind == "bond", " 4.5% Notes due 2030").otherwise("")).alias("asset_name"), kind.alias("asset_type"), F.when(v == 4, "OWN").alias("ticker"),
         F.when(unknown, F.array(F.lit("unknown_asset_type"))).otherwise(F.array().cast("array<string>")).alias("warnings"), F.when(unknown, "review").otherwise("parsed").alias("confidence"))
     return px.present(sea.match_assets(rows, dictionary).select("asset_name", "lookup", "ticker", "asset_type", "issuer_ticker", "issuer_ticker_origin", "ticker_origin", "warnings", "confidence"))
