@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Fixed values.
@@ -46,7 +46,8 @@ def check_events(items: DataFrame, key: str, kind: str, window: tuple[int, int]
     """(events of lists without errors, issues).
 
     Issues: key, item, field, level (error / warning), code. Each rule is one column; duplicates and
-    repeated fiscal quarters come from counts per list, not from comparing items pairwise.
+    repeated fiscal quarters come from the first such item of a list, not from comparing items pairwise.
+    Items are read once and shuffled once, by list; all that is compared lies together then and is only ordered again.
     """
     earnings = kind == "earnings"
     day, year, quarter = _day(F.col("date")), F.col("fiscal_year").try_cast("int"), F.col("fiscal_quarter").try_cast("int")
@@ -81,16 +82,26 @@ def check_events(items: DataFrame, key: str, kind: str, window: tuple[int, int]
             "context", lambda c: ~_day(c["date"]).between(F.date_sub(day, window[0]), F.date_add(day, window[1])))))
     found = F.array_compact(F.array(*[F.when(F.coalesce(rule, F.lit(False)), F.struct(F.lit(field).alias("field"), F.lit(level).alias("level"), F.lit(code).alias("code")))
                                       for level, field, code, rule in rules]))
-    checked = items.withColumn("_issues", found)
-    single = checked.select(key, "item", F.explode("_issues").alias("i")).select(key, "item", "i.field", "i.level", "i.code")
-    clean = checked.where(~F.exists("_issues", lambda i: i["level"] == "error")).withColumns({"_t": ticker, "_n": F.lower(F.trim("name"))})
-    repeat = lambda by, field, code: clean.join(clean.groupBy(key, *by).agg(F.count("*").alias("_c"), F.min("item").alias("_first")).where("_c > 1"), [key, *by]).where(
-        F.col("item") > F.col("_first")).select(key, "item", F.lit(field).alias("field"), F.lit("error").alias("level"), F.lit(code).alias("code"))
-    issues = single.unionByName(repeat(["_t", "date", "_n"], "item", "duplicate_event"))
+    tasks = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a fixed number: merged by their compressed bytes, few tasks would order most rows
+    own = ~F.exists("_issues", lambda i: i["level"] == "error")
+    checked = items.withColumn("_issues", found).withColumns({"_own": own, "_t": ticker, "_n": F.lower(F.trim("name"))}).repartition(tasks, key)
+    # A repeat is a clean item after a clean one like it. Lists without a key are no one list.
+    later = lambda *by: F.col("_own") & F.col(key).isNotNull() & (
+        F.col("item") > F.min(F.when(F.col("_own"), F.col("item"))).over(Window.partitionBy(key, *by)))
+    repeats = [("_event", "item", "duplicate_event", ("_t", "date", "_n"))]
     if earnings:
-        issues = issues.unionByName(repeat(["_t", "fiscal_year", "fiscal_quarter"], "fiscal_quarter", "duplicate_quarter"))
-    broken = issues.where("level = 'error'").select(key).distinct()
-    events = clean.join(broken, key, "left_anti").select(
+        repeats.append(("_quarter", "fiscal_quarter", "duplicate_quarter", ("_t", "fiscal_year", "fiscal_quarter")))
+    marked = checked
+    for flag, _, _, by in repeats:
+        marked = marked.withColumn(flag, F.coalesce(later(*by), F.lit(False)))
+    repeated = F.array_compact(F.array(*[F.when(F.col(flag), F.struct(F.lit(field).alias("field"), F.lit("error").alias("level"), F.lit(code).alias("code")))
+                                         for flag, field, code, _ in repeats]))
+    issues = marked.select(key, "item", F.explode(F.concat("_issues", repeated)).alias("i")).select(key, "item", "i.field", "i.level", "i.code")
+    faulty = ~F.col("_own")
+    for flag, *_ in repeats:
+        faulty = faulty | F.col(flag)
+    broken = F.max(faulty).over(Window.partitionBy(key)) & F.col(key).isNotNull()
+    events = marked.withColumn("_broken", broken).where("_own AND NOT _broken").select(
         key, "item", F.col("_t").alias("ticker"), F.to_date("date").alias("event_date"), "session", F.trim("name").alias("name"), F.col("fiscal_year").try_cast("int").alias("fiscal_year"),
         F.col("fiscal_quarter").try_cast("int").alias("fiscal_quarter"), F.coalesce(F.col("uncertain") == "true", F.lit(False)).alias("uncertain"), "note", "earnings", "context")
     return events, issues

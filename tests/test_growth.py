@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgertide.operators import search as sea, trades as trd, versions as ver
 from ledgertide.plans.stream_queries import play
-from ledgertide.sources import exports as exp, filings as fil
+from ledgertide.sources import event_lists as evl, exports as exp, filings as fil
 from ledgertide.streaming import alerts, jobs
 from tests.test_stream_state import PURCHASE, Pages, purchase
 
@@ -211,3 +211,17 @@ def test_names_are_normalized_once_and_their_candidates_dealt_out(spark):
     assert "Range" not in found._jdf.queryExecution().optimizedPlan().toString() and "Range" not in dictionary._jdf.queryExecution().optimizedPlan().toString()
     assert "REPARTITION_BY_NUM" in sea.fuzzy_candidates(dictionary.select(F.col("name_key").alias("key")), dictionary)._jdf.queryExecution().executedPlan().toString()
     assert sorted((r["asset_name"], r["ticker"], r["origin"]) for r in found.collect()) == [(f"Northern Widgets {n}s", "NW", "inferred") for n in ("Alpha", "Beta", "Gamma")]
+
+
+def test_event_lists_are_shuffled_once_and_never_broadcast(spark):
+    item = lambda name, quarter, ticker="abc": f'{{"ticker":"{ticker}","date":"2001-02-03","session":"during","name":"{name}","fiscal_year":2001,"fiscal_quarter":{quarter}}}'
+    lists = {"a": [item("One", 1), item("ONE ", 2), item("Two", 2)], "b": [item("One", 1), item("Two", 2)], "c": [item("One", 1, "a b"), item("One", 1)], None: [item("One", 1, "a b"), item("One", 1), item("One", 1)]}
+    rows = spark.createDataFrame([(k, "[" + ",".join(v) + "]") for k, v in lists.items()], "list string, value string")
+    events, issues = evl.check_events(evl.read_event_list(rows, "list"), "list", "earnings")
+    for frame in (events, issues):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        initial = plan.split("Initial Plan")[-1]
+        assert initial.count("Exchange") == 1 and "Join" not in initial
+    assert sorted((str(r["list"]), r["item"]) for r in events.collect()) == [("None", 2), ("None", 3), ("b", 1), ("b", 2)]
+    assert sorted((str(r["list"]), r["item"], r["code"]) for r in issues.collect()) == [
+        ("None", 1, "ticker_invalid"), ("a", 2, "duplicate_event"), ("a", 3, "duplicate_quarter"), ("c", 1, "ticker_invalid")]
