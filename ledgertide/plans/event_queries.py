@@ -30,9 +30,9 @@ mc AS (SELECT er.event_pos, ctx_major AND ctx_category IN ('macro', 'policy', 'g
 """
 
 
-def studied(spark, sf):
+def studied(spark, sf, events=None):
     m = px.market(spark, sf)
-    rows = evt.analyze_events(px.study_events(spark, sf), m.bars, m.sessions, m.spine, N, px.CUTOFF, m.benchmark, "sector_symbol")
+    rows = evt.analyze_events(px.study_events(spark, sf) if events is None else events, m.bars, m.sessions, m.spine, N, px.CUTOFF, m.benchmark, "sector_symbol")
     return rows, m.bars, m.sessions, m.spine
 
 
@@ -93,8 +93,8 @@ STAT_COLUMNS = ("n", "up", "flat", "median", "mean", "q25", "q75", "abs_median",
 @query("window_stats", WINDOWED + f"""
 SELECT ticker, wname AS "window", {STAT_SQL} FROM ew WHERE value IS NOT NULL GROUP BY 1, 2""")
 def window_stats(spark, sf):
-    rows = evt.window_stats(evt.explode_windows(studied(spark, sf)[0], "ticker"), ["ticker"])
-    return px.present(rows.select("ticker", "window", *STAT_COLUMNS))
+    rows = studied(spark, sf, evt.alike(px.study_events(spark, sf)))[0]
+    return px.present(evt.window_stats(evt.explode_windows(rows, "ticker", "events"), ["ticker"], "events").select("ticker", "window", *STAT_COLUMNS))
 
 
 @query("path_stats", WINDOWED + """
@@ -104,7 +104,7 @@ def window_stats(spark, sf):
 SELECT ticker, "offset", count(value) AS n, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.25), 6) AS q25, round(quantile_cont(value, 0.75), 6) AS q75,
   round(quantile_cont(bench, 0.5), 6) AS benchmark_median FROM pt GROUP BY 1, 2""")
 def path_stats(spark, sf):
-    rows = evt.path_stats(evt.explode_path(studied(spark, sf)[0], "ticker"), ["ticker"])
+    rows = evt.path_stats(evt.explode_path(studied(spark, sf, evt.alike(px.study_events(spark, sf)))[0], "ticker", "events"), ["ticker"], "events")
     return px.present(rows.select("ticker", "offset", "n", "median", "q25", "q75", "benchmark_median"))
 
 
@@ -120,9 +120,10 @@ def surprise(spark, sf):
     {{'gk': 'surprise', 'gv': sg}}, {{'gk': 'guidance', 'gv': gg}}], recursive := true)) u)
 SELECT ticker, gk AS group_kind, gv AS group_key, wname AS "window", {STAT_SQL} FROM gr WHERE value IS NOT NULL GROUP BY 1, 2, 3, 4""")
 def event_groups(spark, sf):
-    rows = evt.event_groups(evt.expectations(studied(spark, sf)[0]))
+    events = evt.alike(evt.expectations(px.study_events(spark, sf)), "fiscal_quarter", "surprise_group", "guidance_group")
+    rows = evt.event_groups(studied(spark, sf, events)[0])
     keys = ["ticker", "group_kind", "group_key"]
-    return px.present(evt.window_stats(evt.explode_windows(rows, *keys), keys).select(*keys, "window", *STAT_COLUMNS))
+    return px.present(evt.window_stats(evt.explode_windows(rows, *keys, "events"), keys, "events").select(*keys, "window", *STAT_COLUMNS))
 
 
 @query("join_context_window", WINDOWED + """
@@ -153,7 +154,10 @@ def filter_event_rows(spark, sf):
 SELECT event_pos, ticker, wname AS "window", row_number() OVER (PARTITION BY ticker, wname ORDER BY value, event_pos) AS rank_asc,
   row_number() OVER (PARTITION BY ticker, wname ORDER BY value DESC, event_pos) AS rank_desc FROM ew WHERE value IS NOT NULL""")
 def event_ranks(spark, sf):
-    rows = evt.event_ranks(evt.explode_windows(studied(spark, sf)[0], "event_pos", "ticker"))
+    events, by = px.study_events(spark, sf), ("ticker", "event_date", "session", "sector_symbol")
+    values = evt.explode_windows(studied(spark, sf, evt.alike(events))[0], *by).where("value IS NOT NULL").select(*[F.col(c).alias(f"_{c}") for c in by], "window", "value")
+    same = [events[c].eqNullSafe(F.col(f"_{c}")) for c in by]
+    rows = evt.event_ranks(events.select("event_pos", *by).join(values, same).select("event_pos", "ticker", "window", "value"))
     return px.present(rows.select("event_pos", "ticker", "window", "rank_asc", "rank_desc"))
 
 
@@ -164,8 +168,8 @@ u AS (UNPIVOT q ON median, up_ratio, median_excess, sector_median_excess INTO NA
 SELECT ticker, fiscal_quarter, wname AS "window", metric, row_number() OVER (PARTITION BY ticker, wname, metric ORDER BY v, fiscal_quarter) AS rank_asc,
   row_number() OVER (PARTITION BY ticker, wname, metric ORDER BY v DESC, fiscal_quarter) AS rank_desc FROM u""")
 def quarter_ranks(spark, sf):
-    long = evt.explode_windows(studied(spark, sf)[0], "ticker", "fiscal_quarter")
-    ranked = evt.quarter_ranks(evt.window_stats(long, ["ticker", "fiscal_quarter"]))
+    long = evt.explode_windows(studied(spark, sf, evt.alike(px.study_events(spark, sf), "fiscal_quarter"))[0], "ticker", "fiscal_quarter", "events")
+    ranked = evt.quarter_ranks(evt.window_stats(long, ["ticker", "fiscal_quarter"], "events"))
     return px.present(ranked.select("ticker", "fiscal_quarter", "window", "metric", "rank_asc", "rank_desc"))
 
 
@@ -182,5 +186,5 @@ def needed_range(spark, sf):
 SELECT wname AS "window", round(quantile_cont(value, 0.25), 6) AS q25, round(quantile_cont(value, 0.5), 6) AS q50, round(quantile_cont(value, 0.75), 6) AS q75,
   round(quantile_cont(value, 0.99), 6) AS q99 FROM ew WHERE value IS NOT NULL GROUP BY 1""")
 def distribution_any_size(spark, sf):
-    long = evt.explode_windows(studied(spark, sf)[0], "event_pos")
-    return px.present(stats.distributed_quantiles(long, ["window"], "value", (0.25, 0.5, 0.75, 0.99)))
+    long = evt.explode_windows(studied(spark, sf, evt.alike(px.study_events(spark, sf)))[0], "events")
+    return px.present(stats.distributed_quantiles(long, ["window"], "value", (0.25, 0.5, 0.75, 0.99), "events"))

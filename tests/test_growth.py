@@ -7,7 +7,8 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from ledgertide.operators import search as sea, trades as trd, versions as ver
+from ledgertide.functions import stats
+from ledgertide.operators import events as evt, search as sea, timeline as tml, trades as trd, versions as ver
 from ledgertide.plans.stream_queries import play
 from ledgertide.sources import event_lists as evl, exports as exp, filings as fil
 from ledgertide.streaming import alerts, jobs
@@ -225,3 +226,21 @@ def test_event_lists_are_shuffled_once_and_never_broadcast(spark):
     assert sorted((str(r["list"]), r["item"]) for r in events.collect()) == [("None", 2), ("None", 3), ("b", 1), ("b", 2)]
     assert sorted((str(r["list"]), r["item"], r["code"]) for r in issues.collect()) == [
         ("None", 1, "ticker_invalid"), ("a", 2, "duplicate_event"), ("a", 3, "duplicate_quarter"), ("c", 1, "ticker_invalid")]
+
+
+def test_alike_events_are_counted_before_their_windows_are_laid_out(spark):
+    events = spark.range(600).select(F.lit("T").alias("ticker"), F.date_add(F.lit("2001-01-01").cast("date"), (F.col("id") % 3).cast("int")).alias("event_date"), F.lit("during").alias("session"), (F.col("id") % 2).alias("quarter"))
+    shared = evt.alike(events, "quarter").collect()
+    assert len(shared) == 6 and {r["events"] for r in shared} == {100}
+    values = spark.createDataFrame([("T", "after", x, x, 0.0, x, 0.0, w) for x, w in ((-0.1, 3), (0.2, 1), (0.5, 1))],
+                                   "ticker string, window string, value double, excess double, benchmark double, sector_excess double, sector double, events long")
+    by_weight = evt.window_stats(values, ["ticker"], "events").first()
+    row_by_row = evt.window_stats(values.withColumn("_c", F.explode(F.sequence(F.lit(1), F.col("events")))), ["ticker"]).first()
+    assert by_weight == row_by_row and (by_weight["n"], by_weight["up"], by_weight["median"]) == (5, 2, -0.1)
+
+
+def test_ranks_among_equals_are_counted_in_few_buckets(spark):
+    rows = spark.range(4096, 8192).select(F.lit("k").alias("k"), F.lit(1.0).alias("x"), F.col("id").alias("pos"))
+    ranks = stats.distributed_ranks(rows, ["k"], "x", "pos")
+    assert f"/ {stats.BUCKETS // stats.TIE_BUCKETS}" in ranks._jdf.queryExecution().analyzed().toString()
+    assert sorted((r["pos"] - 4095, r["rank_asc"], r["rank_desc"]) for r in ranks.collect()) == [(n, n, n) for n in range(1, 4097)]
