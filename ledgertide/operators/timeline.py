@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgertide.functions import disclosure as D
-from ledgertide.functions import stats
 from ledgertide.functions import text as T
 from ledgertide.operators import trades as trd
 
@@ -163,16 +162,16 @@ def person_summary(items: DataFrame, keys: Sequence[str] = ("person_id",)) -> Da
     ``items``: keys, side, anchor, status, value — one row per trade and anchor from ``trade_windows``.
     """
     by = [*keys, "side", "anchor"]
-    pending = F.col("status").isin("pending", "intraday")
-    counts = items.groupBy(*by).agg(
-        F.count_if(pending).alias("pending"), F.count_if(~pending & (F.col("status") != "available")).alias("missing"),
-        F.count_if(F.col("status") == "available").alias("count"))
-    available = items.where("status = 'available'").select(*by, "value")
-    described = stats.describe(available, by, "value", (0.5,)).select(*by, "up", "q50")
-    small = counts.where((F.col("count") > 0) & (F.col("count") < SMALL)).select(*by)
-    listed = available.join(small, by, "left_semi").groupBy(*by).agg(F.sort_array(F.collect_list("value")).alias("values"))
-    rows = counts.join(described, by, "left").join(listed, by, "left")
-    return rows.select(*by, "count", F.coalesce("up", F.lit(0)).alias("up"), F.when(F.col("count") >= SMALL, F.col("q50")).alias("median"), "values", "pending", "missing")
+    pending, available = F.col("status").isin("pending", "intraday"), F.col("status") == "available"
+    value = F.when(available, F.col("value"))
+    # one pass: the ends and the places between them are all values of a group below five, whichever its size
+    rows = items.groupBy(*by).agg(
+        F.count_if(available).alias("count"), F.coalesce(F.count_if(value > 0), F.lit(0)).alias("up"), F.percentile(value, [0.0, 1 / 3, 0.5, 2 / 3, 1.0]).alias("_q"),
+        F.count_if(pending).alias("pending"), F.count_if(~pending & ~available).alias("missing"))
+    at = lambda *places: F.array(*[F.get("_q", p) for p in places])
+    n = F.col("count")
+    values = F.when(n == 1, at(0)).when(n == 2, at(0, 4)).when(n == 3, at(0, 2, 4)).when(n == SMALL - 1, at(0, 1, 3, 4))
+    return rows.select(*by, "count", "up", F.when(n >= SMALL, F.get("_q", 2)).alias("median"), values.alias("values"), "pending", "missing")
 
 
 def person_profile(trades: DataFrame, people: DataFrame) -> DataFrame:
