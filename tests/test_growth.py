@@ -242,5 +242,29 @@ def test_alike_events_are_counted_before_their_windows_are_laid_out(spark):
 def test_ranks_among_equals_are_counted_in_few_buckets(spark):
     rows = spark.range(4096, 8192).select(F.lit("k").alias("k"), F.lit(1.0).alias("x"), F.col("id").alias("pos"))
     ranks = stats.distributed_ranks(rows, ["k"], "x", "pos")
-    assert f"/ {stats.BUCKETS // stats.TIE_BUCKETS}" in ranks._jdf.queryExecution().analyzed().toString()
+    assert f"/ cast({stats.BUCKETS // stats.TIE_BUCKETS} as double)" in ranks._jdf.queryExecution().analyzed().toString()
     assert sorted((r["pos"] - 4095, r["rank_asc"], r["rank_desc"]) for r in ranks.collect()) == [(n, n, n) for n in range(1, 4097)]
+
+
+def test_people_are_summed_up_in_one_pass(spark):
+    values = {"a": [0.3], "b": [0.2, -0.1], "c": [0.3, 0.1, 0.2], "d": [4.0, 1.0, 3.0, 1.0], "e": [0.1, 0.2, 0.4, -0.5, 0.0, 0.3]}
+    rows = [(k, "buy", "after", "available", v) for k, vs in values.items() for v in vs] + [("a", "buy", "after", s, None) for s in ("pending", "intraday", "missing")] + [("f", "buy", "after", "missing", None)]
+    got = tml.person_summary(spark.createDataFrame(rows, "person_id string, side string, anchor string, status string, value double"))
+    assert got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange") == 1
+    found = {r["person_id"]: r for r in got.collect()}
+    assert all(found[k]["values"] == sorted(values[k]) and found[k]["median"] is None for k in "abcd")
+    assert found["e"]["values"] is None and abs(found["e"]["median"] - 0.15) < 1e-12 and (found["e"]["count"], found["e"]["up"]) == (6, 4)
+    assert (found["a"]["pending"], found["a"]["missing"]) == (2, 1) and (found["f"]["count"], found["f"]["up"], found["f"]["values"], found["f"]["missing"]) == (0, 0, None, 1)
+
+
+def test_trades_meet_their_owners_once(spark):
+    trades = spark.createDataFrame([("1", "v", ["x", "y", "x"]), ("2", "v", ["z"]), ("3", "w", []), ("4", None, ["x"])], "id string, version_id string, owner_ids array<string>").withColumns({
+        "accession": F.lit("A"), "accepted_at": F.lit("2024-01-02").cast("timestamp"), "transaction_date": F.lit("2024-01-01").cast("date"), "direction": F.lit("A"), "status": F.lit("CURRENT"), "filing_ticker": F.lit("T"),
+        **{c: F.lit(1).cast("decimal(18,6)") for c in ("shares", "shares_after", "amount")}})
+    owners = spark.createDataFrame([("v", "x", "Ex", "1", "CEO"), ("v", "y", None, None, None), ("w", "x", "No", None, None)], "version_id string, owner_id string, owner_name string, is_officer string, officer_title string").withColumns(
+        {c: F.lit(None).cast("string") for c in ("is_director_flag", "is_ten_percent_owner", "is_other")})
+    rows = trd.trade_view(trades, owners)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "explode" not in plan
+    got = {r["id"]: r["owners"] and [(o["pos"], o["owner_name"], o["roles"]) for o in r["owners"]] for r in rows.collect()}
+    assert got == {"1": [(0, "Ex", ["ceo"]), (1, "y", []), (2, "Ex", ["ceo"])], "2": [(0, "z", [])], "3": None, "4": [(0, "x", [])]}
