@@ -268,3 +268,15 @@ def test_trades_meet_their_owners_once(spark):
     assert plan.count("Join") == 1 and "explode" not in plan
     got = {r["id"]: r["owners"] and [(o["pos"], o["owner_name"], o["roles"]) for o in r["owners"]] for r in rows.collect()}
     assert got == {"1": [(0, "Ex", ["ceo"]), (1, "y", []), (2, "Ex", ["ceo"])], "2": [(0, "z", [])], "3": None, "4": [(0, "x", [])]}
+
+
+def test_both_sides_of_decisions_meet_the_trades_in_one_join(spark):
+    trades = spark.createDataFrame([(i, "I" if i != "x" else "J", "CURRENT", ["o"], "A" + i) for i in "abcdefx"], "id string, issuer_id string, status string, owner_ids array<string>, accession string").withColumns(
+        {"accepted_at": F.lit("2024-01-02").cast("timestamp"), "original_accepted_at": F.lit(None).cast("timestamp"), "original_accession": F.lit(None).cast("string")})
+    decisions = spark.createDataFrame([(1, "a", "b", "replace", "n"), (2, "c", None, "add", "n"), (3, "d", None, "replace", "n"), (4, "e", "x", "replace", "n"), (5, "gone", "f", "withdraw", "n"), (6, "f", "f", "withdraw", None)],
+                                      "decision_no long, amended_id string, original_id string, action string, note string")
+    applied, rejected = ver.resolve_amendments(trades, decisions)
+    assert rejected._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+    assert {r["decision_no"]: r["problem"] for r in rejected.collect()} == {3: "original_required", 4: "original_invalid", 5: "amended_missing", 6: "evidence_missing"}
+    got = {r["id"]: (r["status"], r["replaces_id"], r["original_accession"]) for r in applied.collect()}
+    assert got == {**{i: ("CURRENT", None, None) for i in "cdefx"}, "a": ("CURRENT", "b", "Ab"), "b": ("SUPERSEDED", None, None)}
