@@ -74,9 +74,11 @@ def parse_disclosure_rows(pages: DataFrame, keys: list[str], text: str, source:
     """Trade rows of report text: one per line that has a direction and a date or amount.
 
     Lines before it that carry an asset code belong to its asset (wrapped descriptions); a running count
-    of trade lines per page gives them their row. A page is bounded by its own text.
+    of trade lines per page gives them their row. A page is bounded by its own text. Lines that hold neither are left out before
+    they are cleaned and matched, since most of a page is such text.
     """
-    lines = pages.select(*keys, F.posexplode(F.split(F.col(text), r"\r?\n")).alias("line_no", "raw")).withColumn("line", clean(F.col("raw"))).where(
+    lines = pages.select(*keys, F.posexplode(F.split(F.col(text), r"\r?\n")).alias("line_no", "raw")).where(
+        F.col("raw").rlike(D.EVIDENCE)).withColumn("line", clean(F.col("raw"))).where(
         (F.col("line") != "") & ~D.furniture(F.col("line")))
     dates = F.regexp_extract_all("line", F.lit("(" + D.DATE + ")"), 1)
     has_amount = F.col("line").rlike(D.AMOUNT)

@@ -7,10 +7,11 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from ledgertide.functions import stats
+from ledgertide.functions import disclosure as D, stats
+from ledgertide.functions.text import clean
 from ledgertide.operators import events as evt, search as sea, timeline as tml, trades as trd, versions as ver
 from ledgertide.plans.stream_queries import play
-from ledgertide.sources import event_lists as evl, exports as exp, filings as fil
+from ledgertide.sources import disclosures as dis, event_lists as evl, exports as exp, filings as fil
 from ledgertide.streaming import alerts, jobs
 from tests.test_stream_state import PURCHASE, Pages, purchase
 
@@ -280,3 +281,16 @@ def test_both_sides_of_decisions_meet_the_trades_in_one_join(spark):
     assert {r["decision_no"]: r["problem"] for r in rejected.collect()} == {3: "original_required", 4: "original_invalid", 5: "amended_missing", 6: "evidence_missing"}
     got = {r["id"]: (r["status"], r["replaces_id"], r["original_accession"]) for r in applied.collect()}
     assert got == {**{i: ("CURRENT", None, None) for i in "cdefx"}, "a": ("CURRENT", "b", "Ab"), "b": ("SUPERSEDED", None, None)}
+
+
+def test_lines_without_evidence_are_never_matched(spark):
+    """The cheap look at a raw line lets through every line that the patterns find something in once it is cleaned."""
+    lines = ["P 1\x00/02/2024 $1,001 - $15,000", "Acme (AC\x00M) P 01\x00-02-2024 over  $\x00 5", "Beta Sale 5,000 \x00 – 7,000", "Wrapped \x00[ST]", "prose, with words - and no figure", "plain words only", "Purchase ,\t— , x"]
+    df = spark.createDataFrame([(line,) for line in lines], "raw string").withColumn("line", clean(F.col("raw")))
+    found = F.col("line").rlike(D.DATE) | F.col("line").rlike(D.AMOUNT) | F.col("line").rlike(D.OPEN_AMOUNT) | F.col("line").rlike(r"\([A-Z][A-Z0-9.\-]+\)|\[ST\]|\[OP\]")
+    got = df.select(found.alias("found"), F.col("raw").rlike(D.EVIDENCE).alias("kept")).collect()
+    assert [r["found"] for r in got] == [True, True, True, True, False, False, True] and all(r["kept"] or not r["found"] for r in got) and not got[5]["kept"]
+    pages = spark.createDataFrame([("p", "\n".join(["plain words only"] * 50 + ["SP Acme (ACM) [ST]", "P 01/02/2024 $1,001 - $15,000"]))], "page string, body string")
+    rows = dis.parse_disclosure_rows(pages, ["page"], "body")
+    assert "RLIKE(raw" in rows._jdf.queryExecution().analyzed().toString()
+    assert [(r["row_number"], r["ticker"], str(r["amount_low"])) for r in rows.collect()] == [(1, "ACM", "1001.00")]
