@@ -160,7 +160,8 @@ def overview_lists(priced: DataFrame, min_amount: float = 0, cluster_days: int =
     inside = F.coalesce(F.col("transaction_date").between(F.date_sub("window_end", cluster_days - 1), F.col("window_end")), F.lit(False))
     planned = sale & F.col("is_plan") if exclude_cluster_plans else F.lit(False)
     member = F.array_compact(F.array(F.lit("companies"), F.when(inside & buy, "cluster_buys"), F.when(inside & sale & ~planned, "cluster_sales")))
-    totals = company_totals(rows.join(windows, ["issuer_id", "code"], "left").withColumn("section", F.explode(member)), ["section", "issuer_id"])
+    # counted and ranked below: a row per list and company is stored, so that the trades are not summed up twice
+    totals = checkpoint(company_totals(rows.join(windows, ["issuer_id", "code"], "left").withColumn("section", F.explode(member)), ["section", "issuer_id"]))
     in_cluster, sells = F.col("section") != "companies", F.col("section") == "cluster_sales"
     gross = F.coalesce("buy", F.lit(0)) + F.coalesce("sell", F.lit(0))
     chosen = {"net_buy": F.col("net"), "net_sell": -F.col("net"), "buy": F.col("buy"), "sell": F.col("sell"), "people": gross}[company_sort]

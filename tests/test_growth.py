@@ -294,3 +294,12 @@ def test_lines_without_evidence_are_never_matched(spark):
     rows = dis.parse_disclosure_rows(pages, ["page"], "body")
     assert "RLIKE(raw" in rows._jdf.queryExecution().analyzed().toString()
     assert [(r["row_number"], r["ticker"], str(r["amount_low"])) for r in rows.collect()] == [(1, "ACM", "1001.00")]
+
+
+def test_companies_of_the_overview_are_summed_up_once(spark):
+    """The lists are counted and ranked from stored company rows; neither goes back to the owners of the trades."""
+    from ledgertide.plans.insider_queries import overview_sections
+
+    lists = overview_sections(spark, "/root/testdata/sf0.001")
+    assert "explode(owner_ids" not in lists._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["section"] for r in lists.collect()} >= {"companies", "large_buys"}
