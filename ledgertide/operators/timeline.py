@@ -26,10 +26,11 @@ def side_of(kind: Column) -> Column:
     return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in SIDES.items() for x in pair]), kind), F.lit("unknown"))
 
 
-def sec_side(trades: DataFrame, ciks: DataFrame) -> DataFrame:
-    """Timeline rows of followed filers: CURRENT Table I purchases and sales of visible filings."""
+def sec_side(trades: DataFrame, ciks: DataFrame | None) -> DataFrame:
+    """Timeline rows of followed filers: CURRENT Table I purchases and sales of visible filings. Without ``ciks``, all trades are those of followed filers."""
     rows = trades.where((F.col("status") == "CURRENT") & F.col("code").isin("P", "S") & (F.col("table_no") == "I") & F.col("visible"))
-    rows = trd.join_owner_array(rows, ciks.select(F.col("person_id").alias("owner_id")))
+    if ciks is not None:
+        rows = trd.join_owner_array(rows, ciks.select(F.col("person_id").alias("owner_id")))
     return rows.select(
         F.lit("sec").alias("source"), trd.eastern_day("accepted_at").alias("published"), F.lit(SOURCE_RANK["sec"]).alias("rank"),
         F.concat(F.date_format("accepted_at", "yyyyMMddHHmmss"), F.lit(":"), "id").alias("tie"), F.col("id").alias("ref"),
@@ -41,7 +42,8 @@ def sec_side(trades: DataFrame, ciks: DataFrame) -> DataFrame:
 def disclosure_side(rows: DataFrame, reports: DataFrame, people: DataFrame, assets: str = "all") -> DataFrame:
     """Timeline rows of followed officials from active reports."""
     used = rows if assets == "all" else rows.where(F.col("asset_type").isin("stock", "option"))
-    joined = used.join(active_reports(reports), "report_id").join(people.select("person_id"), "person_id", "left_semi")
+    # reports meet the people before the many rows meet the reports
+    joined = used.join(active_reports(reports).join(people.select("person_id"), "person_id", "left_semi"), "report_id")
     place = lambda c: F.lpad((F.lit(99999) - F.col(c)).cast("string"), 5, "0")
     rank = F.when(F.col("source") == "house", SOURCE_RANK["house"]).otherwise(SOURCE_RANK["oge"])
     return joined.select(
@@ -53,9 +55,12 @@ def disclosure_side(rows: DataFrame, reports: DataFrame, people: DataFrame, asse
 
 def people_timeline(trades: DataFrame, rows: DataFrame, reports: DataFrame, people: DataFrame, side: str | None = None,
                     published_from: str | None = None, published_to: str | None = None, source: str | None = None,
-                    assets: str = "all") -> DataFrame:
-    """SEC and disclosed trades of the same people as one table; Catalyst pushes the filters to both sides."""
-    union = sec_side(trades, people).unionByName(disclosure_side(rows, reports, people, assets))
+                    assets: str = "all", owned: bool = False) -> DataFrame:
+    """SEC and disclosed trades of the same people as one table; Catalyst pushes the filters to both sides.
+
+    ``owned``: ``trades`` are only those whose filings name any of ``people``.
+    """
+    union = sec_side(trades, None if owned else people).unionByName(disclosure_side(rows, reports, people, assets))
     if side is not None:
         union = union.where(F.col("side") == side)
     if source is not None:

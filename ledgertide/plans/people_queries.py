@@ -27,7 +27,8 @@ TIMELINE = px.with_ctes(px.TRADES, px.DISCLOSED, px.REPORTS, px.FOLLOWED) + """
 
 
 def timeline(spark, sf, **options):
-    return tml.people_timeline(px.trades(spark, sf), px.disclosure_trades(spark, sf), px.disclosure_reports(spark, sf), px.followed(spark, sf), **options)
+    people = px.followed(spark, sf)
+    return tml.people_timeline(px.trades(spark, sf, people), px.disclosure_trades(spark, sf), px.disclosure_reports(spark, sf), people, owned=True, **options)
 
 
 @query("people_timeline", TIMELINE + f"SELECT source, strftime(published, '%Y-%m-%d') AS published, CAST(rank AS BIGINT) AS rank, tie, ref, gid AS group_id, side, kind AS asset_kind, {money('coalesce(amount, amount_low)')} AS amount FROM tl")

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ledgertide.functions import disclosure as D, stats
 from ledgertide.functions.text import clean
 from ledgertide.operators import events as evt, search as sea, timeline as tml, trades as trd, versions as ver
+from ledgertide.plans import proxies as px
+from ledgertide.plans.people_queries import timeline
 from ledgertide.plans.stream_queries import play
 from ledgertide.sources import disclosures as dis, event_lists as evl, exports as exp, filings as fil
 from ledgertide.streaming import alerts, jobs
@@ -303,3 +305,33 @@ def test_companies_of_the_overview_are_summed_up_once(spark):
     lists = overview_sections(spark, "/root/testdata/sf0.001")
     assert "explode(owner_ids" not in lists._jdf.queryExecution().optimizedPlan().toString()
     assert {r["section"] for r in lists.collect()} >= {"companies", "large_buys"}
+
+
+def test_the_timeline_reads_line_items_once_a_side_and_meets_people_before_them(spark):
+    sf = "/root/testdata/sf0.001"
+    people, disclosed, reports = px.followed(spark, sf), px.disclosure_trades(spark, sf), px.disclosure_reports(spark, sf)
+    found = timeline(spark, sf)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [l_orderkey") == 2
+    # people meet orders and reports only: no join on a person lies above one that reads line items
+    for join in [line for line in plan.splitlines() if "Join LeftSemi, (owner_id#" in line or "Join LeftSemi, (person_id#" in line]:
+        below = plan.splitlines()[plan.splitlines().index(join) + 1:]
+        depth = join.index("Join")
+        inside = [line for k, line in enumerate(below) if all(len(x) - len(x.lstrip(" :+-")) > depth for x in below[:k + 1])]
+        assert inside and not any("l_orderkey" in line for line in inside)
+    whole = tml.people_timeline(px.trades(spark, sf), disclosed, reports, people)
+    assert found.exceptAll(whole).isEmpty() and whole.exceptAll(found).isEmpty() and found.count() > 1000
+
+
+def test_trades_of_people_keep_joint_filings_once(spark, tmp_path):
+    """Orders 5 and 10 are joint ones of customers 1 and 2, and of 7 and 8; nobody follows a customer without a key."""
+    spark.sql("SELECT * FROM VALUES (5L, 1L), (10L, 7L), (11L, 2L), (12L, 9L), (13L, NULL) AS t(o_orderkey, o_custkey)").selectExpr(
+        "*", "DATE '1996-01-02' AS o_orderdate", "'5-LOW' AS o_orderpriority").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(14).selectExpr("id AS l_orderkey", "1 AS l_linenumber", "3L AS l_partkey", "4L AS l_suppkey", "100.0D AS l_extendedprice", "2.0D AS l_quantity", "0.01D AS l_tax", "0.02D AS l_discount",
+                               "'A' AS l_returnflag", "'F' AS l_linestatus", "TIMESTAMP '1996-02-01' AS l_shipdate").write.parquet(f"{tmp_path}/lineitem.parquet")
+    people = spark.sql("SELECT * FROM VALUES ('0000000001'), ('0000000002'), ('0000000008'), (NULL) AS t(person_id)")
+    every = px.trades(spark, str(tmp_path))
+    some = px.trades(spark, str(tmp_path), people)
+    assert every.count() == 5 and sorted(r["accession"] for r in some.collect()) == ["A0000000005", "A0000000010", "A0000000011"]
+    same = trd.join_owner_array(every, people.withColumnRenamed("person_id", "owner_id"))
+    assert same.exceptAll(some).isEmpty() and some.exceptAll(same).isEmpty()
