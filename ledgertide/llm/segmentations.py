@@ -38,7 +38,7 @@ BLANK = "▁"
 #: Edge ids from here on stand for a character that goes as bytes.
 AS_BYTES = 1 << 24
 SLICE = 400_000
-_P = common.BASES[0]
+SCALE = np.uint64(0x9E3779B97F4A7C15)
 
 
 @dataclass(frozen=True)
@@ -77,12 +77,11 @@ def _sums(codes: np.ndarray) -> np.ndarray:
 
 def _keys(sums: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
     """Hash of ``size`` characters from each start: equal for equal strings, wherever they stand."""
-    return (sums[starts + size] - sums[starts]) * common.powers(len(sums), 0, True)[starts] * np.uint64(0x9E3779B97F4A7C15)
+    return (sums[starts + size] - sums[starts]) * common.powers(len(sums), 0, True)[starts] * SCALE
 
 
-def _order(values: np.ndarray) -> np.ndarray:
-    """Stable order of small numbers, by one plain sort of value and place together."""
-    return (np.sort((values.astype(np.uint64) << np.uint64(32)) | np.arange(len(values), dtype=np.uint64)) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+def _slot(keys: np.ndarray) -> np.ndarray:
+    return (keys >> np.uint64(44)).view(np.int64)
 
 
 class Pieces:
@@ -90,23 +89,28 @@ class Pieces:
 
     def __init__(self, vocab: Vocabulary):
         self.vocab = vocab
-        self.by_length: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        # by the top bits of a hash: whether a piece may have it, and whether a longer piece may begin with such a string
-        self.maybe, self.begins = np.zeros(1 << 20, bool), np.zeros(1 << 20, bool)
+        # pieces of all lengths in one table by the top bits of a hash: twice (number + 1) of the first piece there, and one more where a longer piece begins with such a string
+        self.table = np.zeros(1 << 20, np.int32)
         self.covered = np.zeros(0x110000, bool)
         lengths = np.array([len(p) for p in vocab.pieces])
+        self.longest = int(lengths.max())
+        keys, rows, begins = [], [], np.zeros(1 << 20, bool)
         for length in sorted(set(lengths.tolist())):
-            rows = np.flatnonzero(lengths == length)
-            codes = _codes("".join(vocab.pieces[r] for r in rows))
-            starts = np.arange(len(rows)) * length
-            keys = _keys(_sums(codes), starts, length)
-            order = np.argsort(keys)
-            self.by_length[length] = keys[order], rows[order]
-            self.maybe[(keys >> np.uint64(44)).astype(np.int64)] = True
+            rows.append(np.flatnonzero(lengths == length))
+            codes = _codes("".join(vocab.pieces[r] for r in rows[-1]))
+            starts = np.arange(len(rows[-1])) * length
+            keys.append(_keys(_sums(codes), starts, length))
             for part in range(1, length):
-                self.begins[(_keys(_sums(codes), starts, part) >> np.uint64(44)).astype(np.int64)] = True
+                begins[_slot(_keys(_sums(codes), starts, part))] = True
             if length == 1:
                 self.covered[codes] = True
+        self.keys, self.rows = np.concatenate(keys), np.concatenate(rows)
+        # the next piece of the same slot, or -1
+        self.next = np.full(len(self.keys), -1, np.int64)
+        for number, slot in enumerate(_slot(self.keys).tolist()):
+            self.next[number] = (self.table[slot] >> 1) - 1
+            self.table[slot] = 2 * (number + 1)
+        self.table += begins
         self.weights = np.array(vocab.weights)
         self.ids = np.array(vocab.ids, np.int32)
         self.byte_ids = np.array(vocab.byte_ids, np.int32)
@@ -117,79 +121,105 @@ class Lattice:
 
     def __init__(self, codes: np.ndarray, offsets: np.ndarray, pieces: Pieces):
         n, lengths = len(codes), np.diff(offsets)
-        chunk = common.row_of(offsets)
-        left = offsets[1:][chunk] - np.arange(n)
+        self.first, self.last = offsets[:-1] + np.arange(len(lengths)), offsets[1:] + np.arange(len(lengths))
+        nodes = n + len(lengths)
+        node = np.arange(n) + common.row_of(offsets)
         sums = _sums(codes)
-        at, length, piece = [], [], []
-        where = np.arange(n)
-        for size in range(1, max(pieces.by_length) + 1):
-            where = where[left[where] >= size]
+        found = []
+        # strings of a length at all places that a piece of this length or more may begin at
+        where, left = np.arange(n), np.repeat(offsets[1:], lengths) - np.arange(n)
+        distance, base, scale = left, sums[:-1], common.powers(n + 1, 0, True)[:n] * SCALE
+        for size in range(1, pieces.longest + 1):
             if not len(where):
                 break
-            key = _keys(sums, where, size)
-            slot = (key >> np.uint64(44)).astype(np.int64)
-            if size in pieces.by_length:
-                keys, rows = pieces.by_length[size]
-                some = np.flatnonzero(pieces.maybe[slot])
-                place = np.minimum(np.searchsorted(keys, key[some]), len(keys) - 1)
-                good = keys[place] == key[some]
-                at.append(where[some[good]])
-                length.append(np.full(len(at[-1]), size))
-                piece.append(rows[place[good]])
-            where = where[pieces.begins[slot]]
+            key = (sums[where + size] - base) * scale
+            entry = pieces.table[_slot(key)]
+            some = np.flatnonzero(entry > 1)
+            number, own = (entry[some] >> 1) - 1, key[some]
+            good = pieces.keys[number] == own
+            rest = np.flatnonzero(~good)
+            while len(rest):
+                number[rest] = pieces.next[number[rest]]
+                rest = rest[number[rest] >= 0]
+                good[rest] = pieces.keys[number[rest]] == own[rest]
+                rest = rest[~good[rest]]
+            hit = np.flatnonzero(good)
+            found.append((node[where[some[hit]]], size, pieces.rows[number[hit]]))
+            on = np.flatnonzero((entry & 1).astype(bool) & (left > size))
+            where, left, base, scale = where[on], left[on], base[on], scale[on]
         other = np.flatnonzero(~pieces.covered[codes])
-        at.append(other)
-        length.append(np.ones(len(other), np.int64))
-        piece.append(AS_BYTES + codes[other].astype(np.int64))
-        at, length, piece = np.concatenate(at), np.concatenate(length), np.concatenate(piece)
-        order = _order(at)
-        at, length, self.piece = at[order], length[order], piece[order]
-        weight = np.where(self.piece < AS_BYTES, pieces.weights[np.minimum(self.piece, len(pieces.weights) - 1)], pieces.vocab.byte_weight)
-        source = at + chunk[at]
-        self.target = source + length
-        self.first, self.last = offsets[:-1] + np.arange(len(lengths)), offsets[1:] + np.arange(len(lengths))
-        nodes = n + len(lengths)
-        self.edge = np.searchsorted(source, np.arange(nodes + 1))
+        found.append((node[other], 1, AS_BYTES + codes[other].astype(np.int64)))
+        counts = np.zeros(nodes, np.int64)
+        for source, _, _ in found:
+            counts[source] += 1
+        self.edge = np.r_[0, np.cumsum(counts)]
+        free = self.edge[:-1].copy()
+        self.target, self.piece = np.empty(self.edge[-1], np.int64), np.empty(self.edge[-1], np.int64)
+        for source, size, piece in found:
+            place = free[source]
+            free[source] += 1
+            self.target[place] = source + size
+            self.piece[place] = piece
+        coded = self.piece >= AS_BYTES
+        self.bare = bool(coded.any())
+        known = np.where(coded, 0, self.piece) if self.bare else self.piece
+        # ids of the pieces; a character that goes as bytes has none
+        weight, self.ids = pieces.weights[known], pieces.ids[known]
+        if self.bare:
+            weight[coded], self.ids[coded] = pieces.vocab.byte_weight, -1
         # mass of all ways from a node to its chunk's end, from the end backwards
         self.ahead = np.zeros(nodes)
-        distance = left[at]
-        back = _order(distance)
-        w, t, s, d = weight[back], self.target[back], source[back], distance[back]
-        new = np.r_[True, s[1:] != s[:-1]] if len(s) else np.zeros(0, bool)
-        steps = np.searchsorted(d, np.arange(1, (d[-1] if len(d) else 0) + 2))
-        for a, b in zip(steps[:-1].tolist(), steps[1:].tolist(), strict=True):
-            if a == b:
+        back = (np.sort((distance.astype(np.uint64) << np.uint64(32)) | np.arange(n, dtype=np.uint64)) & np.uint64(0xFFFFFFFF)).view(np.int64)
+        s = node[back]
+        many = counts[s]
+        upto = np.r_[0, np.cumsum(many)]
+        edges = np.arange(upto[-1]) + np.repeat(self.edge[s] - upto[:-1], many)
+        w, t = weight[edges], self.target[edges]
+        log = np.empty(len(w))
+        steps = np.r_[0, np.cumsum(np.bincount(distance)[1:])] if n else np.zeros(1, np.int64)
+        for x, y in zip(steps[:-1].tolist(), steps[1:].tolist(), strict=True):
+            if x == y:
                 continue
+            a, b, size = upto[x], upto[y], many[x:y]
             value = w[a:b] + self.ahead[t[a:b]]
-            start = np.flatnonzero(new[a:b])
+            start = upto[x:y] - a
             top = np.maximum.reduceat(value, start)
-            total = np.add.reduceat(np.exp(value - np.repeat(top, np.diff(np.r_[start, b - a]))), start)
-            self.ahead[s[a:b][start]] = top + np.log(total)
-        self.log = np.minimum(weight + self.ahead[self.target] - self.ahead[source], 0.0)
+            total = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, size)), start))
+            self.ahead[s[x:y]] = total
+            np.subtract(value, np.repeat(total, size), out=log[a:b])
+        self.log = np.empty(len(w))
+        self.log[edges] = np.minimum(log, 0.0, out=log)
         self.chance = np.exp(self.log)
-        alone = np.diff(self.edge)[source] == 1
-        with np.errstate(divide="ignore"):
-            self.others = np.where(alone, -np.inf, np.log1p(-np.minimum(self.chance, 1 - 1e-15)))
         running = np.r_[0.0, np.cumsum(self.chance)]
-        self.upto = running[1:] - running[self.edge[source]]
+        self.upto = running[1:] - np.repeat(running[self.edge[:-1]], counts)
+        # a node's only way leaves no others
+        self.alone = np.zeros(len(w), bool)
+        self.alone[self.edge[:-1][counts == 1]] = True
+
+    def others(self, edges: np.ndarray) -> np.ndarray:
+        """Log of the chance to leave a node by any but the given edge."""
+        return np.where(self.alone[edges], -np.inf, np.log1p(-np.minimum(self.chance[edges], 1 - 1e-15)))
 
     def walk(self, nodes: np.ndarray, ends: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """A sampled path from each node to its end: all edges, and n + 1 offsets."""
-        nodes = nodes.copy()
-        live = np.flatnonzero(nodes < ends)
         found, counts = [], np.zeros(len(nodes), np.int64)
+        live = np.flatnonzero(nodes < ends)
+        at, stop, key = nodes[live], ends[live], keys[live]
         step = 0
         while len(live):
-            u = uniform(keys[live], step)
-            edge, final = self.edge[nodes[live]], self.edge[nodes[live] + 1] - 1
-            on = np.flatnonzero((u >= self.upto[edge]) & (edge < final))
+            u = uniform(key, step)
+            # from the last edge, mostly the longest and likeliest, down to the first that reaches u
+            least, edge = self.edge[at], self.edge[at + 1] - 1
+            on = np.flatnonzero((edge > least) & (u < self.upto[edge - 1]))
             while len(on):
-                edge[on] += 1
-                on = on[(u[on] >= self.upto[edge[on]]) & (edge[on] < final[on])]
+                lower = edge[on] - 1
+                edge[on] = lower
+                on = on[(lower > least[on]) & (u[on] < self.upto[lower - 1])]
             found.append((live, edge))
             counts[live] += 1
-            nodes[live] = self.target[edge]
-            live = live[nodes[live] < ends[live]]
+            at = self.target[edge]
+            more = np.flatnonzero(at < stop)
+            live, at, stop, key = live[more], at[more], stop[more], key[more]
             step += 1
         offsets = np.r_[0, np.cumsum(counts)]
         out = np.empty(offsets[-1], np.int64)
@@ -225,12 +255,13 @@ class Path:
         return float(self.before[-1])
 
 
-def _path(lattice: Lattice, edges: np.ndarray, chunks: np.ndarray, value: float, key: np.uint64, start: int, k: int) -> Path:
+def _path(edges: np.ndarray, chunks: np.ndarray, logs: np.ndarray, others: np.ndarray, value: float, key: np.uint64, start: int, k: int) -> Path:
+    """``logs`` and ``others`` of the edges, the latter from ``start`` on."""
     before = np.zeros(len(edges) + 1)
-    np.cumsum(lattice.log[edges], out=before[1:])
+    np.cumsum(logs, out=before[1:])
     split = np.full(len(edges), -np.inf)
     if start < len(edges):
-        mu = before[start:-1] + lattice.others[edges[start:]]
+        mu = before[start:-1] + others
         # uniform() has 53 bits, so noise lies between -3.7 and 36.8: what is 42 below the (k + 1)-th is never among the first k + 1
         least = np.partition(mu, -k - 1)[-k - 1] - 42 if len(mu) > k else -np.inf
         some = np.flatnonzero(mu >= least)
@@ -265,13 +296,18 @@ def sampled(texts: list[str | None], seeds: np.ndarray, pieces: Pieces, k: int)
     edges, ends = lattice.walk(heads, tails, own)
     chunk_of = common.row_of(ends)
     gumbel = -np.log(-np.log(uniform(seeds, 0)))
+    noise = common.mix(seeds + np.uint64(1))
+    logs, others = lattice.log[edges], lattice.others(edges)
     paths: list[list[Path]] = []
     for i in range(len(texts)):
         a, b = ends[chunks[i]], ends[chunks[i + 1]]
-        paths.append([_path(lattice, edges[a:b], chunk_of[a:b], float(gumbel[i]), common.mix(seeds[i:i + 1] + np.uint64(1))[0], 0, k)])
+        paths.append([_path(edges[a:b], chunk_of[a:b], logs[a:b], others[a:b], float(gumbel[i]), noise[i], 0, k)])
 
     for turn in range(1, k):
         jobs, nodes, stops, salts = [], [], [], []
+        salt = common.mix(seeds + np.uint64(1000 + turn))
+        first, second, noise = uniform(salt, 0), uniform(salt, 1), common.mix(salt + np.uint64(2))
+        fresh = common.mix(own + np.uint64(turn * 0x9E3779B97F4A7C15 % 2**64))
         for i, known in enumerate(paths):
             if len(known) < turn:
                 continue
@@ -285,37 +321,38 @@ def sampled(texts: list[str | None], seeds: np.ndarray, pieces: Pieces, k: int)
             node = int(lattice.target[path.edges[at - 1]]) if at and path.chunks[at - 1] == path.chunks[at] else int(heads[path.chunks[at]])
             gone = path.taken.setdefault(at, [int(edge)])
             free = [e for e in range(int(lattice.edge[node]), int(lattice.edge[node + 1])) if e not in gone]
-            salt = common.mix(seeds[i:i + 1] + np.uint64(1000 + turn))
             weights = np.cumsum(lattice.chance[free])
-            pick = free[min(int(np.searchsorted(weights, float(uniform(salt, 0)[0]) * weights[-1], side="right")), len(free) - 1)]
+            pick = free[min(int(np.searchsorted(weights, float(first[i]) * weights[-1], side="right")), len(free) - 1)]
             gone.append(pick)
             left = float(weights[-1] - lattice.chance[pick]) if len(free) > 1 else 0.0
-            path.split[at] = below(path.before[at] + np.log(left), value, float(uniform(salt, 1)[0])) if left > 0 else -np.inf
+            path.split[at] = below(path.before[at] + np.log(left), value, float(second[i])) if left > 0 else -np.inf
             chunk, after = int(path.chunks[at]), int(chunks[i + 1])
-            jobs.append((i, path, at, pick, value, salt))
-            nodes += [np.array([lattice.target[pick]]), heads[chunk + 1:after]]
+            jobs.append((i, path, at, pick, value))
+            nodes += [lattice.target[pick:pick + 1], heads[chunk + 1:after]]
             stops.append(tails[chunk:after])
-            salts.append(common.mix(own[chunk:after] + np.uint64(turn * 0x9E3779B97F4A7C15 % 2**64)))
+            salts.append(fresh[chunk:after])
         if not jobs:
             break
         edges, ends = lattice.walk(np.concatenate(nodes), np.concatenate(stops), np.concatenate(salts))
+        logs, others, part_of = lattice.log[edges], lattice.others(edges), common.row_of(ends)
         base = 0
-        for (i, path, at, pick, value, salt), part in zip(jobs, stops, strict=True):
+        for (i, path, at, pick, value), part in zip(jobs, stops, strict=True):
             a, b = ends[base], ends[base + len(part)]
-            steps = np.diff(ends[base:base + len(part) + 1])
-            chunk = int(path.chunks[at])
-            paths[i].append(_path(lattice, np.r_[path.edges[:at], pick, edges[a:b]], np.r_[path.chunks[:at], chunk, np.repeat(np.arange(chunk, chunk + len(part)), steps)], value, common.mix(salt + np.uint64(2))[0], at + 1, k))
+            chunk = path.chunks[at:at + 1]
+            paths[i].append(_path(
+                np.concatenate([path.edges[:at], [pick], edges[a:b]]), np.concatenate([path.chunks[:at], chunk, part_of[a:b] + (chunk - base)]),
+                np.concatenate([lattice.log[path.edges[:at]], lattice.log[pick:pick + 1], logs[a:b]]), others[a:b], value, noise[i], at + 1, k))
             base += len(part)
     return [(lattice, known, max((float(p.split.max()) for p in known if len(p.split)), default=-np.inf) if len(known) == k else -np.inf) for known in paths]
 
 
 def piece_ids(lattice: Lattice, edges: np.ndarray, pieces: Pieces) -> np.ndarray:
     """Ids of a path's pieces; a character that is no piece gives its bytes."""
-    chosen = lattice.piece[edges]
-    bare = np.flatnonzero(chosen >= AS_BYTES)
-    out = pieces.ids[np.minimum(chosen, len(pieces.ids) - 1)]
+    out = lattice.ids[edges]
+    bare = np.flatnonzero(out < 0) if lattice.bare else ()
     if not len(bare):
         return out
+    chosen = lattice.piece[edges]
     coded = [chr(int(c) - AS_BYTES).encode("utf-8") for c in chosen[bare]]
     sizes = np.ones(len(chosen), np.int64)
     sizes[bare] = [len(c) for c in coded]

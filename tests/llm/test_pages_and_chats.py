@@ -199,3 +199,25 @@ def test_segmentations_of_awkward_rows(spark):
     assert all(again[r["doc_id"], r["sample"]] == r["ids"] for r in rows)
     assert all(r["log_inclusion"] <= 0 and r["log_prob"] <= 0 for r in rows)
     assert segmentations.encoded(frame.where("false")).collect() == []
+
+
+@needs_model
+def test_lattice_edges_are_looked_up_directly(monkeypatch):
+    """All pieces at all places, also those that share a slot of the table, without a binary search for each."""
+    vocab = segmentations.vocabulary()
+    pieces = segmentations.Pieces(vocab)
+    at = {p: i for i, p in enumerate(vocab.pieces)}
+    shared = [vocab.pieces[pieces.rows[i]] for i in np.flatnonzero(pieces.next >= 0)]
+    assert len(shared) > 100
+    chunks = [*shared, " there", "thhere", "naïve", "日本語", "a", "x☃☃y"]
+    offsets = np.r_[0, np.cumsum([len(c) for c in chunks])]
+    monkeypatch.setattr(np, "searchsorted", None)
+    lattice = segmentations.Lattice(segmentations._codes("".join(chunks)), offsets, pieces)
+    for chunk, first, last in zip(chunks, lattice.first.tolist(), lattice.last.tolist(), strict=True):
+        assert last - first == len(chunk)
+        for i, node in enumerate(range(first, last)):
+            edges = range(lattice.edge[node], lattice.edge[node + 1])
+            found = [(int(lattice.target[e]) - node, int(lattice.piece[e])) for e in edges]
+            want = [(n, at[chunk[i:i + n]]) for n in range(1, len(chunk) - i + 1) if chunk[i:i + n] in at]
+            assert found == (want if chunk[i] in at else want + [(1, segmentations.AS_BYTES + ord(chunk[i]))])
+            assert lattice.chance[edges.start:edges.stop].sum() == pytest.approx(1, abs=1e-9)
