@@ -167,15 +167,29 @@ def confirmed(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
             .where(100 * F.col("both") >= percent * (F.size("x") + F.size("y") - F.col("both"))).select("a", "b"))
 
 
+def may_reach(least, most, threshold: float):
+    """Whether sets of these sizes can reach the threshold at all: they share no more than the smaller holds, and are together no less than the larger."""
+    return 100 * least >= round(100 * threshold) * most
+
+
+def mixed_buckets(labelled: DataFrame) -> DataFrame:
+    """(band, doc_id, label) -> band, n: the buckets which hold several components, one of those with equal members (equal numbers and 128-bit hashes)."""
+    members = [F.bit_xor(F.xxhash64("doc_id", F.lit(k))).alias(f"h{k}") for k in (1, 2)]
+    return labelled.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"), *members).where("low <> high").groupBy(
+        "n", "h1", "h2").agg(F.min("band").alias("band")).select("band", "n")
+
+
 def in_tiles(labelled: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) of components that a link joins, after comparing all pairs within every bucket which holds several components.
 
+    Alike documents meet in several bands; buckets of equal members are one, so their sets are sent once.
+
     A bucket's members are dealt to tiles of about ``TILE``; every pair of tiles is one bounded group, in which a product of
     membership matrices counts all intersections of full sets at once. Pairs never become rows; a group gives
     what connects its components, not all the links it sees.
     """
     percent = round(100 * threshold)
-    mixed = labelled.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).where("low <> high")
+    mixed = mixed_buckets(labelled)
     tiles = F.ceil(F.col("n") / TILE).cast("int")
     rest = labelled.join(common.stored(mixed.select("band", tiles.alias("tiles"))), "band").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int"))
     spread = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
@@ -220,18 +234,21 @@ def in_tiles(labelled: DataFrame, sets: DataFrame, threshold: float) -> DataFram
 
 
 def linked(buckets: DataFrame, sets_of: Callable[[DataFrame], DataFrame], threshold: float) -> DataFrame:
-    """(doc_id, band) -> node, label: the components of the links among documents that share a bucket; ``sets_of`` gives the sets (doc_id, items) of those."""
+    """(doc_id, size, band) -> node, label: the components of the links among documents that share a bucket; ``sets_of`` gives the sets (doc_id, items) of those."""
     # aggregates that are joined to many rows are stored first, so that Spark can split the rows of a frequent key
-    shared = common.stored(buckets.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band"))
+    sizes = buckets.groupBy("band").agg(F.count("*").alias("n"), F.min("size").alias("least"), F.max("size").alias("most"))
+    # two sets of unlike sizes need not be compared
+    shared = common.stored(sizes.where((F.col("n") > 2) | ((F.col("n") == 2) & may_reach(F.col("least"), F.col("most"), threshold))).select("band"))
     open_buckets = common.stored(buckets.join(shared, "band"))
     members = open_buckets.select("doc_id").distinct()
     sets = common.stored(sets_of(members))
 
-    order = F.struct(F.xxhash64("doc_id").alias("o"), F.col("doc_id").alias("lead"))
-    leaders = common.stored(open_buckets.groupBy("band").agg(F.min(order)["lead"].alias("lead")))
-    met = open_buckets.join(leaders, "band").where("doc_id <> lead").select(F.least("doc_id", "lead").alias("a"), F.greatest("doc_id", "lead").alias("b")).distinct()
+    order = F.struct(F.xxhash64("doc_id").alias("o"), F.col("doc_id").alias("lead"), F.col("size").alias("lead_size"))
+    leaders = common.stored(open_buckets.groupBy("band").agg(F.min(order).alias("at")).select("band", "at.lead", "at.lead_size"))
+    met = open_buckets.join(leaders, "band").where((F.col("doc_id") != F.col("lead")) & may_reach(F.least("size", "lead_size"), F.greatest("size", "lead_size"), threshold)).select(F.least("doc_id", "lead").alias("a"), F.greatest("doc_id", "lead").alias("b")).distinct()
     stars = common.stored(graph.components(confirmed(met, sets, threshold)))
     labelled = common.stored(open_buckets.join(stars, open_buckets["doc_id"] == stars["node"], "left").select("band", "doc_id", F.coalesce("label", "doc_id").alias("label")))
+    common.release(buckets.sparkSession)  # what was shuffled for the leaders is done with before the tiles' sets are
     joined = common.stored(graph.components(in_tiles(labelled, sets, threshold)).select(F.col("node").alias("label"), F.col("label").alias("least")))
     return labelled.select("doc_id", "label").distinct().join(joined, "label", "left").select(F.col("doc_id").alias("node"), F.coalesce("least", "label").alias("label"))
 
@@ -257,7 +274,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, threshold: float, with
         found = full_sets(sifted(texts, wanted) if sift else texts.join(wanted, "doc_id", "left_semi")).groupBy("doc_id", "s1", "s2").agg(F.first("items").alias("items"))
         return found.join(wanted, ["doc_id", "s1", "s2"]).select(F.col("node").alias("doc_id"), "items")
 
-    groups = linked(classes.select(F.col("node").alias("doc_id"), F.explode("bands").alias("band")), sets_of, threshold)
+    groups = linked(classes.select(F.col("node").alias("doc_id"), F.col("n_shingles").alias("size"), F.explode("bands").alias("band")), sets_of, threshold)
     placed = common.stored(classes.select(*key, "head", "node").join(groups, "node", "left").select(*key, "head", F.coalesce("label", "node").alias("component")))
     least = common.stored(placed.groupBy("component").agg(F.min("head").alias("component_id")))
     named = common.stored(placed.join(least, "component").select(*key, "component", "component_id"))

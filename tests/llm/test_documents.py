@@ -357,3 +357,25 @@ def test_sifting_keeps_all_that_is_wanted(spark):
     left = {r["doc_id"] for r in near_duplicates.sifted(texts, wanted).collect()}
     assert set(range(0, 20_000, 7)) <= left and len(left) < 20_000 / 7 + 100
     assert near_duplicates.sifted(texts, wanted.where("false")).collect() == []
+
+
+def test_buckets_of_equal_members_are_compared_once(spark):
+    rows = [(b, d, d) for b in range(30) for d in (1, 2, 3)] + [(b, d, 7) for b in range(30, 40) for d in (4, 5)] + [(40, 1, 1), (40, 2, 2), (41, 1, 1), (41, 3, 3)]
+    found = near_duplicates.mixed_buckets(spark.createDataFrame(rows, "band long, doc_id long, label long")).collect()
+    assert sorted((r["band"], r["n"]) for r in found) == [(0, 3), (40, 2), (41, 2)]
+
+
+def test_sets_of_unlike_sizes_are_not_fetched(spark):
+    """A pair whose sizes cannot reach the threshold is no candidate; in larger buckets others may, and at the threshold itself a link stays."""
+    items = {1: range(3), 2: range(4), 3: range(100), 4: range(5), 5: range(200, 203), 6: range(200, 204), 7: range(200, 300)}
+    bands = {10: (1, 2), 11: (2, 3), 12: (3, 4), 13: (5, 6, 7)}
+    buckets = spark.createDataFrame([(d, len(items[d]), b) for b, ds in bands.items() for d in ds], "doc_id long, size long, band long")
+    asked = []
+
+    def sets_of(members):
+        asked.extend(r["doc_id"] for r in members.collect())
+        return spark.createDataFrame([(d, list(x)) for d, x in items.items()], "doc_id long, items array<long>").join(members, "doc_id", "left_semi")
+
+    found = {r["node"]: r["label"] for r in near_duplicates.linked(buckets, sets_of, 0.75).collect()}
+    assert sorted(asked) == [1, 2, 5, 6, 7]
+    assert found == {1: 1, 2: 1, 5: 5, 6: 5, 7: 7}
