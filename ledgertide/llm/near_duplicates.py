@@ -233,13 +233,16 @@ def in_tiles(labelled: DataFrame, sets: DataFrame, threshold: float) -> DataFram
     return spread.join(sets, "doc_id").groupBy("band", "i", "j").applyInArrow(compare, f"a {kind}, b {kind}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def linked(buckets: DataFrame, sets_of: Callable[[DataFrame], DataFrame], threshold: float) -> DataFrame:
-    """(doc_id, size, band) -> node, label: the components of the links among documents that share a bucket; ``sets_of`` gives the sets (doc_id, items) of those."""
+def linked(buckets: DataFrame, sets_of: Callable[[DataFrame], DataFrame], threshold: float, spent: Callable[[], None] = lambda: None) -> DataFrame:
+    """(doc_id, size, band) -> node, label: the components of the links among documents that share a bucket; ``sets_of`` gives the sets (doc_id, items) of those.
+
+    ``spent`` is called when ``buckets`` are read no more."""
     # aggregates that are joined to many rows are stored first, so that Spark can split the rows of a frequent key
     sizes = buckets.groupBy("band").agg(F.count("*").alias("n"), F.min("size").alias("least"), F.max("size").alias("most"))
     # two sets of unlike sizes need not be compared
     shared = common.stored(sizes.where((F.col("n") > 2) | ((F.col("n") == 2) & may_reach(F.col("least"), F.col("most"), threshold))).select("band"))
     open_buckets = common.stored(buckets.join(shared, "band"))
+    spent()
     members = open_buckets.select("doc_id").distinct()
     sets = common.stored(sets_of(members))
 
@@ -263,10 +266,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def _grouped(docs: DataFrame, id_col: str, text_col: str, threshold: float, with_sets: bool, marks_of=signatures, extra: tuple[str, ...] = (), sift: bool = False) -> DataFrame:
     """``marks_of`` gives the columns of ``signatures``, and those named in ``extra``, which stay; with ``sift`` only texts that may be wanted leave their tasks."""
     key = ["n_shingles", "s1", "s2"]
-    marks = common.stored(marks_of(docs, id_col, text_col))
-    known = marks.where("doc_id is not null")
+    banded = common.stored(marks_of(docs, id_col, text_col))
     # a class of equal sets is a node; its smallest id only says where to find its text
-    classes = common.stored(known.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("head"), F.first("bands").alias("bands")).withColumn("node", F.monotonically_increasing_id()))
+    nodes = common.stored(banded.where("doc_id is not null and n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("head"), F.first("bands").alias("bands")).withColumn("node", F.monotonically_increasing_id()))
+    # the bands are most of both tables, and are gone before sets are fetched
+    marks, classes = common.stored(banded.drop("bands")), common.stored(nodes.drop("bands"))
+    common.discard(banded)
+    known = marks.where("doc_id is not null")
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def sets_of(members: DataFrame) -> DataFrame:
@@ -274,7 +280,8 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, threshold: float, with
         found = full_sets(sifted(texts, wanted) if sift else texts.join(wanted, "doc_id", "left_semi")).groupBy("doc_id", "s1", "s2").agg(F.first("items").alias("items"))
         return found.join(wanted, ["doc_id", "s1", "s2"]).select(F.col("node").alias("doc_id"), "items")
 
-    groups = linked(classes.select(F.col("node").alias("doc_id"), F.col("n_shingles").alias("size"), F.explode("bands").alias("band")), sets_of, threshold)
+    buckets = nodes.select(F.col("node").alias("doc_id"), F.col("n_shingles").alias("size"), F.explode("bands").alias("band"))
+    groups = linked(buckets, sets_of, threshold, spent=lambda: common.discard(nodes))
     placed = common.stored(classes.select(*key, "head", "node").join(groups, "node", "left").select(*key, "head", F.coalesce("label", "node").alias("component")))
     least = common.stored(placed.groupBy("component").agg(F.min("head").alias("component_id")))
     named = common.stored(placed.join(least, "component").select(*key, "component", "component_id"))

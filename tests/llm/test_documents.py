@@ -8,6 +8,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -379,3 +380,17 @@ def test_sets_of_unlike_sizes_are_not_fetched(spark):
     found = {r["node"]: r["label"] for r in near_duplicates.linked(buckets, sets_of, 0.75).collect()}
     assert sorted(asked) == [1, 2, 5, 6, 7]
     assert found == {1: 1, 2: 1, 5: 5, 6: 5, 7: 7}
+
+
+def test_bands_are_deleted_before_sets_are_fetched(spark, docs, monkeypatch):
+    seen, plain = [], near_duplicates.linked
+
+    def watched(buckets, sets_of, *rest, **named):
+        def asked(members):
+            seen.extend(Path(file.removeprefix("file:")).exists() for file in buckets.inputFiles())
+            return sets_of(members)
+        return plain(buckets, asked, *rest, **named)
+
+    monkeypatch.setattr(near_duplicates, "linked", watched)
+    assert fingerprints.near_groups(docs).count() == docs.count()
+    assert seen and not any(seen)
