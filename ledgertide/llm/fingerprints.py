@@ -98,11 +98,26 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return found.select("doc_id", "tag", F.col("component_id").alias("class_id"))
 
 
+def packed(text: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """Each text compressed, and its bytes before."""
+    codec, raw = pa.Codec("zstd", 3), text.cast(pa.binary()).to_pylist()
+    return pa.array([codec.compress(x, asbytes=True) for x in raw], pa.binary()), pa.array([len(x) for x in raw], pa.int64())
+
+
+def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches with ``packed`` and ``size`` -> the same with ``text`` in their place, a slice at a time."""
+    codec = pa.Codec("zstd")
+    for batch in common.slices(batches, "packed"):
+        texts = [codec.decompress(x, n, asbytes=True) if n else b"" for x, n in zip(batch.column("packed").to_pylist(), batch.column("size").to_pylist(), strict=True)]
+        text = pa.array(texts, pa.binary()).cast(pa.string())
+        yield pa.RecordBatch.from_arrays([batch.column("bucket"), batch.column("tail"), batch.column("id"), text, batch.column("tag")], ["bucket", "tail", "id", "text", "tag"])
+
+
 def in_order(docs: DataFrame) -> DataFrame:
-    """(id, text) -> id, text, tag, bucket, tail: sorted runs of documents, each followed by the first document of the next run.
+    """(id, text) -> id, packed, size, tag, bucket, tail: sorted runs of documents, each followed by the first document of the next run.
 
     Spark cuts the order of (id, tag) into ranges of about equal numbers, whatever the type of the ids and however many rows share one; the driver sees the first
-    place of each range. Every text is shuffled once.
+    place of each range. Every text is shuffled once, compressed as a whole.
     """
     spark = docs.sparkSession
     runs = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -125,10 +140,12 @@ def in_order(docs: DataFrame) -> DataFrame:
             rows = np.r_[np.arange(batch.num_rows), np.array(copies, np.int64)].astype(np.int64)
             tail = np.r_[np.zeros(batch.num_rows, bool), np.ones(len(copies), bool)]
             taken = batch.take(pa.array(rows))
-            yield pa.RecordBatch.from_arrays([pa.array([route.get(b, b) for b in to], pa.int64()), pa.array(to, pa.int64()), pa.array(tail), *taken.columns], ["route", "bucket", "tail", "id", "text", "tag"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([route.get(b, b) for b in to], pa.int64()), pa.array(to, pa.int64()), pa.array(tail), taken.column(0), *packed(taken.column(1)), taken.column(2)],
+                ["route", "bucket", "tail", "id", "packed", "size", "tag"])
 
-    spread = tagged.mapInArrow(dealt, f"route long, bucket long, tail boolean, id {kind}, text string, tag long")
-    return spread.repartition(runs, "route").sortWithinPartitions("bucket", "tail", "id", "tag").select("bucket", "tail", "id", "text", "tag")
+    spread = tagged.mapInArrow(dealt, f"route long, bucket long, tail boolean, id {kind}, packed binary, size long, tag long")
+    return spread.repartition(runs, "route").sortWithinPartitions("bucket", "tail", "id", "tag").select("bucket", "tail", "id", "packed", "size", "tag")
 
 
 def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -138,7 +155,7 @@ def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the last row of the slice before, which waits for its successor
-        for batch in common.slices(batches, "text"):
+        for batch in common.slices(unpacked(batches), "text"):
             marks = signatures(batch.column(3))
             rows = list(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), marks, batch.column(4).to_pylist(), strict=True))
             if held:

@@ -394,3 +394,13 @@ def test_bands_are_deleted_before_sets_are_fetched(spark, docs, monkeypatch):
     monkeypatch.setattr(near_duplicates, "linked", watched)
     assert fingerprints.near_groups(docs).count() == docs.count()
     assert seen and not any(seen)
+
+
+def test_texts_are_shuffled_compressed(spark):
+    texts = [prose(3, 900), "", "a", "ünï ☃\x00", prose(4, 50)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    rows = fingerprints.in_order(docs).where("not tail").orderBy("id")
+    table = rows.toArrow()
+    assert sum(len(x) for x in table["packed"].to_pylist()) < 0.75 * sum(len(x.encode()) for x in texts)
+    back = pa.Table.from_batches(fingerprints.unpacked(iter(table.to_batches())))
+    assert back["text"].to_pylist() == texts and back["id"].to_pylist() == list(range(5))
