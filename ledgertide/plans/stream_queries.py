@@ -11,31 +11,41 @@ from ledgertide.plans import proxies as px
 from ledgertide.plans.insider_queries import OVERVIEW, money, priced, shown
 from ledgertide.plans.registry import query
 from ledgertide.plans.source_queries import shared_folder
-from ledgertide.session import checkpoint
+from ledgertide.session import checkpoint, release
 from ledgertide.streaming import alerts, jobs
-from ledgertide.streaming.tables import BucketLog, BucketSnapshot
+from ledgertide.streaming.tables import BucketLog, BucketSnapshot, move
 
 START = "1997-01-01 00:00:00"
 LANDED_TRADE = ("id string, accession string, issuer_id string, owner_ids array<string>, code string, form string, is_ceo boolean, is_cfo boolean, counted decimal(38,12), "
                 "transaction_date date, accepted_at timestamp, received_at timestamp")
+#: Parts in which rows are made and written that would shuffle much at once.
+SLICES = 4
 
 
-def play(spark, rows, clock, schema, job, pages=3, beats=None):
+def play(spark, rows, clock, schema, job, pages=3, beats=None, slices=None):
     """Land ``rows`` page by page in the order of ``clock`` (or by the pages it names) and start ``job(stream, checkpoint)`` anew after each: every page is a restart.
 
-    ``beats`` are rows landed last, which only move the clock.
+    ``beats`` are rows landed last, which only move the clock. With a column in ``slices``, the pages are written in parts by its hash, one after the other,
+    so that the shuffles of a part are on disk and not those of all rows.
     """
     path = f"{shared_folder(spark)}/landed-{uuid.uuid4().hex}"
     page = F.col("_page")
     if "_page" not in rows.columns:
         cuts = rows.agg(F.percentile_approx(F.unix_micros(clock), [k / pages for k in range(1, pages)])).first()[0] or []
+        release(spark)
         page = sum((F.when(F.unix_micros(clock) > cut, 1).otherwise(0) for cut in cuts), F.lit(0))
-    stored = checkpoint(rows.withColumn("_page", page))
-    landing = [stored.where(F.col("_page") == k).drop("_page") for k in range(pages)] + ([beats] if beats is not None else [])
-    typed = [F.col(f.name).cast(f.dataType) for f in DataType.fromDDL(schema).fields]
-    for part in landing:
-        part.select(*typed).write.mode("append").parquet(f"{path}/in")
+    typed = [F.col(f.name).cast(f.dataType).alias(f.name) for f in DataType.fromDDL(schema).fields]
+    # each row is written once; a page then lands by moving its files
+    for part in [F.pmod(F.xxhash64(slices), F.lit(SLICES)) == k for k in range(SLICES)] if slices else [F.lit(True)]:
+        rows.where(part).select(*typed, page.alias("_page")).write.mode("append").partitionBy("_page").option("compression", "zstd").parquet(f"{path}/pages")
+        release(spark)
+    for k in range(pages if beats is None else pages + 1):
+        if k == pages:
+            beats.select(*typed).write.mode("append").parquet(f"{path}/in")
+        elif not move(spark, f"{path}/pages/_page={k}", f"{path}/in", f"part-{k}-"):
+            spark.createDataFrame([], schema).write.mode("append").parquet(f"{path}/in")
         job(jobs.landed(spark, f"{path}/in", schema, 100_000, "parquet"), f"{path}/state").awaitTermination()
+        release(spark)
     return path
 
 
@@ -92,9 +102,9 @@ SELECT 'trade:sec:' || accession AS dedupe_key, person_id, count(*) AS rows, cou
   strftime(min(td), '%Y-%m-%d') AS traded_from FROM r JOIN c USING (accession) GROUP BY accession, person_id""")
 def stream_trade_alerts(spark, sf):
     trade = F.struct("id", "code", "table_no", "status", "visible", "accepted_at", "transaction_date", F.col("amount").cast("decimal(38,12)").alias("amount"), "is_plan", "owner_ids")
-    filings = px.trades(spark, sf).groupBy("accession").agg(F.min("issuer_id").alias("issuer_id"), F.max("accepted_at").alias("received_at"), F.collect_list(trade).alias("trades"))
+    filings = px.trades(spark, sf, by_filing=True).groupBy("accession").agg(F.min("issuer_id").alias("issuer_id"), F.max("accepted_at").alias("received_at"), F.collect_list(trade).alias("trades"))
     followed = checkpoint(px.followed(spark, sf))
-    rows = played(spark, filings, "received_at", alerts.FILING_SCHEMA, lambda landed: alerts.trade_alert_stream(landed, followed, START, lookback=None), alerts.TRADE_ALERT_SCHEMA)
+    rows = played(spark, filings, "received_at", alerts.FILING_SCHEMA, lambda landed: alerts.trade_alert_stream(landed, followed, START, lookback=None), alerts.TRADE_ALERT_SCHEMA, slices="accession")
     return shown(rows.select("dedupe_key", "person_id", "rows", "buys", "sells", "amount", "plan", "traded_from"), "amount")
 
 

@@ -80,8 +80,11 @@ def filing_candidates(filings: DataFrame, followed: DataFrame, start: str, lookb
     rows = filings.select("accession", "issuer_id", "received_at", counted.alias("t"))
     buys, sells = F.filter("t", lambda t: t["code"] == "P"), F.filter("t", lambda t: t["code"] == "S")
     days = F.transform("t", lambda t: t["transaction_date"])
-    owners = F.array_distinct(F.flatten(F.transform("t", lambda t: F.transform(t["owner_ids"], lambda o: F.struct(o.alias("owner_id"), t["accepted_at"].alias("accepted_at"))))))
-    facts = rows.where(F.size("t") > 0).select(
+    named = F.flatten(F.transform("t", lambda t: F.transform(t["owner_ids"], lambda o: F.struct(o.alias("owner_id"), t["accepted_at"].alias("accepted_at")))))
+    # the newest acceptance of each owner: it decides whether any was after the owner was followed
+    rows = rows.where(F.size("t") > 0).withColumn("named", F.sort_array(F.array_distinct(named)))
+    owners = F.filter("named", lambda x, i: ~x["owner_id"].eqNullSafe(F.get("named", i + 1)["owner_id"]))
+    facts = rows.select(
         "accession", "issuer_id", "received_at", F.size("t").cast("long").alias("rows"), F.size(buys).cast("long").alias("buys"), F.size(sells).cast("long").alias("sells"),
         total(F.transform("t", lambda t: t["amount"])).cast("decimal(38,2)").alias("amount"), plan_answer(sells).alias("plan"), F.array_min(days).alias("traded_from"),
         F.array_max(days).alias("traded_to"), F.array_max(F.transform("t", lambda t: t["accepted_at"])).alias("at"), F.explode(owners).alias("o"))

@@ -66,6 +66,18 @@ def remove(spark: SparkSession, path: str) -> None:
     files.delete(at, True)
 
 
+def move(spark: SparkSession, source: str, target: str, prefix: str) -> int:
+    """Move the data files of folder ``source`` into ``target``, under names with ``prefix``; how many there were (none without the folder)."""
+    files, at = _files(spark, source)
+    names = [s.getPath().getName() for s in files.listStatus(at) if s.isFile()] if files.exists(at) else []
+    names = [n for n in names if not n.startswith(("_", "."))]
+    files.mkdirs(_files(spark, target)[1])
+    for name in names:
+        if not files.rename(_files(spark, f"{source}/{name}")[1], _files(spark, f"{target}/{prefix}{name}")[1]):
+            raise OSError(f"{source}/{name} was not moved to {target}")
+    return len(names)
+
+
 class BucketTable:
     """Rows in folders ``part=…/bucket=…``: a part is what one batch (or one compaction) wrote, a bucket a hash of the key.
 
