@@ -49,10 +49,10 @@ def play(spark, rows, clock, schema, job, pages=3, beats=None, slices=None):
     return path
 
 
-def played(spark, rows, clock, schema, stream, out, **options):
-    """The rows that ``stream(landed)`` appends to its files while the pages are played."""
+def played(spark, rows, clock, schema, stream, out, most=None, **options):
+    """The rows that ``stream(landed)``, in ``most`` partitions at most, appends to its files while the pages are played."""
     target = f"{shared_folder(spark)}/alerts-{uuid.uuid4().hex}"
-    play(spark, rows, clock, schema, lambda landed, state: jobs.append(stream(landed), target, state), **options)
+    play(spark, rows, clock, schema, lambda landed, state: jobs.append(stream(landed), target, state, most=most), **options)
     return spark.read.schema(out).parquet(target)
 
 
@@ -104,7 +104,8 @@ def stream_trade_alerts(spark, sf):
     trade = F.struct("id", "code", "table_no", "status", "visible", "accepted_at", "transaction_date", F.col("amount").cast("decimal(38,12)").alias("amount"), "is_plan", "owner_ids")
     filings = px.trades(spark, sf, by_filing=True).groupBy("accession").agg(F.min("issuer_id").alias("issuer_id"), F.max("accepted_at").alias("received_at"), F.collect_list(trade).alias("trades"))
     followed = checkpoint(px.followed(spark, sf))
-    rows = played(spark, filings, "received_at", alerts.FILING_SCHEMA, lambda landed: alerts.trade_alert_stream(landed, followed, START, lookback=None), alerts.TRADE_ALERT_SCHEMA, slices="accession")
+    rows = played(spark, filings, "received_at", alerts.FILING_SCHEMA, lambda landed: alerts.trade_alert_stream(landed, followed, START, lookback=None), alerts.TRADE_ALERT_SCHEMA,
+                  most=alerts.BUCKETS, slices="accession")
     return shown(rows.select("dedupe_key", "person_id", "rows", "buys", "sells", "amount", "plan", "traded_from"), "amount")
 
 

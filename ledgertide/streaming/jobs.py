@@ -25,10 +25,22 @@ LOOKBACK_DAYS, RULE_TRADE_DAYS, REPORT_SLACK_DAYS, DIGEST_OVER = 30, 90, 7, 5
 FILING_SCHEMA = "accession string, form string, issuer_id string, role string, accepted_at timestamp"
 
 
-def append(stream: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Write a stream to Parquet files, each row exactly once."""
+def append(stream: DataFrame, path: str, checkpoint: str, once: bool = True, most: int | None = None) -> StreamingQuery:
+    """Write a stream to Parquet files, each row exactly once.
+
+    With ``most``, a new stream gets so many partitions at most, where the session has more. Each partition of a state is a store of its own, which takes megabytes
+    of disk however little it holds.
+    """
     writer = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
-    return (writer.trigger(availableNow=True) if once else writer).start()
+    writer = writer.trigger(availableNow=True) if once else writer
+    conf, name = stream.sparkSession.conf, "spark.sql.shuffle.partitions"
+    if most is None or int(before := conf.get(name)) <= most:
+        return writer.start()
+    conf.set(name, str(most))
+    try:
+        return writer.start()  # a started stream has settings of its own
+    finally:
+        conf.set(name, before)
 
 
 def run(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, once: bool = True) -> StreamingQuery:
